@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import mixing, sharding
+from corpuslens.llm import line_rules, mixing, pii, sharding, urlgraph
 
 SHARDS = 8
 
@@ -19,6 +19,18 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op7_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mixture(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "passes")
@@ -27,6 +39,9 @@ def op7_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_virtual_slots": op1_virtual_slots,
+        "op2_contextual_pii": op2_contextual_pii,
+        "op3_line_frequency": op3_line_frequency,
+        "op6_link_propagation": op6_link_propagation,
         "op7_splitting_tree": op7_splitting_tree,
     }
 
