@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import line_rules, mixing, pii, sharding, urlgraph
+from corpuslens.llm import line_rules, mixing, pii, probminhash, sharding, urlgraph
 
 SHARDS = 8
 
@@ -36,6 +36,11 @@ def op7_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = probminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "class_texts", "keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_virtual_slots": op1_virtual_slots,
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_frequency": op3_line_frequency,
         "op6_link_propagation": op6_link_propagation,
         "op7_splitting_tree": op7_splitting_tree,
+        "op9_probminhash": op9_probminhash,
     }
 
 
