@@ -33,3 +33,24 @@ def holds(words: np.ndarray, key: bytes) -> bool:
         if not (int(words[p >> 6]) >> (p & 63)) & 1:
             return False
     return True
+
+
+def build_long(keys: DataFrame, key: str) -> np.ndarray:
+    """The same over 64-bit hashes."""
+    places = F.array(F.pmod(F.col(key), F.lit(BITS)), F.pmod(F.shiftright(key, 25), F.lit(BITS)))
+    bits = keys.select(F.explode(places).alias("p"))
+    words = bits.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")
+    )
+    found = words.toArrow()
+    filled = np.zeros(BITS // 64, np.uint64)
+    filled[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return filled
+
+
+def holds_long(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for shift in (0, 25):
+        p = (keys >> np.uint64(shift)) % np.uint64(BITS)
+        found &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return found

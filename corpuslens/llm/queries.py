@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import line_rules, mixing, pii, probminhash, sharding, urlgraph
+from corpuslens.llm import decontam, langid, line_rules, linetree, mixing, pii, probminhash, quality_crf, sharding, urlgraph
 
 SHARDS = 8
 
@@ -27,6 +27,15 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "item_tokens", "verbatim")
+
+
+def op5_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -36,19 +45,39 @@ def op7_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_crf.score_documents(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = probminhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "class_texts", "keep")
 
 
+def op10_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetree.line_report(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_virtual_slots": op1_virtual_slots,
         "op2_contextual_pii": op2_contextual_pii,
         "op3_line_frequency": op3_line_frequency,
+        "op4_template_windows": op4_template_windows,
+        "op5_bitmask_filters": op5_bitmask_filters,
         "op6_link_propagation": op6_link_propagation,
         "op7_splitting_tree": op7_splitting_tree,
+        "op8_line_crf": op8_line_crf,
         "op9_probminhash": op9_probminhash,
+        "op10_template_tree": op10_template_tree,
+        "pipeline": pipeline,
     }
 
 
