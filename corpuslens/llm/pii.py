@@ -36,17 +36,27 @@ BLOCK = 64
 MIN_CONFIDENCE, MIN_INSTANCES, MIN_TRUST = 0.6, 3, 0.5
 
 
+_SPAN = "array<struct<start:int,end:int,found:string,left:string,right:string>>"
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """Spans (start, end, found) of a pattern's matches in code points: gaps and matches take turns."""
+    """Matches of a pattern as (start, end, found, left, right): code points, and the text up to CONTEXT on each side.
+
+    Gaps and matches take turns, so starts are sums of lengths; the context ends at the next match on either side.
+    """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    following = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("found"), following.alias("after"))
+    none = F.array().cast(_SPAN)
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["found"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"))
+        one = F.struct(
+            begin.alias("start"), end.alias("end"), x["found"].alias("found"),
+            F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(CONTEXT)).alias("right"),
+        )
         return F.when(
             x["found"].isNotNull(),
             F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans")),
@@ -90,28 +100,10 @@ def _valid(kind: str, found: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """Array of (start, end, found) of one kind; the cheap test spares most texts the search."""
     gate = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")}[kind]
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast(_SPAN)
     return F.when(gate, F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["found"]))).otherwise(none)
 
 
-def _candidates(text: Column) -> Column:
-    """(start, end, token, left, right) of the tokens that may be identifiers, with the words around them."""
-    gaps = F.split(text, CANDIDATE, -1)
-    spans = _spans(text, CANDIDATE)
-    following = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-    return F.zip_with(
-        F.arrays_zip(spans.alias("s"), gaps.alias("g")),
-        following,
-        lambda a, after: F.struct(
-            a["s"]["start"].alias("start"),
-            a["s"]["end"].alias("end"),
-            a["s"]["found"].alias("token"),
-            F.right(a["g"], F.lit(CONTEXT)).alias("left"),
-            F.left(after, F.lit(CONTEXT)).alias("right"),
-        ),
-    )
-
-
 def _word(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}=:]", "")
 
@@ -167,21 +159,23 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         "doc_id",
         "row",
         *[base_spans(F.col("text"), k).alias(k) for k in KINDS],
-        F.when(F.col("text").rlike("[0-9@]"), _candidates(F.col("text"))).alias("cand"),
+        F.when(F.col("text").rlike("[0-9@]"), _spans(F.col("text"), CANDIDATE)).alias("cand"),
     )
 
-    def spans(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    def seeds_of(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), *[s[c].alias(c) for c in ("start", "end", "found", "left", "right")]))
 
-    seen = written(seen.select("doc_id", "row", F.concat(*[spans(k) for k in KINDS]).alias("base"), "cand"), "pii-spans")
+    seen = seen.select("doc_id", "row", F.concat(*[seeds_of(k) for k in KINDS]).alias("base"), "cand")
+    # candidates that no base span touches, without closing punctuation
+    free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    seen = written(seen.withColumn("cand", F.when(F.size("cand") > 0, free)), "pii-spans")
 
-    occ = seen.where(F.size("cand") > 0).select("row", "base", F.explode("cand").alias("c")).where("c.token is not null")
-    touching = F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    occ = occ.select(
-        "row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.lower("c.token").alias("instance"),
-        F.try_element_at(F.transform(touching, lambda b: b["kind"]), F.lit(1)).alias("kind"),
-        F.explode(contexts(F.col("c.left"), F.col("c.right"))).alias("pattern"),
-    )
+    seed = seen.where(F.size("base") > 0).select("row", F.explode("base").alias("c")).select("row", "c.*")
+    other = seen.where(F.size("cand") > 0).select("row", F.explode("cand").alias("c")).select("row", F.lit(None).cast("string").alias("kind"), "c.*")
+    other = other.withColumn("found", F.regexp_replace("found", "[.,;:!?]+$", "")).withColumn("end", F.col("start") + F.length("found"))
+    occ = seed.unionByName(other).select(
+        "row", "start", "end", "kind", F.lower("found").alias("instance"), F.explode(contexts(F.col("left"), F.col("right"))).alias("pattern")
+    )
     occ = written(occ, "pii-occurrences")
     edges = occ.groupBy("pattern", "instance").agg(F.count("*").alias("n"))
     seeds = occ.where("kind is not null").groupBy("instance", "kind").agg(F.count("*").alias("n"))
@@ -193,7 +187,8 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         F.collect_list(F.struct(F.concat(F.lit(ADDED), F.col("as_kind")).alias("kind"), "start", "end")).alias("added")
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return seen.select("doc_id", "row", "base").join(new, "row", "left").withColumn("added", F.coalesce("added", none))
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return seen.select("doc_id", "row", base.alias("base")).join(new, "row", "left").withColumn("added", F.coalesce("added", none))
 
 
 def spans_digest(spans: Column) -> Column:

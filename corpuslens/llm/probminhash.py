@@ -246,6 +246,7 @@ def _one_kept(rows: DataFrame, owner: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of ``docs`` for one row of each class; rows are named by ``key``."""
-    kept = near_duplicates(docs, text, key, threshold).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept.kept_id), "left_semi")
+    """The columns of ``docs`` for one row of each class; rows are named by ``key``, so rows of one key stay together."""
+    classes = written(near_duplicates(docs, text, key, threshold).select(F.col("doc_id").alias("gone_id"), "keep"), "nd-keep")
+    gone = classes.groupBy("gone_id").agg(F.max("keep").alias("keep")).where("not keep").select("gone_id")
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone.gone_id), "left_anti")

@@ -1,0 +1,532 @@
+"""Small cases and brute-force comparisons of the training-text operators."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpuslens.llm import bloom, decontam, langid, line_rules, linetree, mixing, pii, probminhash, quality_crf, sharding, urlgraph
+from corpuslens.llm.common import Words, chunks, windows
+from corpuslens.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, row string, part int"
+W = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs_of(spark, rows):
+    """Documents with two columns that operators use as names of their own."""
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def local(documents):
+    return documents.toPandas()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = " ".join(f"word{i % 997} the and of {i}" for i in range(9000))
+    return docs_of(
+        spark,
+        [
+            (1, None, None, None),
+            (2, "", "en", "a"),
+            (3, " \t\n\r ", "en", None),
+            (4, "one two three", "en", "a"),
+            (5, "one  two\nthree", "en", "b"),
+            (6, long, "en", "a"),
+            (7, long + " tail", "fr", "a"),
+            (7, long + " tail", "fr", "a"),
+            (None, "mail me@example.org or 10.0.0.1", None, "b"),
+            (9, "数字 données ñandú 12345", "fr", "b"),
+        ],
+    )
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# shared helpers
+
+
+def test_words_and_windows_match_plain_python():
+    texts = ["a bb  ccc\nd", "", "\x0b x ", "é ñ é ñ é", "a bb ccc d"]
+    for _, _, raw, off in chunks(pa.array(texts)):
+        words = Words(raw, off)
+        counts = np.diff(words.bounds).tolist()
+        assert counts == [len(W.findall(t)) for t in texts]
+        assert words.hash[:4].tolist() == words.hash[-4:].tolist()
+        h, at = windows(words.hash, words.doc, 2)
+        assert len(h) == sum(max(0, c - 1) for c in counts)
+        assert h[-7] == h[-5]  # "é ñ" twice
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 201), (7, 7)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0}
+    assert got[102] == 100 and got[201] == 200
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bloom_never_loses_a_key(spark):
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(500)]
+    words = bloom.build(spark.createDataFrame([(k,) for k in keys], "key binary"))
+    assert all(bloom.holds(words, k) for k in keys)
+    assert sum(bloom.holds(words, hashlib.md5(f"x{i}".encode()).digest()) for i in range(500)) < 3
+    h = np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    filled = bloom.build_long(spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "k long"), "k")
+    assert bloom.holds_long(filled, h).all()
+
+
+# 1 sharding
+
+
+def test_shards_hold_every_row_in_gapless_places(spark, documents, local, odd):
+    for docs, n in ((documents, len(local)), (odd, 10)):
+        got = sharding.shard_records(docs, 8).toPandas()
+        assert len(got) == n
+        for _, part in got.groupby("shard"):
+            assert sorted(part.slot) == list(range(len(part)))
+    got = sharding.shard_records(documents, 8).toPandas().merge(local, on="doc_id")
+    assert all(got["size"] == [len(t.encode()) + 1 for t in got.text])
+    assert all(got.text_crc32 == [zlib.crc32(t.encode()) for t in got.text])
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= max(0.02 * load.mean(), got["size"].max())
+
+
+def test_one_hot_key_is_dealt_over_shards(spark):
+    rows = [(5, "same text here", "en", "a")] * 600 + [(i, "other text", "en", "a") for i in range(300)]
+    got = sharding.shard_records(docs_of(spark, rows).repartition(3), 4).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 4 and load.max() < 1.5 * load.mean()
+
+
+def test_rebalancing_edits_few_slots(spark, empty):
+    first = sharding.first_map([(s, -1, 100 + s) for s in range(256)], 4)
+    grown = sharding.rebalanced(first, 5)
+    assert {r[0] for r in grown} == {2}
+    was, now = {r[1]: r[4] for r in first}, {r[1]: r[4] for r in grown}
+    moved = [s for s in was if was[s] != now[s]]
+    assert sum(now[s] != 4 for s in moved) <= 4 and 0.1 < len(moved) / 256 < 0.3
+    back = sharding.rebalanced(grown, 4)
+    assert {r[4] for r in back} == {0, 1, 2, 3} and sum(now[r[1]] != r[4] for r in back if now[r[1]] < 4) <= 4
+    assert sharding.shard_records(empty, 8).count() == 0
+
+
+# 2 personal data
+
+PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base_of(text):
+    out = []
+    for kind, pattern in PII_PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True,
+                "card": 13 <= len(d) <= 19 and luhn(d),
+                "phone": 9 <= len(d) <= 15,
+            }[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+HARD = [
+    "a@b.com_x@y.org then a@b.c@d.e and @no.where x@y",
+    "1.2.3.4.5.6.7.8 999.1.1.1 01.002.0003.4 1.2.3",
+    "4111 1111 1111 1111 4111-1111-1111-1111 41111111111111112 4 1",
+    "+1 (523) 555-1055 +12 +1.2.3.4.5.6.7.8.9 ++33 1 23 45 67 89 end",
+    "é😀 ñ me@x.io 😀 8.8.8.8",
+    "7" * 30000 + " " + "a" * 30000,
+    "1 " * 3000,
+]
+
+
+def test_base_spans_match_plain_regexes(spark, documents, local, odd):
+    hard = docs_of(spark, [(i, t, None, None) for i, t in enumerate(HARD)])
+    for docs in (hard, documents, odd):
+        text = {r.doc_id: r.text for r in docs.collect()}
+        for r in pii.scan_documents(docs).collect():
+            expected = base_of(text[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(expected.encode()).hexdigest()
+            assert set(filter(None, expected.split(","))) <= set(r.spans.split(","))
+            assert (r.n_email, r.n_ip) == (expected.count("email:"), expected.count("ip:"))
+
+
+def test_contexts_of_seeds_find_identifiers_without_base_pattern(spark, empty):
+    rows = [(i, f"please call my number +1 (523) 555-10{i:02d} before noon today", "en", "a") for i in range(12)]
+    rows += [(100, "please call my number 555-0199 before noon today", "en", "a")]
+    rows += [(200 + i, f"chapter {i} has words", "en", "a") for i in range(12)]
+    got = {r.doc_id: r for r in pii.scan_documents(docs_of(spark, rows)).collect()}
+    assert got[100].spans == "ctx_phone:22:30"
+    assert all(got[200 + i].spans == "" for i in range(12))
+    masked = {r.doc_id: r.text for r in pii.masked_documents(docs_of(spark, rows)).collect()}
+    assert masked[100] == "please call my number <ctx_phone> before noon today"
+    assert masked[0] == "please call my number <phone> before noon today"
+    assert pii.scan_documents(empty).count() == 0
+
+
+# 3 quality rules
+
+
+def base_counts(text):
+    words = W.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if W.search(x)]
+    at = defaultdict(list)
+    for i in range(len(words) - 2):
+        at[tuple(words[i : i + 3])].append(i)
+    covered = {p + q for x in at.values() if len(x) > 1 for p in x for q in range(3)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_counts_match_brute_force(spark, documents, odd, empty):
+    more = docs_of(spark, [(20, "a b c a b c a b c", "en", "a"), (21, "x y\n\nx y\n \nx y", "en", "a"), (22, "a a a a", None, None)])
+    for docs in (documents, odd, more):
+        text = {r.doc_id: r.text for r in docs.collect()}
+        for r in line_rules.line_verdicts(docs).collect():
+            expected = base_counts(text[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected
+            assert r.base_failed == (expected[0] < 50 or 100 * expected[4] > 50 * expected[0])
+    assert line_rules.line_verdicts(empty).count() == 0
+
+
+def test_lines_above_a_hosts_limit_deplete(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    shared = " ".join(f"common{j}" for j in range(60))
+    rows = [(i, f"{shared} {2000 + i}", "en", "a") for i in range(40)]
+    rows += [(100 + i, f"{shared} {i}\n{body(i)}", "en", "a") for i in range(10)]
+    rows += [(200 + i, f"{shared} {i}", "en", "b") for i in range(10)]
+    got = {r.doc_id: r for r in line_rules.line_verdicts(docs_of(spark, rows)).collect()}
+    assert not any(got[i].kept for i in range(40))
+    assert all(got[100 + i].kept and got[100 + i].removed_lines == 1 for i in range(10))
+    assert all(got[200 + i].kept for i in range(10))  # below the limit of its host
+
+
+# 4 decontamination
+
+
+def test_passages_and_reparameterised_questions_are_caught(spark, empty):
+    bench = spark.createDataFrame(
+        [
+            (1, "A train leaves Boston with 12 cars and returns with 7 cars after 12 hours of travel"),
+            (2, "Short item here now"),
+            (3, None),
+            (4, ""),
+        ],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, "Noise before. A train leaves Boston with 12 cars and returns with 7 cars after 12 hours of travel. Noise.", "en", "a"),
+        (2, "Some text. A train leaves Chicago with 31 cars and returns with 9 cars after 31 hours of travel, they say", "en", "a"),
+        (3, "Some text. A train leaves Chicago with 31 cars and returns with 9 cars after 44 hours of travel, they say", "en", "a"),
+        (4, "Nothing like it at all, with 12 cars and other things", "en", "a"),
+        (5, "x short item here now y", "en", "a"),
+        (6, None, None, None),
+    ]
+    for limit in (decontam.PREFILTER, 0):
+        got = decontam.contaminated(docs_of(spark, rows), bench, prefilter=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(1, 1, True), (2, 1, False), (5, 2, True)]
+    left = {r.doc_id for r in decontam.decontaminated(docs_of(spark, rows), bench).collect()}
+    assert left == {3, 4, 6}
+    assert decontam.contaminated(empty, bench).count() == 0
+    assert decontam.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_verbatim_passages_match_substring_search(spark, documents, local):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = bench.collect()
+    expected = {(i, b.item_id) for i, t in zip(local.doc_id, local.text, strict=True) for b in items if b.text in t}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents, bench).collect()}
+    assert expected <= got and len(got) <= len(expected) + 1
+
+
+# 5 language
+
+
+def test_held_out_languages(documents, local, odd, empty):
+    got = langid.identify(documents).toPandas().merge(local, on="doc_id")
+    assert all(got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id])
+    held = got[got.held_out & got.lang.notna() & (got.n_chars >= 20)]
+    assert (held.lang_pred == held.lang).mean() >= 0.97
+    few = {r.doc_id: r for r in langid.identify(odd).collect()}
+    assert [few[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and few[1].score == 0
+    assert len(langid.identify(odd).collect()) == 10
+    assert langid.identify(empty).count() == 0
+    kept = {r.doc_id for r in langid.accepted(documents).collect()}
+    assert len(kept) >= 0.97 * len(local)
+
+
+def test_grams_stay_inside_texts():
+    for _, _, raw, off in chunks(pa.array(["ab", "", "c d", "1 2"])):
+        g, doc = langid.grams(raw, off)
+        found = [bytes(int(x).to_bytes(4, "big")) for x in g]
+        assert found == [b" ab ", b" c d", b"c d "]
+        assert doc.tolist() == [0, 2, 2]
+
+
+# 6 urls
+
+
+def test_rules_and_hosts(spark):
+    urls = [
+        ("http://A.Example.com/en/7x", "a.example.com", "/en/7x", "example.com/en/7", "allow"),
+        ("http://x.com/en/8?q=://z/", "x.com", "/en/8", "com/en/", "block"),
+        ("https://example.net/de/81#f", "example.net", "/de/81", "example.net/de/8", "block"),
+        ("https://notexample.net/de/81", "notexample.net", "/de/81", "net/de/", "allow"),
+        ("ftp://a.org?x=/es/", "a.org", "", None, None),
+        ("no scheme", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("x://h/es/", "h", "/es/", None, None),
+    ]
+    pages = spark.createDataFrame([(i, u[0], None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for r in urlgraph.judge_urls(pages).collect():
+        _, host, path, rule, verdict = urls[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
+    assert urlgraph.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_rank_matches_power_iteration(spark):
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0), ("c", "e", 1.0)]
+    seeds = {"a": 0.5, "d": 0.5}
+    got = urlgraph.personalised_rank(
+        spark.createDataFrame(edges, "src string, dst string, weight double"),
+        spark.createDataFrame(list(seeds.items()), "host string, seed double"),
+    )
+    got = {r.host: r.rank for r in got.collect()}
+    out = Counter()
+    for s, _, w in edges:
+        out[s] += w
+    rank = dict(seeds)
+    for _ in range(urlgraph.ROUNDS):
+        lost = 0.85 * sum(v for k, v in rank.items() if k not in out)
+        new = {k: v * (0.15 + lost) for k, v in seeds.items()}
+        for s, d, w in edges:
+            new[d] = new.get(d, 0) + 0.85 * rank.get(s, 0) * w / out[s]
+        rank = new
+    assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 1e-9 for k in rank)
+
+
+def test_distrust_runs_against_links(spark):
+    link = lambda h: f'<a href="http://{h}/x">y</a>'
+    rows = [(1, "http://spam.com/en/1", ""), (2, "http://farm.info/a", link("spam.com")), (3, "http://good.example.com/en/7", link("fine.info")), (4, "http://fine.info/a", "")]
+    got = {r.host: r for r in urlgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["farm.info"].verdict == "block" and got["fine.info"].verdict == "allow"
+
+
+# 7 mixing
+
+
+def targets_of(sizes):
+    """Resharing by rounds, as stated."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, rest = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if rest * weight[s] / total > 2 * sizes[s] + 1e-9]
+        if not over:
+            return target | {s: rest * weight[s] / total for s in open_}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            rest -= target[s]
+            open_.remove(s)
+    return target
+
+
+def test_mix_meets_targets(spark, documents, local, odd, empty):
+    for docs in (documents, odd):
+        rows = docs.select("doc_id", "source").distinct().toPandas()
+        got = mixing.plan_mixture(docs).toPandas()
+        again = mixing.plan_mixture(docs).toPandas()
+        cols = ["doc_id", "size", "taken", "passes"]
+        assert got[cols].sort_values(cols).values.tolist() == again[cols].sort_values(cols).values.tolist() or got[cols].isna().any().any()
+        assert (got.taken <= 2 * got["size"]).all()
+        assert len(got) == docs.count()
+        if docs is documents:
+            full = got.merge(rows, on="doc_id")
+            sizes = full.groupby("source")["size"].sum().to_dict()
+            expected = targets_of(sizes)
+            for s, part in full.groupby("source"):
+                assert abs(part.target.iloc[0] - expected[s]) < 1e-6
+                assert abs(part.taken.sum() - expected[s]) <= 1
+    assert mixing.plan_mixture(empty).count() == 0
+
+
+def test_splitting_tree_is_exact(spark, documents):
+    units = spark.range(800).select((F.col("id") % 7).cast("string").alias("source"), F.col("id").cast("int").alias("block"), F.lit(1).alias("pass"))
+    leaves = mixing.splitting_tree(units, 3).groupBy("out_shard").count().collect()
+    assert sorted(r["count"] for r in leaves) == [100] * 8
+    mixed = mixing.mixed_documents(documents).groupBy("doc_id").count()
+    plan = mixing.plan_mixture(documents).where("passes > 0").select("doc_id", "passes")
+    assert mixed.join(plan, "doc_id").where("count != passes").count() == 0 and mixed.count() == plan.count()
+
+
+# 8 quality
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(1)
+    chain = np.array([0, 0, 0, 0, 1, 2, 2])
+    score, moves = rng.normal(size=7), rng.normal(size=(2, 2))
+    good, _, norm = quality_crf._forward_backward(score, chain, moves)
+    for c in range(3):
+        at = np.flatnonzero(chain == c)
+        total, mass = 0.0, np.zeros(len(at))
+        for bits in np.ndindex(*[2] * len(at)):
+            p = np.exp(sum(score[i] * b for i, b in zip(at, bits, strict=True)) + sum(moves[a, b] for a, b in zip(bits, bits[1:], strict=False)))
+            total += p
+            mass += p * np.array(bits)
+        assert np.allclose(good[at], mass / total) and np.isclose(norm[c], np.log(total))
+
+
+def test_held_out_quality(spark, documents, odd, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_crf.train(documents, labels)
+    got = quality_crf.score_documents(documents, model).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() >= 0.85
+    assert got.score.between(0, 1).all()
+    few = quality_crf.score_documents(odd, model).collect()
+    assert len(few) == 10 and all(0 <= r.score <= 1 for r in few)
+    assert quality_crf.score_documents(empty, model).count() == 0
+    blank = quality_crf.train(empty, labels)
+    assert len(quality_crf.score_documents(odd, blank).collect()) == 10
+
+
+# 9 near-duplicates
+
+
+def slow_probability_jaccard(a, b):
+    total = 0.0
+    for d in a.keys() & b.keys():
+        total += 1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys())
+    return total
+
+
+def test_exact_similarity_and_its_estimate():
+    rng = np.random.default_rng(3)
+    for weights in (1, 6):
+        a = {int(i): int(rng.integers(1, weights + 1)) for i in rng.choice(300, 200, replace=False)}
+        b = {int(i): int(rng.integers(1, weights + 1)) for i in rng.choice(300, 220, replace=False)}
+        arr = lambda x: (np.array(sorted(x), np.uint64), np.array([x[i] for i in sorted(x)], np.int64))
+        exact = probminhash.probability_jaccard(*arr(a), *arr(b))
+        assert abs(exact - slow_probability_jaccard(a, b)) < 1e-9
+        element = np.concatenate([arr(a)[0], arr(b)[0]])
+        from corpuslens.llm.common import mix
+
+        sig = probminhash.signatures(
+            np.repeat([0, 1], [len(a), len(b)]), mix(element + np.uint64(9)), np.concatenate([arr(a)[1], arr(b)[1]]).astype(float), 2, 4096
+        )
+        assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
+
+
+def brute_classes(texts):
+    sets, at = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = W.findall(t or "")
+        if w:
+            sets[i] = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+            for s in sets[i]:
+                at[s].append(i)
+    up = {i: i for i in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in sets.items():
+        for j in {j for x in s for j in at[x] if j < i}:
+            small = len(s.keys() & sets[j].keys()) / max(len(s), len(sets[j]))
+            if small >= 0.5 and slow_probability_jaccard(s, sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def test_classes_match_brute_force(spark, local, odd, empty):
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(120)]
+    rows = list(zip(local.doc_id, local.text, strict=True))[:120]
+    for i in range(60):  # one family whose members differ from each other more than from the base
+        words = list(base)
+        for j in rng.choice(120, rng.integers(0, 4), replace=False):
+            words[j] = f"u{i}v{j}"
+        rows.append((10_000 + i, " ".join(words)))
+    docs = docs_of(spark, [(int(i), t, None, None) for i, t in rows])
+    got = probminhash.near_duplicates(docs).toPandas()
+    expected = brute_classes({int(i): t for i, t in rows})
+    assert {r.doc_id: r.class_id for r in got.itertuples()} == expected
+    assert got.groupby("class_id").keep.sum().eq(1).all()
+    left = probminhash.deduplicated(docs)
+    assert left.columns == docs.columns and left.count() == got.class_id.nunique()
+    few = probminhash.near_duplicates(odd).toPandas()
+    assert len(few) == 10 and few[few.doc_id == 7].keep.sum() <= 1
+    assert few.set_index("doc_id").class_id[5] == 4 and few.set_index("doc_id").class_size[3] == 1
+    assert probminhash.near_duplicates(empty).count() == 0
+
+
+# 10 line templates
+
+
+def test_recurring_templates_are_dropped(spark, odd, empty):
+    own = lambda i: " ".join(f"unique{i}w{j}" for j in range(12))
+    rows = [(i, f"{own(i)}\nuser {i} logged in from host{i} today\n{own(i + 500)}", "en", "a") for i in range(15)]
+    rows += [(100 + i, f"rarely seen line number {i} of few\n{own(i + 900)}", "en", "a") for i in range(5)]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in linetree.line_report(docs).collect()}
+    assert all(got[i].dropped == "1" and got[i].n_lines == 3 for i in range(15))
+    assert all(got[100 + i].n_dropped == 0 for i in range(5))
+    clean = {r.doc_id: r.text for r in linetree.cleaned_documents(docs).collect()}
+    assert clean[3] == f"{own(3)}\n{own(503)}" and clean[101] == rows[16][1]
+    assert len(linetree.line_report(odd).collect()) == 10
+    assert linetree.line_report(empty).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_stages_take_effect(spark, documents):
+    import corpus_pipeline
+
+    docs, counts = documents, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == documents.columns, name
+        counts.append(docs.count())
+    assert counts[0] >= counts[1] >= counts[2] > 0
+    last = corpus_pipeline.run(spark, SF)
+    assert last.count() == counts[3] and set(r.shard for r in last.select("shard").distinct().collect()) <= set(range(8))
+    assert isinstance(last.schema, T.StructType)
