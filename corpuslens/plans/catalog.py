@@ -37,7 +37,7 @@ def _load() -> None:
         import_module(f"corpuslens.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("scalars", "retrieval")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
