@@ -23,9 +23,16 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: a pair at similarity 0.8 meets in a band but for 6 in 100,000, at 0.9 but for 1 in 10^10.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+#: Bands for the texts that a leader leaves open: a pair at 0.8 meets but for 1 in 1,000, at 0.6 in one of 5.
+FINE_BANDS, FINE_ROWS = 96, 12
+#: In buckets of more texts, those whose shingles no other text of such buckets holds are ruled out first.
+LARGE = 16
 #: Arrivals drawn at once.
 DRAWS = 1 << 17
 
+#: Texts of a block, and most cells of a table of texts by shingles (60 MB).
+BLOCK, DENSE = 96, 15_000_000
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,6 +156,47 @@ def probability_jaccard(a: np.ndarray, v: np.ndarray, b: np.ndarray, w: np.ndarr
     return float(np.sum(1.0 / (above / cv + below / cw)))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shingle, share): each shingle's share of its text's weight."""
+    for batch in batches:
+        for key, raw, counts in zip(*[batch.column(c).to_pylist() for c in ("key", "shingles", "counts")], strict=True):
+            h = np.frombuffer(raw, np.uint64)
+            w = np.frombuffer(counts, np.int64) if counts else np.ones(len(h), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(h), pa.binary()), pa.array(signed(h), pa.int64()), pa.array(w / w.sum(), pa.float64())], ["key", "shingle", "share"]
+            )
+
+
+def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands of a longer signature, from the shingles of a text."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            h = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+            w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column("counts").to_pylist(), strict=True)]
+            doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
+            sig = signatures(doc, mix(np.concatenate(h) + np.uint64(77)), np.concatenate(w).astype(float), len(h), FINE_BANDS * FINE_ROWS)
+            sig = sig.reshape(len(h), FINE_BANDS, FINE_ROWS)
+            with np.errstate(over="ignore"):
+                band = np.zeros((len(h), FINE_BANDS), np.uint64)
+                for j in range(FINE_ROWS):
+                    band = mix(band * _GOLD + sig[:, :, j])
+                band = mix(band + np.arange(FINE_BANDS, dtype=np.uint64) * _GOLD)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("key"), ragged(signed(band.ravel()), np.full(len(h), FINE_BANDS), pa.int64())], ["key", "bands"]
+            )
+
+
+def own_share(texts: DataFrame) -> DataFrame:
+    """``key, own``: the share of a text's weight in shingles that no other of these texts holds.
+
+    One partially aggregated count of shingles; a shingle found once brings its text along, so nothing is joined back.
+    """
+    each = texts.select("key", "shingles", "counts").mapInArrow(_exploded, "key binary, shingle long, share double")
+    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("share").alias("share")).where("n = 1")
+    return once.groupBy("key").agg(F.sum("share").alias("own"))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("a_shingles", "a_counts", "b_shingles", "b_counts")]
@@ -161,6 +209,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
 
+def _cross_links(threshold: float):
+    """Links between texts of different labels of one unit: blocks i and j of a band (or one block)."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        keys, label, block = (unit.column(c).to_pylist() for c in ("key", "label", "block"))
+        h = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
+        counts = unit.column("counts").to_pylist()
+        w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, counts, strict=True)]
+        n, names = len(keys), {x: i for i, x in enumerate(sorted(set(label)))}
+        lab, blk = np.array([names[x] for x in label]), np.array(block)
+        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+        test = (lab[:, None] != lab[None, :]) & ((blk[:, None] == i) & (blk[None, :] == j))
+        if i == j:
+            test &= np.tri(n, k=-1, dtype=bool)
+        plain = np.array([not c for c in counts])
+        links = []
+        if test.any():
+            elements, at = np.unique(np.concatenate(h), return_inverse=True)
+            if n * len(elements) <= DENSE:
+                holds = np.zeros((n, len(elements)), np.float32)
+                holds[np.repeat(np.arange(n), [len(x) for x in h]), at] = 1
+                shared = holds @ holds.T
+                size = np.diag(shared)
+                jaccard = shared / (size[:, None] + size[None, :] - shared)
+                both = plain[:, None] & plain[None, :]
+                links = np.argwhere(test & both & (jaccard >= threshold - 1e-6)).tolist()
+                test &= ~both
+            links += [(a, b) for a, b in np.argwhere(test) if probability_jaccard(h[a], w[a], h[b], w[b]) >= threshold]
+        return pa.table({"a": pa.array([keys[a] for a, _ in links], pa.binary()), "b": pa.array([keys[b] for _, b in links], pa.binary())})
+
+    return run
+
+
+def cross_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between members of different labels of each band of ``rows(band, key, label)``.
+
+    A band's members are dealt into blocks of about BLOCK; every two blocks are one unit of bounded size that a task
+    compares within, so no pair becomes a row unless it is a link.
+    """
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    units = dealt.select("band", "key", "label", "block", F.explode(others).alias("u")).select("band", "key", "label", "block", "u.i", "u.j")
+    return units.join(texts, "key").groupBy("band", "i", "j").applyInArrow(_cross_links(threshold), "a binary, b binary").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact similarity of candidate pairs ``a, b`` (keys): both sides' shingles come by equi-joins."""
     left = texts.select(F.col("key").alias("a"), F.col("shingles").alias("a_shingles"), F.col("counts").alias("a_counts"))
@@ -178,8 +272,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     no rows; other columns are ignored.
 
     Equal texts are one row from the first shuffle on, so a large group of copies costs one text.  In each bucket all
-    are compared with one leader; where that leaves more than one component, the members that the leader does not
-    settle are compared with each other, but for those that the triangle inequality of 1 - similarity rules out.
+    are compared with one leader.  Texts of buckets in which that leaves more than one component get a longer
+    signature with more selective bands, and meet those of other components there.  In large buckets a text that has
+    more than 1 - threshold of its weight for itself is left out, for its similarity to others can't reach it.  No
+    bucket is capped.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed_rows = written(rows.mapInArrow(_banded, "doc_id long, key binary, n_words long, bands array<long>"), "nd-rows")
@@ -187,38 +283,63 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     texts = written(some.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nd-texts")
 
     banded = texts.select("key", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(leaders, "band").where("key != lead"), "nd-members")
-    pairs = written(members.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), "nd-pairs")
-    wanted = bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    multi = written(banded.join(sizes, "band"), "nd-buckets")
+    wanted = bloom.build(multi.select("key").distinct())
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_with_shingles(wanted), "key binary, shingles binary, counts binary")
     found = written(found.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "nd-shingles")
 
+    reach = 1 - threshold + 1e-9
+    crowd = multi.where(F.col("n") > LARGE)
+    own = own_share(found.join(crowd.select("key").distinct(), "key", "left_semi"))
+    crowd = crowd.join(own, "key", "left").select("band", "key", F.coalesce("own", F.lit(0.0)).alias("own")).where(F.col("own") <= reach)
+    few = multi.where(F.col("n") <= LARGE).select("band", "key", F.lit(0.0).alias("own"))
+    multi = written(crowd.unionByName(few), "nd-eligible")
+
+    # the leader has little of its own, which other texts of its bucket resemble most; ties by a draw for each band
+    draw = F.struct(F.round("own", 2).alias("own"), F.xxhash64("band", "key").alias("draw"), F.col("key").alias("key"))
+    leaders = multi.groupBy("band").agg(F.min(draw).alias("first"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("band", F.col("first.key").alias("lead"), "n")
+    members = written(multi.join(leaders, "band").where("key != lead"), "nd-members")
+    pairs = written(members.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), "nd-pairs")
     sims = written(verified(pairs, found), "nd-sims")
     links = sims.where(F.col("sim") >= threshold).select("a", "b")
     labels = connected_components(links)
 
     open_rows = (
         members.where("n > 2")
-        .join(sims.withColumnRenamed("a", "key").withColumnRenamed("b", "lead"), ["key", "lead"])
         .join(labels.withColumnRenamed("node", "key"), "key", "left")
-        .select("band", "key", F.coalesce("label", "key").alias("label"), (1 - F.col("sim")).alias("d"))
+        .select("band", "key", "own", F.coalesce("label", "key").alias("label"))
     )
     split = open_rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_rows = written(open_rows.join(split.select("band"), "band"), "nd-open")
-    reach = 1 - threshold + 1e-9
-    ring = F.floor(F.col("d") / reach).cast("int")
-    one = open_rows.select("band", F.col("key").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"), ring.alias("ring"))
-    other = open_rows.select(
-        "band", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"),
-        F.explode(F.array(ring - 1, ring, ring + 1)).alias("ring"),
-    )
-    more = one.join(other, ["band", "ring"]).where("a < b and la != lb").where(F.abs(F.col("da") - F.col("db")) <= reach)
-    more = written(more.select("a", "b").distinct(), "nd-more")
-    if not more.isEmpty():
-        extra = written(verified(more, found).where(F.col("sim") >= threshold).select("a", "b"), "nd-extra")
-        if not extra.isEmpty():
-            labels = connected_components(links.unionByName(extra))
+    open_keys = open_rows.join(split.select("band"), "band").groupBy("key").agg(F.max("own").alias("own"), F.min("label").alias("label"))
+    fine = found.join(open_keys, "key")
+    fine = written(fine.select("key", "shingles", "counts").mapInArrow(_fine_bands, "key binary, bands array<long>").join(open_keys, "key"), "nd-fine")
+    fine = fine.select("key", "own", "label", F.explode("bands").alias("band"))
+    fine = written(fine, "nd-open")
+
+    def mixed_bands(rows: DataFrame) -> DataFrame:
+        split = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        return rows.join(split.select("band"), "band")
+
+    def linked(extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+        extra = written(extra, "nd-extra")
+        if extra.isEmpty():
+            return links, labels
+        both = written(links.unionByName(extra), "nd-links")
+        return both, connected_components(both)
+
+    # two drawn members of each such band against those of other components, then whatever is left of other components
+    draw = F.struct(F.xxhash64("band", "key").alias("draw"), F.col("key"), F.col("label"))
+    fine = mixed_bands(fine)
+    drawn = fine.groupBy("band").agg(F.min(draw).alias("x"), F.max(draw).alias("y")).select("band", F.explode(F.array("x", "y")).alias("z"))
+    first = fine.join(drawn, "band").where(F.col("label") != F.col("z.label"))
+    first = written(first.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b")).distinct(), "nd-more")
+    links, labels = linked(verified(first, found).where(F.col("sim") >= threshold).select("a", "b"))
+    now = labels.select(F.col("node").alias("key"), F.col("label").alias("now"))
+    fine = fine.join(now, "key", "left").select("band", "key", "own", F.coalesce("now", "label").alias("label"))
+    fine = written(mixed_bands(fine), "nd-left")
+    links, labels = linked(cross_links(fine, found, threshold))
 
     owner = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "doc_id", "copies", F.coalesce("label", "key").alias("label")
