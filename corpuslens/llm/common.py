@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The word pattern of every operator here: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of text that a task tokenises at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Most rows of an Arrow batch: whole texts are large rows.
+BATCH_ROWS = 1000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_ROWS rows, so that tasks hold few texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 values."""
     with np.errstate(over="ignore"):

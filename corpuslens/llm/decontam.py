@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, chunks, mix, ragged, signed, written
+from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, written
 
 WINDOW = 5
 #: Share of an item's tokens that matched windows must cover in a document, and of these that aren't placeholders.
@@ -164,16 +164,16 @@ def contaminated(
     distinct windows number ``prefilter`` or fewer, so that the join moves hits only; else every window is joined.
     """
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    items = written(items.mapInArrow(_windows_of(window, None), _SCHEMA), "bench-windows")
+    items = written(items.transform(arrow_map, _windows_of(window, None), _SCHEMA), "bench-windows")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     distinct = items.select("hash").distinct()
     if distinct.count() <= prefilter:
         known = np.sort(distinct.toArrow()["hash"].to_numpy().view(np.uint64))
         if not len(known):
             known = np.zeros(1, np.uint64)
-        hits = rows.mapInArrow(_windows_of(window, known), _SCHEMA)
+        hits = rows.transform(arrow_map, _windows_of(window, known), _SCHEMA)
     else:
-        hits = rows.mapInArrow(_all_windows(window), _SCHEMA)
+        hits = rows.transform(arrow_map, _all_windows(window), _SCHEMA)
     b = items.select(
         F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("n").alias("item_tokens"),
         F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "hash", F.col("slots").alias("item_slots"),

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import chunks, mix, signed, written
+from corpuslens.llm.common import arrow_map, chunks, mix, signed, written
 
 UNKNOWN = "und"
 N = 4
@@ -101,7 +101,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     cut = cut.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     picked = rows.join(F.broadcast(cut), "lang").where(draw <= F.col("cut"))  # MOST_LANGUAGES rows
     picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "text"))).where(F.col("nth") <= SAMPLE)
-    counted = picked.select("lang", "text").mapInArrow(_distinct_grams, "lang string, gram long").groupBy("lang", "gram").count()
+    counted = picked.select("lang", "text").transform(arrow_map, _distinct_grams, "lang string, gram long").groupBy("lang", "gram").count()
     sizes = {r.lang: r.n for r in cut.collect()}
     least = F.greatest(F.lit(MIN_DOCS), F.ceil(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")] * MIN_SHARE)) if sizes else F.lit(1)
     often = counted.where(F.col("count") >= F.when(F.lit(sum(sizes.values()) < 50), F.lit(1)).otherwise(least))
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, filters: Filters | None = None, text: str = "text"
     """
     filters = filters or train(docs, text=text, key=key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.lit(0).cast("long"))
-    out = rows.mapInArrow(_predict_with_id(filters), "doc_id long, lang_pred string, score double")
+    out = rows.transform(arrow_map, _predict_with_id(filters), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -195,4 +195,4 @@ def accepted(docs: DataFrame, filters: Filters | None = None, text: str = "text"
             if good:
                 yield batch.filter(pa.chunked_array(good).combine_chunks())
 
-    return docs.mapInArrow(keep, docs.schema).select(*columns)
+    return docs.transform(arrow_map, keep, docs.schema).select(*columns)

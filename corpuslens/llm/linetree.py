@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bloom
-from corpuslens.llm.common import Words, chunks, mix, ragged, signed, written
+from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, written
 
 #: Leading tokens of the tree.
 DEPTH = 3
@@ -121,10 +121,10 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     ``number`` counts the lines of a text from 0.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    often = rows.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
+    often = rows.select("text").transform(arrow_map, _leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
     often = written(often.select("leaf"), "leaves")
     wanted = bloom.build_long(often, "leaf")
-    lines = rows.select("row", "text").mapInArrow(_lines_in(wanted), "row long, number long, leaf long, line long, bytes long, tokens array<long>")
+    lines = rows.select("row", "text").transform(arrow_map, _lines_in(wanted), "row long, number long, leaf long, line long, bytes long, tokens array<long>")
     lines = written(lines.join(often, "leaf"), "leaf-lines")
     parsed = written(line_templates(lines, min_docs), "line-templates")
     placed = written(lines.select("row", "number", "leaf", "line", "bytes").join(parsed, ["leaf", "line"]), "lines-parsed")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bloom
-from corpuslens.llm.common import Words, chunks, mix, ragged, signed, windows, written
+from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, windows, written
 from corpuslens.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -192,7 +192,7 @@ def own_share(texts: DataFrame) -> DataFrame:
 
     One partially aggregated count of shingles; a shingle found once brings its text along, so nothing is joined back.
     """
-    each = texts.select("key", "shingles", "counts").mapInArrow(_exploded, "key binary, shingle long, share double")
+    each = texts.select("key", "shingles", "counts").transform(arrow_map, _exploded, "key binary, shingle long, share double")
     once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("share").alias("share")).where("n = 1")
     return once.groupBy("key").agg(F.sum("share").alias("own"))
 
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact similarity of candidate pairs ``a, b`` (keys): both sides' shingles come by equi-joins."""
     left = texts.select(F.col("key").alias("a"), F.col("shingles").alias("a_shingles"), F.col("counts").alias("a_counts"))
     right = texts.select(F.col("key").alias("b"), F.col("shingles").alias("b_shingles"), F.col("counts").alias("b_counts"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a binary, b binary, sim double")
+    return pairs.join(left, "a").join(right, "b").transform(arrow_map, _verify, "a binary, b binary, sim double")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     bucket is capped.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed_rows = written(rows.mapInArrow(_banded, "doc_id long, key binary, n_words long, bands array<long>"), "nd-rows")
+    signed_rows = written(rows.transform(arrow_map, _banded, "doc_id long, key binary, n_words long, bands array<long>"), "nd-rows")
     some = signed_rows.where("n_words > 0")
     texts = written(some.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nd-texts")
 
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     multi = written(banded.join(sizes, "band"), "nd-buckets")
     wanted = bloom.build(multi.select("key").distinct())
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_with_shingles(wanted), "key binary, shingles binary, counts binary")
+    found = docs.select(F.col(text).cast("string").alias("text")).transform(arrow_map, _with_shingles(wanted), "key binary, shingles binary, counts binary")
     found = written(found.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "nd-shingles")
 
     reach = 1 - threshold + 1e-9
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     split = open_rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     open_keys = open_rows.join(split.select("band"), "band").groupBy("key").agg(F.max("own").alias("own"), F.min("label").alias("label"))
     fine = found.join(open_keys, "key")
-    fine = written(fine.select("key", "shingles", "counts").mapInArrow(_fine_bands, "key binary, bands array<long>").join(open_keys, "key"), "nd-fine")
+    fine = written(fine.select("key", "shingles", "counts").transform(arrow_map, _fine_bands, "key binary, bands array<long>").join(open_keys, "key"), "nd-fine")
     fine = fine.select("key", "own", "label", F.explode("bands").alias("band"))
     fine = written(fine, "nd-open")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, chunks
+from corpuslens.llm.common import Words, arrow_map, chunks
 from corpuslens.llm.langid import remainder
 
 #: Labelled documents learned from, those with the smallest hash of doc_id, half of each label; a documented bound.
@@ -253,6 +253,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
     score is the same for all; an empty table gives no rows; other columns are ignored.  One pass, no shuffle.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(_score(model), "doc_id long, score double")
+    out = rows.transform(arrow_map, _score(model), "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
