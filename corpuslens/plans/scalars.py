@@ -312,10 +312,10 @@ def b32_node_id(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_id(F.col("source"), F.col("doc_id"), F.lit(1), F.lit("document"), F.col("lang")).alias("node_id"))
 
 
-@query("b34_cost", "select conv_id, round(sum(case when role = 'user' then length(text) / 4.0 * 3 else length(text) / 4.0 * 15 end) / 1e6, 6) as usd from conversations group by 1")
+@query("b34_cost", "select conv_id, round(sum(case when role = 'user' then length(text) / 4.0 * 3 else length(text) / 4.0 * 15 end), 4) as micro_usd from conversations group by 1")
 def b34_cost(spark, d):
     price = F.when(F.col("role") == "user", F.length("text") / 4.0 * 3).otherwise(F.length("text") / 4.0 * 15)
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(F.sum(price) / 1e6, 6).alias("usd"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(F.sum(price), 4).alias("micro_usd"))
 
 
 @query(

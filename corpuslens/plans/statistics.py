@@ -104,10 +104,10 @@ def h16_uncertainty(spark, d):
     return scored(spark, d).groupBy("user_id").agg(F.round(F.avg(c) * (1 - F.avg(c)), 6).alias("total"), F.round(F.avg(c * (1 - c)), 6).alias("aleatoric"), F.round(F.var_pop(c), 6).alias("epistemic"), F.round(F.max(c) - F.min(c), 6).alias("spread"))
 
 
-@query("h17_combined_uncertainty", f"with {_V} select event_id, round(u, 6) as uncertainty, u > 0.5 as abstain from (select event_id, 0.4 * (1 - conf) + 0.3 * (1 - y) + 0.2 * (event_id % 10) / 10.0 + 0.1 * (w - 1) / 2.0 as u from v)")
+@query("h17_combined_uncertainty", f"with {_V} select event_id, round(u + 1e-9, 6) as uncertainty, round(u, 9) > 0.5 as abstain from (select event_id, 0.4 * (1 - conf) + 0.3 * (1 - y) + 0.2 * (event_id % 10) / 10.0 + 0.1 * (w - 1) / 2.0 as u from v)")
 def h17_combined_uncertainty(spark, d):
     u = 0.4 * (1 - F.col("conf")) + 0.3 * (1 - F.col("y")) + 0.2 * (F.col("event_id") % 10) / 10.0 + 0.1 * (F.col("w") - 1) / 2.0
-    return scored(spark, d).select("event_id", F.round(u, 6).alias("uncertainty"), (u > 0.5).alias("abstain"))
+    return scored(spark, d).select("event_id", F.round(u + 1e-9, 6).alias("uncertainty"), (F.round(u, 9) > 0.5).alias("abstain"))
 
 
 _EDGES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -288,11 +288,11 @@ def h44_compare_snapshots(spark, d):
     return a.join(b, "name", "full_outer").select("name", F.round(delta, 6).alias("delta"), change.alias("change"))
 
 
-_ROWS = "r as (select l_orderkey as id, l_linenumber as j, l_discount * 10 as s, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) = 1)::int as pos, 1.0 + l_tax * 10 as rel from lineitem)"
+_ROWS = "r as (select l_orderkey as id, l_linenumber as j, l_discount * 10 as s, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1)::int as pos, 1.0 + l_tax * 10 as rel from lineitem)"
 
 
 def score_rows(spark, d):
-    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("j"), (F.col("l_discount") * 10).alias("s"), (first == 1).cast("int").alias("pos"), (1.0 + F.col("l_tax") * 10).alias("rel"))
 
 

@@ -190,11 +190,11 @@ def e19_need_spans(spark, d):
     return K.runs(e, ["user_id"], "i", "hot").groupBy("user_id", "run").agg(F.min("i").alias("first"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).drop("run")
 
 
-@query("e18_source_trust", "select s_suppkey, round(v, 6) as trust, case when s_acctbal < -500 then 'blocked' when v < 0.4 then 'low' else 'eligible' end as state from (select *, 0.5 * least(greatest(s_acctbal / 10000.0, 0), 1) + 0.3 * (s_nationkey % 5) / 4.0 + 0.2 * (s_suppkey % 3) / 2.0 as v from supplier)")
+@query("e18_source_trust", "select s_suppkey, round(v + 1e-9, 6) as trust, case when s_acctbal < -500 then 'blocked' when v < 0.4 then 'low' else 'eligible' end as state from (select *, 0.5 * least(greatest(s_acctbal / 10000.0, 0), 1) + 0.3 * (s_nationkey % 5) / 4.0 + 0.2 * (s_suppkey % 3) / 2.0 as v from supplier)")
 def e18_source_trust(spark, d):
     v = 0.5 * F.least(F.greatest(F.col("s_acctbal") / 10000.0, F.lit(0.0)), F.lit(1.0)) + 0.3 * (F.col("s_nationkey") % 5) / 4.0 + 0.2 * (F.col("s_suppkey") % 3) / 2.0
     state = F.when(F.col("s_acctbal") < -500, "blocked").when(v < 0.4, "low").otherwise("eligible")
-    return table(spark, d, "supplier").select("s_suppkey", F.round(v, 6).alias("trust"), state.alias("state"))
+    return table(spark, d, "supplier").select("s_suppkey", F.round(v + 1e-9, 6).alias("trust"), state.alias("state"))
 
 
 # graphs
@@ -265,11 +265,11 @@ def f16_hyperedge_projection(spark, d):
     return p.groupBy("p.one", "p.other").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
-@query("f24_beliefs", "with b as (select l_partkey as claim, l_suppkey as src, l_returnflag <> 'R' as f, max(l_discount * 5) as s from lineitem group by 1, 2, 3), g as (select claim, 1 - exp(sum(case when f then ln(1 - least(s, 0.999999)) else 0 end)) as a, 1 - exp(sum(case when not f then ln(1 - least(s, 0.999999)) else 0 end)) as c from b group by 1) select claim, round(a, 4) as support, round(c, 4) as contradiction, case when abs(a - c) < 0.15 then 'conflicted' when a > c then 'supported' else 'contradicted' end as status from g")
+@query("f24_beliefs", "with b as (select l_partkey as claim, l_suppkey as src, l_returnflag <> 'R' as f, max(l_discount * 5) as s from lineitem group by 1, 2, 3), g as (select claim, 1 - exp(sum(case when f then ln(1 - least(s, 0.999999)) else 0 end)) as a, 1 - exp(sum(case when not f then ln(1 - least(s, 0.999999)) else 0 end)) as c from b group by 1) select claim, round(a + 1e-9, 6) as support, round(c + 1e-9, 6) as contradiction, case when abs(a - c) < 0.15 then 'conflicted' when a > c then 'supported' else 'contradicted' end as status from g")
 def f24_beliefs(spark, d):
     li = table(spark, d, "lineitem").withColumnsRenamed({"l_partkey": "claim", "l_suppkey": "src"})
     b = G.beliefs(li, "claim", "src", F.col("l_discount") * 5, F.col("l_returnflag") != "R")
-    return b.select("claim", F.round("support", 4).alias("support"), F.round("contradiction", 4).alias("contradiction"), "status")
+    return b.select("claim", F.round(F.col("support") + 1e-9, 6).alias("support"), F.round(F.col("contradiction") + 1e-9, 6).alias("contradiction"), "status")
 
 
 # governance
