@@ -28,10 +28,10 @@ FINE_BANDS, FINE_ROWS = 96, 12
 #: In buckets of more texts, those whose shingles no other text of such buckets holds are ruled out first.
 LARGE = 16
 #: Arrivals drawn at once.
-DRAWS = 1 << 17
+DRAWS = 1 << 15
 
-#: Texts of a block, and most cells of a table of texts by shingles (60 MB).
-BLOCK, DENSE = 96, 15_000_000
+#: Texts of a block, and most cells of a table of texts by shingles (12 MB).
+BLOCK, DENSE = 64, 3_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,8 +170,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bands of a longer signature, from the shingles of a text."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
+        for lo in range(0, batch.num_rows, 16):
+            part = batch.slice(lo, 16)
             h = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
             w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column("counts").to_pylist(), strict=True)]
             doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
