@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.lineage import cut
 
-def hops(edges: DataFrame, roots: DataFrame, most: int, keep: Callable = lambda df: df, origins: bool = False) -> DataFrame:
+
+def hops(edges: DataFrame, roots: DataFrame, most: int, keep: Callable = cut, origins: bool = False) -> DataFrame:
     """Breadth-first distances: ``root, node, depth`` up to ``most`` hops along ``edges(src, dst)``.
 
     With ``origins`` each root has its own walk; else roots start together and ``root`` is absent.  A round is one

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import field_tokens, index_tokens
+from corpuslens.operators.lineage import cut
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -138,10 +139,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, keep: Callable = lambda df: df) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, keep: Callable = cut) -> DataFrame:
     """``node, rank`` after a number of rounds; mass at nodes without edges is spread evenly; the sum is 1.
 
-    ``keep`` is applied each round, to write the ranks out or checkpoint them.
+    ``keep`` is applied each round to cut the lineage, for a round uses the ranks twice.
     """
     edges = edges.select("src", "dst").distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))

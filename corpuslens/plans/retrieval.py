@@ -85,7 +85,7 @@ def d5_pagerank(spark, d):
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(name("p", "l_partkey").alias("src"), name("c", "o_custkey").alias("dst"))
     ).distinct()
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
-    ranks = R.pagerank(edges, nodes, _RANK_ROUNDS, keep=lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache())
+    ranks = R.pagerank(edges, nodes, _RANK_ROUNDS)
     return ranks.select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 

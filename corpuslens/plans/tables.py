@@ -14,10 +14,6 @@ from corpuslens.plans.scalars import TOKENS_SQL
 from corpuslens.streaming import events as E
 
 
-def _keep(spark):
-    return lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
-
-
 # joins
 
 
@@ -218,7 +214,7 @@ def f2_graph_summary(spark, d):
 @query("f10_impact", f"with {_GE}, r1 as (select distinct a.src as root, a.dst as node from e a where a.src between 1 and 5), r2 as (select distinct root, e.dst as node from r1 join e on r1.node = e.src) select root, count(*) filter (depth = 1) as direct, count(*) filter (depth = 2) as indirect from (select root, node, 1 as depth from r1 union all select root, node, 2 from r2 where (root, node) not in (select (root, node) from r1)) group by 1")
 def f10_impact(spark, d):
     roots = table(spark, d, "supplier").where("s_suppkey between 1 and 5").select(F.col("s_suppkey").alias("node"))
-    h = G.hops(edges(spark, d), roots, 2, _keep(spark), origins=True).where("depth > 0")
+    h = G.hops(edges(spark, d), roots, 2, origins=True).where("depth > 0")
     n = lambda k, name: F.count(F.when(F.col("depth") == k, 1)).alias(name)
     return h.groupBy("root").agg(n(1, "direct"), n(2, "indirect"))
 
@@ -226,7 +222,7 @@ def f10_impact(spark, d):
 @query("f6_retraction_risk", f"with {_GE}, z as (select s_suppkey as node from supplier where s_suppkey % 4 = 0), h1 as (select distinct dst as node from e where src in (select node from z)), h2 as (select distinct dst as node from e where src in (select node from h1)) select node, min(depth) as depth, round(pow(0.7, min(depth)), 6) as risk from (select node, 0 as depth from z union all select node, 1 from h1 union all select node, 2 from h2) group by 1")
 def f6_retraction_risk(spark, d):
     roots = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("node"))
-    h = G.hops(edges(spark, d), roots, 2, _keep(spark))
+    h = G.hops(edges(spark, d), roots, 2)
     return h.select("node", "depth", F.round(F.pow(F.lit(0.7), F.col("depth")), 6).alias("risk"))
 
 

@@ -70,5 +70,6 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 
 def quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines) of JSON lines read with a declared schema."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select(F.col("_bad").alias("line"))
+    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.where("r._bad is null").select("r.*").drop("_bad"), rows.where("r._bad is not null").select(F.col("r._bad").alias("line"))
