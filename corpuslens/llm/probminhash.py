@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         .select("band", "key", "own", F.coalesce("label", "key").alias("label"))
     )
     split = open_rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_keys = open_rows.join(split.select("band"), "band").groupBy("key").agg(F.max("own").alias("own"), F.min("label").alias("label"))
+    open_keys = open_rows.join(split.select("band"), "band", "left_semi").groupBy("key").agg(F.max("own").alias("own"), F.min("label").alias("label"))
     fine = found.join(open_keys, "key")
     fine = written(fine.select("key", "shingles", "counts").transform(arrow_map, _fine_bands, "key binary, bands array<long>").join(open_keys, "key"), "nd-fine")
     fine = fine.select("key", "own", "label", F.explode("bands").alias("band"))
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     def mixed_bands(rows: DataFrame) -> DataFrame:
         split = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        return rows.join(split.select("band"), "band")
+        return rows.join(split.select("band"), "band", "left_semi")
 
     def linked(extra: DataFrame) -> tuple[DataFrame, DataFrame]:
         extra = written(extra, "nd-extra")
