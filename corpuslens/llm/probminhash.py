@@ -30,8 +30,10 @@ LARGE = 16
 #: Arrivals drawn at once.
 DRAWS = 1 << 15
 
-#: Texts of a block, and most cells of a table of texts by shingles (12 MB).
-BLOCK, DENSE = 64, 3_000_000
+#: Texts and shingles of a block, about; a block of long texts has fewer of them.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Shingles that a unit compares at once: bounds its tables of texts by shingles.
+COLUMNS = 4096
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,7 +185,8 @@ def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     band = mix(band * _GOLD + sig[:, :, j])
                 band = mix(band + np.arange(FINE_BANDS, dtype=np.uint64) * _GOLD)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), ragged(signed(band.ravel()), np.full(len(h), FINE_BANDS), pa.int64())], ["key", "bands"]
+                [part.column("key"), ragged(signed(band.ravel()), np.full(len(h), FINE_BANDS), pa.int64()), pa.array([len(x) for x in h], pa.int64())],
+                ["key", "bands", "n_shingles"],
             )
 
 
@@ -209,46 +212,70 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
 
+def _overlaps(h: list[np.ndarray], w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two texts: how many distinct shingles they share, and the share of the first's weight in those.
+
+    Shingles that one text alone holds can't add to either, so they are left out; the others are taken COLUMNS at a time.
+    """
+    n, total = len(h), np.array([x.sum() for x in w], float)
+    _, at, held = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+    text, weight = np.repeat(np.arange(n), [len(x) for x in h]), np.concatenate(w)
+    some = held[at] > 1
+    column = (np.cumsum(held > 1) - 1)[at[some]]
+    order = np.argsort(column, kind="stable")
+    column, text, weight = column[order], text[some][order], weight[some][order]
+    shared, share = np.zeros((n, n)), np.zeros((n, n))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        holds, weighs = np.zeros((2, n, COLUMNS), np.float32)
+        holds[text[part], column[part] - lo] = 1
+        weighs[text[part], column[part] - lo] = weight[part]
+        shared += holds @ holds.T
+        share += weighs @ holds.T
+    return shared, share / total[:, None]
+
+
 def _cross_links(threshold: float):
-    """Links between texts of different labels of one unit: blocks i and j of a band (or one block)."""
+    """Links between texts of different labels of one unit: blocks i and j of a band (or one block).
+
+    Of texts that repeat no shingle the similarity is the Jaccard index of their sets.  Others are compared in full where
+    the smaller of the two shares of weight in common, which no probability Jaccard similarity exceeds, reaches
+    ``threshold``.
+    """
 
     def run(unit: pa.Table) -> pa.Table:
         keys, label, block = (unit.column(c).to_pylist() for c in ("key", "label", "block"))
-        h = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
-        counts = unit.column("counts").to_pylist()
-        w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, counts, strict=True)]
-        n, names = len(keys), {x: i for i, x in enumerate(sorted(set(label)))}
+        names = {x: i for i, x in enumerate(sorted(set(label)))}
         lab, blk = np.array([names[x] for x in label]), np.array(block)
         i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
         test = (lab[:, None] != lab[None, :]) & ((blk[:, None] == i) & (blk[None, :] == j))
         if i == j:
-            test &= np.tri(n, k=-1, dtype=bool)
-        plain = np.array([not c for c in counts])
+            test &= np.tri(len(keys), k=-1, dtype=bool)
         links = []
         if test.any():
-            elements, at = np.unique(np.concatenate(h), return_inverse=True)
-            if n * len(elements) <= DENSE:
-                holds = np.zeros((n, len(elements)), np.float32)
-                holds[np.repeat(np.arange(n), [len(x) for x in h]), at] = 1
-                shared = holds @ holds.T
-                size = np.diag(shared)
-                jaccard = shared / (size[:, None] + size[None, :] - shared)
-                both = plain[:, None] & plain[None, :]
-                links = np.argwhere(test & both & (jaccard >= threshold - 1e-6)).tolist()
-                test &= ~both
-            links += [(a, b) for a, b in np.argwhere(test) if probability_jaccard(h[a], w[a], h[b], w[b]) >= threshold]
+            h = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
+            counts = unit.column("counts").to_pylist()
+            w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, counts, strict=True)]
+            plain, size = np.array([not c for c in counts]), np.array([len(x) for x in h], float)
+            shared, share = _overlaps(h, w)
+            both = plain[:, None] & plain[None, :]
+            jaccard = shared / (size[:, None] + size[None, :] - shared)
+            links = np.argwhere(test & both & (jaccard >= threshold)).tolist()
+            near = test & ~both & (np.minimum(share, share.T) >= threshold - 1e-6)
+            links += [(a, b) for a, b in np.argwhere(near) if probability_jaccard(h[a], w[a], h[b], w[b]) >= threshold]
         return pa.table({"a": pa.array([keys[a] for a, _ in links], pa.binary()), "b": pa.array([keys[b] for _, b in links], pa.binary())})
 
     return run
 
 
 def cross_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` between members of different labels of each band of ``rows(band, key, label)``.
+    """Links ``a, b`` between members of different labels of each band of ``rows(band, key, label, n_shingles)``.
 
-    A band's members are dealt into blocks of about BLOCK; every two blocks are one unit of bounded size that a task
-    compares within, so no pair becomes a row unless it is a link.
+    A band's members are dealt into blocks of about BLOCK texts and BLOCK_SHINGLES shingles; every two blocks are one
+    unit of bounded size that a task compares within, so no pair becomes a row unless it is a link.
     """
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    blocks = F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n_shingles") / F.lit(float(BLOCK_SHINGLES)))
+    sizes = rows.groupBy("band").agg(F.ceil(blocks).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     units = dealt.select("band", "key", "label", "block", F.explode(others).alias("u")).select("band", "key", "label", "block", "u.i", "u.j")
@@ -309,13 +336,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     open_rows = (
         members.where("n > 2")
         .join(labels.withColumnRenamed("node", "key"), "key", "left")
-        .select("band", "key", "own", F.coalesce("label", "key").alias("label"))
+        .select("band", "key", F.coalesce("label", "key").alias("label"))
     )
     split = open_rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_keys = open_rows.join(split.select("band"), "band", "left_semi").groupBy("key").agg(F.max("own").alias("own"), F.min("label").alias("label"))
+    open_keys = open_rows.join(split.select("band"), "band", "left_semi").groupBy("key").agg(F.min("label").alias("label"))
     fine = found.join(open_keys, "key")
-    fine = written(fine.select("key", "shingles", "counts").transform(arrow_map, _fine_bands, "key binary, bands array<long>").join(open_keys, "key"), "nd-fine")
-    fine = fine.select("key", "own", "label", F.explode("bands").alias("band"))
+    fine = written(fine.select("key", "shingles", "counts").transform(arrow_map, _fine_bands, "key binary, bands array<long>, n_shingles long").join(open_keys, "key"), "nd-fine")
+    fine = fine.select("key", "n_shingles", "label", F.explode("bands").alias("band"))
     fine = written(fine, "nd-open")
 
     def mixed_bands(rows: DataFrame) -> DataFrame:
@@ -337,7 +364,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     first = written(first.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b")).distinct(), "nd-more")
     links, labels = linked(verified(first, found).where(F.col("sim") >= threshold).select("a", "b"))
     now = labels.select(F.col("node").alias("key"), F.col("label").alias("now"))
-    fine = fine.join(now, "key", "left").select("band", "key", "own", F.coalesce("now", "label").alias("label"))
+    fine = fine.join(now, "key", "left").select("band", "key", "n_shingles", F.coalesce("now", "label").alias("label"))
     fine = written(mixed_bands(fine), "nd-left")
     links, labels = linked(cross_links(fine, found, threshold))
 

@@ -476,6 +476,28 @@ def brute_classes(texts):
     return {i: find(i) for i in texts}
 
 
+def test_cross_links_match_pairs(spark, monkeypatch):
+    """Blocks compare every pair of different labels once, weighted or not, whatever the blocks' and tables' bounds."""
+    monkeypatch.setattr(probminhash, "BLOCK", 7)
+    monkeypatch.setattr(probminhash, "COLUMNS", 16)
+    rng = np.random.default_rng(5)
+    core, sets = np.sort(rng.choice(10_000, 60, False)).astype(np.uint64), []
+    for i in range(40):
+        own = np.unique(np.concatenate([rng.choice(core, rng.integers(45, 61), False), rng.integers(10_000, 99_999, rng.integers(0, 9)).astype(np.uint64)]))
+        sets.append((own, np.ones(len(own), np.int64) if i % 2 else rng.integers(1, 3, len(own))))
+    label = [i % 5 for i in range(40)]
+    names = [bytes([i]) for i in range(40)]
+    texts = spark.createDataFrame([(n, h.tobytes(), b"" if w.max() == 1 else w.tobytes()) for n, (h, w) in zip(names, sets)], "key binary, shingles binary, counts binary")
+    rows = spark.createDataFrame([(1, n, bytes([x]), len(h)) for n, x, (h, _) in zip(names, label, sets)], "band long, key binary, label binary, n_shingles long")
+    got = {frozenset(r) for r in probminhash.cross_links(rows, texts, 0.8).collect()}
+    sims = {(i, j): probminhash.probability_jaccard(*sets[i], *sets[j]) for i in range(40) for j in range(i)}
+    expected = {frozenset([names[i], names[j]]) for (i, j), x in sims.items() if label[i] != label[j] and x >= 0.8}
+    assert got == expected and expected
+    shared, share = probminhash._overlaps(*map(list, zip(*sets)))
+    assert all(x <= min(share[i, j], share[j, i]) + 1e-9 for (i, j), x in sims.items())
+    assert all(shared[i, j] == len(np.intersect1d(sets[i][0], sets[j][0])) for i, j in sims)
+
+
 def test_classes_match_brute_force(spark, local, odd, empty):
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(120)]
