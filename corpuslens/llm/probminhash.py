@@ -23,8 +23,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: a pair at similarity 0.8 meets in a band but for 6 in 100,000, at 0.9 but for 1 in 10^10.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Bands for the texts that a leader leaves open: a pair at 0.8 meets but for 1 in 1,000, at 0.6 in one of 5.
-FINE_BANDS, FINE_ROWS = 96, 12
+#: Bands for the texts that a leader leaves open: a pair at 0.8 meets but for 2 in 100,000 (fewer than the bands above
+#: miss), at 0.6 in 4 of 9.
+FINE_BANDS, FINE_ROWS = 96, 10
 #: In buckets of more texts, those whose shingles no other text of such buckets holds are ruled out first.
 LARGE = 16
 #: Arrivals drawn at once.

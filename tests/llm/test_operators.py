@@ -498,6 +498,19 @@ def test_cross_links_match_pairs(spark, monkeypatch):
     assert all(shared[i, j] == len(np.intersect1d(sets[i][0], sets[j][0])) for i, j in sims)
 
 
+def test_selective_bands_miss_no_more_than_the_first():
+    miss = lambda bands, rows: (1 - probminhash.THRESHOLD**rows) ** bands
+    assert miss(probminhash.FINE_BANDS, probminhash.FINE_ROWS) <= miss(probminhash.BANDS, probminhash.ROWS)
+    rng, sets = np.random.default_rng(1), []
+    for _ in range(500):  # pairs at 0.8; bands of 12 rows miss one of them
+        x = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+        sets += [np.sort(x[:54]), np.sort(np.concatenate([x[:48], x[54:]]))]
+    rows = {"key": [str(i).encode() for i in range(1000)], "shingles": [x.tobytes() for x in sets], "counts": [b""] * 1000}
+    got = probminhash._fine_bands(iter(pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in rows.items()}).slice(i, 100) for i in range(0, 1000, 100)))
+    bands = np.concatenate([x.column("bands").flatten().to_numpy().reshape(-1, probminhash.FINE_BANDS) for x in got])
+    assert (bands[::2] == bands[1::2]).any(axis=1).all()
+
+
 def test_classes_match_brute_force(spark, local, odd, empty):
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(120)]
