@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, written
 
 WINDOW = 5
-#: Share of an item's tokens that matched windows must cover in a document, and of these that aren't placeholders.
+#: Share of an item's tokens that matched windows must cover in a document, and, where values differ, of these that aren't
+#: placeholders.
 MIN_COVERED, MIN_PLAIN = 0.5, 0.5
 #: Up to so many distinct benchmark windows, tasks get them (16 MB) to drop others early; beyond, all windows are joined.
 PREFILTER = 2_000_000
@@ -192,7 +193,7 @@ def contaminated(
     values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
     agrees = (values("i") == F.size("slots")) & (values("d") == F.size("slots"))
     plain = F.col("n_slots") <= (1 - MIN_PLAIN) * F.col("width") * F.size("at")
-    lines = lines.where(agrees & plain).withColumn("same", F.forall("slots", lambda x: x["i"] == x["d"]))
+    lines = lines.withColumn("same", F.forall("slots", lambda x: x["i"] == x["d"])).where(F.col("same") | (agrees & plain))
     whole = lines.groupBy("row", "doc_id", "item_row", "item_id", "item_tokens", "width").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("same").alias("verbatim")
     )

@@ -264,6 +264,14 @@ def test_passages_and_reparameterised_questions_are_caught(spark, empty):
     assert decontam.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_copies_of_items_dense_with_placeholders_are_caught(spark):
+    texts = ["convert 5 km and 7 miles in 3 hours", "from Paris 12 May 1999 to Rome 3 June 2001"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"some words before {t}", "en", "a") for i, t in enumerate(texts)] + [(9, "we convert 8 km and 9 metres in 4 days", "en", "a")]
+    got = decontam.contaminated(docs_of(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(0, 0, True), (1, 1, True)]
+
+
 def test_verbatim_passages_match_substring_search(spark, documents, local):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = bench.collect()
