@@ -27,8 +27,8 @@ MIN_SHARE, MIN_DOCS = 0.01, 2
 #: Most n-grams a language, the most frequent first.
 GRAMS = 20_000
 SLOTS, HASHES = 1 << 18, 3
-#: Languages of a mask.
-MOST_LANGUAGES = 64
+#: Languages of a mask word; a slot has as many words as all languages need.
+WORD_LANGUAGES = 64
 #: A text is rejected below this share of n-grams known to its language.
 MIN_SCORE = 0.3
 
@@ -40,7 +40,7 @@ _FOLD = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint64)
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  #: (SLOTS,) masks
+    slots: np.ndarray  #: (words, SLOTS) masks
     false_rate: np.ndarray  #: by language
 
 
@@ -89,31 +89,31 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
     """Filters from rows with a language and text whose fold is not 0.
 
-    The sample is SAMPLE rows a language; n-grams are counted by Spark and at most GRAMS of each of MOST_LANGUAGES
-    languages (the most frequent ones) come to the driver.
+    The sample is SAMPLE rows a language; n-grams are counted by Spark and at most GRAMS of each language come to the
+    driver.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("k")) != 0))
     draw = F.xxhash64("k")
     first = Window.partitionBy("lang").orderBy("draw")
     cut = rows.select("lang", draw.alias("draw")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE)
-    cut = cut.groupBy("lang").agg(F.max("draw").alias("cut"), F.max("nth").alias("n"))
-    cut = cut.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    picked = rows.join(F.broadcast(cut), "lang").where(draw <= F.col("cut"))  # MOST_LANGUAGES rows
+    cut = written(cut.groupBy("lang").agg(F.max("draw").alias("cut"), F.max("nth").alias("n")), "lang-cuts")
+    picked = rows.join(cut, "lang").where(draw <= F.col("cut"))
     picked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "text"))).where(F.col("nth") <= SAMPLE)
     counted = picked.select("lang", "text").transform(arrow_map, _distinct_grams, "lang string, gram long").groupBy("lang", "gram").count()
-    sizes = {r.lang: r.n for r in cut.collect()}
-    least = F.greatest(F.lit(MIN_DOCS), F.ceil(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")] * MIN_SHARE)) if sizes else F.lit(1)
-    often = counted.where(F.col("count") >= F.when(F.lit(sum(sizes.values()) < 50), F.lit(1)).otherwise(least))
+    least = F.greatest(F.lit(MIN_DOCS), F.ceil(F.col("n") * MIN_SHARE))
+    often = counted.join(cut.select("lang", "n"), "lang").where(F.col("count") >= least)
     most = Window.partitionBy("lang").orderBy(F.desc("count"), "gram")
     table = often.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= GRAMS).select("lang", "gram").toArrow()
-    languages = sorted(sizes)
-    slots = np.zeros(SLOTS, np.uint64)
-    for i, name in enumerate(languages):
-        g = table.filter(pc.equal(table["lang"], name))["gram"].to_numpy().view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
-        for s in _slots(g):
-            slots[s] |= np.uint64(1) << np.uint64(i)
-    fill = np.array([np.mean((slots >> np.uint64(i)) & np.uint64(1)) for i in range(len(languages))])
+    languages = sorted(r.lang for r in cut.select("lang").collect())
+    slots = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), SLOTS), np.uint64)
+    owner = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
+    order = np.argsort(owner, kind="stable")
+    g, bounds = table["gram"].to_numpy().view(np.uint64)[order], np.searchsorted(owner[order], np.arange(len(languages) + 1))
+    for i in range(len(languages)):
+        for s in _slots(g[bounds[i] : bounds[i + 1]]):
+            slots[i // WORD_LANGUAGES, s] |= np.uint64(1) << np.uint64(i % WORD_LANGUAGES)
+    fill = np.array([np.mean((slots[i // WORD_LANGUAGES] >> np.uint64(i % WORD_LANGUAGES)) & np.uint64(1)) for i in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
 
 
@@ -127,13 +127,15 @@ def _predict(filters: Filters):
         for batch in batches:
             for lo, hi, raw, off in chunks(_lowered(batch.column("text"))):
                 g, doc = grams(raw, off)
-                mask = np.full(len(g), ~np.uint64(0))
-                for s in _slots(g):
-                    mask &= filters.slots[s]
+                at = _slots(g)
                 total = np.bincount(doc, minlength=hi - lo)
                 count = np.zeros((hi - lo, max(1, n_lang)))
                 for i in range(n_lang):
-                    got = np.bincount(doc[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=hi - lo)
+                    if i % WORD_LANGUAGES == 0:
+                        mask = np.full(len(g), ~np.uint64(0))
+                        for s in at:
+                            mask &= filters.slots[i // WORD_LANGUAGES, s]
+                    got = np.bincount(doc[(mask >> np.uint64(i % WORD_LANGUAGES)) & np.uint64(1) == 1], minlength=hi - lo)
                     rate = filters.false_rate[i]
                     count[:, i] = np.clip((got - total * rate) / max(1e-9, 1 - rate), 0, None)
                 best = count.argmax(axis=1)
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, filters: Filters | None = None, text: str = "text"
     The score is the share of the text's n-grams that its language contains, after correction; equal counts go to the
     first language by name.  A null text is ``und`` with score 0; so is every text if no language could be learned;
     repeated rows are judged each; an empty table gives no rows; other columns are ignored.  One pass, no shuffle; the
-    filter sent to tasks has a fixed size.
+    filter sent to tasks has one bit a language in each slot.
     """
     filters = filters or train(docs, text=text, key=key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.lit(0).cast("long"))

@@ -296,6 +296,16 @@ def test_held_out_languages(documents, local, odd, empty):
     assert len(kept) >= 0.97 * len(local)
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(2)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(20)] for _ in range(70)]
+    rows = [(100 * i + j, " ".join(rng.choice(w, 15)), f"l{i:02d}", "a") for i, w in enumerate(words) for j in range(12)]
+    got = langid.identify(docs_of(spark, rows)).collect()
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02d}" for r in got) and len(got) == 840
+    few = langid.train(docs_of(spark, [(i, w[0] + w[1], "en", "a") for i, w in enumerate(words[:20])]))
+    assert few.false_rate.max() < 1e-9  # n-grams of one row each, however few the rows
+
+
 def test_grams_stay_inside_texts():
     for _, _, raw, off in chunks(pa.array(["ab", "", "c d", "1 2"])):
         g, doc = langid.grams(raw, off)
