@@ -14,8 +14,9 @@ from corpuslens.llm.common import WORD, written
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: A line is over the limit of its host in more than MIN_DOCS documents and more than HOST_SHARE of the host's.
-MIN_DOCS, HOST_SHARE = 20, 0.002
+#: A line is over the limit of its host in more than MIN_DOCS documents and more than HOST_SHARE of the host's, and in more
+#: than MOST_DOCS documents of a host of any size.
+MIN_DOCS, HOST_SHARE, MOST_DOCS = 20, 0.002, 1000
 #: A document is depleted if fewer than KEEP_SHARE of its words, or KEEP_WORDS words, are left.
 KEEP_SHARE, KEEP_WORDS = 0.3, 20
 
@@ -93,6 +94,7 @@ def line_verdicts(
     host_share: float = HOST_SHARE,
     keep_share: float = KEEP_SHARE,
     keep_words: int = KEEP_WORDS,
+    most_docs: int = MOST_DOCS,
 ) -> DataFrame:
     """Base counts and the verdict of every document.
 
@@ -119,7 +121,7 @@ def line_verdicts(
 
     host_docs = base.groupBy("host").count()
     limits = host_docs.select(
-        F.col("host").alias("l_host"), F.greatest(F.lit(float(min_docs)), F.col("count") * host_share).alias("most")
+        F.col("host").alias("l_host"), F.greatest(F.lit(float(min_docs)), F.least(F.col("count") * host_share, F.lit(float(most_docs)))).alias("most")
     )
     each = base.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("docs"), F.any_value("host").alias("host"))

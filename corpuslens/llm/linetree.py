@@ -21,7 +21,8 @@ from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed,
 DEPTH = 3
 #: A template is dropped if it recurs in so many documents; lines under MIN_TOKENS tokens are left alone.
 MIN_DOCS, MIN_TOKENS = 10, 3
-#: A place is constant if MIN_DOCS lines and this share of the leaf's lines have its token; a template needs MIN_CONSTANT of its places constant.
+#: A place is constant if MIN_DOCS lines have its token, and in a second template of the line also this share of the leaf's lines;
+#: a template needs MIN_CONSTANT of its places constant.
 MIN_SHARE, MIN_CONSTANT = 0.02, 0.6
 
 _DIGITS = np.zeros(256, np.int64)
@@ -97,20 +98,24 @@ def _lines_in(wanted: np.ndarray):
 def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``leaf, line, template`` of the distinct lines of ``lines(leaf, line, tokens)`` whose template is constant enough.
 
-    Equal lines are one row with a count before tokens are counted, so a line that fills the corpus costs one row.
+    A line has up to two templates: one whose constant tokens are found in ``min_docs`` lines, whatever the leaf's size,
+    and one whose tokens also have MIN_SHARE of the leaf, in which frequent values of a field vary.  Equal lines are one
+    row with a count before tokens are counted, so a line that fills the corpus costs one row.
     """
     distinct = written(lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "line-distinct")
     leaf_lines = distinct.groupBy("leaf").agg(F.sum("n").alias("leaf_n"))
     each = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
     support = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
-    support = support.join(leaf_lines, "leaf").where(F.col("support") >= MIN_SHARE * F.col("leaf_n")).select("leaf", "place", "token")
+    support = support.join(leaf_lines, "leaf").select("leaf", "place", "token", (F.col("support") >= MIN_SHARE * F.col("leaf_n")).alias("wide"))
     variable = int(_VARIABLE.view(np.int64))
     fixed = each.where(F.col("token") != variable).join(support, ["leaf", "place", "token"])
+    place = F.struct("place", "token")
     fixed = fixed.groupBy("leaf", "line").agg(  # the places of one line
-        F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed")
+        F.array_sort(F.collect_list(place)).alias("fixed"), F.array_sort(F.collect_list(F.when(F.col("wide"), place))).alias("wide")
     )
     with_size = fixed.join(distinct.select("leaf", "line", F.size("tokens").alias("size")), ["leaf", "line"])
-    return with_size.where(F.size("fixed") >= MIN_CONSTANT * F.col("size")).select(
+    both = with_size.select("leaf", "line", "size", F.explode(F.array_distinct(F.array("fixed", "wide"))).alias("fixed"))
+    return both.where(F.size("fixed") >= MIN_CONSTANT * F.col("size")).select(
         "leaf", "line", F.xxhash64("leaf", "size", "fixed").alias("template")
     )
 
@@ -127,9 +132,11 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     lines = rows.select("row", "text").transform(arrow_map, _lines_in(wanted), "row long, number long, leaf long, line long, bytes long, tokens array<long>")
     lines = written(lines.join(often, "leaf"), "leaf-lines")
     parsed = written(line_templates(lines, min_docs), "line-templates")
-    placed = written(lines.select("row", "number", "leaf", "line", "bytes").join(parsed, ["leaf", "line"]), "lines-parsed")
+    placed = lines.select("row", "leaf", "line").join(parsed, ["leaf", "line"])
     recur = placed.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    return rows.select("row", "doc_id"), placed.join(recur.select("template"), "template").select("row", "number", "template", "bytes")
+    gone = parsed.join(recur.select("template"), "template").groupBy("leaf", "line").agg(F.min("template").alias("template"))
+    dropped = lines.join(gone, ["leaf", "line"]).select("row", "number", "template", "bytes")
+    return rows.select("row", "doc_id"), dropped
 
 
 def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:

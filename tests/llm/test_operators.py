@@ -234,6 +234,15 @@ def test_lines_above_a_hosts_limit_deplete(spark):
     assert all(got[200 + i].kept for i in range(10))  # below the limit of its host
 
 
+def test_a_hosts_limit_has_a_ceiling(spark):
+    shared = " ".join(f"common{j}" for j in range(60))
+    own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(i, f"{shared}\n{own(i % 26)}{i // 26 * 'z'}", "en", "a") for i in range(30)]
+    rows += [(100 + i, own(i % 26)[::-1] + i // 26 * "z", "en", "a") for i in range(30)]
+    got = {r.doc_id: r for r in line_rules.line_verdicts(docs_of(spark, rows), host_share=0.9, most_docs=25).collect()}
+    assert all(got[i].removed_lines == 1 for i in range(30)) and all(got[100 + i].removed_lines == 0 for i in range(30))
+
+
 # 4 decontamination
 
 
@@ -568,6 +577,14 @@ def test_recurring_templates_are_dropped(spark, odd, empty):
     assert linetree.line_report(empty).count() == 0
 
 
+def test_recurring_lines_of_a_frequent_leaf_are_dropped(spark):
+    rows = [(i, "user name is " + " ".join(f"v{chr(97 + i % 26)}{chr(97 + i // 26)}x{j}".replace(str(j), "abcdefg"[j]) for j in range(5)), "en", "a") for i in range(676)]
+    rows += [(1000 + i, "user name is missing from the signed form\nuser name is given at the front desk", "en", "a") for i in range(12)]
+    got = {r.doc_id: r for r in linetree.line_report(docs_of(spark, rows)).collect()}
+    assert all(got[1000 + i].dropped == "0,1" and got[1000 + i].n_dropped == 2 for i in range(12))
+    assert all(got[i].n_dropped == 0 for i in range(676))
+
+
 # the pipeline
 
 
