@@ -9,22 +9,30 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The word pattern of every operator here: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of text that a task tokenises at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 18
-#: Most rows of an Arrow batch: whole texts are large rows.
-BATCH_ROWS = 1000
+#: Most rows and bytes of an Arrow batch while tables are written: whole texts are large rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 24}
+#: Most keys that are broadcast (8 to 16 bytes each); beyond, both sides are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Set from a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    One is set from a local folder only where the session names none and runs in one process (tests).
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,21 +41,54 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
-    Cuts the lineage: what follows survives lost executors and scans only the columns that it needs.
+    Cuts the lineage: what follows survives lost executors and scans only the columns that it needs.  Arrow batches are
+    bounded by BATCH meanwhile; the session's own settings come back afterwards.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    was = {k: int(str(spark.conf.get(k)).removesuffix("b")) if str(spark.conf.get(k)).removesuffix("b").lstrip("-").isdigit() else spark.conf.get(k) for k in BATCH}
+    for k, most in BATCH.items():
+        if not isinstance(was[k], int) or not 0 < was[k] <= most:
+            spark.conf.set(k, str(most))
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, str(v))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most BATCH_ROWS rows, so that tasks hold few texts at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """``mapInArrow``; ``written`` bounds the batches of what it runs."""
     return df.mapInArrow(run, schema)
 
 
+def key_type(df: DataFrame, key: str) -> str:
+    """The type of a key column, for the schema of what a task returns."""
+    return df.schema[key].dataType.simpleString()
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has up to BROADCAST_KEYS rows; larger ones are joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` isn't in the one column of ``gone`` (a written table); null equals null.
+
+    Up to BROADCAST_KEYS keys are broadcast, so that texts stay where they are; more are joined by a shuffle.
+    """
+    return docs.join(small(gone), docs[key].eqNullSafe(gone[gone.columns[0]]), "left_anti")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 values."""
     with np.errstate(over="ignore"):

@@ -13,14 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, written
+from corpuslens.llm import bloom
+from corpuslens.llm.common import Words, arrow_map, chunks, key_type, mix, ragged, signed, without, written
 
 WINDOW = 5
 #: Share of an item's tokens that matched windows must cover in a document, and, where values differ, of these that aren't
 #: placeholders.
 MIN_COVERED, MIN_PLAIN = 0.5, 0.5
-#: Up to so many distinct benchmark windows, tasks get them (16 MB) to drop others early; beyond, all windows are joined.
-PREFILTER = 2_000_000
 
 #: Fixed values.
 UNITS = (
@@ -53,8 +52,8 @@ _UNITS = _unit_hashes()
 def templates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template token, value, is placeholder, text) of a run of texts, runs of numbers and of names merged.
 
-    A token is a run of letters and digits; a number starts with a digit; a name starts with a capital and doesn't
-    follow a sentence end or the text's start; a unit follows a number.  Values are hashes of the tokens as written.
+    A token is a run of letters and digits; a number starts with a digit; a name starts with a capital (A to Z, or À to Þ)
+    and doesn't follow a sentence end or the text's start; a unit follows a number.  Values are hashes of the tokens as written.
     """
     words = Words(raw, off, _BREAK, _LOWER)
     n = len(words)
@@ -67,7 +66,9 @@ def templates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     prior = np.concatenate([[0], words.end[:-1]])
     opens = new_doc | (ends[words.start] > ends[prior])
     number = (lead >= 0x30) & (lead <= 0x39)
-    name = (lead >= 0x41) & (lead <= 0x5A) & ~opens
+    second = raw[np.minimum(words.start + 1, len(raw) - 1)]
+    accented = (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    name = (((lead >= 0x41) & (lead <= 0x5A)) | accented) & ~opens
     after = np.zeros(n, bool)
     after[1:] = number[:-1] & ~new_doc[1:]
     unit = after & np.isin(words.hash, _UNITS)
@@ -84,7 +85,7 @@ def templates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _windows_of(size: int, known: np.ndarray | None):
-    """Windows of each size up to ``size`` that tasks emit: (row, id, n, pos, hash, slots as values in order)."""
+    """Windows of each size up to ``size`` that the filter ``known`` lets through: (row, id, n, pos, hash, slots in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +106,8 @@ def _windows_of(size: int, known: np.ndarray | None):
                     at = np.flatnonzero(doc[:m] == doc[w - 1 :])
                     if known is None and w < size:  # the benchmark: a short item is one window
                         at = at[length[doc[at]] == w]
-                    elif known is not None and len(known):
-                        near = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-                        at = at[known[near] == h[at]]
+                    elif known is not None:
+                        at = at[bloom.holds_long(known, h[at])]
                     if not len(at):
                         continue
                     owner = pa.array(doc[at] + lo)
@@ -129,13 +129,8 @@ def _windows_of(size: int, known: np.ndarray | None):
     return run
 
 
-_SCHEMA = "row long, id long, n long, pos long, width int, hash long, slots array<long>"
-
-
-def _all_windows(size: int):
-    """Every window of every size: used when the benchmark is too large for the prefilter."""
-    plain = _windows_of(size, np.zeros(0, np.uint64))
-    return plain
+def _schema(kind: str) -> str:
+    return f"row long, id {kind}, n long, pos long, width int, hash long, slots array<long>"
 
 
 def _covered(positions: Column, width: Column) -> Column:
@@ -152,7 +147,6 @@ def contaminated(
     item_text: str = "text",
     window: int = WINDOW,
     min_covered: float = MIN_COVERED,
-    prefilter: int = PREFILTER,
 ) -> DataFrame:
     """(document, benchmark item) pairs: ``row, doc_id, item_id, covered, item_tokens, verbatim``.
 
@@ -161,20 +155,14 @@ def contaminated(
     than a window matches as a whole; repeated rows are listed each; an empty table gives no rows; other columns are
     ignored.
 
-    Items are windowed once; windows of documents that no item has are dropped inside the scan while the benchmark's
-    distinct windows number ``prefilter`` or fewer, so that the join moves hits only; else every window is joined.
+    Items are windowed once; a Bloom filter of their windows drops most others inside the scan, whatever the size of the
+    benchmark, and the join on the window's hash drops the rest.
     """
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    items = written(items.transform(arrow_map, _windows_of(window, None), _SCHEMA), "bench-windows")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    distinct = items.select("hash").distinct()
-    if distinct.count() <= prefilter:
-        known = np.sort(distinct.toArrow()["hash"].to_numpy().view(np.uint64))
-        if not len(known):
-            known = np.zeros(1, np.uint64)
-        hits = rows.transform(arrow_map, _windows_of(window, known), _SCHEMA)
-    else:
-        hits = rows.transform(arrow_map, _all_windows(window), _SCHEMA)
+    items = benchmark.select(F.col(item).alias("id"), F.col(item_text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    items = written(items.transform(arrow_map, _windows_of(window, None), _schema(key_type(benchmark, item))), "bench-windows")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    known = bloom.build_long(written(items.select("hash").distinct(), "bench-hashes"), "hash")
+    hits = rows.transform(arrow_map, _windows_of(window, known), _schema(key_type(docs, key)))
     b = items.select(
         F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("n").alias("item_tokens"),
         F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "hash", F.col("slots").alias("item_slots"),
@@ -206,4 +194,4 @@ def contaminated(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:
     """The columns of ``docs`` without the contaminated documents, by ``key``."""
     bad = contaminated(docs, benchmark, text, key, **limits).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[key].cast("long").eqNullSafe(bad.bad_id), "left_anti")
+    return without(docs, key, written(bad, "contaminated"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, chunks, mix, signed, written
+from corpuslens.llm.common import arrow_map, chunks, key_type, mix, signed, written
 
 UNKNOWN = "und"
 N = 4
@@ -24,9 +24,8 @@ N = 4
 SAMPLE = 400
 #: An n-gram belongs to a language if it occurs in this share of its sample, and in MIN_DOCS documents.
 MIN_SHARE, MIN_DOCS = 0.01, 2
-#: Most n-grams a language, the most frequent first.
-GRAMS = 20_000
-SLOTS, HASHES = 1 << 18, 3
+#: Slots a filter has for each n-gram of the language with most of them, and least slots.
+PER_GRAM, LEAST_SLOTS, HASHES = 12, 1 << 16, 3
 #: Languages of a mask word; a slot has as many words as all languages need.
 WORD_LANGUAGES = 64
 #: A text is rejected below this share of n-grams known to its language.
@@ -40,7 +39,7 @@ _FOLD = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint64)
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  #: (words, SLOTS) masks
+    slots: np.ndarray  #: (words, slots) masks, slots a power of two
     false_rate: np.ndarray  #: by language
 
 
@@ -68,9 +67,9 @@ def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[inside], doc[inside]
 
 
-def _slots(g: np.ndarray) -> list[np.ndarray]:
+def _slots(g: np.ndarray, slots: int) -> list[np.ndarray]:
     h = mix(g + np.uint64(1))
-    return [((h >> np.uint64(20 * i)) % np.uint64(SLOTS)).astype(np.int64) for i in range(HASHES)]
+    return [((h >> np.uint64(20 * i)) % np.uint64(slots)).astype(np.int64) for i in range(HASHES)]
 
 
 def _lowered(column: pa.Array) -> pa.Array:
@@ -89,8 +88,8 @@ def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
     """Filters from rows with a language and text whose fold is not 0.
 
-    The sample is SAMPLE rows a language; n-grams are counted by Spark and at most GRAMS of each language come to the
-    driver.
+    The sample is SAMPLE rows a language; n-grams are counted by Spark, and the frequent ones come to the driver, as many
+    as that sample holds.  The filter is sized by the language with most n-grams.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("k")) != 0))
@@ -103,15 +102,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     counted = picked.select("lang", "text").transform(arrow_map, _distinct_grams, "lang string, gram long").groupBy("lang", "gram").count()
     least = F.greatest(F.lit(MIN_DOCS), F.ceil(F.col("n") * MIN_SHARE))
     often = counted.join(cut.select("lang", "n"), "lang").where(F.col("count") >= least)
-    most = Window.partitionBy("lang").orderBy(F.desc("count"), "gram")
-    table = often.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= GRAMS).select("lang", "gram").toArrow()
+    table = often.select("lang", "gram").toArrow()
     languages = sorted(r.lang for r in cut.select("lang").collect())
-    slots = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), SLOTS), np.uint64)
     owner = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
     order = np.argsort(owner, kind="stable")
     g, bounds = table["gram"].to_numpy().view(np.uint64)[order], np.searchsorted(owner[order], np.arange(len(languages) + 1))
+    size = max(LEAST_SLOTS, 1 << (int(np.diff(bounds).max(initial=1)) * PER_GRAM - 1).bit_length())
+    slots = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), size), np.uint64)
     for i in range(len(languages)):
-        for s in _slots(g[bounds[i] : bounds[i + 1]]):
+        for s in _slots(g[bounds[i] : bounds[i + 1]], size):
             slots[i // WORD_LANGUAGES, s] |= np.uint64(1) << np.uint64(i % WORD_LANGUAGES)
     fill = np.array([np.mean((slots[i // WORD_LANGUAGES] >> np.uint64(i % WORD_LANGUAGES)) & np.uint64(1)) for i in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
@@ -127,7 +126,7 @@ def _predict(filters: Filters):
         for batch in batches:
             for lo, hi, raw, off in chunks(_lowered(batch.column("text"))):
                 g, doc = grams(raw, off)
-                at = _slots(g)
+                at = _slots(g, filters.slots.shape[1])
                 total = np.bincount(doc, minlength=hi - lo)
                 count = np.zeros((hi - lo, max(1, n_lang)))
                 for i in range(n_lang):
@@ -178,8 +177,8 @@ def identify(docs: DataFrame, filters: Filters | None = None, text: str = "text"
     filter sent to tasks has one bit a language in each slot.
     """
     filters = filters or train(docs, text=text, key=key)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.lit(0).cast("long"))
-    out = rows.transform(arrow_map, _predict_with_id(filters), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.lit(0).cast("long"))
+    out = rows.transform(arrow_map, _predict_with_id(filters), f"doc_id {key_type(docs, key)}, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

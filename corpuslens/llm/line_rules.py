@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WORD, written
+from corpuslens.llm.common import WORD, small, without, written
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -18,7 +18,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: than MOST_DOCS documents of a host of any size.
 MIN_DOCS, HOST_SHARE, MOST_DOCS = 20, 0.002, 1000
 #: A document is depleted if fewer than KEEP_SHARE of its words, or KEEP_WORDS words, are left.
-KEEP_SHARE, KEEP_WORDS = 0.3, 20
+KEEP_SHARE, KEEP_WORDS = 0.3, 50
 
 
 def normalised_line(line: Column) -> Column:
@@ -128,6 +128,8 @@ def line_verdicts(
     often = counts.where(F.col("docs") > min_docs)
     often = often.join(limits, often.host.eqNullSafe(limits.l_host)).where(F.col("docs") > F.col("most")).select("h")
 
+    # the few lines over a limit go to the rows, so a line found everywhere is no hot key of a shuffle
+    often = small(written(often, "line-often"))
     every = base.select("row", F.explode("lines").alias("x")).select("row", "x.h", "x.w")
     gone = every.join(often, "h").groupBy("row").agg(F.count("*").alias("lines_gone"), F.sum("w").alias("words_gone"))
     removed_words = F.coalesce("words_gone", F.lit(0)).cast("long")
@@ -146,5 +148,5 @@ def line_verdicts(
 
 def cleaned_documents(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", **limits) -> DataFrame:
     """The columns of ``docs`` for the kept documents, by ``key``; see ``line_verdicts``."""
-    kept = line_verdicts(docs, text, host, key, **limits).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept.kept_id), "left_semi")
+    verdicts = line_verdicts(docs, text, host, key, **limits).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept"))
+    return without(docs, key, written(verdicts.where("not kept").select("gone_id"), "line-gone"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bloom
-from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, written
+from corpuslens.llm.common import Words, arrow_map, chunks, key_type, mix, ragged, signed, small, written
 
 #: Leading tokens of the tree.
 DEPTH = 3
@@ -60,22 +60,36 @@ class Lines:
         self.bytes = words.end[self.first + self.size - 1] - words.start[self.first] if n else np.zeros(0, np.int64)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(min_tokens: int):
     """Leaves of each text, once a text."""
-    for batch in batches:
-        for _, _, raw, off in chunks(batch.column("text")):
-            x = Lines(raw, off)
-            long = x.size >= MIN_TOKENS
-            pairs = np.unique(np.stack([x.doc[long].astype(np.uint64), x.leaf[long]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(pairs[:, 1]), pa.int64())], ["leaf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, off in chunks(batch.column("text")):
+                x = Lines(raw, off)
+                long = x.size >= min_tokens
+                pairs = np.unique(np.stack([x.doc[long].astype(np.uint64), x.leaf[long]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(pairs[:, 1]), pa.int64())], ["leaf"])
+
+    return run
 
 
-def _lines_in(wanted: np.ndarray):
+_NAMES = ["row", "doc_id", "number", "leaf", "line", "bytes", "tokens"]
+
+
+def _lines_in(wanted: np.ndarray, min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, raw, off in chunks(batch.column("text")):
                 x = Lines(raw, off)
-                take = np.flatnonzero((x.size >= MIN_TOKENS) & bloom.holds_long(wanted, x.leaf))
+                n = len(off) - 1
+                empty = pa.array(np.zeros(n, np.int64))
+                lines = pa.array(np.bincount(x.doc, minlength=n).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(  # one row a text: number -1, and the lines with a word as bytes
+                    [batch.column("row").slice(lo, n), batch.column("doc_id").slice(lo, n), pa.array(np.full(n, -1)), empty, empty, lines, ragged(np.zeros(0, np.int64), np.zeros(n, np.int64), pa.int64())],
+                    _NAMES,
+                )
+                take = np.flatnonzero((x.size >= min_tokens) & bloom.holds_long(wanted, x.leaf))
                 if not len(take):
                     continue
                 size = x.size[take]
@@ -83,13 +97,14 @@ def _lines_in(wanted: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").take(pa.array(x.doc[take] + lo)),
+                        batch.column("doc_id").take(pa.array(x.doc[take] + lo)),
                         pa.array(x.number[take], pa.int64()),
                         pa.array(signed(x.leaf[take]), pa.int64()),
                         pa.array(signed(x.hash[take]), pa.int64()),
                         pa.array(x.bytes[take], pa.int64()),
                         ragged(signed(x.token[flat]), size, pa.int64()),
                     ],
-                    ["row", "number", "leaf", "line", "bytes", "tokens"],
+                    _NAMES,
                 )
 
     return run
@@ -120,37 +135,37 @@ def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(rows, dropped): ``row, doc_id`` of every row, and ``row, number, template, bytes`` of each line to drop.
+def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(rows, dropped): ``row, doc_id, n_lines`` of every row, and ``row, doc_id, number, template, bytes`` of each line to drop.
 
-    ``number`` counts the lines of a text from 0.
+    ``number`` counts the lines of a text from 0, ``n_lines`` those with a word.  Rows are numbered in one scan whose result
+    is written, so what is joined later agrees on them.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    often = rows.select("text").transform(arrow_map, _leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    often = rows.select("text").transform(arrow_map, _leaves(min_tokens), "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
     often = written(often.select("leaf"), "leaves")
     wanted = bloom.build_long(often, "leaf")
-    lines = rows.select("row", "text").transform(arrow_map, _lines_in(wanted), "row long, number long, leaf long, line long, bytes long, tokens array<long>")
-    lines = written(lines.join(often, "leaf"), "leaf-lines")
-    parsed = written(line_templates(lines, min_docs), "line-templates")
-    placed = lines.select("row", "leaf", "line").join(parsed, ["leaf", "line"])
-    recur = placed.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    gone = parsed.join(recur.select("template"), "template").groupBy("leaf", "line").agg(F.min("template").alias("template"))
-    dropped = lines.join(gone, ["leaf", "line"]).select("row", "number", "template", "bytes")
-    return rows.select("row", "doc_id"), dropped
-
-
-def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+    schema = f"row long, doc_id {key_type(docs, key)}, number long, leaf long, line long, bytes long, tokens array<long>"
+    every = written(rows.transform(arrow_map, _lines_in(wanted, min_tokens), schema), "leaf-lines")
+    lines = every.where("number >= 0")
+    parsed = written(line_templates(lines.join(often, "leaf", "left_semi"), min_docs), "line-templates")
+    placed = lines.select("row", "leaf", "line").join(small(parsed), ["leaf", "line"])
+    recur = written(placed.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "line-recur")
+    gone = written(parsed.join(small(recur), "template").groupBy("leaf", "line").agg(F.min("template").alias("template")), "line-gone")
+    dropped = lines.join(small(gone), ["leaf", "line"]).select("row", "doc_id", "number", "template", "bytes")
+    return every.where("number < 0").select("row", "doc_id", F.col("bytes").alias("n_lines")), dropped
+
+
+def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped, dropped_bytes`` of every row; ``dropped`` lists line numbers from 0.
 
     ``n_lines`` counts lines with a word.  A null text counts as empty; repeated rows count as documents each; lines
-    under MIN_TOKENS tokens stay; an empty table gives no rows; other columns are ignored.
+    under ``min_tokens`` tokens stay; an empty table gives no rows; other columns are ignored.
     """
-    _, dropped = recurring_lines(docs, text, key, min_docs)
+    rows, dropped = recurring_lines(docs, text, key, min_docs, min_tokens)
     per_row = dropped.groupBy("row").agg(  # the lines of one text
         F.count("*").alias("n_dropped"), F.array_sort(F.collect_list("number")).alias("dropped"), F.sum("bytes").alias("dropped_bytes")
     )
-    n_lines = F.regexp_count(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), F.lit(r"\n[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.monotonically_increasing_id().alias("row"))
     return rows.join(per_row, "row", "left").select(
         "doc_id", "n_lines",
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
@@ -159,10 +174,11 @@ def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", min_do
     )
 
 
-def cleaned_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+def cleaned_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The columns of ``docs`` with the recurring lines taken out of the text; rows are named by ``key``."""
-    rows, dropped = recurring_lines(docs, text, key, min_docs)
-    gone = dropped.join(rows, "row").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("number").alias("gone"))
-    both = docs.join(gone, docs[key].cast("long").eqNullSafe(gone.gone_id), "left")
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long")))
-    return both.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(docs.columns)
+    _, dropped = recurring_lines(docs, text, key, min_docs, min_tokens)
+    gone = dropped.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("number").alias("gone_lines"))  # the lines of one key
+    both = docs.join(gone, docs[key].eqNullSafe(gone.gone_id), "left")
+    left = F.filter(F.split(docs[text], "\n", -1), lambda x, i: ~F.array_contains(gone["gone_lines"], i.cast("long")))
+    body = F.when(gone["gone_lines"].isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
+    return both.select(*[body.alias(c) if c == text else docs[c] for c in docs.columns])

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.  DataFrame functions only.
 
-Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers.  These seed instances induce
-lexical patterns (the words around them); patterns and instances form a graph that is scored by turns; identifiers in
-the contexts of high-confidence patterns that no base pattern covers are added.
+Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers; long hexadecimal strings are weak
+seeds of secrets.  Seed instances induce lexical patterns (the words around them, a name with ``=`` or ``:`` among them);
+patterns and instances form a graph that is scored by turns; identifiers in the contexts of high-confidence patterns that
+no base pattern covers are added.  A weak seed is added only where its context makes it one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Prefix of the kinds that the method adds: ``ctx_email`` to ``ctx_phone``, listed after the base ones.
+#: Kinds that only the method adds, with the pattern of their weak seeds and the trust in one.
+WEAK, WEAK_TRUST = {"secret": r"^[0-9a-f]{32,}$"}, 0.8
+#: Prefix of the kinds that the method adds: ``ctx_email`` to ``ctx_phone`` and ``ctx_secret``, listed after the base ones.
 ADDED = "ctx_"
 
 # A match starts only where a run of its characters starts or the match before ends: the same leftmost matches as
@@ -26,8 +29,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: hold a digit or an at sign.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What may be an identifier: a run of numbers joined by single spaces, or a token with a digit or an at sign.  Tokens end
+#: at white space, quotes, brackets, ``=``, ``&``, ``#``, ``*`` and ``$``; a word that ends a candidate's start is looked past.
+_EDGE = r"\x20\x09-\x0D\"'`<>=\[\]{}|&#*$"
+CANDIDATE = (
+    rf"(?<![^{_EDGE}])(?:[+(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++(?![^{_EDGE}.,;:!?%])|[^{_EDGE}0-9@]*+[0-9@][^{_EDGE}]*+)"
+)
 #: Characters of context on either side in which a pattern's words are sought.
 CONTEXT = 48
 ROUNDS = 3
@@ -113,8 +120,8 @@ def contexts(left: Column, right: Column) -> Column:
 
     A context without words on a side (text border, or another candidate) has no pattern there.
     """
-    before = F.filter(F.transform(F.split(F.trim(F.regexp_replace(left, r"[\x20\x09-\x0D]+", " ")), " "), _word), lambda w: w != "")
-    after = F.filter(F.transform(F.split(F.trim(F.regexp_replace(right, r"[\x20\x09-\x0D]+", " ")), " "), _word), lambda w: w != "")
+    words = lambda x: F.filter(F.transform(F.split(F.trim(F.regexp_replace(F.regexp_replace(x, "([=:])", " $1 "), r"[\x20\x09-\x0D]+", " ")), " "), _word), lambda w: w != "")
+    before, after = words(left), words(right)
     n = F.size(before)
     two = F.when(n >= 2, F.concat(F.lit("l2|"), F.concat_ws(" ", F.slice(before, F.greatest(n - 1, F.lit(1)), F.lit(2)))))
     both = F.when((n >= 1) & (F.size(after) >= 1), F.concat(F.lit("lr|"), F.element_at(before, -1), F.lit("|"), F.try_element_at(after, F.lit(1))))
@@ -122,17 +129,17 @@ def contexts(left: Column, right: Column) -> Column:
 
 
 def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confidence of patterns per kind from ``edges(pattern, instance, n)`` and ``seeds(instance, kind)``.
+    """Confidence of patterns per kind from ``edges(pattern, instance, n)`` and ``seeds(instance, kind, trust)``.
 
     By turns: a pattern's confidence in a kind is the trust of its distinct instances of that kind over their number,
-    drawn towards 0 by one pseudo-instance; an instance's trust is its best pattern's confidence, 1 for a seed.
+    drawn towards 0 by one pseudo-instance; an instance's trust is its best pattern's confidence, or that of a seed.
     Returns ``pattern, kind, confidence`` of patterns with at least MIN_INSTANCES distinct instances and
     MIN_CONFIDENCE.  Each turn is two joins and two partially aggregated sums; nothing is gathered per pattern.
     """
     totals = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     totals = written(totals.where(F.col("instances") >= MIN_INSTANCES), "pii-totals")
     edges = written(edges.join(totals, "pattern"), "pii-edges")
-    trust = seeds.select("instance", "kind", F.lit(1.0).alias("trust"))
+    trust = seeds.select("instance", "kind", "trust")
     for turn in range(rounds):
         scored = (
             edges.join(trust, "instance")
@@ -143,18 +150,20 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Dat
         good = written(scored.where(F.col("confidence") >= MIN_CONFIDENCE), "pii-patterns")
         if turn + 1 < rounds:
             found = edges.join(good, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("trust"))
-            found = found.where(F.col("trust") >= MIN_TRUST).unionByName(seeds.select("instance", "kind", F.lit(1.0).alias("trust")))
+            found = found.where(F.col("trust") >= MIN_TRUST).unionByName(seeds.select("instance", "kind", "trust"))
             trust = written(found.groupBy("instance", "kind").agg(F.max("trust").alias("trust")), "pii-trust")
     return good
 
 
-def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
     """All personal data of every row: ``doc_id, row, base, added``, arrays of (kind, start, end).
 
+    ``row`` names a column that numbers the rows; without one they are numbered here.
+
     A null text is empty; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
     The text is scanned once and never shuffled; what follows runs on a table of spans, seeds and candidate tokens.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     seen = rows.select(
         "doc_id",
         "row",
@@ -172,13 +181,20 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     seed = seen.where(F.size("base") > 0).select("row", F.explode("base").alias("c")).select("row", "c.*")
     other = seen.where(F.size("cand") > 0).select("row", F.explode("cand").alias("c")).select("row", F.lit(None).cast("string").alias("kind"), "c.*")
-    other = other.withColumn("found", F.regexp_replace("found", "[.,;:!?]+$", "")).withColumn("end", F.col("start") + F.length("found"))
+    # without closing punctuation; an opening one isn't part of it either
+    other = other.withColumn("found", F.regexp_replace("found", "[.,;:!?%]+$", ""))
+    lead = F.length("found") - F.length(F.regexp_replace("found", r"^[^\p{L}\p{N}+(]+", ""))
+    other = other.select("row", "kind", (F.col("start") + lead).alias("start"), (F.col("start") + F.length("found")).alias("end"), F.expr("substring(found, 1)").substr(lead + 1, F.length("found")).alias("found"), "left", "right")
+    other = other.where("found != ''")
     occ = seed.unionByName(other).select(
         "row", "start", "end", "kind", F.lower("found").alias("instance"), F.explode(contexts(F.col("left"), F.col("right"))).alias("pattern")
     )
     occ = written(occ, "pii-occurrences")
     edges = occ.groupBy("pattern", "instance").agg(F.count("*").alias("n"))
-    seeds = occ.where("kind is not null").groupBy("instance", "kind").agg(F.count("*").alias("n"))
+    seeds = occ.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("trust")).distinct()
+    for kind, pattern in WEAK.items():
+        weak = occ.where(F.col("kind").isNull() & F.col("instance").rlike(pattern)).select("instance", F.lit(kind).alias("kind"), F.lit(WEAK_TRUST).alias("trust"))
+        seeds = seeds.unionByName(weak.distinct())
     good = score_graph(edges, seeds)
 
     new = occ.where("kind is null").join(good.withColumnRenamed("kind", "as_kind"), "pattern")
@@ -193,7 +209,7 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def spans_digest(spans: Column) -> Column:
     """``kind:start:end`` by kind as listed, then start, comma-joined."""
-    order = [*KINDS, *[ADDED + k for k in KINDS]]
+    order = [*KINDS, *[ADDED + k for k in (*KINDS, *WEAK)]]
     rank = F.create_map(*[x for i, k in enumerate(order) for x in (F.lit(k), F.lit(i))])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("r"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["k"], s["a"].cast("string"), s["b"].cast("string"))), ",")
@@ -214,9 +230,9 @@ def scan_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def masked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, text`` with each span replaced by its kind in angle brackets; overlapping spans are merged."""
-    found = find_spans(docs, text, key)
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    both = found.join(rows, "row")
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "pii-texts")  # numbered once, for the texts meet their spans again
+    both = find_spans(rows, "text", "doc_id", "row").join(rows.select("row", "text"), "row")
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

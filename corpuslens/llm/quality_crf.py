@@ -14,14 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, arrow_map, chunks
+from corpuslens.llm.common import Words, arrow_map, chunks, key_type
 from corpuslens.llm.langid import remainder
 
 #: Labelled documents learned from, those with the smallest hash of doc_id, half of each label; a documented bound.
 SAMPLE = 3000
+#: Longest text learned from, in bytes: the sample holds SAMPLE * SAMPLE_BYTES at most.
+SAMPLE_BYTES = 1 << 16
 #: Longer texts are learned from in runs of so many lines; scoring always takes whole texts.
 RUN = 32
-EPOCHS, RATE, DECAY = 150, 0.1, 1e-3
+EPOCHS, RATE, DECAY = 100, 0.1, 1e-3
+#: Rounds in which line labels are latent, epochs of each, and the share of a text's length that its label claims.
+TURNS, TURN_EPOCHS, CLAIM = 2, 30, 0.8
 CUT = 0.3
 
 _SETS = {
@@ -175,7 +179,13 @@ def _logit(q: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Maximum likelihood of the chains by Adam; every line of a document has its document's label."""
+    """Maximum likelihood of the chains by Adam.
+
+    At first every line has its document's label.  Then lines are latent: in each turn a text's chain is shifted by one
+    offset until the length-weighted share of good lines is at least CLAIM in good texts and at most 1 - CLAIM in bad ones,
+    and its marginals and expected moves are the next targets.  So a text may hold lines of both kinds, and the moves learn
+    how often the kind changes from line to line.
+    """
     parts = [(line_features(raw, off), lo) for lo, _, raw, off in chunks(pa.array(texts, pa.large_string()))]
     columns = np.concatenate([p[0] for p, _ in parts]) if parts else np.zeros((0, len(_BINS)), np.int64)
     doc = np.concatenate([p[1] + lo for p, lo in parts]) if parts else np.zeros(0, np.int64)
@@ -192,7 +202,9 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     inner = chain[1:] == chain[:-1]
     np.add.at(y_moves, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
     theta, m, v = np.zeros(3 * WIDTH + 5), np.zeros(3 * WIDTH + 5), np.zeros(3 * WIDTH + 5)
-    for step in range(1, EPOCHS + 1):
+    for step in range(1, EPOCHS + TURNS * TURN_EPOCHS + 1):
+        if step > EPOCHS and (step - EPOCHS - 1) % TURN_EPOCHS == 0:
+            y, y_moves = _latent(_emissions(model, columns, chain), chain, model.moves, doc, length, labels)
         model.weights, model.moves = theta[:-4], theta[-4:].reshape(2, 2)
         good, expected, _ = _forward_backward(_emissions(model, columns, chain), chain, model.moves)
         g = np.concatenate([_gradient(columns, chain, y - good), (y_moves - expected).ravel()]) / len(doc) - DECAY * theta
@@ -213,19 +225,36 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     return model
 
 
+def _latent(score: np.ndarray, chain: np.ndarray, moves: np.ndarray, doc: np.ndarray, length: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected moves of chains shifted until each text's share of good lines fits its label."""
+    low, high = np.where(labels == 1, 0.0, -20.0), np.where(labels == 1, 20.0, 0.0)
+    good, _, _ = _forward_backward(score, chain, moves)
+    share = _quality(good, doc, length, len(labels))
+    fits = np.where(labels == 1, share >= CLAIM, share <= 1 - CLAIM)
+    low, high = np.where(fits, 0.0, low), np.where(fits, 0.0, high)
+    for _ in range(12):
+        shift = (low + high) / 2
+        good, _, _ = _forward_backward(score + shift[doc], chain, moves)
+        above = _quality(good, doc, length, len(labels)) > np.where(labels == 1, CLAIM, 1 - CLAIM)
+        low, high = np.where(above, low, shift), np.where(above, shift, high)
+    good, expected, _ = _forward_backward(score + ((low + high) / 2)[doc], chain, moves)
+    return good, expected
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """A model from labelled rows whose fold is not 0.
 
     SAMPLE rows at most come to the driver, half of them of each label if there are so many; a doc_id with several
-    labels takes the smallest.  Rows without label, text or doc_id are left out.
+    labels takes the smallest, one with several texts the smallest text.  Rows without label, text or doc_id are left out,
+    as are texts over SAMPLE_BYTES.
     """
     given = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     given = given.where(F.col("k").isNotNull() & (remainder(F.col("k")) != 0))
     nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
     picked = given.withColumn("nth", nth).where(F.col("nth") <= SAMPLE // 2).select("k", "y")
-    rows = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(picked), rows.doc_key == picked.k).dropDuplicates(["k"])  # SAMPLE rows
-    found = rows.select("k", "text", "y").orderBy("k").toArrow()
+    rows = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = rows.join(F.broadcast(picked), rows.doc_key == picked.k).groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = rows.orderBy("k").toArrow()  # SAMPLE rows
     return fit(found["text"].to_pylist(), found["y"].to_numpy().astype(np.int64))
 
 
@@ -252,7 +281,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
     A null text or one without a word has score 0; repeated rows are scored each; without labels of both kinds the
     score is the same for all; an empty table gives no rows; other columns are ignored.  One pass, no shuffle.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = rows.transform(arrow_map, _score(model), "doc_id long, score double")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = rows.transform(arrow_map, _score(model), f"doc_id {key_type(docs, key)}, score double")
     held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -7,16 +7,20 @@ Rebalancing edits that table; the hash of a record never changes.
 from __future__ import annotations
 
 import heapq
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import written
+from corpuslens.llm.common import shared_folder, written
 
 SLOTS = 4096
 #: Lanes that a slot is dealt over once it holds more than 1/(HOT_SHARE * shards) of all bytes.
 LANES, HOT_SHARE = 64, 8
+#: Shards are near equal once the fullest has this share of the mean more than the emptiest.
+TOLERANCE = 0.001
 
 MAP_SCHEMA = T.StructType(
     [
@@ -100,12 +104,39 @@ def rebalanced(rows: list[tuple], shards: int, tolerance: float = 0.02) -> list[
     return sorted((version, s, lane, b, shard) for (s, lane), (b, shard) in at.items())
 
 
-def store_map(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Writes one version of the map (bounded by the number of slots and lanes) to the shared folder."""
-    return written(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), "slot-map")
+def even_map(sizes: list[tuple[int, int, int]], shards: int) -> list[tuple]:
+    """Version 1 of a map that knows no bytes yet: slots dealt to shards in turn, a hot slot's lanes likewise."""
+    return [(1, slot, lane, size, (slot + max(lane, 0)) % shards) for slot, lane, size in sizes]
 
 
-def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def updated(rows: list[tuple], sizes: list[tuple[int, int, int]], shards: int) -> list[tuple]:
+    """A stored map with new bytes: known slots stay where they are, lanes of a slot that has become hot start where the
+    slot was, and slots that it lacks are dealt in turn."""
+    version = max((r[0] for r in rows), default=0)
+    at = {(slot, lane): shard for _, slot, lane, _, shard in rows}
+    place = lambda slot, lane: at.get((slot, lane), at.get((slot, -1), (slot + max(lane, 0)) % shards))
+    return [(version, slot, lane, size, place(slot, lane)) for slot, lane, size in sizes]
+
+
+def store_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
+    """Adds one version of the map (bounded by the number of slots and lanes) under ``path``, as a partition of its own."""
+    table = spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1)
+    table.drop("version").write.mode("overwrite").parquet(f"{path}/version={rows[0][0]}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple]:
+    """The rows of the latest version under ``path``, or of the named one; none if nothing is stored there."""
+    try:
+        table = spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    wanted = version if version is not None else table.agg(F.max("version")).first()[0]
+    return sorted(tuple(r) for r in table.where(F.col("version") == F.lit(wanted)).select(*MAP_SCHEMA.names).collect())
+
+
+def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", map_path: str | None = None) -> DataFrame:
     """Puts every row into one of ``shards`` shards of near equal bytes.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version``; ``slot`` is the
@@ -113,6 +144,10 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     repeated rows are kept, each with a place of its own; an empty table gives no rows; other columns are ignored.
     Reruns on the same files agree.
 
+    The slot map is read from ``map_path`` (one under the shared folder by default): its latest version, or a first one
+    that deals slots in turn.  It gets the new bytes of each slot and is edited (``rebalanced``) until the shards are near
+    equal; if that moves a slot, the result is stored as the next version.
+
     Only the key, size and CRC-32 of a record are shuffled, never the text.  Places come from counts by (scan
     partition, shard), so that no window holds more than the rows of one scan partition in one shard.
     """
@@ -128,10 +163,18 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
         ).withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(LANES)).cast("int")),
         "shard-records",
     )
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    sizes, stored = slot_bytes(records, shards), load_map(spark, path)
+    known = updated(stored, sizes, shards) if stored else even_map(sizes, shards)
+    edited = rebalanced(known, shards, TOLERANCE)
+    if not stored and known:
+        store_map(spark, known, path)
+    moved = [r[1:3] + r[4:] for r in known] != [r[1:3] + r[4:] for r in edited]
+    rows = edited if moved else known
+    if moved:
+        store_map(spark, rows, path)
     table = F.broadcast(  # SLOTS + HOT_SHARE * shards * LANES rows at most
-        store_map(spark, first_map(slot_bytes(records, shards), shards)).select(
-            "vslot", F.col("lane").alias("in_lane"), "shard", F.col("version").alias("map_version")
-        )
+        spark.createDataFrame(rows, MAP_SCHEMA).select("vslot", F.col("lane").alias("in_lane"), "shard", F.col("version").alias("map_version"))
     )
     placed = records.join(
         table, (records.vslot == table.vslot) & (table.in_lane.isin(-1) | (table.in_lane == records.lane))

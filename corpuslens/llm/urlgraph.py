@@ -20,8 +20,10 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING, ROUNDS = 0.85, 10
-#: A host is blocked if its distrust is above MARGIN times its trust and above FLOOR times an even share.
-MARGIN, FLOOR = 2.0, 0.5
+#: A host is blocked if its distrust is above MARGIN times its trust and above FLOOR times its share of all pages.
+MARGIN, FLOOR = 2.0, 0.1
+#: Weight of the links between a host and its parent domain, a page of the host.
+KIN = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -45,28 +47,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Links between hosts: absolute and protocol-relative links of pages, and each host's link to its parent domain.
+    """Weighted links between hosts: ``src, dst, weight``.
 
-    The parent link (``blog.a.org`` to ``a.org``) lets hosts of one owner share reputation where pages hold relative
-    links only.  Links are distinct within a page; weights are the numbers of pages.
+    Absolute and protocol-relative links of pages count once a page.  A page with a relative link links to its own host.
+    A host and its parent domain (``blog.a.org`` and ``a.org``, up to two labels) are linked both ways with KIN times the
+    host's pages, so that hosts of one domain share reputation where pages hold relative links only.
     """
-    src = host_of(F.col(url))
-    refs = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""), 1)
-    targets = F.array_distinct(F.transform(refs, lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))))
-    links = pages.select(src.alias("src"), F.explode(targets).alias("dst")).where("src != '' and dst != '' and src != dst")
+    refs = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), 1)
+    own = host_of(F.col(url))
+    absolute = lambda x: x.rlike("(?i)^(?:https?:)?//")
+    target = lambda x: F.when(absolute(x), host_of(F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))).when(~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), own).otherwise("")
+    links = pages.select(own.alias("src"), F.explode(F.array_distinct(F.transform(refs, target))).alias("dst")).where("src != '' and dst != ''")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.select(src.alias("src")).where("src != ''").distinct()
-    parent = F.regexp_replace("src", r"^[^.]*\.", "")
-    up = hosts.select("src", parent.alias("dst"), F.lit(1.0).alias("weight")).where(
-        (F.col("src") != F.col("dst")) & F.col("dst").contains(".")
-    )
-    return links.unionByName(up).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    hosts = pages.select(own.alias("src")).where("src != ''").groupBy("src").agg((F.count("*") * KIN).alias("weight"))
+    labels = F.split("src", r"\.")
+    level = F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1)))
+    suffix = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    kin = hosts.where(F.size(labels) > 2).select(F.explode(F.transform(F.filter(level, lambda i: i < F.size(labels) - 1), lambda i: F.struct(suffix(i).alias("a"), suffix(i + 1).alias("b")))).alias("x"), "weight")
+    kin = kin.groupBy("x.a", "x.b").agg(F.sum("weight").alias("weight"))
+    both = kin.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(kin.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: ``host, rank`` from ``edges(src, dst, weight)`` and ``seeds(host, seed)`` that sum to 1.
 
-    Mass at hosts without outgoing links goes back to the seeds.  Each round is one join on the edge's source and one
+    Links to the host itself keep mass there.  Mass at hosts without outgoing links goes back to the seeds.  Each round is one join on the edge's source and one
     sum with partial aggregation, written to the shared folder; hosts out of reach have no row.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
@@ -100,14 +106,14 @@ def host_scores(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
     trust = personalised_rank(edges, _seeds(fitted, "allow"))
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = personalised_rank(against, _seeds(fitted, "block"))
-    hosts = fitted.select("host").distinct()
-    n = max(1, hosts.count())
+    hosts = fitted.groupBy("host").agg(F.count("*").alias("pages"))
+    total = max(1, fitted.count())
     both = hosts.join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
         distrust.withColumnRenamed("rank", "distrust"), "host", "left"
     )
     both = both.na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > MARGIN * F.col("trust")) & (F.col("distrust") * n > FLOOR)
-    return both.withColumn("verdict", F.when((F.col("host") != "") & bad, "block").otherwise("allow"))
+    bad = (F.col("distrust") > MARGIN * F.col("trust")) & (F.col("distrust") * total > FLOOR * F.col("pages"))
+    return both.select("host", "trust", "distrust", F.when((F.col("host") != "") & bad, "block").otherwise("allow").alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
