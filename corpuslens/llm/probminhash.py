@@ -16,23 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bloom
-from corpuslens.llm.common import Words, arrow_map, chunks, mix, ragged, signed, windows, written
+from corpuslens.llm.common import Words, arrow_map, chunks, key_type, mix, ragged, signed, windows, without, written
 from corpuslens.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: a pair at similarity 0.8 meets in a band but for 6 in 100,000, at 0.9 but for 1 in 10^10.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Bands for the texts that a leader leaves open: a pair at 0.8 meets but for 2 in 100,000 (fewer than the bands above
-#: miss), at 0.6 in 4 of 9.
-FINE_BANDS, FINE_ROWS = 96, 10
-#: In buckets of more texts, those whose shingles no other text of such buckets holds are ruled out first.
-LARGE = 16
 #: Arrivals drawn at once.
 DRAWS = 1 << 15
 
 #: Texts and shingles of a block, about; a block of long texts has fewer of them.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Shingles that a unit compares at once: bounds its tables of texts by shingles.
 COLUMNS = 4096
 
@@ -159,35 +154,23 @@ def probability_jaccard(a: np.ndarray, v: np.ndarray, b: np.ndarray, w: np.ndarr
     return float(np.sum(1.0 / (above / cv + below / cw)))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, shingle, share): each shingle's share of its text's weight."""
-    for batch in batches:
-        for key, raw, counts in zip(*[batch.column(c).to_pylist() for c in ("key", "shingles", "counts")], strict=True):
-            h = np.frombuffer(raw, np.uint64)
-            w = np.frombuffer(counts, np.int64) if counts else np.ones(len(h), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(h), pa.binary()), pa.array(signed(h), pa.int64()), pa.array(w / w.sum(), pa.float64())], ["key", "shingle", "share"]
-            )
+def _weighted(rows: pa.RecordBatch | pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Shingles and weights of each row; no counts stand for weights of 1."""
+    h = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    counts = rows.column("counts").to_pylist()
+    return h, [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, counts, strict=True)]
 
 
-def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands of a longer signature, from the shingles of a text."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shingle, share): each shingle's share of its text's weight."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 16):
-            part = batch.slice(lo, 16)
-            h = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-            w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column("counts").to_pylist(), strict=True)]
-            doc = np.repeat(np.arange(len(h)), [len(x) for x in h])
-            sig = signatures(doc, mix(np.concatenate(h) + np.uint64(77)), np.concatenate(w).astype(float), len(h), FINE_BANDS * FINE_ROWS)
-            sig = sig.reshape(len(h), FINE_BANDS, FINE_ROWS)
-            with np.errstate(over="ignore"):
-                band = np.zeros((len(h), FINE_BANDS), np.uint64)
-                for j in range(FINE_ROWS):
-                    band = mix(band * _GOLD + sig[:, :, j])
-                band = mix(band + np.arange(FINE_BANDS, dtype=np.uint64) * _GOLD)
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            h, w = _weighted(part)
+            owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
+            share = np.concatenate([x / x.sum() for x in w])
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), ragged(signed(band.ravel()), np.full(len(h), FINE_BANDS), pa.int64()), pa.array([len(x) for x in h], pa.int64())],
-                ["key", "bands", "n_shingles"],
+                [part.column("key").take(pa.array(owner)), pa.array(signed(np.concatenate(h)), pa.int64()), pa.array(share)], ["key", "shingle", "share"]
             )
 
 
@@ -254,10 +237,8 @@ def _cross_links(threshold: float):
             test &= np.tri(len(keys), k=-1, dtype=bool)
         links = []
         if test.any():
-            h = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
-            counts = unit.column("counts").to_pylist()
-            w = [np.frombuffer(c, np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, counts, strict=True)]
-            plain, size = np.array([not c for c in counts]), np.array([len(x) for x in h], float)
+            h, w = _weighted(unit)
+            plain, size = np.array([x.max() == 1 for x in w]), np.array([len(x) for x in h], float)
             shared, share = _overlaps(h, w)
             both = plain[:, None] & plain[None, :]
             jaccard = shared / (size[:, None] + size[None, :] - shared)
@@ -270,17 +251,18 @@ def _cross_links(threshold: float):
 
 
 def cross_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` between members of different labels of each band of ``rows(band, key, label, n_shingles)``.
+    """Links ``a, b`` between members of different labels of each band of ``rows(band, key, label)``.
 
     A band's members are dealt into blocks of about BLOCK texts and BLOCK_SHINGLES shingles; every two blocks are one
     unit of bounded size that a task compares within, so no pair becomes a row unless it is a link.
     """
     blocks = F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n_shingles") / F.lit(float(BLOCK_SHINGLES)))
+    rows = rows.join(texts.select("key", "n_shingles"), "key")
     sizes = rows.groupBy("band").agg(F.ceil(blocks).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     units = dealt.select("band", "key", "label", "block", F.explode(others).alias("u")).select("band", "key", "label", "block", "u.i", "u.j")
-    return units.join(texts, "key").groupBy("band", "i", "j").applyInArrow(_cross_links(threshold), "a binary, b binary").distinct()
+    return units.join(texts.select("key", "shingles", "counts"), "key").groupBy("band", "i", "j").applyInArrow(_cross_links(threshold), "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -299,75 +281,60 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     words matches equal words only; repeated rows are members each (one is kept, the others not); an empty table gives
     no rows; other columns are ignored.
 
-    Equal texts are one row from the first shuffle on, so a large group of copies costs one text.  In each bucket all
-    are compared with one leader.  Texts of buckets in which that leaves more than one component get a longer
-    signature with more selective bands, and meet those of other components there.  In large buckets a text that has
-    more than 1 - threshold of its weight for itself is left out, for its similarity to others can't reach it.  No
-    bucket is capped.
+    Equal texts are one row from the first shuffle on, so a large group of copies costs one text.  A text that has more
+    than 1 - threshold of its weight for itself is left out, for its similarity to others can't reach it.  In each
+    bucket all are compared with one leader, and what that leaves in several components with two drawn members; buckets
+    that still hold several components are compared in full, between components, in blocks of bounded size.  So every
+    two texts that meet in a band are compared or linked through others; no bucket is capped.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed_rows = written(rows.transform(arrow_map, _banded, "doc_id long, key binary, n_words long, bands array<long>"), "nd-rows")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = key_type(docs, key)
+    signed_rows = written(rows.transform(arrow_map, _banded, f"doc_id {kind}, key binary, n_words long, bands array<long>"), "nd-rows")
     some = signed_rows.where("n_words > 0")
     texts = written(some.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nd-texts")
 
     banded = texts.select("key", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    multi = written(banded.join(sizes, "band"), "nd-buckets")
-    wanted = bloom.build(multi.select("key").distinct())
+    multi = written(banded.join(sizes.select("band"), "band"), "nd-buckets")
+    keys = written(multi.select("key").distinct(), "nd-wanted")
+    wanted = bloom.build(keys)
     found = docs.select(F.col(text).cast("string").alias("text")).transform(arrow_map, _with_shingles(wanted), "key binary, shingles binary, counts binary")
-    found = written(found.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "nd-shingles")
+    found = found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    found = written(found.withColumn("n_shingles", (F.octet_length("shingles") / 8).cast("long")), "nd-shingles")
 
     reach = 1 - threshold + 1e-9
-    crowd = multi.where(F.col("n") > LARGE)
-    own = own_share(found.join(crowd.select("key").distinct(), "key", "left_semi"))
-    crowd = crowd.join(own, "key", "left").select("band", "key", F.coalesce("own", F.lit(0.0)).alias("own")).where(F.col("own") <= reach)
-    few = multi.where(F.col("n") <= LARGE).select("band", "key", F.lit(0.0).alias("own"))
-    multi = written(crowd.unionByName(few), "nd-eligible")
+    eligible = multi.join(own_share(found), "key", "left").select("band", "key", F.coalesce("own", F.lit(0.0)).alias("own")).where(F.col("own") <= reach)
+    eligible = written(eligible, "nd-eligible")
 
     # the leader has little of its own, which other texts of its bucket resemble most; ties by a draw for each band
     draw = F.struct(F.round("own", 2).alias("own"), F.xxhash64("band", "key").alias("draw"), F.col("key").alias("key"))
-    leaders = multi.groupBy("band").agg(F.min(draw).alias("first"), F.count("*").alias("n")).where("n > 1")
+    leaders = eligible.groupBy("band").agg(F.min(draw).alias("first"), F.count("*").alias("n")).where("n > 1")
     leaders = leaders.select("band", F.col("first.key").alias("lead"), "n")
-    members = written(multi.join(leaders, "band").where("key != lead"), "nd-members")
+    members = written(eligible.join(leaders, "band").where("key != lead").select("band", "key", "lead", "n"), "nd-members")
     pairs = written(members.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), "nd-pairs")
-    sims = written(verified(pairs, found), "nd-sims")
-    links = sims.where(F.col("sim") >= threshold).select("a", "b")
+    links = written(verified(pairs, found).where(F.col("sim") >= threshold).select("a", "b"), "nd-links")
     labels = connected_components(links)
 
-    open_rows = (
-        members.where("n > 2")
-        .join(labels.withColumnRenamed("node", "key"), "key", "left")
-        .select("band", "key", F.coalesce("label", "key").alias("label"))
-    )
-    split = open_rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_keys = open_rows.join(split.select("band"), "band", "left_semi").groupBy("key").agg(F.min("label").alias("label"))
-    fine = found.join(open_keys, "key")
-    fine = written(fine.select("key", "shingles", "counts").transform(arrow_map, _fine_bands, "key binary, bands array<long>, n_shingles long").join(open_keys, "key"), "nd-fine")
-    fine = fine.select("key", "n_shingles", "label", F.explode("bands").alias("band"))
-    fine = written(fine, "nd-open")
-
-    def mixed_bands(rows: DataFrame) -> DataFrame:
-        split = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        return rows.join(split.select("band"), "band", "left_semi")
-
-    def linked(extra: DataFrame) -> tuple[DataFrame, DataFrame]:
-        extra = written(extra, "nd-extra")
-        if extra.isEmpty():
-            return links, labels
-        both = written(links.unionByName(extra), "nd-links")
-        return both, connected_components(both)
+    def split_bands(rows: DataFrame) -> DataFrame:
+        """Rows of bands with members of several components, as these stand now."""
+        now = labels.select(F.col("node").alias("key"), "label")
+        rows = rows.join(now, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+        several = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        return written(rows.join(several.select("band"), "band", "left_semi"), "nd-split")
 
     # two drawn members of each such band against those of other components, then whatever is left of other components
+    split = split_bands(members.where("n > 2").select("band", "key"))
     draw = F.struct(F.xxhash64("band", "key").alias("draw"), F.col("key"), F.col("label"))
-    fine = mixed_bands(fine)
-    drawn = fine.groupBy("band").agg(F.min(draw).alias("x"), F.max(draw).alias("y")).select("band", F.explode(F.array("x", "y")).alias("z"))
-    first = fine.join(drawn, "band").where(F.col("label") != F.col("z.label"))
-    first = written(first.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b")).distinct(), "nd-more")
-    links, labels = linked(verified(first, found).where(F.col("sim") >= threshold).select("a", "b"))
-    now = labels.select(F.col("node").alias("key"), F.col("label").alias("now"))
-    fine = fine.join(now, "key", "left").select("band", "key", "n_shingles", F.coalesce("now", "label").alias("label"))
-    fine = written(mixed_bands(fine), "nd-left")
-    links, labels = linked(cross_links(fine, found, threshold))
+    drawn = split.groupBy("band").agg(F.min(draw).alias("x"), F.max(draw).alias("y")).select("band", F.explode(F.array("x", "y")).alias("z"))
+    more = split.join(drawn, "band").where(F.col("label") != F.col("z.label"))
+    more = written(more.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b")).distinct(), "nd-more")
+    drawn_links = lambda: verified(more, found).where(F.col("sim") >= threshold).select("a", "b")
+    rest_links = lambda: cross_links(split_bands(split.select("band", "key")), found, threshold)
+    for step in (drawn_links, rest_links):
+        extra = written(step(), "nd-extra")
+        if not extra.isEmpty():
+            links = written(links.unionByName(extra), "nd-links")
+            labels = connected_components(links)
 
     owner = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "doc_id", "copies", F.coalesce("label", "key").alias("label")
@@ -396,6 +363,5 @@ def _one_kept(rows: DataFrame, owner: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` for one row of each class; rows are named by ``key``, so rows of one key stay together."""
-    classes = written(near_duplicates(docs, text, key, threshold).select(F.col("doc_id").alias("gone_id"), "keep"), "nd-keep")
-    gone = classes.groupBy("gone_id").agg(F.max("keep").alias("keep")).where("not keep").select("gone_id")
-    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone.gone_id), "left_anti")
+    classes = near_duplicates(docs, text, key, threshold).groupBy(F.col("doc_id").alias("gone")).agg(F.max("keep").alias("keep"))
+    return without(docs, key, written(classes.where("not keep").select("gone"), "nd-gone"))
