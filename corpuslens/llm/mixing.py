@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-All steps are DataFrame operations.  Documents of a source are dealt into permuted blocks by a hash; a source's quota
-is a number of whole blocks and one part of a block; the blocks of all sources are divided among output shards by a
-binary tree of draws without replacement; rows are shuffled inside their output shard.
+All steps are DataFrame operations.  A hash deals a source's documents into blocks, and a source's quota is a number of
+places in its permuted sequence of blocks, read in turn as often as the target asks.  A binary tree divides the vector of
+quotas among output shards: each node's left child gets a multivariate hypergeometric draw of the node's counts.  A
+leaf's count of a source is a run of the source's permuted blocks that no other leaf has; rows are shuffled in their
+output shard.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WORD, written
+from corpuslens.llm.common import BROADCAST_KEYS, WORD, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
-#: Blocks a source is dealt into.  Only tables of sources x BLOCKS rows are ever ordered as a whole.
-BLOCKS = 256
+#: Blocks a source is dealt into, and parts of the block in which a quota ends.
+BLOCKS, PARTS = 256, 4096
 SEED = 20240229
 #: Depth of the splitting tree: 2 ** DEPTH output shards.
 DEPTH = 3
@@ -59,100 +61,175 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def splitting_tree(units: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Divides block units (``source, block, pass``) among ``2 ** depth`` output shards; adds ``out_shard``.
+def _lower_half(units: DataFrame, level: int) -> DataFrame:
+    """Counts by ``node, source`` of the units with the smaller draws, half of each node's units (rounded down).
 
-    Each node sends half of its units to the left by a draw without replacement over all sources together, which makes
-    the left child's vector of quotas multivariate hypergeometric given the node's.  Quotas stay exact: every unit ends
-    in one leaf.
+    ``units`` has a row for each unit of ``node, source``.  The draws' bins are summed first, so that a window orders bins
+    and then one bin's units only, however many units a node has.
     """
-    tree = units.withColumn("out_shard", F.lit(0))
+    bins = 1 << 12
+    draw = drawn("node", "source", "unit", stream=10 + level)
+    drawn_units = units.withColumn("draw", draw).withColumn("bin", F.pmod("draw", F.lit(bins)))
+    by_bin = drawn_units.groupBy("node", "bin").agg(F.count("*").alias("n"))
+    order, node = Window.partitionBy("node").orderBy("bin"), Window.partitionBy("node")
+    cut = by_bin.withColumn("upto", F.sum("n").over(order)).withColumn("half", F.floor(F.sum("n").over(node) / 2))
+    cut = cut.select("node", "bin", F.when(F.col("upto") <= F.col("half"), F.col("n")).otherwise(F.greatest(F.lit(0), F.col("half") - F.col("upto") + F.col("n"))).alias("take"), "n")
+    placed = drawn_units.join(cut, ["node", "bin"])
+    inside = Window.partitionBy("node", "bin").orderBy("draw", "source", "unit")
+    border = placed.where("take > 0 and take < n").withColumn("nth", F.row_number().over(inside)).where("nth <= take")
+    lower = placed.where("take = n").select("node", "source").unionByName(border.select("node", "source"))
+    return lower.groupBy("node", "source").agg(F.count("*").alias("left"))
+
+
+def splitting_tree(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Divides ``source, quota`` among ``2 ** depth`` leaves: ``source, leaf, begin, places``.
+
+    A node's units are its places of all sources; half of them, drawn without replacement, go left, so the left child's
+    counts by source are multivariate hypergeometric given the node's.  Quotas are exact: a source's leaves are
+    consecutive runs [begin, begin + places) that fill its quota.
+    """
+    nodes = quotas.where("quota > 0").select("source", F.lit(0).alias("node"), F.col("quota").cast("long").alias("places"))
     for level in range(depth):
-        node = Window.partitionBy("out_shard")
-        place = F.row_number().over(
-            node.orderBy(drawn("source", "block", "pass", stream=10 + level), "source", "block", "pass")
-        )
-        left = place * 2 <= F.count("*").over(node)
-        tree = tree.withColumn("out_shard", F.col("out_shard") * 2 + F.when(left, 0).otherwise(1))
-    return tree
+        units = nodes.select("node", "source", F.explode(F.sequence(F.lit(1), F.col("places").cast("int"))).alias("unit"))
+        left = _lower_half(units, level).withColumnRenamed("node", "l_node").withColumnRenamed("source", "l_source")
+        both = nodes.join(left, (nodes.node == left.l_node) & nodes.source.eqNullSafe(left.l_source), "left")
+        got = F.coalesce("left", F.lit(0).cast("long"))
+        sides = F.array(F.struct((F.col("node") * 2).alias("node"), got.alias("places")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("places") - got).alias("places")))
+        nodes = both.select("source", F.explode(sides).alias("x")).select("source", "x.node", "x.places").where("places > 0")
+        nodes = written(nodes, "mix-nodes")
+    run = Window.partitionBy("source").orderBy("node")
+    return nodes.select("source", F.col("node").alias("leaf"), (F.sum("places").over(run) - F.col("places")).alias("begin"), "places")
 
 
-def plan_mixture(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each document with its source's target and the number of passes the mix takes of it.
+def _row_draw(docs: DataFrame, source: str, text: str, key: str) -> Column:
+    """A draw that depends on a row's key, source and text alone: equal rows have equal draws, whatever the partitions."""
+    return drawn(docs[key].cast("string"), docs[source], F.crc32(docs[text].cast("binary")), stream=1)
+
+
+def _block(draw: Column) -> Column:
+    return F.pmod(draw, F.lit(BLOCKS)).cast("int")
+
+
+def _place(source: Column, block: Column) -> Column:
+    """The block's place in its source's permutation, an affine one with an odd factor: 0 to BLOCKS - 1."""
+    factor = F.pmod(drawn(source, stream=2), F.lit(BLOCKS // 2)).cast("int") * 2 + 1
+    return F.pmod(block * factor + F.pmod(drawn(source, stream=3), F.lit(BLOCKS)).cast("int"), F.lit(BLOCKS))
 
-    Returns ``doc_id, size, source_size, target, taken, passes, out_shards``: ``out_shards`` lists the output shard of
-    each pass.  A null or blank text has size 0 and takes nothing; a null source is a source of its own, last in order;
-    repeated rows are documents of their own; an empty table gives no rows; reruns agree.
 
-    Only (source, block) sums are ordered as a whole: a source that holds most rows is still dealt over BLOCKS blocks.
+def _part(draw: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(draw, 16), F.lit(PARTS)).cast("int")
+
+
+def source_plan(rows: DataFrame) -> DataFrame:
+    """One row for each source of ``rows(source, size, draw)``: where its quota ends and which leaf has which places.
+
+    Returns ``source, source_size, target, border, border_part, border_draw, share, quota, leaves``: ``border`` counts whole
+    blocks from the first pass on; in the block after them, parts below ``border_part`` and, inside that part, draws below
+    ``border_draw`` are taken whole, and a row of that draw gives ``share`` words.  ``leaves`` lists begin and leaf.
+
+    Sums by (source, block), by part of one block a source, and the rows of one such part are all that is ordered: a
+    source with most rows is still dealt over BLOCKS x PARTS groups.
     """
-    rows = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-        F.monotonically_increasing_id().alias("row"),
-    ).withColumn("block", F.pmod(drawn("row", "doc_id", stream=1), F.lit(BLOCKS)).cast("int"))
-    rows = written(rows, "mix-rows")
-    blocks = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    place = _place(F.col("source"), _block(F.col("draw")))
+    blocks = written(rows.groupBy("source", place.alias("place")).agg(F.sum("size").alias("words")), "mix-blocks")
     targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
 
-    # whole passes over a source, then permuted blocks up to the rest of its target
-    quota = blocks.join(targets, blocks.source.eqNullSafe(targets.source)).drop(targets.source)
-    rank = Window.partitionBy("source").orderBy(drawn("source", "block", stream=2), "block")
-    quota = (
-        quota.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("upto", F.sum("words").over(rank))
-        .withColumn("room", F.col("rest") - (F.col("upto") - F.col("words")))
-        .withColumn("block_passes", (F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).cast("int"))
-        .withColumn("border", (F.col("upto") > F.col("rest")) & (F.col("room") > 0))
+    def last_fit(sums: DataFrame, at: str, left: str) -> DataFrame:
+        """``source, at, left`` of the first group, in order of ``at``, that ``left`` words don't hold whole."""
+        order = Window.partitionBy("source").orderBy(at)
+        sums = sums.withColumn("over", F.sum("words").over(order)).where(F.col("over") > F.col(left))
+        return sums.groupBy("source").agg(F.min_by(F.struct(at, (F.col(left) - F.col("over") + F.col("words")).alias("left")), at).alias("x")).select("source", "x.*")
+
+    quota = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    quota = written(quota.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-quota")
+    rest = quota.select(F.col("source").alias("q_source"), "rest")
+    first = last_fit(blocks.join(rest, blocks.source.eqNullSafe(rest.q_source)), "place", "rest")
+    first = written(first.withColumnRenamed("left", "room"), "mix-border")
+
+    f = F.broadcast(first.select(F.col("source").alias("f_source"), F.col("place").alias("f_place"), "room")) if first.count() <= BROADCAST_KEYS // 16 else first.select(F.col("source").alias("f_source"), F.col("place").alias("f_place"), "room")
+    inside = rows.withColumn("place", place).join(f, F.col("source").eqNullSafe(f.f_source) & (F.col("place") == f.f_place))
+    inside = inside.select("source", "size", "draw", "room", _part(F.col("draw")).alias("part"))
+    parts = inside.groupBy("source", "part").agg(F.sum("size").alias("words"), F.any_value("room").alias("room"))
+    second = written(last_fit(parts, "part", "room").withColumnRenamed("left", "part_room"), "mix-part")
+    g = second.select(F.col("source").alias("g_source"), F.col("part").alias("g_part"), "part_room")
+    third = inside.join(g, F.col("source").eqNullSafe(g.g_source) & (F.col("part") == g.g_part))
+    third = third.groupBy("source", "draw").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.any_value("part_room").alias("part_room"))
+    ends = last_fit(third, "draw", "part_room")
+    ends = ends.withColumnRenamed("source", "e_source").join(
+        third.select(F.col("source").alias("t_source"), F.col("draw").alias("t_draw"), "n"), F.col("e_source").eqNullSafe(F.col("t_source")) & (F.col("draw") == F.col("t_draw"))
+    ).select("e_source", "draw", F.floor(F.col("left") / F.col("n")).alias("share"))
+
+    s1, s2 = first.select(F.col("source").alias("f_source"), F.col("place").alias("f_place")), second.select(F.col("source").alias("g_source"), F.col("part").alias("g_part"))
+    plan = quota.join(s1, quota.source.eqNullSafe(s1.f_source), "left").join(s2, quota.source.eqNullSafe(s2.g_source), "left")
+    plan = plan.join(ends, quota.source.eqNullSafe(ends.e_source), "left").select(
+        quota.source, F.col("source_size").cast("long").alias("source_size"), "target",
+        (F.col("whole") * BLOCKS + F.when(F.col("source_size") > 0, F.coalesce("f_place", F.lit(BLOCKS))).otherwise(0)).cast("long").alias("border"),
+        F.coalesce("g_part", F.lit(0)).alias("border_part"), F.col("draw").alias("border_draw"), F.coalesce("share", F.lit(0).cast("long")).alias("share"),
     )
-    quota = written(
-        quota.select("source", "block", "source_size", "target", "block_passes", "border", "room"), "mix-quota"
+    plan = plan.withColumn("quota", F.col("border") + F.when(F.col("border_draw").isNotNull(), 1).otherwise(0))
+    plan = written(plan, "mix-plan")
+    leaves = splitting_tree(plan.select("source", "quota")).groupBy(F.col("source").alias("l_source")).agg(
+        F.array_sort(F.collect_list(F.struct("begin", "leaf"))).alias("leaves")  # 2 ** DEPTH entries at most
     )
+    return written(plan.join(leaves, plan.source.eqNullSafe(leaves.l_source), "left").drop("l_source"), "mix-sources")
 
-    units = quota.withColumn("most", F.col("block_passes") + F.when(F.col("border"), 1).otherwise(0)).where("most > 0")
-    units = units.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("pass"))
-    shards = splitting_tree(units).groupBy("source", "block").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "out_shard"))).alias("leaves")  # CAP + 1 entries at most
-    )
 
-    # at the border of a quota: a block's documents in permuted order, the last one cut where the quota ends
-    taken = rows.join(quota, rows.source.eqNullSafe(quota.source) & (rows.block == quota.block))
-    taken = taken.drop(quota.source).drop(quota.block)
-    inside = Window.partitionBy("source", "block").orderBy(drawn("row", stream=3), "row")
-    left = F.col("room") - (F.sum("size").over(inside) - F.col("size"))
-    border = taken.where("border").withColumn("part", F.floor(F.greatest(F.lit(0.0), F.least(F.col("size"), left))))
-    taken = taken.where("not border").withColumn("part", F.lit(0).cast("long")).unionByName(border)
-    s = shards.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "leaves")
-    taken = taken.join(s, taken.source.eqNullSafe(s.s_source) & (taken.block == s.s_block), "left")
-    passes = F.col("block_passes") + F.when(F.col("part") > 0, 1).otherwise(0)
-    return taken.select(
-        "doc_id",
-        "size",
-        F.col("source_size").cast("long").alias("source_size"),
-        "target",
-        (F.col("size") * F.col("block_passes") + F.col("part")).cast("long").alias("taken"),
-        passes.alias("passes"),
-        F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0).alias("cut_words"),
-        F.slice(F.transform("leaves", lambda x: x.out_shard), F.lit(1), passes).alias("out_shards"),
-        "row",
-    )
+def _with_plan(docs: DataFrame, plan: DataFrame, source: str, text: str, key: str) -> DataFrame:
+    """``docs`` with a struct of what the mix takes of each row: ``mix`` is named so that no column of ``docs`` clashes.
 
+    Returns all columns of ``docs`` in a struct ``d``, and ``size, draw, p`` (the source's plan) and ``taken_places``: the
+    (leaf, words) of each pass, read from the leaves of the tree.  The table of sources is broadcast while it is small.
+    """
+    body = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(body.alias("d"), docs[source].alias("source"), n_words(docs[text]).alias("size"), _row_draw(docs, source, text, key).alias("draw"))
+    p = plan.select(F.col("source").alias("p_source"), F.struct("source_size", "target", "border", "border_part", "border_draw", "share", "leaves").alias("p"))
+    if plan.count() <= BROADCAST_KEYS // 16:
+        p = F.broadcast(p)
+    rows = rows.join(p, rows.source.eqNullSafe(p.p_source))
+    at = _place(F.col("source"), _block(F.col("draw")))
+    part, edge = _part(F.col("draw")), F.col("p.border_draw")
+    inside = F.when(part < F.col("p.border_part"), F.col("size")).when(part > F.col("p.border_part"), 0)
+    inside = inside.when(F.col("draw") < edge, F.col("size")).when(F.col("draw") == edge, F.col("p.share")).otherwise(0)
+    words = lambda place: F.when(place < F.col("p.border"), F.col("size")).when((place == F.col("p.border")) & edge.isNotNull(), inside).otherwise(0)
+    leaf = lambda place: F.element_at(F.filter("p.leaves", lambda x: x["begin"] <= place), -1)["leaf"]
+    passes = F.transform(F.array(*[at.cast("long") + F.lit(j * BLOCKS) for j in range(int(CAP) + 1)]), lambda x: F.struct(leaf(x).alias("leaf"), words(x).cast("long").alias("words")))
+    return rows.withColumn("taken_places", F.filter(passes, lambda x: x["words"] > 0))
+
+
+def _drawn_rows(docs: DataFrame, source: str, text: str, key: str) -> DataFrame:
+    return written(docs.select(docs[source].alias("source"), n_words(docs[text]).alias("size"), _row_draw(docs, source, text, key).alias("draw")), "mix-rows")
 
-def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The mixture itself: the columns of ``docs``, a row for each pass, grouped by output shard and shuffled inside.
 
-    The last pass of one document a source is cut to its first words so that the source meets its target.  Documents
-    are named by ``key`` here, so repeated keys take the passes of one of them.
+def plan_mixture(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row for each document with its source's target and what the leaves of the splitting tree take of it.
+
+    Returns ``doc_id, size, source_size, target, taken, passes, out_shards``: ``out_shards`` lists the leaf of each pass,
+    ``taken`` sums the words of the passes.  A null or blank text has size 0 and takes nothing; a null source is a source
+    of its own, last in order; equal rows are taken alike, and where a quota ends among them they share what is left;
+    an empty table gives no rows; other columns are ignored.  Reruns agree, however the rows are dealt over files.
     """
-    plan = plan_mixture(docs, source, text, key).where("passes > 0").groupBy("doc_id").agg(
-        F.max_by(F.struct("out_shards", "cut_words", "passes"), "row").alias("mix")
+    plan = source_plan(_drawn_rows(docs, source, text, key))
+    rows = _with_plan(docs.select(docs[key], docs[source], docs[text]), plan, source, text, key)
+    words = F.aggregate("taken_places", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return rows.select(
+        F.col("d.c0").alias("doc_id"), "size", F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"),
+        words.alias("taken"), F.size("taken_places").alias("passes"), F.transform("taken_places", lambda x: x["leaf"]).alias("out_shards"),
     )
-    plan = plan.withColumnRenamed("doc_id", "mix_key")
-    rows = docs.join(plan, docs[key].eqNullSafe(plan.mix_key)).drop("mix_key")
-    rows = rows.select("*", F.posexplode("mix.out_shards").alias("mix_pass", "mix_shard"))
-    cut = (F.col("mix.cut_words") > 0) & (F.col("mix_pass") + 1 == F.col("mix.passes"))
-    first = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1), F.lit(1), F.col("mix.cut_words").cast("int"))
-    rows = rows.withColumn(text, F.when(cut, F.concat_ws(" ", first)).otherwise(F.col(text)))
-    rows = rows.repartition(F.col("mix_shard"), F.pmod(F.xxhash64(key), F.lit(64)))
-    rows = rows.sortWithinPartitions("mix_shard", drawn(key, "mix_pass", stream=4), key)
-    return rows.select(docs.columns)
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The mixture itself: the columns of ``docs``, a row for each pass, dealt by output shard and shuffled inside.
+
+    The last pass of a row in which a source's quota ends is cut to its first words, so that the source meets its target.
+    What the mix takes of a row depends on the row alone, so texts are shuffled once, to their output shard.
+    """
+    plan = source_plan(_drawn_rows(docs, source, text, key))
+    rows = _with_plan(docs, plan, source, text, key)
+    rows = rows.select("d", "size", "draw", F.posexplode("taken_places").alias("pass", "x"))
+    rows = rows.repartition(F.col("x.leaf"), F.pmod(F.col("draw"), F.lit(64)))
+    rows = rows.sortWithinPartitions("x.leaf", drawn("draw", "pass", stream=4), "draw", "pass")
+    at = docs.columns.index(text)
+    body = F.col(f"d.c{at}")
+    first = F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), 1), F.lit(1), F.col("x.words").cast("int"))
+    cut = F.when(F.col("x.words") < F.col("size"), F.array_join(first, " ")).otherwise(body)
+    return rows.select(*[(cut if i == at else F.col(f"d.c{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslens.llm import decontam, langid, line_rules, linetree, mixing, pii, probminhash, quality_crf, sharding, urlgraph
+from corpuslens.llm.common import written
 
 SHARDS = 8
 
@@ -29,11 +31,11 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "covered", "item_tokens", "verbatim")
+    return written(found.select("doc_id", "item_id", "covered", "item_tokens", "verbatim"), "contaminated")
 
 
 def op5_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    return written(langid.identify(_table(spark, sf_dir, "documents")), "languages")
 
 
 def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +44,12 @@ def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mixture(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "passes")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "passes", F.array_join(F.col("out_shards").cast("array<string>"), ",").alias("out_shards"))
 
 
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality_crf.score_documents(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels")))
+    return written(quality_crf.score_documents(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels"))), "quality")
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,20 @@ def test_rebalancing_edits_few_slots(spark, empty):
     assert sharding.shard_records(empty, 8).count() == 0
 
 
+def test_a_stored_map_is_edited(spark, documents, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.shard_records(documents, 4, map_path=path)
+    slots = {(r.virtual_slot, r.shard) for r in first.collect()}
+    assert {r[0] for r in sharding.load_map(spark, path)} == {2} and {r[0] for r in sharding.load_map(spark, path, 1)} == {1}
+    again = sharding.shard_records(documents, 4, map_path=path)
+    assert {(r.virtual_slot, r.shard) for r in again.collect()} == slots and sharding.load_map(spark, path)[0][0] == 2
+    sizes = {r.virtual_slot: r.b for r in first.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
+    assert {r[1]: r[3] for r in sharding.load_map(spark, path) if r[2] == -1}.items() <= sizes.items()
+    grown = sharding.shard_records(documents, 5, map_path=path)
+    moved = {(r.virtual_slot, r.shard) for r in grown.collect()} - slots
+    assert len(moved) < 60 and sum(s == 4 for _, s in moved) >= len(moved) - 3 and sharding.load_map(spark, path)[0][0] == 3
+
+
 # 2 personal data
 
 PII_PATTERNS = {
@@ -197,6 +211,16 @@ def test_contexts_of_seeds_find_identifiers_without_base_pattern(spark, empty):
     assert pii.scan_documents(empty).count() == 0
 
 
+def test_secrets_are_found_by_context(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some words then token = "{key(i)}" and more', "en", "a") for i in range(20)]
+    rows += [(50, 'more words then token="Zx81-unseen-form-77", too', "en", "a"), (51, f"a commit {key(99)} alone", "en", "a")]
+    rows += [(60 + i, f"dial my number +1 (523) 555-10{i:02d} today", "en", "a") for i in range(12)] + [(90, "dial my number 020 7946 0958 today", "en", "a")]
+    got = {r.doc_id: r for r in pii.scan_documents(docs_of(spark, rows)).collect()}
+    assert got[3].spans == "ctx_secret:25:65" and got[51].spans == "" and got[50].spans == "ctx_secret:23:42"
+    assert got[90].spans == "ctx_phone:15:28"  # a run of numbers is one identifier
+
+
 # 3 quality rules
 
 
@@ -243,6 +267,27 @@ def test_a_hosts_limit_has_a_ceiling(spark):
     assert all(got[i].removed_lines == 1 for i in range(30)) and all(got[100 + i].removed_lines == 0 for i in range(30))
 
 
+def test_line_frequency_matches_brute_force(spark, documents, local):
+    limits = {"min_docs": 1, "host_share": 0.02, "most_docs": 5, "keep_words": 50}
+    norm = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" "))
+    seen, hosts = defaultdict(set), Counter(local.source)
+    lines = {i: [x for x in t.split("\n") if W.search(x)] for i, t in zip(local.doc_id, local.text, strict=True)}
+    for i, s in zip(local.doc_id, local.source, strict=True):
+        for x in lines[i]:
+            seen[s, norm(x)].add(i)
+    got = {r.doc_id: r for r in line_rules.line_verdicts(documents, **limits).collect()}
+    rejected = 0
+    for i, s, t in zip(local.doc_id, local.source, local.text, strict=True):
+        most = max(1, min(0.02 * hosts[s], 5))
+        gone = [x for x in lines[i] if len(seen[s, norm(x)]) > most]
+        n, left = base_counts(t)[0], base_counts(t)[0] - sum(len(W.findall(x)) for x in gone)
+        r = got[i]
+        assert (r.removed_lines, r.removed_words) == (len(gone), n - left)
+        assert r.kept == (not r.base_failed and left >= 0.3 * n and left >= 50)
+        rejected += not r.base_failed and not r.kept
+    assert sum(r.removed_lines for r in got.values()) > 0
+
+
 # 4 decontamination
 
 
@@ -264,9 +309,8 @@ def test_passages_and_reparameterised_questions_are_caught(spark, empty):
         (5, "x short item here now y", "en", "a"),
         (6, None, None, None),
     ]
-    for limit in (decontam.PREFILTER, 0):
-        got = decontam.contaminated(docs_of(spark, rows), bench, prefilter=limit).collect()
-        assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(1, 1, True), (2, 1, False), (5, 2, True)]
+    got = decontam.contaminated(docs_of(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(1, 1, True), (2, 1, False), (5, 2, True)]
     left = {r.doc_id for r in decontam.decontaminated(docs_of(spark, rows), bench).collect()}
     assert left == {3, 4, 6}
     assert decontam.contaminated(empty, bench).count() == 0
@@ -323,6 +367,27 @@ def test_grams_stay_inside_texts():
         assert doc.tolist() == [0, 2, 2]
 
 
+def test_filters_agree_with_plain_sets(documents, local):
+    """Masks hold every n-gram of each language; corrected counts are near those of plain sets, which decide alike."""
+    model = langid.train(documents)
+    rows = local[local.lang.notna() & np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in local.doc_id])]
+    of = lambda t: [bytes(g[i : i + 4]) for g in [b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in t.lower().encode()) + b" "] for i in range(len(g) - 3) if g[i : i + 4].strip()]
+    sets = {}
+    for lang, part in rows.groupby("lang"):
+        counts = Counter(g for t in part.text for g in set(of(t)))
+        sets[lang] = {g for g, c in counts.items() if c >= max(2, int(np.ceil(len(part) * 0.01)))}
+    assert sorted(sets) == model.languages and (rows.groupby("lang").size() <= langid.SAMPLE).all()
+    expected = {}
+    for i, t in zip(local.doc_id, local.text, strict=True):
+        g = of(t)
+        count = [sum(x in sets[lang] for x in g) for lang in model.languages]
+        expected[i] = (model.languages[int(np.argmax(count))], max(count) / max(1, len(g)))
+    for r in langid.identify(documents, model).collect():
+        if r.lang_pred != "und":
+            assert r.lang_pred == expected[r.doc_id][0] or expected[r.doc_id][1] < 0.2
+            assert abs(r.score - expected[r.doc_id][1]) < 0.05
+
+
 # 6 urls
 
 
@@ -373,6 +438,16 @@ def test_distrust_runs_against_links(spark):
     assert got["farm.info"].verdict == "block" and got["fine.info"].verdict == "allow"
 
 
+def test_hosts_without_rules_get_verdicts_from_their_domain(spark):
+    rows = [(i, f"http://w{i % 3}.bad.org/es/{i}", '<a href="/x">y</a>') for i in range(30)] + [(100, "http://quiet.bad.org/en/1", None), (101, "http://fine.good.net/en/1", None)]
+    rows += [(200 + i, f"http://w{i}.good.net/de/1", '<a href="y.html">y</a>') for i in range(5)]
+    got = {r.page_id: r for r in urlgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[100].rule is None and got[100].verdict == "block" and got[100].distrust > 0
+    assert got[101].rule is None and got[101].verdict == "allow" and got[101].trust > 0
+    edges = {(r.src, r.dst) for r in urlgraph.host_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {("w0.bad.org", "w0.bad.org"), ("w0.bad.org", "bad.org"), ("bad.org", "w0.bad.org")} <= edges and ("bad.org", "org") not in edges
+
+
 # 7 mixing
 
 
@@ -413,9 +488,14 @@ def test_mix_meets_targets(spark, documents, local, odd, empty):
 
 
 def test_splitting_tree_is_exact(spark, documents):
-    units = spark.range(800).select((F.col("id") % 7).cast("string").alias("source"), F.col("id").cast("int").alias("block"), F.lit(1).alias("pass"))
-    leaves = mixing.splitting_tree(units, 3).groupBy("out_shard").count().collect()
-    assert sorted(r["count"] for r in leaves) == [100] * 8
+    quotas = {f"s{i}": 40 + 30 * i for i in range(7)} | {None: 33}
+    got = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 3).toPandas()
+    leaves = got.groupby("leaf").places.sum()
+    assert len(leaves) == 8 and leaves.max() - leaves.min() <= 3 and leaves.sum() == sum(quotas.values())
+    for source, quota in quotas.items():
+        part = got[got.source.isna() if source is None else got.source == source].sort_values("begin")
+        assert part.begin.tolist() == [0, *part.places.cumsum()[:-1]] and part.places.sum() == quota
+        assert abs(part[part.leaf < 4].places.sum() - quota / 2) < 5 * quota**0.5  # a draw's spread
     mixed = mixing.mixed_documents(documents).groupBy("doc_id").count()
     plan = mixing.plan_mixture(documents).where("passes > 0").select("doc_id", "passes")
     assert mixed.join(plan, "doc_id").where("count != passes").count() == 0 and mixed.count() == plan.count()
@@ -514,8 +594,8 @@ def test_cross_links_match_pairs(spark, monkeypatch):
         sets.append((own, np.ones(len(own), np.int64) if i % 2 else rng.integers(1, 3, len(own))))
     label = [i % 5 for i in range(40)]
     names = [bytes([i]) for i in range(40)]
-    texts = spark.createDataFrame([(n, h.tobytes(), b"" if w.max() == 1 else w.tobytes()) for n, (h, w) in zip(names, sets)], "key binary, shingles binary, counts binary")
-    rows = spark.createDataFrame([(1, n, bytes([x]), len(h)) for n, x, (h, _) in zip(names, label, sets)], "band long, key binary, label binary, n_shingles long")
+    texts = spark.createDataFrame([(n, h.tobytes(), b"" if w.max() == 1 else w.tobytes(), len(h)) for n, (h, w) in zip(names, sets)], "key binary, shingles binary, counts binary, n_shingles long")
+    rows = spark.createDataFrame([(1, n, bytes([x])) for n, x in zip(names, label)], "band long, key binary, label binary")
     got = {frozenset(r) for r in probminhash.cross_links(rows, texts, 0.8).collect()}
     sims = {(i, j): probminhash.probability_jaccard(*sets[i], *sets[j]) for i in range(40) for j in range(i)}
     expected = {frozenset([names[i], names[j]]) for (i, j), x in sims.items() if label[i] != label[j] and x >= 0.8}
@@ -525,17 +605,20 @@ def test_cross_links_match_pairs(spark, monkeypatch):
     assert all(shared[i, j] == len(np.intersect1d(sets[i][0], sets[j][0])) for i, j in sims)
 
 
-def test_selective_bands_miss_no_more_than_the_first():
-    miss = lambda bands, rows: (1 - probminhash.THRESHOLD**rows) ** bands
-    assert miss(probminhash.FINE_BANDS, probminhash.FINE_ROWS) <= miss(probminhash.BANDS, probminhash.ROWS)
-    rng, sets = np.random.default_rng(1), []
-    for _ in range(500):  # pairs at 0.8; bands of 12 rows miss one of them
-        x = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
-        sets += [np.sort(x[:54]), np.sort(np.concatenate([x[:48], x[54:]]))]
-    rows = {"key": [str(i).encode() for i in range(1000)], "shingles": [x.tobytes() for x in sets], "counts": [b""] * 1000}
-    got = probminhash._fine_bands(iter(pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in rows.items()}).slice(i, 100) for i in range(0, 1000, 100)))
-    bands = np.concatenate([x.column("bands").flatten().to_numpy().reshape(-1, probminhash.FINE_BANDS) for x in got])
-    assert (bands[::2] == bands[1::2]).any(axis=1).all()
+@pytest.mark.parametrize("n", [2, 3, 17, 40])
+def test_no_link_of_a_bucket_is_lost(spark, n):
+    """Members that lie too far from any one leader, and pairs among them at 0.8 or more: buckets of every size."""
+    rng = np.random.default_rng(n)
+    base, rows = [f"t{i}" for i in range(150)], []
+    for i in range(n):
+        words = list(base)
+        for j in rng.choice(150, 5, replace=False):
+            words[j] = f"u{i}v{j}"
+        rows.append((2 * i, " ".join(words)))
+        words[rng.integers(0, 150)] = "twin"
+        rows.append((2 * i + 1, " ".join(words)))
+    got = probminhash.near_duplicates(docs_of(spark, [(i, t, None, None) for i, t in rows])).toPandas()
+    assert {r.doc_id: r.class_id for r in got.itertuples()} == brute_classes(dict(rows))
 
 
 def test_classes_match_brute_force(spark, local, odd, empty):
@@ -585,6 +668,58 @@ def test_recurring_lines_of_a_frequent_leaf_are_dropped(spark):
     assert all(got[i].n_dropped == 0 for i in range(676))
 
 
+def test_templates_match_brute_force(spark, documents, local):
+    """Leaves, supports, templates and their documents by plain dictionaries."""
+    mask = lambda w: "<v>" if re.search("[0-9]", w) else w
+    lines = [(i, n, tuple(mask(w) for w in W.findall(x))) for i, t in zip(local.doc_id, local.text, strict=True) for n, x in enumerate(t.split("\n"))]
+    lines = [(i, n, x, (len(x), x[:3])) for i, n, x in lines if len(x) >= linetree.MIN_TOKENS]
+    docs_in, rows_in, support = defaultdict(set), Counter(), Counter()
+    for i, _, x, leaf in lines:
+        docs_in[leaf].add(i)
+        rows_in[leaf] += 1
+        support.update((leaf, p, w) for p, w in enumerate(x))
+    recur = defaultdict(set)
+    templates = {}
+    for i, n, x, leaf in lines:
+        if len(docs_in[leaf]) < 10:
+            continue
+        held = [(p, w) for p, w in enumerate(x) if w != "<v>" and support[leaf, p, w] >= 10]
+        wide = [(p, w) for p, w in held if support[leaf, p, w] >= 0.02 * rows_in[leaf]]
+        templates[i, n] = {(leaf, tuple(f)) for f in (held, wide) if f and len(f) >= 0.6 * len(x)}
+        for t in templates[i, n]:
+            recur[t].add(i)
+    gone = {k for k, v in templates.items() if any(len(recur[t]) >= 10 for t in v)}
+    got = {(r.doc_id, int(n)) for r in linetree.line_report(documents).collect() for n in r.dropped.split(",") if n}
+    assert got == gone and gone
+
+
+# every operator
+
+CLASHES = ["mix", "mix_pass", "mix_shard", "gone", "gone_id", "gone_lines", "d", "p", "x", "draw", "size", "k", "key", "band", "row", "number", "place", "lines", "fit", "words", "leaf", "words_gone", "bad_id", "host"]
+
+
+def test_clashing_columns_and_text_keys(spark):
+    """Tables of documents with columns that operators use inside, and with keys that are texts."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    plain = spark.createDataFrame([(i, f"words of row {i} are here for all " + "to read and keep " * (i % 4), "en", "a") for i in range(12)] + [(99, None, None, None)], "doc_id long, text string, lang string, source string")
+    wide = plain.select("*", *[F.lit(1).alias(c) for c in CLASHES])
+    for docs in (wide.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string"))),):
+        n = docs.count()
+        for out in (langid.accepted(docs), probminhash.deduplicated(docs), decontam.decontaminated(docs, bench), mixing.mixed_documents(docs), linetree.cleaned_documents(docs), line_rules.cleaned_documents(docs)):
+            assert out.columns == docs.columns and out.count() <= 2 * n
+        for out in (sharding.shard_records(docs), pii.scan_documents(docs), line_rules.line_verdicts(docs), langid.identify(docs), mixing.plan_mixture(docs), probminhash.near_duplicates(docs), linetree.line_report(docs), pii.masked_documents(docs)):
+            assert out.count() == n
+
+
+def test_repeated_rows_keep_the_mix_at_its_target(spark):
+    rows = [(i % 10, "w " * (i % 10 + 5), "en", "a" if i % 10 < 4 else "b") for i in range(100)]
+    docs = docs_of(spark, rows)
+    plan = mixing.plan_mixture(docs).toPandas()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == plan.taken.sum()
+    assert abs(plan.taken.sum() - 1.5 * plan["size"].sum()) <= 2 * 10 * 2  # equal rows share what is left at each source's end
+
+
 # the pipeline
 
 
