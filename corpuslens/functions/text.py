@@ -110,3 +110,30 @@ def calibrated(score: Column, temperature: float = 1.0, bias: float = 0.0, eps:
 def content_id(*parts: Column) -> Column:
     """Identity derived from content: SHA-256 of the parts joined by a unit separator."""
     return F.sha2(F.concat_ws("\u001f", *[p.cast("string") for p in parts]), 256)
+
+
+#: What ``redacted`` masks, in this order; cards are checked besides.  Fixed values: the words that end a street address.
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Pl|Highway|Hwy"
+_EMAIL = r"(?<![\w.+-])[\w.+-]++@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
+_ADDRESS = rf"(?i)\b\d{{1,6}}\s+[A-Za-z0-9.' -]{{2,80}}\s+(?:{_STREETS})\b\.?"
+_IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9.])"
+_CARD = r"(?<!\d)\d(?:[ -]*\d){12,18}(?!\d)"
+_PHONE = r"(?<!\w)\+\d[\d\s().-]{7,20}\d(?!\w)"
+
+
+def luhn_valid(number: Column) -> Column:
+    """13 to 19 digits, not all the same, that pass Luhn's check; other characters are ignored."""
+    digits = F.transform(F.regexp_extract_all(F.reverse(number), F.lit("([0-9])"), 1), lambda c: c.cast("int"))
+    parts = F.transform(digits, lambda v, i: F.when(i % 2 == 0, v).otherwise((v * 2) % 10 + F.floor(v / 5).cast("int")))
+    total = F.aggregate(parts, F.lit(0), lambda a, v: a + v)
+    return F.size(digits).between(13, 19) & (F.size(F.array_distinct(digits)) > 1) & (total % 10 == 0)
+
+
+def redacted(text: Column) -> Column:
+    """``text`` with e-mail addresses, street addresses, IPv4 addresses, payment cards and phone numbers masked."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _EMAIL, "[REDACTED_EMAIL]")
+    t = F.regexp_replace(t, _ADDRESS, "[REDACTED_ADDRESS]")
+    t = F.regexp_replace(t, _IP, "[REDACTED_IP]")
+    found = F.concat(F.regexp_extract_all(t, F.lit(f"({_CARD})"), 1), F.array(F.lit("")))
+    kept = F.zip_with(F.split(t, _CARD, -1), found, lambda gap, x: F.concat(gap, F.when(luhn_valid(x), "[REDACTED_PAYMENT_CARD]").otherwise(x)))
+    return F.regexp_replace(F.array_join(kept, ""), _PHONE, "[REDACTED_PHONE]")

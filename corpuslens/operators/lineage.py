@@ -1,15 +1,34 @@
-"""Cutting the lineage of iterated tables."""
+"""Cutting the lineage of iterated and reused tables, and joins with tables of checked size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` to the folder in spark.checkpoint.dir; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """Writes ``df`` to the folder in spark.checkpoint.dir and reads it back: computed once, safe against lost executors.
+
+    A folder of its own is used only where none is set and Spark runs in one process (tests).
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` for a join: broadcast if it has up to BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table

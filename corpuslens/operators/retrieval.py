@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import field_tokens, index_tokens
-from corpuslens.operators.lineage import cut
+from corpuslens.operators.lineage import cut, small
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``key, term, tf``: one shuffle on (key, term), summed before it."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``key, term, tf`` of each row.  Counted inside the row, in its sorted tokens, so nothing is shuffled."""
+    rows = docs.select(key, F.array_sort(tokens).alias("t")).where(F.size("t") > 0)
+    n = F.size("t")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    rows = rows.select(key, "t", starts.alias("s"))
+    ends = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(n + 1))
+    each = F.zip_with("s", ends, lambda a, b: F.struct(F.element_at("t", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.term", "x.tf")
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", tokens: Column | None = None) -> DataFrame:
@@ -21,30 +28,38 @@ def build_index(docs: DataFrame, key: str = "doc_id", tokens: Column | None = No
 
     idf = ln((1 + N) / (1 + df)) + 1; weight = (1 + ln tf) idf; norm = root of the sum of squared weights.
     """
-    tf = term_counts(docs, key, index_tokens(F.col("text")) if tokens is None else tokens)
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weighted = tf.join(idf, "term").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
+    tf, idf = _term_tables(docs, key, index_tokens(F.col("text")) if tokens is None else tokens)
+    weighted = tf.join(small(idf), "term").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return weighted.join(norms, key)
 
 
-def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id", n: int = 3, tokens: Callable = index_tokens) -> DataFrame:
-    """``query_id, term, qtf`` from the first ``n`` tokens of each query text."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(F.slice(tokens(F.col(text)), 1, n)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def _term_tables(docs: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """Written tables of ``key, term, tf`` and ``term, df, idf``: texts are tokenised once."""
+    tf = cut(term_counts(docs, key, tokens))
+    n = docs.agg(F.count("*").alias("n"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return tf, cut(df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # one row
+
+
+def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id", tokens: Callable = index_tokens) -> DataFrame:
+    """``query_id, term, qtf`` of each whole query text."""
+    return queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def search(queries: DataFrame, docs: DataFrame, ranks: DataFrame | None = None, top_k: int = 10, lexical_weight: float = 0.85) -> DataFrame:
     """TF-IDF cosine blended with rank: ``query_id, doc_id, position, cosine, score``.
 
-    Only postings of query terms reach the scoring join; norms come from the whole index.
+    Texts are tokenised once.  Norms are one sum over the postings by document; only postings of query terms, which are
+    broadcast while they are few, reach the scoring join.
     """
-    index = build_index(docs)
-    idf = index.select("term", "idf").distinct()
-    q = queries.join(idf, "term").withColumn("qw", (1 + F.log("qtf")) * F.col("idf")).drop("idf")
+    tf, idf = _term_tables(docs, "doc_id", index_tokens(F.col("text")))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    norms = tf.join(small(idf), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    q = cut(queries.join(idf, "term").withColumn("qw", (1 + F.log("qtf")) * F.col("idf")))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = q.join(index, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    hits = tf.join(small(q.select("query_id", "term", "qw", "idf")), "term")
+    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * weight).alias("dot")).join(norms, "doc_id")
     cosine = F.least(F.lit(1.0), F.col("dot") / (F.col("norm") * F.col("qnorm")))
     hits = dots.join(qn, "query_id").withColumn("cosine", F.round(cosine, 9))
     if ranks is None:
@@ -65,7 +80,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     tf = term_counts(docs, key, field_tokens(F.col(text))).withColumnRenamed(key, "doc_id")
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(field_tokens(F.col(text))).alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    hits = tf.join(queries, "term")  # all postings of query terms, so document frequencies are whole
+    hits = cut(tf.join(small(cut(queries)), "term"))  # all postings of query terms, so document frequencies are whole
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     hits = hits.join(df, ["query_id", "term"]).join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -128,20 +143,24 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` most similar vectors of each stated query: ``query_id, vec_id, similarity, position``.
 
-    Queries are a stated set, sent to all tasks while their number is checked to be within 10,000; vectors stay where
-    they are and each task keeps ``k`` rows a query before the shuffle.
+    Queries are a stated set against all vectors: they are sent to the tasks in blocks of at most 10,000, while vectors
+    stay where they are and each task keeps ``k`` rows a query before the shuffle.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    size = q.limit(10_001).count()
-    pairs = vectors.join(F.broadcast(q) if size <= 10_000 else q, F.col(key) != F.col("query_id"))
+    blocks = -(-q.count() // 10_000)
+    if blocks > 1:
+        q = cut(q.withColumn("block", F.ntile(blocks).over(Window.orderBy("query_id"))))
+    parts = [F.broadcast(q.where(F.col("block") == i + 1).drop("block") if blocks > 1 else q) for i in range(max(1, blocks))]
+    pairs = reduce(DataFrame.unionByName, [vectors.join(p, F.col(key) != F.col("query_id")) for p in parts])
     scored = pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col(vector)), 9).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, keep: Callable = cut) -> DataFrame:
-    """``node, rank`` after a number of rounds; mass at nodes without edges is spread evenly; the sum is 1.
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, keep: Callable = cut, tolerance: float = 0.0) -> DataFrame:
+    """``node, rank``; mass at nodes without edges is spread evenly; the sum is 1.
 
+    Stops after ``rounds``, or once a round changes the ranks by less than ``tolerance`` in sum.
     ``keep`` is applied each round to cut the lineage, for a round uses the ranks twice.
     """
     edges = edges.select("src", "dst").distinct()
@@ -153,10 +172,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
     for _ in range(rounds):
         sink = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(damping * F.col("rank") / F.col("out")).alias("got"))
-        rank = keep(
+        new = keep(
             sizes.join(got, sizes.node == got.dst, "left")
             .crossJoin(F.broadcast(sink))  # one row
             .select("node", "sink", (F.lit((1 - damping) / n) + damping * F.col("lost") / n + F.coalesce("got", F.lit(0.0))).alias("rank"))
         )
+        moved = tolerance and new.join(rank.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        rank = new
+        if tolerance and (moved or 0.0) < tolerance:
+            break
     total = rank.agg(F.sum("rank").alias("total"))
     return rank.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))  # one row

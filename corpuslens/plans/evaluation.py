@@ -123,8 +123,8 @@ def g10_exact_and_f1(spark, d):
 @query(
     "g13_chrf",
     f"""with {_PAIRS}, c as (select conv_id, turn, replace(a, ' ', '') as a, replace(b, ' ', '') as b from t),
-        g as (select conv_id, turn, n, 'a' as side, unnest(list_transform(range(1, greatest(length(a) - n + 2, 1)), lambda i: a[i:i + n - 1])) as gram from c, range(1, 4) r(n)
-              union all select conv_id, turn, n, 'b', unnest(list_transform(range(1, greatest(length(b) - n + 2, 1)), lambda i: b[i:i + n - 1])) from c, range(1, 4) r(n)),
+        g as (select conv_id, turn, n, 'a' as side, unnest(list_transform(range(1, greatest(length(a) - n + 2, 1)), lambda i: a[i:i + n - 1])) as gram from c, range(1, 7) r(n)
+              union all select conv_id, turn, n, 'b', unnest(list_transform(range(1, greatest(length(b) - n + 2, 1)), lambda i: b[i:i + n - 1])) from c, range(1, 7) r(n)),
         k as (select conv_id, turn, n, gram, count(*) filter (side = 'a') as na, count(*) filter (side = 'b') as nb from g group by all),
         s as (select conv_id, turn, n, sum(least(na, nb)) / greatest(sum(na), 1) as p, sum(least(na, nb)) / greatest(sum(nb), 1) as r from k group by all),
         m as (select conv_id, turn, avg(p) as p, avg(r) as r from s group by all)
@@ -133,7 +133,7 @@ def g10_exact_and_f1(spark, d):
 def g13_chrf(spark, d):
     p = answer_pairs(spark, d).select("conv_id", "turn", *[F.regexp_replace(c, " ", "").alias(c) for c in ("a", "b")])
     def grams(side):  # noqa: E306
-        n = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")
+        n = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")
         rows = p.select("conv_id", "turn", side, n).where(F.length(side) >= F.col("n"))
         at = F.explode(F.sequence(F.lit(1), F.length(side) - F.col("n") + 1)).alias("at")
         g = rows.select("conv_id", "turn", "n", side, at).select("conv_id", "turn", "n", F.substring(F.col(side), F.col("at"), F.col("n")).alias("gram"))
@@ -144,12 +144,15 @@ def g13_chrf(spark, d):
     return m.select("conv_id", "turn", F.round(F.when(F.col("p") + F.col("r") > 0, 5 * F.col("p") * F.col("r") / (4 * F.col("p") + F.col("r"))).otherwise(0.0), 6).alias("chrf"))
 
 
-@query("g14_ocr_stress", f"with {_PAIRS} select conv_id, turn, round(levenshtein(x[1:200], y[1:200]) / greatest(length(x[1:200]), 1), 6) as char_error, a = b as exact from (select *, regexp_replace(a, '[^ -~]', '?', 'g') as x, regexp_replace(b, '[^ -~]', '?', 'g') as y from t)")
+@query("g14_ocr_stress", f"with {_PAIRS} select conv_id, turn, round(levenshtein(x, y) / greatest(length(x), 1), 6) as char_error, a = b as exact, round(len(list_intersect(ta, tb)) / greatest(len(tb), 1), 6) as precision, round(len(list_intersect(ta, tb)) / greatest(len(ta), 1), 6) as recall from (select * replace (list_distinct(ta) as ta, list_distinct(tb) as tb), regexp_replace(a, '[^ -~]', '?', 'g') as x, regexp_replace(b, '[^ -~]', '?', 'g') as y from t)")
 def g14_ocr_stress(spark, d):
-    """Errors in the first line of each pair: the measured region is 200 characters."""
+    """Character errors, exact matches, and precision and recall of distinct tokens, over whole texts."""
     p = answer_pairs(spark, d)
-    a, b = (F.substring(F.regexp_replace(c, "[^ -~]", "?"), 1, 200) for c in ("a", "b"))
-    return p.select("conv_id", "turn", F.round(F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1)), 6).alias("char_error"), (F.col("a") == F.col("b")).alias("exact"))
+    a, b = (F.regexp_replace(c, "[^ -~]", "?") for c in ("a", "b"))
+    ta, tb = (F.array_distinct(c) for c in ("ta", "tb"))
+    shared = F.size(F.array_intersect(ta, tb))
+    of = lambda t, name: F.round(shared / F.greatest(F.size(t), F.lit(1)), 6).alias(name)
+    return p.select("conv_id", "turn", F.round(F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1)), 6).alias("char_error"), (F.col("a") == F.col("b")).alias("exact"), of(tb, "precision"), of(ta, "recall"))
 
 
 @query(

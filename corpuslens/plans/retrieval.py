@@ -13,7 +13,7 @@ _INDEX = f"""tf as (select doc_id, term, count(*) as tf from (select doc_id, unn
   idf as (select term, count(*) as df, ln((1 + (select count(*) from documents)) / (1.0 + count(*))) + 1 as idf from tf group by 1),
   post as (select doc_id, term, tf, (1 + ln(tf)) * idf as weight from tf join idf using (term)),
   norms as (select doc_id, sqrt(sum(weight * weight)) as norm from post group by 1)"""
-_QUERIES = f"""q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({TOKENS_SQL}[1:3]) as term from benchmark) group by 1, 2)"""
+_QUERIES = f"""q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({TOKENS_SQL}) as term from benchmark) group by 1, 2)"""
 _SEARCH = f"""{_INDEX}, {_QUERIES}, qw as (select query_id, term, (1 + ln(qtf)) * idf as qw from q join idf using (term)),
   qn as (select query_id, sqrt(sum(qw * qw)) as qnorm from qw group by 1),
   dots as (select query_id, doc_id, sum(qw * weight) as dot from qw join post using (term) group by 1, 2),
@@ -126,7 +126,7 @@ def d8_sparse_fields(spark, d):
 
 
 _BM25 = f"""tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({FIELD_TOKENS_SQL}) as term from documents) group by 1, 2),
-  q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({FIELD_TOKENS_SQL}[1:4]) as term from benchmark) group by 1, 2),
+  q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({FIELD_TOKENS_SQL}) as term from benchmark) group by 1, 2),
   len as (select doc_id, len({FIELD_TOKENS_SQL}) as len from documents), st as (select count(*) as n, greatest(avg(len), 1.0) as al from len),
   df as (select query_id, term, count(*) as df from tf join q using (term) group by 1, 2),
   raw as (select query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(len, 1) / al))) as raw
@@ -136,7 +136,7 @@ _BM25 = f"""tf as (select doc_id, term, count(*) as tf from (select doc_id, unne
 
 
 def _bm25(spark, d):
-    q = _queries(spark, d, n=4, tokens=field_tokens)
+    q = _queries(spark, d, tokens=field_tokens)
     return R.bm25(q, table(spark, d, "documents"))
 
 
@@ -154,14 +154,14 @@ _WEIGHTS = {"title": 2.5, "content": 1.0}
         post as (select owner_id, doc_id, field_id, field_type, term, count(*) as tf from toks group by all),
         len as (select owner_id, field_id, field_type, len({_FTOK}) as len from fields), av as (select owner_id, field_type, avg(len) as al from len group by 1, 2),
         nd as (select owner_id, count(distinct doc_id) as n from fields group by 1),
-        q as (select distinct item_id as query_id, 'src' || item_id % 20 as owner_id, unnest({FIELD_TOKENS_SQL}[1:4]) as term from benchmark),
+        q as (select distinct item_id as query_id, 'src' || item_id % 20 as owner_id, unnest({FIELD_TOKENS_SQL}) as term from benchmark),
         hits as (select * from post join q using (owner_id, term)), df as (select query_id, term, count(distinct doc_id) as df from hits group by 1, 2),
         s as (select query_id, doc_id, sum(case when field_type = 'title' then 2.5 else 1.0 end * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(al, 1.0)))) as score
           from hits join df using (query_id, term) join len using (owner_id, field_id, field_type) join av using (owner_id, field_type) join nd using (owner_id) group by 1, 2)
         select query_id, doc_id, position, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id desc) as position from s) where position <= 10""",
 )
 def d10_fielded_search(spark, d):
-    q = _queries(spark, d, n=4, tokens=field_tokens).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("owner_id"), "term")
+    q = _queries(spark, d, tokens=field_tokens).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("owner_id"), "term")
     hits = R.fielded_search(q, R.sparse_fields(table(spark, d, "documents")), _WEIGHTS)
     return hits.select("query_id", "doc_id", "position", F.round("score", 6).alias("score"))
 
@@ -242,7 +242,7 @@ def d17_matryoshka(spark, d):
 
 @query("c1_postings_join", f"with {_BM25} select query_id, count(*) as n_hits, sum(tf)::bigint as n_tokens from tf join q using (term) group by 1")
 def c1_postings_join(spark, d):
-    q = _queries(spark, d, n=4, tokens=field_tokens)
+    q = _queries(spark, d, tokens=field_tokens)
     tf = R.term_counts(table(spark, d, "documents"), "doc_id", field_tokens(F.col("text")))
     return tf.join(q, "term").groupBy("query_id").agg(F.count("*").alias("n_hits"), F.sum("tf").alias("n_tokens"))
 

@@ -207,7 +207,7 @@ def _flag_sql(k):
 
 @query(
     "b20_query_analysis",
-    f"""with q as (select conv_id, turn, {FIELD_TOKENS_SQL}[1:1000] as t from conversations where role = 'user'),
+    f"""with q as (select conv_id, turn, {FIELD_TOKENS_SQL} as t from conversations where role = 'user'),
         f as (select *, {", ".join(f"{_flag_sql(k)} as {k}" for k in _FLAGS)} from q)
         select conv_id, turn, len(t) as n_tokens, round(least((least(len(t) / 40.0, 1.0) + case when comparative then 0.22 else 0 end
             + case when temporal then 0.18 else 0 end + case when quantitative then 0.18 else 0 end + case when explanatory then 0.12 else 0 end) / 1.6, 1.0), 6) as complexity,
@@ -216,7 +216,7 @@ def _flag_sql(k):
 )
 def b20_query_analysis(spark, d):
     c = table(spark, d, "conversations").where("role = 'user'")
-    t = c.select("conv_id", "turn", F.slice(X.field_tokens(F.col("text")), 1, 1000).alias("t"))
+    t = c.select("conv_id", "turn", X.field_tokens(F.col("text")).alias("t"))
     t = t.select("*", *[F.arrays_overlap("t", F.array(*[F.lit(w) for w in v.split()])).alias(k) for k, v in _FLAGS.items()])
     points = F.least(F.size("t") / 40.0, F.lit(1.0))
     for k, w in (("comparative", 0.22), ("temporal", 0.18), ("quantitative", 0.18), ("explanatory", 0.12)):
