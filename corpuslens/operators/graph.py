@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import content_id
 from corpuslens.operators.lineage import cut
 
 
@@ -54,3 +56,51 @@ def beliefs(events: DataFrame, claim: str, source: str, strength: Column, suppor
     g = best.groupBy(claim).agg(gather(F.col("_for")).alias("support"), gather(~F.col("_for")).alias("contradiction"))
     gap = F.col("support") - F.col("contradiction")
     return g.withColumn("status", F.when(F.abs(gap) < margin, "conflicted").when(gap > 0, "supported").otherwise("contradicted"))
+
+
+def upstream(edges: DataFrame, roots: DataFrame, most: int, keep: Callable = cut) -> DataFrame:
+    """``root, node, depth`` of the nodes from which each root is reached in up to ``most`` hops."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return hops(back, roots, most, keep, origins=True).where("depth > 0")
+
+
+def weighted_paths(edges: DataFrame, sources: DataFrame, weight: str, most: int) -> DataFrame:
+    """Directed paths without repeats from each source: ``src, dst, path, hops, length`` with the summed ``weight``."""
+    e = edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(weight).alias("w"))
+    front = sources.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.array("node").alias("path"), F.lit(0).alias("hops"), F.lit(0.0).alias("length"))
+    found = []
+    for n in range(1, most + 1):
+        step = front.join(e, front.dst == e.a).where(~F.array_contains("path", F.col("b")))
+        front = step.select("src", F.col("b").alias("dst"), F.concat("path", F.array("b")).alias("path"), F.lit(n).alias("hops"), (F.col("length") + F.col("w")).alias("length"))
+        found.append(front)
+    return reduce(DataFrame.unionByName, found)
+
+
+def scored_paths(edges: DataFrame, seeds: DataFrame, most: int, top: int) -> DataFrame:
+    """The best ``top`` ends of undirected paths from each seed: ``seed, dst, score, position``.
+
+    A path's score is the product of its edges' ``confidence`` over 1 + 0.15 times its length; an end has its best path's.
+    """
+    both = edges.select("src", "dst", "confidence").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence"))
+    both = both.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.max("confidence").alias("c"))
+    front = seeds.select(F.col("node").alias("seed"), F.col("node").alias("dst"), F.array("node").alias("path"), F.lit(1.0).alias("score"))
+    found = []
+    for n in range(1, most + 1):
+        step = front.join(both, front.dst == both.a).where(~F.array_contains("path", F.col("b")))
+        front = step.select("seed", F.col("b").alias("dst"), F.concat("path", F.array("b")).alias("path"), (F.col("score") * F.col("c")).alias("score"))
+        found.append(front.select("seed", "dst", (F.col("score") / (1 + 0.15 * n)).alias("score")))
+    best = reduce(DataFrame.unionByName, found).groupBy("seed", "dst").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("seed").orderBy(F.desc(F.round("score", 9)), "dst")
+    return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
+
+
+def document_graph(docs: DataFrame, owner: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Typed nodes ``type, id, key`` of documents and of their lines with text, and the edges between them.
+
+    Ids are derived from content (owner, key, type and line number), so reruns agree.
+    """
+    document = content_id(F.col(owner), F.col(key), F.lit("document"))
+    lines = docs.select(owner, key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).where(F.trim(F.col("line"), F.lit(" \t\r")) != "")
+    section = content_id(F.col(owner), F.col(key), F.lit("section"), F.col("n"))
+    nodes = docs.select(F.lit("document").alias("type"), document.alias("id"), F.col(key).alias("key")).unionByName(lines.select(F.lit("section").alias("type"), section.alias("id"), F.col(key).alias("key")))
+    return nodes, lines.select(F.lit("contains").alias("type"), content_id(document, section).alias("id"), document.alias("src"), section.alias("dst"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import content_id
@@ -58,3 +58,16 @@ def semantic_chunks(docs: DataFrame, most: int = 1200, key: str = "doc_id", text
                 )
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, chunk_no int, chunk string")
+
+
+def seeded_order(rows: DataFrame, key: str, seed: int, epoch: int, ranges: int = 256) -> DataFrame:
+    """``key, nth``: a repeatable random order of an epoch, from 1; a run resumes at any place in it.
+
+    Draws fall into ``ranges`` ranges; counts of the ranges place each, and rows are ordered inside their range only.
+    """
+    draw = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
+    drawn = rows.select(key, draw.alias("_draw"), F.pmod(F.shiftrightunsigned(draw, 32), F.lit(ranges)).cast("int").alias("_range"))
+    counts = drawn.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # ranges rows
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_draw", key))
+    return drawn.withColumn("_place", place).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_place")).alias("nth"))

@@ -140,6 +140,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def vectors_against(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every vector beside every query of a stated set, which is sent to the tasks in blocks of at most 10,000."""
+    blocks = max(1, -(-queries.count() // 10_000))
+    if blocks > 1:
+        queries = cut(queries.withColumn("_block", F.ntile(blocks).over(Window.orderBy(queries.columns[0]))))
+    parts = [F.broadcast(queries.where(F.col("_block") == i + 1).drop("_block") if blocks > 1 else queries) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [vectors.join(p) for p in parts])
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` most similar vectors of each stated query: ``query_id, vec_id, similarity, position``.
 
@@ -147,11 +156,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_
     stay where they are and each task keeps ``k`` rows a query before the shuffle.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    blocks = -(-q.count() // 10_000)
-    if blocks > 1:
-        q = cut(q.withColumn("block", F.ntile(blocks).over(Window.orderBy("query_id"))))
-    parts = [F.broadcast(q.where(F.col("block") == i + 1).drop("block") if blocks > 1 else q) for i in range(max(1, blocks))]
-    pairs = reduce(DataFrame.unionByName, [vectors.join(p, F.col(key) != F.col("query_id")) for p in parts])
+    pairs = vectors_against(q, vectors).where(F.col(key) != F.col("query_id"))
     scored = pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col(vector)), 9).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
