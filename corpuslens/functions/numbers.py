@@ -33,3 +33,21 @@ def convert(df: DataFrame, value: str, unit: str, target: Column, out: str) -> D
     si = F.col(value) * F.col("_s1") + F.col("_o1")
     done = j.withColumn(out, F.when(F.col("_d1") == F.col("_d2"), (si - F.col("_o2")) / F.col("_s2")))
     return done.drop("_target", "_u1", "_d1", "_s1", "_o1", "_u2", "_d2", "_s2", "_o2")
+
+
+def product(df: DataFrame, left: tuple[str, str, str], right: tuple[str, str, str]) -> DataFrame:
+    """Adds ``value, dimension, uncertainty``: two quantities (value, unit, uncertainty columns) multiplied in SI units.
+
+    Powers of equal dimensions add up; relative uncertainties add as a root sum of squares; unknown units give null.
+    """
+    units = df.sparkSession.createDataFrame(UNITS, "u string, dimension string, scale double, shift double")
+    for i, (_, unit, _) in enumerate((left, right)):
+        side = units.select(F.col("u").alias(f"_u{i}"), F.col("dimension").alias(f"_d{i}"), F.col("scale").alias(f"_s{i}"), F.col("shift").alias(f"_o{i}"))
+        df = df.join(F.broadcast(side), F.col(unit) == F.col(f"_u{i}"), "left")  # the units of UNITS
+    si = [F.col(v) * F.col(f"_s{i}") + F.col(f"_o{i}") for i, (v, _, _) in enumerate((left, right))]
+    error = [F.col(e) * F.col(f"_s{i}") for i, (_, _, e) in enumerate((left, right))]
+    first, second = F.least("_d0", "_d1"), F.greatest("_d0", "_d1")
+    powers = F.when(F.col("_d0") == F.col("_d1"), F.concat("_d0", F.lit("2"))).otherwise(F.concat(first, F.lit("1 "), second, F.lit("1")))
+    spread = F.sqrt(F.pow(error[0] * si[1], 2) + F.pow(error[1] * si[0], 2))
+    out = df.withColumn("value", si[0] * si[1]).withColumn("dimension", powers).withColumn("uncertainty", spread)
+    return out.drop(*[f"_{c}{i}" for c in "udso" for i in (0, 1)])

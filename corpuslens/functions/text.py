@@ -137,3 +137,16 @@ def redacted(text: Column) -> Column:
     found = F.concat(F.regexp_extract_all(t, F.lit(f"({_CARD})"), 1), F.array(F.lit("")))
     kept = F.zip_with(F.split(t, _CARD, -1), found, lambda gap, x: F.concat(gap, F.when(luhn_valid(x), "[REDACTED_PAYMENT_CARD]").otherwise(x)))
     return F.regexp_replace(F.array_join(kept, ""), _PHONE, "[REDACTED_PHONE]")
+
+
+def pseudonym(identity: Column, secret: str) -> Column:
+    """Keyed pseudonym: the secret goes into an inner and an outer SHA-256, so an identity can't be tried without it."""
+    inner = F.sha2(F.concat(F.lit(secret), identity.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(secret), inner), 256)
+
+
+def bibtex(kind: str, key: Column, fields: dict[str, Column]) -> Column:
+    """One BibTeX entry; special characters of the values are escaped and line breaks become spaces."""
+    escape = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\r\n\t ]+", " "), r"([&%$#_{}])", r"\\$1")
+    lines = [F.concat(F.lit(f"  {name} = {{"), escape(value), F.lit("}")) for name, value in fields.items()]
+    return F.concat(F.lit(f"@{kind}{{"), key.cast("string"), F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))

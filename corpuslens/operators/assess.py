@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def linear_ranks(features: DataFrame, weights: dict[str, float], group: str, item: str) -> DataFrame:
@@ -181,7 +182,7 @@ def pareto_frontier(points: DataFrame, best_high: Sequence[str], best_low: Seque
     return points.mapInPandas(local, points.schema).coalesce(1).mapInPandas(local, points.schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of two token arrays."""
 
@@ -207,3 +208,38 @@ def snippet(text: Column, terms: Column, before: int = 180, after: int = 420) ->
     start = F.when(start > 1, start - F.coalesce(F.length(F.regexp_extract(F.substring(text, F.lit(1), start - 1), r"(\S*)$", 1)), F.lit(0))).otherwise(start)
     rest = F.length(F.regexp_extract(F.substring(text, end, F.length(text)), r"^(\S*)", 1))
     return F.trim(F.substring(text, start, end - start + rest))
+
+
+def promotion_reasons(gains: dict[str, tuple[str, str, float]], ratios: dict[str, tuple[str, str, float]]) -> Column:
+    """Why a candidate is held back: ``gains`` name (baseline, candidate, least difference), ``ratios`` (.., most ratio)."""
+    held = [F.when(F.col(c) - F.col(b) < least, F.lit(k)) for k, (b, c, least) in gains.items()]
+    held += [F.when(F.col(c) > most * F.col(b), F.lit(k)) for k, (b, c, most) in ratios.items()]
+    return F.array_sort(F.array_compact(F.array(*held)))
+
+
+def weighted_line(rows: DataFrame, group: Sequence[str], x: str, y: str, w: str) -> DataFrame:
+    """Weighted least squares of y on one moderator, from grouped sums: ``n, slope, intercept, q``.
+
+    ``q`` is the weighted residual sum of squares.
+    """
+    wx, wy = F.col(w) * F.col(x), F.col(w) * F.col(y)
+    s = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(wx).alias("sx"), F.sum(wy).alias("sy"),
+        F.sum(wx * F.col(x)).alias("sxx"), F.sum(wx * F.col(y)).alias("sxy"), F.sum(wy * F.col(y)).alias("syy"),
+    )
+    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    s = s.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw"))
+    return s.select(*group, "n", "slope", "intercept", (F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")).alias("q"))
+
+
+def heuristic_scores(candidates: DataFrame, query_tokens: str, tokens: str) -> DataFrame:
+    """Adds ``score``: 0.65 coverage of the query's tokens, 0.2 density of their places, 0.15 for the exact phrase."""
+    # query tokens are few: counts of each in the candidate are read from its array
+    counts = lambda array, t: F.size(F.filter(array, lambda w: w == t))
+    shared = F.aggregate(F.array_distinct(query_tokens), F.lit(0), lambda a, t: a + F.least(counts(F.col(query_tokens), t), counts(F.col(tokens), t)))
+    at = F.filter(F.transform(tokens, lambda w, i: F.when(F.array_contains(query_tokens, w), i)), lambda i: i.isNotNull())
+    rows = candidates.withColumn("_at", at)
+    proximity = F.when(F.size("_at") > 0, F.least(F.lit(1.0), F.size("_at") / (F.array_max("_at") - F.array_min("_at") + 1))).otherwise(0.0)
+    phrase = F.when(F.contains(F.array_join(tokens, " "), F.array_join(query_tokens, " ")), 1.0).otherwise(0.0)
+    score = F.when(F.size(query_tokens) > 0, 0.65 * shared / F.size(query_tokens) + 0.2 * proximity + 0.15 * phrase).otherwise(0.0)
+    return rows.withColumn("score", F.least(F.lit(1.0), score)).drop("_at")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,15 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame, threshold: float =
     how = F.when(F.col("known").isNotNull(), "exact").when(F.coalesce("score", F.lit(0.0)) < threshold, "unknown").when(gap < margin, "ambiguous").otherwise("similar")
     found = m.join(exact, "mention", "left").join(first, "mention", "left").withColumn("how", how)
     return found.select("mention", F.when(F.col("how") == "similar", F.col("entity")).otherwise(F.col("known")).alias("entity"), "how", F.when(F.col("how") == "exact", 1.0).otherwise(F.col("score")).alias("score"))
+
+
+def guarded_states(events: DataFrame, key: str, state: str, order: list[str], allowed: list[tuple]) -> DataFrame:
+    """``key, state, n_moves, n_illegal``: the latest state, and moves from the state before that ``allowed`` doesn't list.
+
+    ``allowed`` holds (before, after); a first move has no state before it.
+    """
+    w = Window.partitionBy(key)
+    e = events.select(key, F.col(state).alias("state"), F.lag(state).over(w.orderBy(*order)).alias("before"), F.row_number().over(w.orderBy(*[F.desc(o) for o in order])).alias("nth"))
+    good = [F.col("before").eqNullSafe(F.lit(b)) & (F.col("state") == a) for b, a in allowed]
+    legal = reduce(lambda x, y: x | y, good)
+    return e.groupBy(key).agg(F.max(F.when(F.col("nth") == 1, F.col("state"))).alias("state"), F.count("*").alias("n_moves"), F.count(F.when(~legal, 1)).alias("n_illegal"))

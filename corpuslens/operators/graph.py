@@ -104,3 +104,26 @@ def document_graph(docs: DataFrame, owner: str, key: str, text: str) -> tuple[Da
     section = content_id(F.col(owner), F.col(key), F.lit("section"), F.col("n"))
     nodes = docs.select(F.lit("document").alias("type"), document.alias("id"), F.col(key).alias("key")).unionByName(lines.select(F.lit("section").alias("type"), section.alias("id"), F.col(key).alias("key")))
     return nodes, lines.select(F.lit("contains").alias("type"), content_id(document, section).alias("id"), document.alias("src"), section.alias("dst"))
+
+
+def nearest_origins(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``node, depth, origins``: the least number of hops from any root, and the roots at that distance."""
+    h = hops(edges, roots, most, origins=True)
+    least = h.groupBy("node").agg(F.min("depth").alias("depth"))
+    return h.join(least, ["node", "depth"]).groupBy("node", "depth").agg(F.collect_set("root").alias("origins"))  # roots of one node
+
+
+def topological_levels(edges: DataFrame, most: int = 64, keep: Callable = cut) -> DataFrame:
+    """``node, level``: nodes without an open predecessor are peeled off, level by level; nodes on a cycle have none."""
+    e = keep(edges.select("src", "dst").distinct())
+    left = keep(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
+    done = None
+    for level in range(most):
+        free = keep(left.join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if free.isEmpty():
+            break
+        found = free.withColumn("level", F.lit(level))
+        done = found if done is None else done.unionByName(found)
+        left = keep(left.join(free, "node", "left_anti"))
+        e = keep(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+    return done if done is not None else left.withColumn("level", F.lit(0))

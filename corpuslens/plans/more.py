@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
 from corpuslens.functions.numbers import UNITS
+from corpuslens.functions.text import pseudonym
 from corpuslens.operators import governance as V
 from corpuslens.operators import series as T
 from corpuslens.operators import statistics as S
@@ -21,11 +22,13 @@ def n_of(c, name):
     return F.sum(c.cast("int")).alias(name)
 
 
-@query("b18_script_shares", r"select doc_id, round(len(regexp_extract_all(text, '\p{Latin}')) / n, 6) as latin, round(len(regexp_extract_all(text, '\p{Cyrillic}')) / n, 6) as cyrillic from (select doc_id, text, len(regexp_extract_all(text, '\p{L}')) as n from documents) where n > 0")
+@query("b18_script_shares", r"select doc_id, round(l / n, 6) as latin, round(k / n, 6) as cyrillic, (l / n >= 0.1)::int + (k / n >= 0.1)::int + (g / n >= 0.1)::int + (h / n >= 0.1)::int >= 2 as code_switched, l / n < 0.5 as non_latin from (select doc_id, len(regexp_extract_all(text, '\p{L}')) as n, len(regexp_extract_all(text, '\p{Latin}')) as l, len(regexp_extract_all(text, '\p{Cyrillic}')) as k, len(regexp_extract_all(text, '\p{Greek}')) as g, len(regexp_extract_all(text, '\p{Han}')) as h from documents) where n > 0")
 def b18_script_shares(spark, d):
     c = lambda p: F.regexp_count("text", F.lit(p))
-    docs = table(spark, d, "documents").select("doc_id", c(r"\p{L}").alias("n"), c(r"\p{IsLatin}").alias("l"), c(r"\p{IsCyrillic}").alias("k")).where("n > 0")
-    return docs.select("doc_id", F.round(F.col("l") / F.col("n"), 6).alias("latin"), F.round(F.col("k") / F.col("n"), 6).alias("cyrillic"))
+    docs = table(spark, d, "documents").select("doc_id", c(r"\p{L}").alias("n"), c(r"\p{IsLatin}").alias("l"), c(r"\p{IsCyrillic}").alias("k"), c(r"\p{IsGreek}").alias("g"), c(r"\p{IsHan}").alias("h")).where("n > 0")
+    share = lambda x: F.col(x) / F.col("n")
+    scripts = sum(((share(x) >= 0.1).cast("int") for x in "lkgh"), F.lit(0))
+    return docs.select("doc_id", F.round(share("l"), 6).alias("latin"), F.round(share("k"), 6).alias("cyrillic"), (scripts >= 2).alias("code_switched"), (share("l") < 0.5).alias("non_latin"))
 
 
 @query("b30_linear_classifier", f"with t as (select conv_id, turn, len({FIELD_TOKENS_SQL}) as n, length(text) as c from conversations), z as (select conv_id, turn, label, case label when 'short' then 2 - 0.05 * n when 'long' then 0.02 * n when 'dense' then 0.001 * c end as z from t, (values ('short'), ('long'), ('dense')) l(label)), p as (select *, exp(z) / sum(exp(z)) over (partition by conv_id, turn) as p from z) select conv_id, turn, case when p >= 0.4 then label else 'other' end as label, round(p, 6) as p from (select *, row_number() over (partition by conv_id, turn order by z desc, label) as r from p) where r = 1")
@@ -59,12 +62,14 @@ def e2_weighted_fusion(spark, d):
     return scored(spark, d).select("event_id", F.round(top / (0.45 + F.when(has, 0.4).otherwise(0.0)), 6).alias("score"))
 
 
-@query("e10_hierarchical_selection", "with s as (select l_orderkey as q, l_suppkey as doc, l_linenumber as chunk, l_partkey, l_discount * 10 as own, avg(l_discount * 10) over (partition by l_orderkey) as parent, avg(l_discount * 10) over (partition by l_orderkey, l_suppkey) as section from lineitem), c as (select *, round(0.65 * own + 0.2 * parent + 0.15 * section, 9) as score from s), r as (select *, row_number() over (partition by q, doc order by score desc, chunk, l_partkey) as rd from c) select q, doc, chunk, round(score + 1e-9, 6) as score from (select *, row_number() over (partition by q order by score desc, chunk, doc, l_partkey) as rq from r where rd <= 1) where rq <= 3")
+@query("e10_hierarchical_selection", "with s as (select l_orderkey as q, l_suppkey as doc, l_linenumber as chunk, l_partkey, l_discount * 10 as own, avg(l_discount * 10) over (partition by l_orderkey) as parent, avg(l_discount * 10) over (partition by l_orderkey, l_suppkey) as section, (coalesce(lag(l_discount * 10) over w, 0) + coalesce(lead(l_discount * 10) over w, 0)) / 2 as near from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)), c as (select *, round(0.65 * own + 0.15 * parent + 0.1 * section + 0.1 * near, 9) as score from s), r as (select *, row_number() over (partition by q, doc order by score desc, chunk, l_partkey) as rd from c) select q, doc, chunk, round(score + 1e-9, 6) as score from (select *, row_number() over (partition by q order by score desc, chunk, doc, l_partkey) as rq from r where rd <= 1) where rq <= 3")
 def e10_hierarchical_selection(spark, d):
     own = F.col("l_discount") * 10
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("chunk"), "l_partkey", own.alias("own"))
     s = s.withColumn("parent", F.avg("own").over(Window.partitionBy("q"))).withColumn("section", F.avg("own").over(Window.partitionBy("q", "doc")))
-    s = s.withColumn("score", F.round(0.65 * F.col("own") + 0.2 * F.col("parent") + 0.15 * F.col("section"), 9))
+    w = Window.partitionBy("q").orderBy("chunk", "l_partkey", "doc")
+    near = (F.coalesce(F.lag("own").over(w), F.lit(0.0)) + F.coalesce(F.lead("own").over(w), F.lit(0.0))) / 2
+    s = s.withColumn("near", near).withColumn("score", F.round(0.65 * F.col("own") + 0.15 * F.col("parent") + 0.1 * F.col("section") + 0.1 * F.col("near"), 9))
     s = s.withColumn("rd", F.row_number().over(Window.partitionBy("q", "doc").orderBy(F.desc("score"), "chunk", "l_partkey"))).where("rd <= 1")
     s = s.withColumn("rq", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "chunk", "doc", "l_partkey"))).where("rq <= 3")
     return s.select("q", "doc", "chunk", F.round(F.col("score") + 1e-9, 6).alias("score"))
@@ -100,10 +105,11 @@ def f25_status_replay(spark, d):
     return a.withColumn("before", before).groupBy("m", "status").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") != F.col("before"), 1)).alias("changed"))
 
 
-@query("f30_neighbours", f"with {_GE} select src, dst, place from (select src, dst, row_number() over (partition by src order by dst) as place from e) where place <= 3")
+@query("f30_neighbours", f"with {_GE} select src, kind, dst, place from (select src, kind, dst, row_number() over (partition by src, kind order by dst) as place from (select src, dst, case when dst % 2 = 0 then 'even' else 'odd' end as kind from e)) where place <= 3")
 def f30_neighbours(spark, d):
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    return edges(spark, d).withColumn("place", place).where("place <= 3").select("src", "dst", "place")
+    typed = edges(spark, d).withColumn("kind", F.when(F.col("dst") % 2 == 0, "even").otherwise("odd"))
+    place = F.row_number().over(Window.partitionBy("src", "kind").orderBy("dst"))
+    return typed.withColumn("place", place).where("place <= 3").select("src", "kind", "dst", "place")
 
 
 @query("g21_stability", f"with {_RANKED} select query_id, round(count(*) filter (x and y) / count(*), 6) as jaccard from (select coalesce(a.query_id, b.query_id) as query_id, a.doc_id is not null as x, b.doc_id is not null as y from (select * from ranked where position <= 5) a full outer join (select * from ranked where position between 3 and 8) b on a.query_id = b.query_id and a.doc_id = b.doc_id) group by 1")
@@ -193,9 +199,15 @@ def h66_pairwise_plan_loss(spark, d):
     return claim_scores(spark, d).groupBy("evidence_id").agg(F.round(F.avg(F.log1p(F.exp(0.2 - F.col("entail") + F.col("contra")))), 6).alias("loss"))
 
 
-@query("i4_promotion_gate", f"with {_V} select user_id % 10 as model, round(avg(value), 6) as quality, avg(value) >= 20 and max(value) <= 500 and count(*) >= 10 as promoted from v group by 1")
+@query("i4_promotion_gate", """select model, round(cand - base, 6) as gain, list_sort(list_filter([case when cand - base < -1 then 'quality' end, case when cmax > 1.1 * bmax then 'latency' end, case when csum > 1.05 * bsum then 'cost' end], lambda x: x is not null)) as reasons
+  from (select user_id % 10 as model, avg(value) filter (event_id % 2 = 1) as cand, avg(value) filter (event_id % 2 = 0) as base, max(value) filter (event_id % 2 = 1) as cmax, max(value) filter (event_id % 2 = 0) as bmax, sum(value) filter (event_id % 2 = 1) as csum, sum(value) filter (event_id % 2 = 0) as bsum from events group by 1)""")
 def i4_promotion_gate(spark, d):
-    return scored(spark, d).groupBy((F.col("user_id") % 10).alias("model")).agg(F.round(F.avg("value"), 6).alias("quality"), ((F.avg("value") >= 20) & (F.max("value") <= 500) & (F.count("*") >= 10)).alias("promoted"))
+    """Candidate (odd events) against baseline (even ones): quality gain, and latency and cost ratios."""
+    from corpuslens.operators.assess import promotion_reasons
+
+    side = lambda f, i: f(F.when(F.col("event_id") % 2 == i, F.col("value")))
+    g = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("model")).agg(*[side(f, i).alias(f"{n}{i}") for n, f in (("q", F.avg), ("l", F.max), ("c", F.sum)) for i in (0, 1)])
+    return g.select("model", F.round(F.col("q1") - F.col("q0"), 6).alias("gain"), promotion_reasons({"quality": ("q0", "q1", -1.0)}, {"latency": ("l0", "l1", 1.1), "cost": ("c0", "c1", 1.05)}).alias("reasons"))
 
 
 @query("i7_compaction_plan", "select o_orderkey from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as r from orders where o_orderstatus = 'F' and o_orderpriority <> '1-URGENT' and o_orderdate < timestamp '1994-01-01') where r <= 500")
@@ -225,10 +237,12 @@ def i22_review_routing(spark, d):
     return scored(spark, d).select("event_id", F.when(bad, "block").when(low | mid, "review").otherwise("auto").alias("route"), F.when(bad, 3).when(low, 2).when(mid, 1).otherwise(0).alias("priority"))
 
 
-@query("i28_reading_order", "select conv_id, turn, lead(turn) over (partition by conv_id order by turn) as next_turn from conversations where role <> 'system'")
+@query("i28_reading_order", "select conv_id, turn // 4 as page, turn, lead(turn) over (partition by conv_id, turn // 4 order by turn) as next_turn from conversations where role <> 'system'")
 def i28_reading_order(spark, d):
-    nxt = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", nxt.alias("next_turn"))
+    """Blocks of a page (four turns) in order, without those of the header's role."""
+    page = F.floor(F.col("turn") / 4).alias("page")
+    c = table(spark, d, "conversations").where("role <> 'system'").select("conv_id", page, "turn")
+    return c.withColumn("next_turn", F.lead("turn").over(Window.partitionBy("conv_id", "page").orderBy("turn")))
 
 
 @query("i29_preferences", "select user_id, sign(sum(case when event_id % 2 = 0 then 1 else -1 end))::int as preference from events where event_type in ('click', 'purchase') group by 1")
@@ -237,16 +251,19 @@ def i29_preferences(spark, d):
     return e.groupBy("user_id").agg(F.signum(F.sum(F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1))).cast("int").alias("preference"))
 
 
-@query("j9_private_traces", "select sha256('key' || user_id) as owner, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
+@query("j9_private_traces", "select sha256('export-secret' || sha256('export-secret' || user_id)) as owner, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
 def j9_private_traces(spark, d):
-    owner = F.sha2(F.concat(F.lit("key"), F.col("user_id").cast("string")), 256)
+    owner = pseudonym(F.col("user_id"), "export-secret")
     return table(spark, d, "events").groupBy(owner.alias("owner"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("j11_job_states", "select user_id, event_type as state from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type in ('signup', 'purchase', 'error')) where r = 1")
+@query("j11_job_states", """with m as (select user_id, event_type as state, lag(event_type) over (partition by user_id order by ts, event_id) as before, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type in ('signup', 'purchase', 'error'))
+  select user_id, max(state) filter (r = 1) as state, count(*) as n_moves, count(*) filter (not coalesce((before is null and state = 'signup') or (before = 'signup' and state in ('purchase', 'error')) or (before = 'purchase' and state in ('purchase', 'error')) or (before = 'error' and state = 'signup'), false)) as n_illegal from m group by 1""")
 def j11_job_states(spark, d):
+    """The current state of each job, and its moves that the transition table doesn't allow."""
+    allowed = [(None, "signup"), ("signup", "purchase"), ("signup", "error"), ("purchase", "purchase"), ("purchase", "error"), ("error", "signup")]
     e = table(spark, d, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
-    return V.latest(e, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", F.col("event_type").alias("state"))
+    return V.guarded_states(e, "user_id", "event_type", ["ts", "event_id"], allowed)
 
 
 @query("j13_first_feedback", "select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
@@ -254,16 +271,17 @@ def j13_first_feedback(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("j14_latest_checkpoint", "select user_id, max(event_id) as event_id from events where event_type = 'signup' group by 1")
+@query("j14_latest_checkpoint", "select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events where event_type = 'signup' group by 1")
 def j14_latest_checkpoint(spark, d):
-    return table(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    last = V.latest(table(spark, d, "events").where("event_type = 'signup'"), ["user_id"], F.desc("ts"), F.desc("event_id"))
+    return last.select("user_id", "event_id", "ts")
 
 
-@query("k3_hydrograph", f"with {_TS}, p as (select user_id, max(v) as peak from s group by 1), i as (select user_id, coalesce(sum(x), 0) as volume from (select user_id, (v + lag(v) over w) / 2 * (t - lag(t) over w) as x from s window w as (partition by user_id order by t)) group by 1) select user_id, round(peak, 6) as peak, case when user_id % 2 = 0 then round(volume / 1000, 3) end as volume from p join i using (user_id)")
+@query("k3_hydrograph", f"with {_TS}, p as (select user_id, v as peak, t as peak_time from (select *, row_number() over (partition by user_id order by v desc, t) as r from s) where r = 1), i as (select user_id, coalesce(sum(x), 0) as volume from (select user_id, (v + lag(v) over w) / 2 * (t - lag(t) over w) as x from s window w as (partition by user_id order by t)) group by 1) select user_id, round(peak, 6) as peak, round(peak_time, 3) as peak_time, case when user_id % 2 = 0 then round(volume / 1000, 3) end as volume from p join i using (user_id)")
 def k3_hydrograph(spark, d):
     s = points(spark, d)
     j = T.peaks(s, "user_id", "t", "v").join(T.integral(s, "user_id", "t", "v"), "user_id")
-    return j.select("user_id", F.round("peak", 6).alias("peak"), F.when(F.col("user_id") % 2 == 0, F.round(F.col("volume") / 1000, 3)).alias("volume"))
+    return j.select("user_id", F.round("peak", 6).alias("peak"), F.round("peak_time", 3).alias("peak_time"), F.when(F.col("user_id") % 2 == 0, F.round(F.col("volume") / 1000, 3)).alias("volume"))
 
 
 @query("c32_region_selection", "select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey) as r from lineitem where l_returnflag in ('A', 'N')) where r <= 2")

@@ -231,11 +231,11 @@ def f10_impact(spark, d):
     return h.groupBy("root").agg(n(1, "direct"), n(2, "indirect"))
 
 
-@query("f6_retraction_risk", f"with {_GE}, z as (select s_suppkey as node from supplier where s_suppkey % 4 = 0), h1 as (select distinct dst as node from e where src in (select node from z)), h2 as (select distinct dst as node from e where src in (select node from h1)) select node, min(depth) as depth, round(pow(0.7, min(depth)), 6) as risk from (select node, 0 as depth from z union all select node, 1 from h1 union all select node, 2 from h2) group by 1")
+@query("f6_retraction_risk", f"with {_GE}, z as (select s_suppkey as root from supplier where s_suppkey % 4 = 0), h as (select root, root as node, 0 as depth from z union select root, dst, 1 from z join e on src = root union select root, b.dst, 2 from z join e a on a.src = root join e b on b.src = a.dst), m as (select node, min(depth) as depth from h group by 1) select node, depth, round(pow(0.7, depth), 6) as risk, count(distinct root) as n_origins, min(root) as first_origin from h join m using (node, depth) group by 1, 2")
 def f6_retraction_risk(spark, d):
     roots = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("node"))
-    h = G.hops(edges(spark, d), roots, 2)
-    return h.select("node", "depth", F.round(F.pow(F.lit(0.7), F.col("depth")), 6).alias("risk"))
+    h = G.nearest_origins(edges(spark, d), roots, 2)
+    return h.select("node", "depth", F.round(F.pow(F.lit(0.7), F.col("depth")), 6).alias("risk"), F.size("origins").cast("long").alias("n_origins"), F.array_min("origins").alias("first_origin"))
 
 
 @query("f3_paths", f"with {_GE} select a.src, b.dst, count(*) as n_paths, min(a.src || '>' || a.dst || '>' || b.dst) as first_path from e a join e b on a.dst = b.src where a.src < 1000000 group by 1, 2")

@@ -382,3 +382,60 @@ def a12_manifest(spark, d):
     stated = found.join(F.broadcast(first)).select("path", "bytes", F.when(F.col("path") == F.col("first"), "0").otherwise(F.col("sha256")).alias("sha256"))  # one row
     gone = found.agg(F.lit("nowhere").alias("path"), F.lit(0).cast("long").alias("bytes"), F.lit("0").alias("sha256"))
     return readers.manifest_problems(found, stated.unionByName(gone)).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("e9_heuristic_rerank", f"""with {_SEARCH}, qt as (select item_id as query_id, {TOKENS_SQL} as qt from benchmark), h as (select query_id, doc_id, qt, {TOKENS_SQL} as t from found join documents using (doc_id) join qt using (query_id) where position <= 10),
+  c as (select query_id, doc_id, sum(least(qtf, coalesce(tf.tf, 0))) / sum(qtf) as coverage from (select query_id, doc_id from h) join q using (query_id) left join tf using (doc_id, term) group by 1, 2),
+  a as (select query_id, doc_id, qt, t, list_filter(list_transform(range(1, len(t) + 1), lambda i: case when list_contains(qt, t[i]) then i end), lambda i: i is not null) as p from h)
+  select query_id, doc_id, round(least(1.0, 0.65 * coverage + 0.2 * case when len(p) > 0 then least(1.0, len(p) / (list_max(p) - list_min(p) + 1)) else 0 end + 0.15 * contains(array_to_string(t, ' '), array_to_string(qt, ' '))::int), 6) as score from a join c using (query_id, doc_id)""")
+def e9_heuristic_rerank(spark, d):
+    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
+    hits = R.search(_queries(spark, d), docs).select("query_id", "doc_id").join(docs.select("doc_id", index_tokens(F.col("text")).alias("t")), "doc_id")
+    hits = hits.join(b.select(F.col("item_id").alias("query_id"), index_tokens(F.col("text")).alias("qt")), "query_id")
+    return A.heuristic_scores(hits, "qt", "t").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("b19_scripts", r"select doc_id, script, round(k / n, 6) as share from (select doc_id, len(regexp_extract_all(text, '\p{L}')) as n, unnest(['latin', 'cyrillic', 'greek', 'han', 'arabic']) as script, unnest([len(regexp_extract_all(text, '\p{Latin}')), len(regexp_extract_all(text, '\p{Cyrillic}')), len(regexp_extract_all(text, '\p{Greek}')), len(regexp_extract_all(text, '\p{Han}')), len(regexp_extract_all(text, '\p{Arabic}'))]) as k from documents) where n > 0 and k > 0")
+def b19_scripts(spark, d):
+    """Share of letters of each script that a text holds."""
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    each = F.array(*[F.struct(F.lit(s.lower()).alias("script"), count(rf"\p{{Is{s}}}").alias("k")) for s in ("Latin", "Cyrillic", "Greek", "Han", "Arabic")])
+    rows = table(spark, d, "documents").select("doc_id", count(r"\p{L}").alias("n"), F.explode(each).alias("x")).where("n > 0 and x.k > 0")
+    return rows.select("doc_id", "x.script", F.round(F.col("x.k") / F.col("n"), 6).alias("share"))
+
+
+@query("b37_quantity_product", "select p_partkey, round(p_size * 0.01 * p_retailprice * 60, 6) as value, 'length1 time1' as dimension, round(abs(p_size * 0.01 * p_retailprice * 60) * sqrt(pow(0.05, 2) + pow(0.1, 2)), 6) as uncertainty from part")
+def b37_quantity_product(spark, d):
+    """Centimetres times minutes in SI units, with relative uncertainties of 5 and 10 per cent."""
+    from corpuslens.functions.numbers import product
+
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("a"), F.lit("cm").alias("ua"), (F.col("p_size") * 0.05).alias("ea"), F.col("p_retailprice").alias("b"), F.lit("min").alias("ub"), (F.col("p_retailprice") * 0.1).alias("eb"))
+    p = product(rows, ("a", "ua", "ea"), ("b", "ub", "eb"))
+    return p.select("p_partkey", F.round("value", 6).alias("value"), "dimension", F.round("uncertainty", 6).alias("uncertainty"))
+
+
+@query("f20_topological_levels", f"with {_GE} select node, max(level) as level from (select src as node, case when src < 1000000 then 0 else 1 end as level from e union select dst, case when dst < 9000000 then 1 else 2 end from e) group by 1")
+def f20_topological_levels(spark, d):
+    return G.topological_levels(edges(spark, d))
+
+
+@query("g53_contradiction_clusters", "select l_partkey as citation, count(*) as n_claims, array_to_string(list_sort(list(distinct l_orderkey)), ',') as claims from lineitem where l_returnflag = 'R' group by 1")
+def g53_contradiction_clusters(spark, d):
+    claims = F.array_join(F.array_sort(F.collect_set("l_orderkey")).cast("array<string>"), ",")  # the claims against one citation
+    return table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("citation")).agg(F.count("*").alias("n_claims"), claims.alias("claims"))
+
+
+@query("i24_bibtex", r"""select doc_id, '@misc{' || doc_id || ',' || chr(10) || '  title = {' || regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[\r\n\t ]+', ' ', 'g'), '([&%$#_{}])', '\\\1', 'g') || '},' || chr(10) || '  note = {' || source || '}' || chr(10) || '}' as entry from documents""")
+def i24_bibtex(spark, d):
+    from corpuslens.functions.text import bibtex
+
+    title = F.split("text", "\n")[0]
+    return table(spark, d, "documents").select("doc_id", bibtex("misc", F.col("doc_id"), {"title": title, "note": F.col("source")}).alias("entry"))
+
+
+@query("h35_meta_regression", """select event_type, n, round(slope, 6) as slope, round((sy - slope * sx) / sw, 6) as intercept, round(syy - (sy - slope * sx) / sw * sy - slope * sxy, 2) as q from (select *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as slope from (
+  select event_type, count(*) as n, sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy, sum(w * y * y) as syy from (select event_type, value as y, event_id % 10 * 1.0 as x, 1.0 + event_id % 3 as w from events) group by 1))""")
+def h35_meta_regression(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("value").alias("y"), (F.col("event_id") % 10 * 1.0).cast("double").alias("x"), (1.0 + F.col("event_id") % 3).cast("double").alias("w"))
+    r = A.weighted_line(e, ["event_type"], "x", "y", "w")
+    return r.select("event_type", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("q", 2).alias("q"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as X
 from corpuslens.functions.dates import temporal_interval
 from corpuslens.functions.numbers import convert, parse_cell
-from corpuslens.operators import evaluation, graph, prepare, ranking, retrieval, series, statistics
+from corpuslens.operators import assess, evaluation, governance, graph, prepare, ranking, retrieval, series, statistics
+from corpuslens.operators.lineage import cut
 from corpuslens.sources import readers
 from corpuslens.streaming import events as streams
 
@@ -149,3 +150,75 @@ def test_streams_match_their_batch_twins(spark, tmp_path):
     out = str(tmp_path / "dedup")
     streams.streamed(spark, str(inbox), events.schema, lambda e: streams.deduplicated_stream(e, ["event_id"]), "1 hour", out, str(tmp_path / "c2"))
     assert spark.read.parquet(out).count() == events.count()
+
+
+# redaction, walks, orders and gates
+
+
+def test_redaction_checks_cards_and_addresses(spark):
+    texts = {
+        "pay 4539 1488 0343 6467 now": "pay [REDACTED_PAYMENT_CARD] now",
+        "order 1234 5678 9012 3456 now": "order 1234 5678 9012 3456 now",
+        "card 1111111111111111": "card 1111111111111111",
+        "at 12 Long Hill Road, call +1 (555) 010-9999 or a.b@c.org": "at [REDACTED_ADDRESS], call [REDACTED_PHONE] or [REDACTED_EMAIL]",
+        "from 10.0.0.255 and 10.0.0.256": "from [REDACTED_IP] and 10.0.0.256",
+        "": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", X.redacted(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == texts | {None: ""}
+
+
+def test_rouge_l_matches_dynamic_programming(spark):
+    import random
+
+    def lcs(a, b):
+        m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                m[i + 1][j + 1] = m[i][j] + 1 if x == y else max(m[i][j + 1], m[i + 1][j])
+        return m[-1][-1]
+
+    draw = random.Random(3)
+    pairs = [([draw.choice("abcd") for _ in range(draw.randint(0, 12))], [draw.choice("abcd") for _ in range(draw.randint(0, 12))]) for _ in range(60)]
+    got = [r.s for r in spark.createDataFrame(pairs, "a array<string>, b array<string>").select(assess.rouge_l("a", "b").alias("s")).collect()]
+    assert all(abs(s - (2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0)) < 1e-9 for s, (a, b) in zip(got, pairs, strict=True))
+
+
+def test_seeded_order_is_a_repeatable_permutation(spark):
+    from corpuslens.operators.prepare import seeded_order
+
+    rows = spark.range(500)
+    one = {r.nth: r.id for r in seeded_order(rows, "id", 7, 1).collect()}
+    again = {r.nth: r.id for r in seeded_order(rows.repartition(7), "id", 7, 1).collect()}
+    other = {r.nth: r.id for r in seeded_order(rows, "id", 7, 2).collect()}
+    assert sorted(one) == list(range(1, 501)) and sorted(one.values()) == list(range(500)) and one == again and one != other
+
+
+def test_levels_leave_cycles_out(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4), (3, 4)], "src long, dst long")
+    assert {r.node: r.level for r in graph.topological_levels(e).collect()} == {1: 0, 2: 1, 3: 2}
+    paths = graph.weighted_paths(e.withColumn("w", F.lit(2.0)), spark.createDataFrame([(1,)], "node long"), "w", 3).collect()
+    assert sorted((r.dst, r.hops, r.length) for r in paths if r.dst == 3) == [(3, 1, 2.0), (3, 2, 4.0)]
+
+
+def test_entities_resolve_by_alias_tokens_and_margin(spark):
+    al = spark.createDataFrame([("A", "big blue river"), ("B", "small lake"), ("C", "small lake north"), ("D", "small lake")], "entity string, alias string")
+    m = spark.createDataFrame([("big blue river",), ("river blue big",), ("small lake",), ("lake small",), ("desert",), (None,)], "mention string")
+    got = {r.mention: (r.entity, r.how) for r in governance.resolve_entities(m, al).collect()}
+    assert got == {"big blue river": ("A", "exact"), "river blue big": ("A", "similar"), "small lake": ("B", "exact"), "lake small": (None, "ambiguous"), "desert": (None, "unknown")}
+
+
+def test_pagerank_stops_at_a_tolerance(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    calls = []
+    keep = lambda df: (calls.append(1), cut(df))[1]
+    far = {r.node: r.rank for r in retrieval.pagerank(e, nodes, 25).collect()}
+    near = {r.node: r.rank for r in retrieval.pagerank(e, nodes, 60, keep=keep, tolerance=1e-3).collect()}
+    assert len(calls) < 45 and all(abs(far[k] - near[k]) < 5e-3 for k in far)
+
+
+def test_term_counts_match_plain_counts(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"])], "k long, t array<string>")
+    got = {(r.k, r.term): r.tf for r in retrieval.term_counts(rows, "k", F.col("t")).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (4, "c"): 1}
