@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm import decontam, langid, mixing, probminhash, sharding
-from corpuslens.llm.common import written
+from corpuslens.llm.common import released, written
 
 SHARDS = 8
 
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
-    name, stage = STAGES[-1]
-    return written(stage(spark, docs, sf_dir), name)
+        if before is not None:  # what the stage before wrote has been read for the last time
+            released(before)
+        before = docs
+    return docs
