@@ -14,12 +14,13 @@ from corpuslens.operators.lineage import cut, small
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key, term, tf`` of each row.  Counted inside the row, in its sorted tokens, so nothing is shuffled."""
-    rows = docs.select(key, F.array_sort(tokens).alias("t")).where(F.size("t") > 0)
+    rows = docs.select(key, F.sort_array(tokens).alias("t"))
     n = F.size("t")
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    places = F.when(n > 0, F.sequence(F.lit(1), n))  # null, so no rows, without tokens
+    starts = F.filter(places, lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
     rows = rows.select(key, "t", starts.alias("s"))
     ends = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(n + 1))
-    each = F.zip_with("s", ends, lambda a, b: F.struct(F.element_at("t", a).alias("term"), (b - a).cast("long").alias("tf")))
+    each = F.zip_with("s", ends, lambda a, b: F.struct(F.get("t", a - 1).alias("term"), (b - a).cast("long").alias("tf")))
     return rows.select(key, F.explode(each).alias("x")).select(key, "x.term", "x.tf")
 
 
