@@ -150,3 +150,23 @@ def bibtex(kind: str, key: Column, fields: dict[str, Column]) -> Column:
     escape = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\r\n\t ]+", " "), r"([&%$#_{}])", r"\\$1")
     lines = [F.concat(F.lit(f"  {name} = {{"), escape(value), F.lit("}")) for name, value in fields.items()]
     return F.concat(F.lit(f"@{kind}{{"), key.cast("string"), F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+#: What metadata must not show, with its replacement, in the order of replacing; fixed values.
+MASKS = (
+    (r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\r\n:]+:[^/@ \t\r\n]+@", "$1[REDACTED_CREDENTIALS]@"),
+    (r"(?i)([?&](?:token|key|api_key|secret|password|signature)=)[^&# \t\r\n]+", "$1[REDACTED_SECRET]"),
+    (r"(?i)(\b(?:password|passwd|secret|token|api_key)[ ]*[:=][ ]*)[^ \t\r\n,;&]+", "$1[REDACTED_SECRET]"),
+    (r"(?i)file://[^ \t\r\n'\"<>]+", "[REDACTED_PATH]"),
+    (r"(^|[^A-Za-z0-9_])[A-Za-z]:\\[^ \t\r\n'\"<>]+", "$1[REDACTED_PATH]"),
+    (r"(^|[^A-Za-z0-9_])~/[^ \t\r\n'\"<>]*", "$1[REDACTED_PATH]"),
+    (r"(^|[^:/A-Za-z0-9_<.])/(?:[^/ \t\r\n'\"<>]+/)+[^/ \t\r\n'\"<>,;:)}\]]*", "$1[REDACTED_PATH]"),
+)
+
+
+def masked_metadata(value: Column) -> Column:
+    """Metadata without credentials in addresses, secret parameters and assignments, paths and what ``redacted`` masks."""
+    text = F.coalesce(value, F.lit(""))
+    for pattern, shown in MASKS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(shown))
+    return redacted(text)

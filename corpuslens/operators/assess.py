@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corpuslens.operators.statistics import histogram, js_divergence, stability_index
+
 
 def linear_ranks(features: DataFrame, weights: dict[str, float], group: str, item: str) -> DataFrame:
     """``group, item, score, position`` from ``features(group, item, feature, value)``: unknown features weigh nothing."""
@@ -243,3 +245,26 @@ def heuristic_scores(candidates: DataFrame, query_tokens: str, tokens: str) -> D
     phrase = F.when(F.contains(F.array_join(tokens, " "), F.array_join(query_tokens, " ")), 1.0).otherwise(0.0)
     score = F.when(F.size(query_tokens) > 0, 0.65 * shared / F.size(query_tokens) + 0.2 * proximity + 0.15 * phrase).otherwise(0.0)
     return rows.withColumn("score", F.least(F.lit(1.0), score)).drop("_at")
+
+
+def admissible_claims(citations: DataFrame, trust: DataFrame, answer: str, claim: str, source: str, least: int = 1) -> DataFrame:
+    """``answer, claim, cited, admitted, kept``: a claim is kept if ``least`` distinct cited sources are admitted.
+
+    ``trust(source, admitted)``; a source without a decision isn't admitted.
+    """
+    j = citations.join(trust.where("admitted").select(F.col("source").alias(source), F.lit(True).alias("_ok")).distinct(), source, "left")
+    g = j.groupBy(answer, claim).agg(F.countDistinct(source).alias("cited"), F.countDistinct(F.when(F.col("_ok"), F.col(source))).alias("admitted"))
+    return g.withColumn("kept", F.col("admitted") >= least)
+
+
+def drift_by_profile(reference: DataFrame, live: DataFrame, edges: list[float], profile: str = "profile", score: str = "score") -> DataFrame:
+    """``psi, jsd`` of each profile's live scores against its reference, over bins of ``edges``."""
+    a = histogram(reference, score, edges, (profile,)).select(profile, "bin", F.col("share").alias("r"))
+    b = histogram(live, score, edges, (profile,)).select(profile, "bin", F.col("share").alias("c"))
+    j = a.join(b, [profile, "bin"], "full_outer").fillna(0.0, ["r", "c"])
+    return j.groupBy(profile).agg(stability_index(F.col("r"), F.col("c")).alias("psi"), js_divergence(F.col("r"), F.col("c")).alias("jsd"))
+
+
+def series_summary(rows: DataFrame, group: Sequence[str], scenario: str, kind: str) -> DataFrame:
+    """``n, scenarios, kinds``: rows, distinct scenarios and the sorted distinct kinds of each group."""
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.countDistinct(scenario).alias("scenarios"), F.sort_array(F.collect_set(kind)).alias("kinds"))

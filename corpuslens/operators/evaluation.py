@@ -83,3 +83,14 @@ def set_scores(cited: Column, supported: Column, required: Column) -> dict[str,
     recall = F.when(F.size(required) > 0, want / F.size(F.array_distinct(required))).otherwise(1.0)
     both = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return {"precision": precision, "recall": recall, "f1": both, "unsupported": F.when(n > 0, 1 - precision).otherwise(0.0)}
+
+
+def selection_report(selected: DataFrame, gold: DataFrame, group: str, item: str) -> DataFrame:
+    """``precision, recall, f1`` of each group's distinct selected items against its gold ones; 1 where both are empty."""
+    a = selected.select(group, item).distinct().withColumn("_a", F.lit(1))
+    b = gold.select(group, item).distinct().withColumn("_b", F.lit(1))
+    g = a.join(b, [group, item], "full_outer").groupBy(group).agg(F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1).otherwise(0)).alias("_h"), F.count("_a").alias("_n"), F.count("_b").alias("_m"))
+    share = lambda n, other: F.when(F.col(n) > 0, F.col("_h") / F.col(n)).when(F.col(other) == 0, 1.0).otherwise(0.0)
+    g = g.withColumn("precision", share("_n", "_m")).withColumn("recall", share("_m", "_n"))
+    both = F.col("precision") + F.col("recall")
+    return g.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)).drop("_h", "_n", "_m")

@@ -127,3 +127,82 @@ def topological_levels(edges: DataFrame, most: int = 64, keep: Callable = cut) -
         left = keep(left.join(free, "node", "left_anti"))
         e = keep(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
     return done if done is not None else left.withColumn("level", F.lit(0))
+
+
+def neighbours_across(edges: DataFrame, documents: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of ``edges(src, dst, kind)`` whose ends lie in different ``documents(node, doc)``, with both documents."""
+    e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    a = documents.select(F.col("node").alias("src"), F.col("doc").alias("src_doc"))
+    b = documents.select(F.col("node").alias("dst"), F.col("doc").alias("dst_doc"))
+    return e.join(a, "src").join(b, "dst").where("src_doc <> dst_doc").select("src", "dst", "kind", "src_doc", "dst_doc")
+
+
+def hyperedges(members: DataFrame, edge: str, role: str, member: str) -> DataFrame:
+    """``edge, role, members, role_id``: sorted distinct members of each role of a relation, and the digest of them."""
+    g = members.groupBy(edge, role).agg(F.sort_array(F.collect_set(F.col(member).cast("string"))).alias("members"))
+    return g.withColumn("role_id", F.sha2(F.concat_ws("|", F.col(edge).cast("string"), F.col(role), F.concat_ws(",", "members")), 256))
+
+
+def annotated(nodes: DataFrame, statuses: DataFrame, key: str, at: str, status: str, usable: Column) -> DataFrame:
+    """Nodes with their latest status and a flag; nodes without one are ``unknown`` and usable."""
+    last = statuses.groupBy(key).agg(F.max_by(status, F.struct(at, status)).alias(status))
+    return nodes.join(last, key, "left").withColumn("usable", F.coalesce(usable, F.lit(True))).withColumn(status, F.coalesce(status, F.lit("unknown")))
+
+
+def invalidated(edges: DataFrame, events: DataFrame, most: int, recomputable: Column, most_impact: int, keep: Callable = cut) -> DataFrame:
+    """Artefacts that each event makes stale: ``root, node, depth, recompute, over``.
+
+    ``over`` marks events that reach more than ``most_impact`` artefacts: their rows stay, for a person to decide.
+    """
+    reached = hops(edges, events, most, keep, origins=True)
+    size = reached.groupBy("root").agg(F.count("*").alias("_n"))
+    return reached.join(size, "root").select("root", "node", "depth", recomputable.alias("recompute"), (F.col("_n") > most_impact).alias("over"))
+
+
+def retention(artifacts: DataFrame, parents: DataFrame, roots: DataFrame, now: Column, keep_latest: int, young: int, most: int, keep: Callable = cut) -> DataFrame:
+    """``id, reason`` of each artefact: protected, latest, young or deletable, the first that holds.
+
+    ``artifacts(id, owner, kind, at)``; a protected root keeps its ancestors of up to ``most`` steps along
+    ``parents(src, dst)`` from child to parent; ``at``, ``now`` and ``young`` are in seconds.
+    """
+    held = hops(parents, roots, most, keep).select(F.col("node").alias("id"), F.lit(True).alias("_held"))
+    nth = F.row_number().over(Window.partitionBy("owner", "kind").orderBy(F.desc("at"), F.desc("id")))
+    a = artifacts.withColumn("_nth", nth).join(held, "id", "left")
+    age = now - F.col("at")
+    reason = F.when(F.col("_held"), "protected").when(F.col("_nth") <= keep_latest, "latest").when(age < young, "young").otherwise("deletable")
+    return a.select("id", reason.alias("reason"))
+
+
+def proof_report(cited: DataFrame, nodes: DataFrame, edges: DataFrame, claim: str) -> DataFrame:
+    """``n, node_coverage, edge_coverage, missing, valid``: what claims cite (``node, src, dst``) against what is known."""
+    j = cited.join(nodes.select("node", F.lit(True).alias("_n")).distinct(), "node", "left").join(edges.select("src", "dst", F.lit(True).alias("_e")).distinct(), ["src", "dst"], "left")
+    rate = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
+    g = j.groupBy(claim).agg(F.count("*").alias("n"), rate("_n").alias("node_coverage"), rate("_e").alias("edge_coverage"), F.sort_array(F.collect_set(F.when(F.col("_n").isNull(), F.col("node")))).alias("missing"))
+    return g.withColumn("valid", (F.col("node_coverage") == 1) & (F.col("edge_coverage") == 1))
+
+
+def readiness(rows: DataFrame, group: str, item: str, state: Column) -> DataFrame:
+    """``reviewed, unreviewed, unknown, ready``: sorted items of each group by ``state`` (null: unknown)."""
+    s = rows.select(group, item, F.coalesce(state, F.lit("unknown")).alias("_s"))
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("_s") == k, F.col(item)))).alias(k)
+    g = s.groupBy(group).agg(of("reviewed"), of("unreviewed"), of("unknown"))
+    return g.withColumn("ready", (F.size("reviewed") > 0) & (F.size("unreviewed") == 0) & (F.size("unknown") == 0))
+
+
+def support_of(paths: DataFrame, kinds: DataFrame, allowed: tuple[str, ...], per_source: int, limit: int) -> DataFrame:
+    """The best scored path ends of each seed whose kind is allowed: ``seed, dst, source, score, position``.
+
+    ``paths(seed, dst, score)``; ``kinds(dst, kind, source)``; up to ``per_source`` of a source and ``limit`` in all.
+    """
+    rank = (F.desc(F.round("score", 9)), "dst")
+    j = paths.select("seed", "dst", "score").join(kinds.where(F.col("kind").isin(*allowed)), "dst")
+    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("seed", "source").orderBy(*rank))).where(F.col("_n") <= per_source)
+    j = j.withColumn("position", F.row_number().over(Window.partitionBy("seed").orderBy(*rank))).where(F.col("position") <= limit)
+    return j.select("seed", "dst", "source", "score", "position")
+
+
+def reranked_paths(paths: DataFrame, scores: DataFrame, group: str, path: str, top: int) -> DataFrame:
+    """Paths by a given score, or their own where none is given: adds ``score, position``, the first ``top``."""
+    j = paths.join(scores.select(path, F.col("given")), path, "left").withColumn("score", F.coalesce("given", "path_score")).drop("given")
+    order = Window.partitionBy(group).orderBy(F.desc("score"), path)
+    return j.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)

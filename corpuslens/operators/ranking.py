@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import calibrated
+
 
 def rank_fusion(lists: DataFrame, weights: dict[str, float], constant: int = 60, normalise: bool = True) -> DataFrame:
     """``query_id, doc_id, score`` from ``list, query_id, doc_id, position``: sum of weight / (constant + position).
@@ -99,3 +101,20 @@ def runs(rows: DataFrame, keys: list[str], place: str, flag: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(place)
     starts = (F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))).cast("int")
     return rows.withColumn("_start", starts).withColumn("run", F.sum("_start").over(w)).where(flag).drop("_start")
+
+
+def weighted_scores(lists: DataFrame, weights: dict[str, float], calibrations: dict[str, tuple[float, float]] | None = None, logit: bool = False) -> DataFrame:
+    """``query_id, doc_id, score`` from ``list, query_id, doc_id, score`` (0 to 1): weighted mean over the lists that hold it.
+
+    A repeat counts with its best score.  ``calibrations`` are (temperature, bias) for each list; with ``logit`` the mean is
+    of the log odds and the score its probability.
+    """
+    best = lists.groupBy("list", "query_id", "doc_id").agg(F.max(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("p"))
+    p = F.col("p")
+    for name, (temperature, bias) in (calibrations or {}).items():
+        p = F.when(F.col("list") == name, calibrated(F.col("p"), temperature, bias)).otherwise(p)
+    odds = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    value = F.log(odds / (1 - odds)) if logit else p
+    w = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("list")], F.lit(0.0))
+    g = best.groupBy("query_id", "doc_id").agg((F.sum(w * value) / F.sum(w)).alias("score"))
+    return g.withColumn("score", 1 / (1 + F.exp(-F.col("score")))) if logit else g

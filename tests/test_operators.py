@@ -222,3 +222,93 @@ def test_term_counts_match_plain_counts(spark):
     rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"])], "k long, t array<string>")
     got = {(r.k, r.term): r.tf for r in retrieval.term_counts(rows, "k", F.col("t")).collect()}
     assert got == {(1, "a"): 1, (1, "b"): 2, (4, "c"): 1}
+
+
+def test_evidence_cover_is_whole_and_greedy(spark):
+    from corpuslens.operators import selection
+
+    rows = [(1, 10, "a", 0.5, [1, 2, 3]), (1, 11, "a", 0.9, [3, 4]), (1, 12, "b", 0.1, [4, 5]), (1, 13, "b", 0.8, [5]), (2, 20, "a", 0.3, [])]
+    e = spark.createDataFrame(rows, "question long, evidence long, root string, score double, claims array<long>")
+    cover = selection.evidence_cover(e)
+    assert sorted(tuple(r) for r in cover.collect()) == [(1, 10, 1, 3), (1, 12, 2, 2)]
+    required = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6]), (2, []), (3, [1])], "question long, claims array<long>")
+    e = e.withColumn("contradicts", F.when(F.col("evidence") == 13, F.array(F.lit(6).cast("long"))).otherwise(F.array().cast("array<long>")))
+    got = {r.question: r for r in selection.cover_report(e, cover, required).collect()}
+    assert abs(got[1].claim_coverage - 5 / 6) < 1e-9 and got[1].independent_ratio == 1 and got[1].redundancy == 0
+    assert abs(got[1].contradiction_rate - 1 / 6) < 1e-9 and abs(got[1].weighted_support - (0.5 * 3 + 0.1 * 2) / 5) < 1e-9
+    assert got[2].claim_coverage == 1 and got[3].claim_coverage == 0 and got[3].weighted_support == 0
+
+
+def test_packed_evidence_prefers_new_sources_and_keeps_the_budget(spark):
+    from corpuslens.operators import selection
+
+    rows = [(1, 1, "a", 1.0, 10, 0.0, "k"), (1, 2, "a", 0.95, 10, None, "k"), (1, 3, "b", 0.9, 10, 0.1, None), (1, 4, "b", 5.0, 10, 0.9, None), (1, 5, "c", 0.5, 100, 0.0, None)]
+    c = spark.createDataFrame(rows, "query_id long, doc_id long, source string, score double, n_tokens long, risk double, kin string")
+    got = [(r.doc_id, r.position, r.spent) for r in selection.packed_evidence(c, 30).orderBy("position").collect()]
+    assert got == [(1, 1, 10), (3, 2, 20), (2, 3, 30)]
+    assert selection.packed_evidence(c.limit(0), 30).count() == 0
+
+
+def test_team_draft_is_fair_and_without_repeats(spark):
+    from corpuslens.operators import selection
+
+    rows = [(q, "a", q * 100 + i, i) for q in range(8) for i in range(1, 6)] + [(q, "b", q * 100 + 6 - i, i) for q in range(8) for i in range(1, 4)]
+    lists = spark.createDataFrame(rows, "query_id long, team string, doc_id long, rank int")
+    got = selection.team_draft(lists, 4, "x").collect()
+    again = selection.team_draft(lists.repartition(5), 4, "x").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    for q in range(8):
+        mine = sorted((r.position, r.doc_id, r.team) for r in got if r.query_id == q)
+        assert [p for p, _, _ in mine] == [1, 2, 3, 4] and len({x for _, x, _ in mine}) == 4
+        assert [t for _, _, t in mine].count("a") == 2
+    assert len({r.team for r in got if r.position == 1}) == 2
+
+
+def test_labelling_batch_keeps_its_caps(spark):
+    from corpuslens.operators import selection
+
+    rows = [(1, i, f"t{i % 2}", i % 3, 1.0 - i / 100, 0.5, 1.0 + i % 2) for i in range(30)]
+    pool = spark.createDataFrame(rows, "owner long, item long, task string, label_group int, score double, uncertainty double, cost double")
+    got = selection.labelling_batch(pool, 5, 7.0, 2, 3).orderBy("position").collect()
+    assert [(r.item, r.spent) for r in got] == [(0, 1.0), (1, 3.0), (2, 4.0), (3, 6.0), (4, 7.0)]
+    assert [r.item for r in selection.labelling_batch(pool, 9, 4.0, 1, 9).orderBy("position").collect()] == [0, 1, 2]
+
+
+def test_refined_citations_add_remove_and_judge(spark):
+    from corpuslens.operators import selection
+
+    rows = [
+        (1, 1, 7, 0.6, 0.0, 1.0, True), (1, 2, 7, 0.9, 0.0, 1.0, False), (1, 3, 8, 0.5, 0.0, 1.0, False), (1, 4, 9, 0.1, 0.0, 1.0, True),
+        (2, 5, 1, 0.1, 0.0, 1.0, True), (3, 6, 1, 0.9, 0.8, 1.0, True), (4, 7, 1, 0.5, 0.1, 1.0, True),
+    ]
+    r = spark.createDataFrame(rows, "claim long, evidence long, source long, p_support double, p_against double, quality double, cited boolean")
+    got = {x.claim: (x.chosen, x.added, x.removed, round(x.combined, 6), x.status) for x in selection.refined_citations(r, 3, 0.7, 2).collect()}
+    assert got == {1: ([1, 3], [3], [4], 0.8, "supported"), 2: ([], [], [5], 0.0, "unresolved"), 3: ([], [], [6], 0.0, "contradicted"), 4: ([7], [], [], 0.5, "partial")}
+
+
+def test_staged_match_and_near_points(spark):
+    from corpuslens.operators import linking
+
+    left = spark.createDataFrame([(1, 5, "x"), (2, None, "y"), (3, 9, "x"), (4, None, None)], "id long, own long, name string")
+    right = spark.createDataFrame([(5, "q"), (6, "x"), (7, "y"), (8, "y")], "target long, name string")
+    got = {r.id: (r.target, r.how) for r in linking.staged_match(left, right, [("id", [("own", "target")]), ("name", [("name", "name")])]).collect()}
+    assert got == {1: (5, "id"), 2: (None, "ambiguous"), 3: (6, "name"), 4: (None, "unmatched")}
+    a = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, -9.9, 0.0), (3, 1, 0.0, 0.0)], "id long, crs int, x double, y double")
+    b = spark.createDataFrame([(1, 0, 6.0, 8.0), (2, 0, 10.1, 0.0), (3, 0, -19.0, 0.0)], "node long, crs int, x double, y double")
+    assert sorted((r.id, r.node, r.distance) for r in linking.near_points(a, b, 10.0).collect()) == [(1, 1, 10.0), (2, 3, 9.1)]
+
+
+def test_masked_metadata_hides_credentials_and_paths(spark):
+    texts = {
+        "http://me:pw@host/x": "http://[REDACTED_CREDENTIALS]@host/x",
+        "https://h/a?token=abc&x=1": "https://h/a?token=[REDACTED_SECRET]&x=1",
+        "password = hunter2, ok": "password = [REDACTED_SECRET], ok",
+        "see /home/me/file.txt now": "see [REDACTED_PATH] now",
+        "see ~/notes and C:\\x\\y.txt": "see [REDACTED_PATH] and [REDACTED_PATH]",
+        "file:///etc/hosts": "[REDACTED_PATH]",
+        "https://example.com/a/b": "https://example.com/a/b",
+        "mail a@b.org": "mail [REDACTED_EMAIL]",
+        "": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.masked_metadata(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == texts
