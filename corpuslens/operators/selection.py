@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 
 
 def _for_each(rows: DataFrame, key: str, columns: str, choose: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
-    """``choose`` applied to each key's rows; ``columns`` is the schema of what it gives, after the key."""
+    """``choose`` applied to each key's rows; ``columns`` is the schema of what it gives, after the key.
+
+    A key's rows are gathered in one row first, so that a batch holds many keys.
+    """
     names = [c.split()[0] for c in columns.split(",")]
 
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(keys[0], *r) for r in choose(pdf.to_dict("records"))], columns=[key, *names])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            plain = [[r if isinstance(r, dict) else r.asDict() for r in rows] for rows in pdf["_rows"]]
+            yield pd.DataFrame([(k, *r) for k, rows in zip(pdf[key], plain, strict=True) for r in choose(rows)], columns=[key, *names])
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {columns}")
+    gathered = rows.groupBy(key).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    return gathered.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {columns}")
 
 
 def evidence_cover(evidence: DataFrame, key: str = "question", independent: bool = True) -> DataFrame:
@@ -90,7 +96,7 @@ def packed_evidence(candidates: DataFrame, budget: int, per_source: int = 3, mos
             rows.remove(best)
             spent, n = spent + best["n_tokens"], n + 1
             sources[best["source"]] = sources.get(best["source"], 0) + 1
-            if best["kin"] is not None and best["kin"] == best["kin"]:
+            if best["kin"] is not None:
                 kin.add(best["kin"])
             yield best["doc_id"], n, spent
 
