@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontam, langid, line_rules, linetree, mixing, pii, probminhash, quality_crf, sharding, urlgraph
+from corpuslens.llm import decontam, langid, line_rules, linetree, mixing, pii, probminhash, quality_crf, sharding, spelling, tokalign, urlgraph, warc
 from corpuslens.llm.common import written
 
 SHARDS = 8
@@ -61,6 +61,18 @@ def op10_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linetree.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
+def op12_spill_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), drop_every=199))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_crf": op8_line_crf,
         "op9_probminhash": op9_probminhash,
         "op10_template_tree": op10_template_tree,
+        "op11_content_archive": op11_content_archive,
+        "op12_spill_counting": op12_spill_counting,
+        "op13_pivotal_grams": op13_pivotal_grams,
         "pipeline": pipeline,
     }
 
