@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
 STOP_WORDS = (
-    "a about after all also an and any are as at be because been before between both but by can could did do does "
-    "during each for from further had has have having how if in into is it its may more most no not of on only or "
-    "other our out over same should so some such than that the their then there these they this those through to "
-    "under up very was we were what when where which while who why will with would you your"
-).split()
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "between", "both", "but", "by", "can", "could", "did", "do", "does", "during", "each", "for", "from", "further",
+    "had", "has", "have", "having", "how", "if", "in", "into", "is", "it", "its", "may", "more", "most", "no", "not",
+    "of", "on", "only", "or", "other", "our", "out", "over", "same", "should", "so", "some", "such", "than", "that",
+    "the", "their", "then", "there", "these", "they", "this", "those", "through", "to", "under", "up", "very", "was",
+    "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "would", "you", "your",
+)
 SINGLE = ("x", "y", "z", "r", "p", "q")
 TRACKING = (
     "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "utm_campaign", "utm_content", "utm_medium", "utm_source",
@@ -112,13 +116,14 @@ def content_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[p.cast("string") for p in parts]), 256)
 
 
-#: What ``redacted`` masks, in this order; cards are checked besides.  Fixed values: the words that end a street address.
+#: What ``redacted`` masks, in this order; cards are checked besides.  Fixed values; ``(?U)`` gives words and digits of all scripts.
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Pl|Highway|Hwy"
-_EMAIL = r"(?<![\w.+-])[\w.+-]++@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
-_ADDRESS = rf"(?i)\b\d{{1,6}}\s+[A-Za-z0-9.' -]{{2,80}}\s+(?:{_STREETS})\b\.?"
-_IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9.])"
-_CARD = r"(?<!\d)\d(?:[ -]*\d){12,18}(?!\d)"
-_PHONE = r"(?<!\w)\+\d[\d\s().-]{7,20}\d(?!\w)"
+_EMAIL = r"(?U)(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
+_ADDRESS = rf"(?iU)\b\d{{1,6}}\s+[A-Za-z0-9.' -]{{2,80}}\s+(?:{_STREETS})\b\.?"
+_IP = r"(?U)\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+_CARD = r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)"
+_PHONE = r"(?U)(?<!\w)(?:\+?\d{1,3}[\s().-]*)?(?:\d[\s().-]*){7,14}\d(?!\w)"
+_ISO_DATE = r"(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
 
 
 def luhn_valid(number: Column) -> Column:
@@ -129,14 +134,20 @@ def luhn_valid(number: Column) -> Column:
     return F.size(digits).between(13, 19) & (F.size(F.array_distinct(digits)) > 1) & (total % 10 == 0)
 
 
+def replaced(text: Column, pattern: str, shown: str, holds: Callable[[Column], Column]) -> Column:
+    """``text`` with those matches of ``pattern`` replaced for which ``holds``."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.array(F.lit("")))
+    kept = F.zip_with(F.split(text, pattern, -1), found, lambda gap, x: F.concat(gap, F.when((x != "") & holds(x), shown).otherwise(x)))
+    return F.array_join(kept, "")
+
+
 def redacted(text: Column) -> Column:
     """``text`` with e-mail addresses, street addresses, IPv4 addresses, payment cards and phone numbers masked."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _EMAIL, "[REDACTED_EMAIL]")
     t = F.regexp_replace(t, _ADDRESS, "[REDACTED_ADDRESS]")
     t = F.regexp_replace(t, _IP, "[REDACTED_IP]")
-    found = F.concat(F.regexp_extract_all(t, F.lit(f"({_CARD})"), 1), F.array(F.lit("")))
-    kept = F.zip_with(F.split(t, _CARD, -1), found, lambda gap, x: F.concat(gap, F.when(luhn_valid(x), "[REDACTED_PAYMENT_CARD]").otherwise(x)))
-    return F.regexp_replace(F.array_join(kept, ""), _PHONE, "[REDACTED_PHONE]")
+    t = replaced(t, _CARD, "[REDACTED_PAYMENT_CARD]", luhn_valid)
+    return F.regexp_replace(t, _PHONE, "[REDACTED_PHONE]")
 
 
 def pseudonym(identity: Column, secret: str) -> Column:
@@ -152,21 +163,32 @@ def bibtex(kind: str, key: Column, fields: dict[str, Column]) -> Column:
     return F.concat(F.lit(f"@{kind}{{"), key.cast("string"), F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
 
 
-#: What metadata must not show, with its replacement, in the order of replacing; fixed values.
+#: What metadata must not show, with its replacement, in the order of replacing; fixed values.  Loops over parts of a path
+#: are possessive: they match the same, without a stack that grows with the path.
 MASKS = (
-    (r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\r\n:]+:[^/@ \t\r\n]+@", "$1[REDACTED_CREDENTIALS]@"),
-    (r"(?i)([?&](?:token|key|api_key|secret|password|signature)=)[^&# \t\r\n]+", "$1[REDACTED_SECRET]"),
-    (r"(?i)(\b(?:password|passwd|secret|token|api_key)[ ]*[:=][ ]*)[^ \t\r\n,;&]+", "$1[REDACTED_SECRET]"),
-    (r"(?i)file://[^ \t\r\n'\"<>]+", "[REDACTED_PATH]"),
-    (r"(^|[^A-Za-z0-9_])[A-Za-z]:\\[^ \t\r\n'\"<>]+", "$1[REDACTED_PATH]"),
-    (r"(^|[^A-Za-z0-9_])~/[^ \t\r\n'\"<>]*", "$1[REDACTED_PATH]"),
-    (r"(^|[^:/A-Za-z0-9_<.])/(?:[^/ \t\r\n'\"<>]+/)+[^/ \t\r\n'\"<>,;:)}\]]*", "$1[REDACTED_PATH]"),
+    (r"(?iU)([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s:]+(?::[^/@\s]*)?@", "$1[REDACTED_CREDENTIALS]@"),
+    (r"(?iU)([?&](?:api[_-]?key|access[_-]?token|token|password|passwd|secret)=)[^&#\s]+", "$1[REDACTED_SECRET]"),
+    (
+        r"(?iU)((?<![A-Za-z0-9_-])(?:api[_-]?key|access[_-]?token|auth[_-]?token|token|password|passwd|secret)\s*[:=]\s*)"
+        r"(?:['\"][^'\"\r\n]{1,4096}['\"]|[^\s,;)}\]>]{1,4096})",
+        "$1[REDACTED_SECRET]",
+    ),
+    (r"(?iU)\bfile://(?:localhost)?/[^\s'\"<>]+", "[REDACTED_PATH]"),
+    (r"(?<![A-Za-z0-9_])[A-Za-z]:\\(?:[^\\\s:*?\"<>|]++\\)*+[^\\\s:*?\"<>|]*", "[REDACTED_PATH]"),
+    (r"(?U)(?<!\w)~/(?:[^/\s'\"<>]++/)*+[^/\s'\"<>]*", "[REDACTED_PATH]"),
+    (r"(?<![:/A-Za-z0-9_])/(?:[^/\s'\"<>]++/)++[^/\s'\"<>,;:)}\]]*", "[REDACTED_PATH]"),
+    (_EMAIL, "[REDACTED_EMAIL]"),
+    (_ADDRESS, "[REDACTED_ADDRESS]"),
+    (_IP, "[REDACTED_IP]"),
 )
 
 
 def masked_metadata(value: Column) -> Column:
-    """Metadata without credentials in addresses, secret parameters and assignments, paths and what ``redacted`` masks."""
+    """Metadata without credentials in addresses, secret parameters and assignments, paths, e-mail, street and IP addresses and phones.
+
+    Dates in ISO form are no phones, and payment cards are masked as phones are.
+    """
     text = F.coalesce(value, F.lit(""))
     for pattern, shown in MASKS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(shown))
-    return redacted(text)
+    return replaced(text, _PHONE, "[REDACTED_PHONE]", lambda x: ~x.rlike(f"^{_ISO_DATE}$"))
