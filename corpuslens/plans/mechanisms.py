@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import release as P
 from corpuslens.plans.catalog import query, table
+from corpuslens.plans.statistics import _Z
+from corpuslens.streaming import journal as J
+from corpuslens.streaming import quota as Q
 
 # release of texts
 
@@ -30,3 +34,77 @@ def b10_release(spark, d):
     scans = docs.where("lang = 'en'").select("doc_id", F.lit("english").alias("detector"))  # a second detector, for one language
     got = P.release_texts(docs, P.sensitive_spans(docs), scans, *_policies(spark))
     return got.select("doc_id", "destination", "action", F.array_join("reasons", ",").alias("reasons"), "n_spans", F.sha2(F.col("released").cast("binary"), 256).alias("released_sha256"))
+
+
+# quotas with leases: an event reserves its value; some are committed, released or renewed later
+
+LIMITS = Q.Limits(requests=3, units=60.0, inflight=2, window=86400, lease=21600)
+
+_LEASES = """e as (select user_id as owner, event_id::varchar as reservation, event_type, greatest(value, 0.01) as units, epoch(ts) as sec from events where value is not null),
+  log as (select owner, reservation, 'reserve' as op, units, sec from e union all select owner, reservation, 'commit', units / 2, sec + 3600 from e where event_type = 'purchase'
+    union all select owner, reservation, 'release', null, sec + 3600 from e where event_type = 'error' union all select owner, reservation, 'renew', null, sec + 18000 from e where event_type = 'click')"""
+
+
+def leases(spark, d):
+    """``owner, reservation, op, units, token, at``: what users reserve and what becomes of it."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = table(spark, d, "events").where("value is not null").select(
+        F.col("user_id").alias("owner"), F.col("event_id").cast("string").alias("reservation"), "event_type", F.greatest("value", F.lit(0.01)).alias("units"), at.alias("at")
+    )
+    nothing = F.lit(None).cast("double")
+    step = lambda op, units, token, late, kind=None: (e if kind is None else e.where(F.col("event_type") == kind)).select(
+        "owner", "reservation", F.lit(op).alias("op"), units.alias("units"), F.lit(token).cast("long").alias("token"), (F.col("at") + late).alias("at"))
+    units = F.col("units")
+    return step("reserve", units, None, 0).unionByName(step("commit", units / 2, 1, 3600, "purchase")).unionByName(step("release", nothing, 1, 3600, "error")).unionByName(step("renew", nothing, 1, 18000, "click"))
+
+
+@query("j2_quota_leases", f"""with {_LEASES}, m as (select distinct user_id as owner, epoch(ts) as now from events where event_type = 'signup'),
+  r as (select m.owner, m.now, reservation, min(sec) filter (op = 'reserve') as began, max(units) filter (op = 'reserve') as units, max(units) filter (op = 'commit') as spent,
+    max(sec) filter (op in ('reserve', 'renew')) as held, bool_or(op in ('commit', 'release')) as ended from m join log on m.owner = log.owner and sec <= now group by all),
+  s as (select owner, now, floor(began / 86400) = floor(now / 86400) as here, not ended and held + 21600 > now as live, units, spent from r),
+  t as (select owner, now, count(*) filter (here and spent is not null) as committed_requests, coalesce(sum(spent) filter (here), 0) as committed_units,
+    count(*) filter (here and live) as reserved_requests, coalesce(sum(units) filter (here and live), 0) as reserved_units, count(*) filter (live) as inflight from s group by all)
+  select m.owner, round(m.now, 3) as now, (floor(m.now / 86400) * 86400)::bigint as window_start, coalesce(committed_requests, 0) as committed_requests, round(coalesce(committed_units, 0), 6) as committed_units,
+    coalesce(reserved_requests, 0) as reserved_requests, round(coalesce(reserved_units, 0), 6) as reserved_units, coalesce(inflight, 0) as inflight,
+    greatest(3 - coalesce(committed_requests, 0) - coalesce(reserved_requests, 0), 0) as remaining_requests,
+    round(greatest(60 - coalesce(committed_units, 0) - coalesce(reserved_units, 0), 0), 6) as remaining_units from m left join t using (owner, now)""")
+def j2_quota_leases(spark, d):
+    now = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    moments = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("owner"), now.alias("now"))
+    got = Q.lease_snapshot(leases(spark, d), moments, LIMITS)
+    six = lambda c: F.round(c, 6).alias(c)
+    return got.select("owner", F.round("now", 3).alias("now"), "window_start", "committed_requests", six("committed_units"), "reserved_requests", six("reserved_units"), "inflight", "remaining_requests", six("remaining_units"))
+
+
+@query("j2_quota_admissions")
+def j2_quota_admissions(spark, d):
+    got = Q.admissions(leases(spark, d), LIMITS)
+    return got.select("owner", "reservation", "op", F.round("at", 3).alias("at"), "status", "token", F.round("units", 6).alias("units"))
+
+
+# journal of interleaved lists: a view shows four positions, the user's next click uses one of them
+
+
+def shown(spark, d):
+    """``impressions`` and ``outcomes`` of the journal, from views and clicks."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("experiment", F.col("user_id") % 20)
+    sides = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(F.pmod(F.floor(F.col("event_id") / F.pow(F.lit(2), k)), F.lit(2)) == 1, "a").otherwise("b"))
+    i = e.where("event_type = 'view'").select("experiment", F.col("event_id").alias("impression"), F.col("user_id").alias("query"), sides.alias("sides"), "ts")
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before)
+    o = e.withColumn("impression", last).where("event_type = 'click' and impression is not null")
+    first = o.withColumn("n", F.row_number().over(Window.partitionBy("impression").orderBy("ts", "event_id"))).where("n = 1")
+    return i, first.select("experiment", "impression", F.array((F.col("event_id") % 4).cast("int")).alias("engaged"), "ts")
+
+
+@query("j17_interleaving_journal", f"""with e as (select *, user_id % 20 as experiment, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as seen from events),
+  o as (select * from (select *, row_number() over (partition by seen order by ts, event_id) as n from e where event_type = 'click' and seen is not null) where n = 1),
+  p as (select i.experiment, case (i.event_id // (2 ** (o.event_id % 4))::bigint) % 2 when 1 then 1 else -1 end as preference from e i join o on i.event_id = o.seen and i.experiment = o.experiment and i.event_type = 'view'
+    and o.ts between i.ts and i.ts + interval 1 day),
+  g as (select experiment, count(*) as impressions, count(*) filter (preference = 1) as wins_a, count(*) filter (preference = -1) as wins_b, count(*) filter (preference = 0) as ties from p group by 1),
+  r as (select *, wins_a + wins_b as n, wins_a / (wins_a + wins_b) as rate from g)
+  select experiment, impressions, wins_a, wins_b, ties, round(rate, 6) as rate, round((rate + {_Z}*{_Z}/(2*n)) / (1 + {_Z}*{_Z}/n) - {_Z} * sqrt(rate*(1-rate)/n + {_Z}*{_Z}/(4*n*n)) / (1 + {_Z}*{_Z}/n), 6) as low,
+    round((rate + {_Z}*{_Z}/(2*n)) / (1 + {_Z}*{_Z}/n) + {_Z} * sqrt(rate*(1-rate)/n + {_Z}*{_Z}/(4*n*n)) / (1 + {_Z}*{_Z}/n), 6) as high from r""")
+def j17_interleaving_journal(spark, d):
+    got = J.experiment_results(J.export(J.complete_impressions(*shown(spark, d), "1 day")))
+    return got.select("experiment", "impressions", "wins_a", "wins_b", "ties", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")])
