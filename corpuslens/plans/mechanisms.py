@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators import fitting as T
 from corpuslens.operators import release as P
+from corpuslens.operators.lineage import cut
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.statistics import _Z
 from corpuslens.streaming import journal as J
@@ -108,3 +110,81 @@ def shown(spark, d):
 def j17_interleaving_journal(spark, d):
     got = J.experiment_results(J.export(J.complete_impressions(*shown(spark, d), "1 day")))
     return got.select("experiment", "impressions", "wins_a", "wins_b", "ties", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")])
+
+
+# fits: what is learned from four fifths of the queries, documents or orders, judged on the rest
+
+
+def _held(column):
+    return F.crc32(column.cast("string").cast("binary")) % 5 == 0
+
+
+def fused_rows(spark, d):
+    """``query_id, doc_id, dense, lexical, grade, held``: probabilities by position in each list, grades 0 to 4 by the share of a query's words."""
+    from corpuslens.functions.text import index_tokens
+    from corpuslens.plans.retrieval import two_lists
+
+    lists = two_lists(spark, d).groupBy("query_id", "doc_id").pivot("list", ["dense", "lexical"]).agg(F.min("position"))
+    p = lambda c: F.coalesce(1 / (1.0 + F.col(c)), F.lit(0.02)).alias(c)
+    words = lambda t, key, name: table(spark, d, t).select(F.col(key), F.array_distinct(index_tokens(F.col("text"))).alias(name))
+    texts = lists.join(words("documents", "doc_id", "there"), "doc_id").join(words("benchmark", "item_id", "asked").withColumnRenamed("item_id", "query_id"), "query_id")
+    grade = F.floor(4 * F.size(F.array_intersect("asked", "there")) / F.greatest(F.size("asked"), F.lit(1))).cast("double")
+    return cut(texts.select("query_id", "doc_id", p("dense"), p("lexical"), grade.alias("grade"), _held(F.col("query_id")).alias("held")))
+
+
+def _weights(spark, fit, names):
+    rows = [(n, float(w), fit.best_epoch, float(fit.best_loss)) for n, w in zip(names, fit.weights)]
+    return spark.createDataFrame(rows, "profile string, weight double, best_epoch int, held_loss double")
+
+
+@query("h45_fusion_weights")
+def h45_fusion_weights(spark, d):
+    rows = fused_rows(spark, d).withColumn("relevant", F.col("grade") > 0)
+    return _weights(spark, T.fusion_fit(rows, ["dense", "lexical"], "relevant", T.Settings(40, centred=True)), ["dense", "lexical"])
+
+
+@query("h46_listwise_fusion")
+def h46_listwise_fusion(spark, d):
+    lists = cut(T.ranking_lists(fused_rows(spark, d), ["dense", "lexical"], "grade"))
+    return _weights(spark, T.listwise_fit(lists, 2, T.Settings(40, centred=True)), ["dense", "lexical"])
+
+
+LETTERS = list("aeionrstdlh")
+
+
+def letter_rows(spark, d):
+    """``doc_id, lang, held`` and the share of some letters in each document, times ten."""
+    low, n = F.lower("text"), F.greatest(F.length("text"), F.lit(1))
+    share = lambda c: (10.0 * (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / n).alias(f"l_{c}")
+    rows = table(spark, d, "documents").where("lang is not null").select("doc_id", "lang", _held(F.col("doc_id")).alias("held"), *[share(c) for c in LETTERS])
+    return cut(rows)
+
+
+@query("h47_domain_classifier")
+def h47_domain_classifier(spark, d):
+    rows = letter_rows(spark, d)
+    labels = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]  # as many as languages
+    features = [f"l_{c}" for c in LETTERS]
+    fit = T.classifier_fit(rows, features, "lang", labels, T.Settings(40, 0.5, clip=None))
+    judged = T.classified(rows, fit.theta, features, labels, "und", 0.3)
+    right = F.avg((F.col("predicted") == F.col("lang")).cast("double"))
+    return judged.groupBy("held", "lang").agg(F.count("*").alias("n"), right.alias("accuracy"), F.avg("confidence").alias("mean_confidence")).withColumn("best_epoch", F.lit(fit.best_epoch))
+
+
+PLAN_FEATURES = ["d_quantity", "d_discount", "d_tax", "d_price"]
+
+
+def plan_pairs(spark, d):
+    """An order's first two lines: the one that shipped earlier is preferred."""
+    li = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_shipdate", F.struct(
+        (F.col("l_quantity") / 50).alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_extendedprice") / 100000).alias("price")).alias("x"))
+    pairs = li.groupBy("l_orderkey").agg(F.min_by("x", F.struct("l_shipdate", "l_linenumber")).alias("good"), F.max_by("x", F.struct("l_shipdate", "l_linenumber")).alias("bad"), F.count("*").alias("n"))
+    columns = [(F.col(f"good.{c}") - F.col(f"bad.{c}")).alias(f"d_{c}") for c in ("quantity", "discount", "tax", "price")]
+    return cut(pairs.where("n = 2").select("l_orderkey", _held(F.col("l_orderkey")).alias("held"), *columns))
+
+
+@query("h65_plan_ranker")
+def h65_plan_ranker(spark, d):
+    fit = T.plan_ranker_fit(plan_pairs(spark, d), PLAN_FEATURES, T.Settings(40, 0.5, clip=None))
+    rows = [(f, float(t), fit.best_epoch, float(fit.best_loss)) for f, t in zip(PLAN_FEATURES, fit.theta)]
+    return spark.createDataFrame(rows, "feature string, weight double, best_epoch int, held_loss double")
