@@ -35,10 +35,12 @@ RECORD = "record_id string, page_id string, record_type string, refers_to_id str
 
 @dataclass
 class Archive:
-    """``heads(record_id, page_id, record_type, sha256, refers_to, head)`` and ``payloads(sha256, sha1, bytes, n, payload)``."""
+    """``heads(record_id, page_id, record_type, sha256, bytes, refers_to, head)`` and ``payloads(sha256, sha1, bytes, n, first_page, first_url, payload)``."""
 
     heads: DataFrame
     payloads: DataFrame
+    least: int
+    date: str
 
 
 def _payload(html: Column) -> Column:
@@ -101,13 +103,17 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "1970-01-
     # equal rows are one row with their number, so records are numbered without a window over them
     records = written(rows.drop("payload", "bytes").groupBy("page_id", "url", "sha256").agg(F.count("*").alias("copies")), "records")
     total = records.agg(F.sum("copies")).first()[0] or 0
-    about = stored.drop("payload")
-    records = joined_by_digest(records, about, "sha256", total)
+    records = joined_by_digest(records, stored.drop("payload"), "sha256", total)
     blocks = F.explode(F.sequence(F.lit(0), ((F.col("copies") - 1) / COPY_BLOCK).cast("int"))).alias("block")
     many = records.where(F.col("copies") > COPY_BLOCK).select("*", blocks).repartition("sha256", "block")
     records = records.where(F.col("copies") <= COPY_BLOCK).withColumn("block", F.lit(0)).unionByName(many)
     copy = F.explode(F.sequence(F.col("block") * COPY_BLOCK, F.least((F.col("block") + 1) * COPY_BLOCK, "copies") - 1)).alias("copy")
-    records = records.select("*", copy)
+    heads = with_heads(records.select("*", copy), least, date).select("record_id", "page_id", "record_type", "sha256", "bytes", "refers_to", "head")
+    return Archive(written(heads, "heads"), stored, least, date)
+
+
+def with_heads(records: DataFrame, least: int, date: str) -> DataFrame:
+    """Record ids, types and exact header bytes of ``records(page_id, url, copy, sha256, bytes, first_page, first_url)``."""
 
     def identity(page: str, url: str, copy: Column) -> Column:
         parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (page, url)]
@@ -138,9 +144,7 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "1970-01-
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _field("Content-Length", block.cast("string")),
     ]
-    head = F.concat(F.lit("WARC/1.1\r\n"), *[F.coalesce(f, F.lit("")) for f in fields], F.lit("\r\n"), http)
-    heads = records.select("record_id", "page_id", "record_type", "sha256", "refers_to", head.alias("head"))
-    return Archive(written(heads, "heads"), stored)
+    return records.withColumn("head", F.concat(F.lit("WARC/1.1\r\n"), *[F.coalesce(f, F.lit("")) for f in fields], F.lit("\r\n"), http))
 
 
 def verified(payloads: DataFrame) -> DataFrame:
@@ -152,21 +156,25 @@ def verified(payloads: DataFrame) -> DataFrame:
 def originals(archive: Archive) -> DataFrame:
     """Every record with its exact header bytes and its whole payload, revisits too, by a join on the digest."""
     total = archive.heads.count()
-    return joined_by_digest(archive.heads, verified(archive.payloads).select("sha256", "sha1", "bytes", "n", "payload"), "sha256", total)
+    return joined_by_digest(archive.heads.drop("bytes"), verified(archive.payloads).select("sha256", "sha1", "bytes", "n", "payload"), "sha256", total)
 
 
 def write_files(archive: Archive, path: str, compression: str = "gzip") -> str:
     """Writes the records as WARC files of about FILE_BYTES: a response with its payload, a revisit without.
 
+    The one response of a payload that others revisit is written where its payload lies: its header follows from the
+    payload's row.  Only payloads below ``archive.least`` bytes, of which any record may be a response, are joined.
     Spark's text writer ends each record with END, so that its commit keeps whole files only, also when executors are lost.
     """
     bytes_, total = (archive.payloads.agg(F.sum("bytes")).first()[0] or 0), archive.heads.count()
-    whole = joined_by_digest(archive.heads.where("record_type = 'response'"), verified(archive.payloads).select("sha256", "n", "payload"), "sha256", total)
-    record = F.concat(F.col("head").cast("binary"), F.col("payload"))
-    lines = whole.select("record_id", record.cast("string").alias("value"))
-    lines = lines.unionByName(archive.heads.where("record_type = 'revisit'").select("record_id", F.col("head").alias("value")))
-    files = 1 + int((bytes_ + 1000 * total) // FILE_BYTES)
-    lines.repartition(files, "record_id").select("value").write.option("lineSep", END).option("compression", compression).text(path)
+    payloads, large = verified(archive.payloads), F.col("bytes") >= archive.least
+    first = payloads.where(large).select("sha256", "bytes", "first_page", "first_url", "payload", F.col("first_page").alias("page_id"), F.col("first_url").alias("url"), F.lit(0).alias("copy"))
+    first = with_heads(first, archive.least, archive.date)
+    rest = joined_by_digest(archive.heads.where(~large).drop("bytes"), payloads.where(~large).select("sha256", "n", "payload"), "sha256", total)
+    lines = [r.select(F.concat(F.col("head").cast("binary"), F.col("payload")).cast("string").alias("value")) for r in (first, rest)]
+    lines = lines[0].unionByName(lines[1]).unionByName(archive.heads.where("record_type = 'revisit'").select(F.col("head").alias("value")))
+    most = max(1, FILE_BYTES * max(total, 1) // max(bytes_ + 1000 * total, 1))
+    lines.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
     return path
 
 

@@ -1,6 +1,7 @@
 """Content-addressed archive, tokenizer alignment and spelling variants against plain Python."""
 
 import collections
+import dataclasses
 import gzip
 import hashlib
 import zlib
@@ -71,7 +72,7 @@ def test_archive_stores_once_and_gives_records_back(spark, tmp_path):
 def test_archive_refuses_damage(spark, tmp_path):
     archive = warc.archived(spark.createDataFrame(page_rows()[-1:], PAGES))
     with pytest.raises(Exception, match="damaged payload"):
-        warc.originals(warc.Archive(archive.heads, archive.payloads.withColumn("payload", F.lit("other").cast("binary")))).collect()
+        warc.originals(dataclasses.replace(archive, payloads=archive.payloads.withColumn("payload", F.lit("other").cast("binary")))).collect()
     (tmp_path / "cut").mkdir()
     (tmp_path / "cut" / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
     with pytest.raises(PythonException, match="cut off"):
