@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators import evidence as V
 from corpuslens.operators import fitting as T
+from corpuslens.operators import networks as N
 from corpuslens.operators import release as P
 from corpuslens.operators.lineage import cut
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.statistics import _Z
+from corpuslens.plans.tables import _GE, edges
 from corpuslens.streaming import journal as J
 from corpuslens.streaming import quota as Q
 
@@ -188,3 +191,114 @@ def h65_plan_ranker(spark, d):
     fit = T.plan_ranker_fit(plan_pairs(spark, d), PLAN_FEATURES, T.Settings(40, 0.5, clip=None))
     rows = [(f, float(t), fit.best_epoch, float(fit.best_loss)) for f, t in zip(PLAN_FEATURES, fit.theta)]
     return spark.createDataFrame(rows, "feature string, weight double, best_epoch int, held_loss double")
+
+
+# matches of claims: a document's lines are gold, its sentences are proposed
+
+
+def pieces(spark, d, separator, name):
+    """Parts of each document between separators, with their place in it, as claims of three words or more."""
+    parts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", F.posexplode(F.split("text", separator)).alias("n", "claim"))
+    before = F.sum(F.length("claim") + len(separator.replace("\\", ""))).over(Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.withColumn("start", F.coalesce(before, F.lit(0)))
+    return placed.where(F.size(V.claim_tokens(F.col("claim"))) >= 3).select(
+        "doc", F.concat_ws(":", "doc", "n").alias(name), F.lit(0).alias("section"), "start", (F.col("start") + F.length("claim")).alias("end"), F.md5("claim").alias("evidence"), "claim",
+        F.col("lang").alias("type"), F.when(F.length("claim") > 80, "long").otherwise("short").alias("modality"),
+    )
+
+
+@query("g35_claim_matches")
+def g35_claim_matches(spark, d):
+    gold, proposals = cut(pieces(spark, d, "\n", "gold_id")), cut(pieces(spark, d, "\\. ", "proposal_id"))
+    report = V.claim_report(gold, proposals, V.match_claims(gold, proposals))
+    return report.select("doc", "n_gold", "n_proposals", "n_matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "mean_token_f1", "type_accuracy", "modality_accuracy")])
+
+
+# evidence over document graphs: lines are nodes, linked to their neighbours and to the first equal line of other documents
+
+
+def line_graph(spark, d):
+    """``nodes(doc, node, text)``, edges within and across documents."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where(F.size(V.claim_tokens(F.col("text"))) >= 3)
+    lines = cut(lines.withColumn("node", F.concat_ws(":", "doc", "n")))
+    after = F.lead("node").over(Window.partitionBy("doc").orderBy("n"))
+    pairs = lines.select("doc", F.col("node").alias("a"), after.alias("b")).where("b is not null")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.9).alias("weight")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(0.6).alias("weight"))))
+    within = pairs.select(F.col("doc").alias("dst_doc"), ends.alias("e")).select("dst_doc", "e.*", F.concat_ws(">", "e.src", "e.dst").alias("edge"))
+    first = lines.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc", "n", "node")).alias("first"))
+    same = lines.withColumn("h", F.md5("text")).join(first, "h").where("doc <> first.doc")
+    both = F.explode(F.array(F.struct(F.col("node").alias("src"), F.col("first.node").alias("dst"), F.col("first.doc").alias("dst_doc")), F.struct(F.col("first.node").alias("src"), F.col("node").alias("dst"), F.col("doc").alias("dst_doc"))))
+    across = same.select(both.alias("e")).select("e.*", F.lit(0.9).alias("weight"), F.concat_ws("=", "e.src", "e.dst").alias("edge"))
+    return lines, cut(within), cut(across)
+
+
+def line_hits(lines, queries):
+    """``query, doc, node, score``: the share of a query's words that a line holds."""
+    words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(V.claim_tokens(F.col("text")))).alias("w"))
+    q = words(queries, "query", F.size(F.array_distinct(V.claim_tokens(F.col("text")))).alias("n"))
+    hits = q.join(words(lines, "doc", "node"), "w").groupBy("query", "n", "doc", "node").agg(F.count("*").alias("k"))
+    return hits.select("query", "doc", "node", (F.col("k") / F.col("n")).alias("score")).where("score >= 0.1")
+
+
+@query("f13_graph_evidence")
+def f13_graph_evidence(spark, d):
+    lines, within, across = line_graph(spark, d)
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    got = V.graph_set_evidence(line_hits(lines, queries), within, across, per_document=3, most_seeds=20, top=50)
+    return got.select("query", "doc", "node", F.round("score", 6).alias("score"), "origin", "seed", F.array_join("lineage", " ").alias("lineage"), "position")
+
+
+# adjustment sets: an order's lines are variables, an earlier one acts on a later one where their parts fit
+
+
+def order_graphs(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    name = lambda c: F.concat(F.lit("v"), F.col(c)).alias("node")
+    nodes = li.select(F.col("l_orderkey").alias("dag"), name("l_linenumber"), "l_linenumber", "l_partkey", "l_returnflag").distinct()
+    a, b = nodes.select("dag", F.col("node").alias("src"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p")), nodes.select("dag", F.col("node").alias("dst"), F.col("l_linenumber").alias("j"), F.col("l_partkey").alias("q"))
+    edges_ = a.join(b, "dag").where("i < j and (p + q) % 3 = 0").select("dag", "src", "dst").distinct()
+    asked = nodes.groupBy("dag").agg(F.array_sort(F.collect_set(F.when((F.col("l_returnflag") == "A") & ~F.col("node").isin("v2", "v4"), F.col("node")))).alias("adjustment"))
+    questions = asked.select(F.col("dag").alias("question"), "dag", F.lit("v2").alias("exposure"), F.lit("v4").alias("outcome"), "adjustment")
+    return cut(nodes.select("dag", "node")), cut(edges_), questions
+
+
+@query("f23_adjustment_sets")
+def f23_adjustment_sets(spark, d):
+    got = V.adjustment_sets(*order_graphs(spark, d))
+    return got.select("question", "valid", "blocked", F.array_join("descendants", ",").alias("descendants"), F.array_join("unknown", ",").alias("unknown"))
+
+
+# records along a network: what shipped upstream of a customer, shifted by the way to it
+
+
+@query("f19_travel_time_records", f"""with {_GE}, t as (select src, dst, ((src + dst) % 7 + 1) * 86400.0::double as seconds from e), c as (select c_custkey + 9000000 as target from customer where c_custkey % 100 = 0),
+  u1 as (select target, src as node, min(seconds) as seconds from c join t on dst = target group by 1, 2), u2 as (select target, t.src as node, min(u1.seconds + t.seconds) as seconds from u1 join t on t.dst = u1.node group by 1, 2),
+  u as (select * from u1 union all select * from u2), r as (select l_partkey + 1000000 as node, epoch(l_shipdate) as sec from lineitem union all select l_suppkey, epoch(l_receiptdate) from lineitem),
+  w as (select epoch(timestamp '1995-01-01') as a, epoch(timestamp '1995-02-01') as b)
+  select target, count(*) as n_records, count(distinct u.node) as n_nodes, min(sec)::double as first_at, max(sec)::double as last_at, round(avg(seconds), 3) as mean_seconds from u join r on u.node = r.node, w where sec between a - seconds and b - seconds group by 1""")
+def f19_travel_time_records(spark, d):
+    e = cut(edges(spark, d).withColumn("seconds", ((F.col("src") + F.col("dst")) % 7 + 1) * 86400.0))
+    targets = table(spark, d, "customer").where("c_custkey % 100 = 0").select((F.col("c_custkey") + 9000000).alias("target"))
+    seconds = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1e6).alias("at")
+    li = table(spark, d, "lineitem").withColumn("record", F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    records = li.select("record", (F.col("l_partkey") + 1000000).alias("node"), seconds("l_shipdate")).unionByName(li.select("record", F.col("l_suppkey").alias("node"), seconds("l_receiptdate")))
+    windows = targets.select("target", F.lit(788918400.0).alias("start"), F.lit(791596800.0).alias("end"))
+    found = V.shifted_records(V.travel_seconds(e, targets), windows, records, 30 * 86400.0)
+    return found.groupBy("target").agg(F.count("*").alias("n_records"), F.count_distinct("node").alias("n_nodes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.round(F.avg("seconds"), 3).alias("mean_seconds"))
+
+
+# network meta-analysis: market segments of customers, compared within nations, pooled by region
+
+
+def segment_contrasts(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    arms = cut(c.groupBy("n_regionkey", "c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("m"), F.var_samp("c_acctbal").alias("v"), F.count("*").alias("n")).where("n > 1 and v > 0"))
+    nxt = lambda c: F.lead(c).over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment"))
+    se = F.sqrt(F.col("v") / F.col("n") + nxt("v") / nxt("n"))
+    return arms.select(F.col("n_regionkey").alias("network"), F.col("c_mktsegment").alias("a"), nxt("c_mktsegment").alias("b"), (nxt("m") - F.col("m")).alias("effect"), se.alias("se")).where("b is not null")
+
+
+@query("h36_network_effects")
+def h36_network_effects(spark, d):
+    got = N.network_effects(segment_contrasts(spark, d))
+    return got.select("network", "treatment", "connected", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "low", "high", "residual_q")], "residual_df")
