@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators import contexts as C
 from corpuslens.operators import evidence as V
 from corpuslens.operators import fitting as T
 from corpuslens.operators import networks as N
@@ -13,6 +14,7 @@ from corpuslens.operators.lineage import cut
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.statistics import _Z
 from corpuslens.plans.tables import _GE, edges
+from corpuslens.sources import importing as I
 from corpuslens.streaming import journal as J
 from corpuslens.streaming import quota as Q
 
@@ -273,7 +275,7 @@ def f23_adjustment_sets(spark, d):
 
 @query("f19_travel_time_records", f"""with {_GE}, t as (select src, dst, ((src + dst) % 7 + 1) * 86400.0::double as seconds from e), c as (select c_custkey + 9000000 as target from customer where c_custkey % 100 = 0),
   u1 as (select target, src as node, min(seconds) as seconds from c join t on dst = target group by 1, 2), u2 as (select target, t.src as node, min(u1.seconds + t.seconds) as seconds from u1 join t on t.dst = u1.node group by 1, 2),
-  u as (select * from u1 union all select * from u2), r as (select l_partkey + 1000000 as node, epoch(l_shipdate) as sec from lineitem union all select l_suppkey, epoch(l_receiptdate) from lineitem),
+  u as (select * from u1 union all select * from u2), r as (select l_partkey + 1000000 as node, epoch(l_shipdate) as sec from lineitem union all select l_suppkey, epoch(l_shipdate) + 86400 from lineitem),
   w as (select epoch(timestamp '1995-01-01') as a, epoch(timestamp '1995-02-01') as b)
   select target, count(*) as n_records, count(distinct u.node) as n_nodes, min(sec)::double as first_at, max(sec)::double as last_at, round(avg(seconds), 3) as mean_seconds from u join r on u.node = r.node, w where sec between a - seconds and b - seconds group by 1""")
 def f19_travel_time_records(spark, d):
@@ -281,7 +283,7 @@ def f19_travel_time_records(spark, d):
     targets = table(spark, d, "customer").where("c_custkey % 100 = 0").select((F.col("c_custkey") + 9000000).alias("target"))
     seconds = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1e6).alias("at")
     li = table(spark, d, "lineitem").withColumn("record", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    records = li.select("record", (F.col("l_partkey") + 1000000).alias("node"), seconds("l_shipdate")).unionByName(li.select("record", F.col("l_suppkey").alias("node"), seconds("l_receiptdate")))
+    records = li.select("record", (F.col("l_partkey") + 1000000).alias("node"), seconds("l_shipdate")).unionByName(li.select("record", F.col("l_suppkey").alias("node"), (seconds("l_shipdate") + 86400).alias("at")))
     windows = targets.select("target", F.lit(788918400.0).alias("start"), F.lit(791596800.0).alias("end"))
     found = V.shifted_records(V.travel_seconds(e, targets), windows, records, 30 * 86400.0)
     return found.groupBy("target").agg(F.count("*").alias("n_records"), F.count_distinct("node").alias("n_nodes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.round(F.avg("seconds"), 3).alias("mean_seconds"))
@@ -302,3 +304,82 @@ def segment_contrasts(spark, d):
 def h36_network_effects(spark, d):
     got = N.network_effects(segment_contrasts(spark, d))
     return got.select("network", "treatment", "connected", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "low", "high", "residual_q")], "residual_df")
+
+
+# imports: the given tables in raw layouts, read back
+
+CORPUS = I.CorpusProfile("documents", ("$.doc.id", "$._id"), ("$.doc.body", "$.text"), ("$.doc.title",), ("$.meta.source", "$.source"), {"lang": ("$.meta.lang", "$.language"), "chars": ("$.n",)})
+
+
+def raw_corpus(spark, d):
+    """``json``: documents of English in a nested layout, all others in a flat one."""
+    docs = table(spark, d, "documents")
+    nested = F.to_json(F.struct(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("body")).alias("doc"), F.struct("source", "lang").alias("meta"), F.col("n_chars").alias("n")))
+    flat = F.to_json(F.struct(F.col("doc_id").cast("string").alias("_id"), "text", "source", F.col("lang").alias("language"), F.col("n_chars").alias("n")))
+    return docs.select(F.when(F.col("lang") == "en", nested).otherwise(flat).alias("json"))
+
+
+@query("a3_import_receipt", """select 'documents' as profile, count(*) as n, sum(('0x' || substr(sha256(doc_id::varchar), 1, 15))::hugeint)::varchar as ids_digest,
+  (select count(distinct source) from documents) as n_groups, (select sum(('0x' || substr(sha256(source), 1, 15))::hugeint)::varchar from (select distinct source from documents where source is not null)) as groups_digest from documents""")
+def a3_import_receipt(spark, d):
+    return I.import_corpus(raw_corpus(spark, d), CORPUS)[1]
+
+
+@query("a3_imported_corpus", "select doc_id::varchar as document_id, md5(text) as text_md5, null::varchar as title, source as source_group, lang, n_chars::varchar as chars, 'documents' as corpus_profile from documents")
+def a3_imported_corpus(spark, d):
+    rows = I.import_corpus(raw_corpus(spark, d), CORPUS)[0]
+    about = lambda k: F.try_element_at("metadata", F.lit(k)).alias(k)
+    return rows.select("document_id", F.md5("text").alias("text_md5"), "title", "source_group", about("lang"), about("chars"), about("corpus_profile"))
+
+
+def raw_benchmarks(spark, d):
+    """Turns of conversations as questions in five raw layouts: their answer is the next turn, their context the benchmark's items."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user' and answer is not null")
+    c = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.trim("text").alias("q"), F.trim("answer").alias("a"), F.concat(F.lit("t"), F.col("conv_id")).alias("t")).where("q <> '' and a <> ''")
+    a = F.array
+    s = F.struct
+    col = F.col
+    return {
+        "hotpotqa": c.select(F.to_json(s(col("id").alias("_id"), col("q").alias("question"), col("a").alias("answer"), a(a(col("t"), F.lit("0"))).alias("supporting_facts"), a(a(col("t"), col("a"))).alias("context"))).alias("json")),
+        "musique": c.select(F.to_json(s(col("id"), col("q").alias("question"), a(col("a")).alias("answers"), a(s(col("t").alias("title"), col("a").alias("paragraph_text"), F.lit(True).alias("is_supporting"))).alias("paragraphs"))).alias("json")),
+        "qasper": c.select(F.to_json(s(s(col("q").alias("question"), col("id").alias("question_id"), s(col("a").alias("text")).alias("answers")).alias("question"), F.create_map(col("t"), a(col("a"))).alias("full_text"))).alias("json")),
+        "scifact": c.select(F.to_json(s(col("id"), col("q").alias("claim"), col("a").alias("label"), F.create_map(col("t"), a(col("a"))).alias("evidence"))).alias("json")),
+        "miracl": c.select(F.to_json(s(col("id").alias("query_id"), col("q").alias("query"), a(col("a")).alias("answers"), a(s(col("t").alias("docid"), col("a").alias("text"))).alias("positive_passages"), F.lit("en").alias("lang"))).alias("json")),
+    }
+
+
+@query("a5_adapted_benchmarks", """with c as (select conv_id || '-' || turn as id, trim(text) as q, trim(lead(text) over (partition by conv_id order by turn)) as a, 't' || conv_id as t, role from conversations),
+  u as (select * from c where role = 'user' and a is not null and q <> '' and a <> '')
+  select 'hotpotqa' as dataset, id, md5(q) as query_md5, md5(a) as answers_md5, t as relevant, md5(trim(t || chr(10) || a)) as contexts_md5, null::varchar as language from u union all
+  select 'musique', id, md5(q), md5(a), t, md5(trim(t || chr(10) || a)), null from u union all select 'qasper', id, md5(q), md5(a), '', md5(trim(t || chr(10) || a)), null from u union all
+  select 'scifact', id, md5(q), md5(a), t, md5(''), null from u union all select 'miracl', id, md5(q), md5(a), t, md5(a), 'en' from u""")
+def a5_adapted_benchmarks(spark, d):
+    each = [I.adapted(raw, name) for name, raw in raw_benchmarks(spark, d).items()]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).unionByName(each[4])
+    about = lambda k: F.try_element_at("metadata", F.lit(k))
+    joined = lambda c: F.array_join(c, "\n")
+    return rows.select(
+        about("dataset").alias("dataset"), "id", F.md5("query").alias("query_md5"), F.md5(joined("answers")).alias("answers_md5"), joined("relevant_ids").alias("relevant"), F.md5(joined("contexts")).alias("contexts_md5"),
+        about("language").alias("language"),
+    )
+
+
+# what queries name: the first three words of benchmark items as aliases, looked for in all documents
+
+
+def item_aliases(spark, d):
+    three = F.regexp_extract("text", r"^\s*(\w+\W+\w+\W+\w+)", 1)
+    rows = table(spark, d, "benchmark").select(three.alias("alias"), F.concat(F.lit("item-"), "item_id").alias("entity"), F.substring("text", 1, 40).alias("name"))
+    return rows.where("alias <> ''")
+
+
+@query("b16_named_entities")
+def b16_named_entities(spark, d):
+    return C.named_entities(table(spark, d, "documents"), item_aliases(spark, d), "doc_id").select("doc_id", "alias", "surface", "entity")
+
+
+@query("b16_named_times")
+def b16_named_times(spark, d):
+    got = C.named_times(table(spark, d, "documents"), "doc_id")
+    return got.groupBy("doc_id", "start_utc", "precision", "surface").agg(F.count("*").alias("n"))
