@@ -33,7 +33,9 @@ BLOCK_DOCS, BLOCK_RECORDS = 1 << 14, 1 << 22
 #: Stored bytes of a radix that one task reads back.
 LANE_BYTES = 64 << 20
 #: Characters of a text that are cut into segments at once, and segments whose alignment a task keeps.
-SLICE, KEPT = 1 << 20, 300_000
+SLICE, KEPT = 1 << 20, 400_000
+#: Characters of new segments that are encoded at once.
+RUN_CHARS = 1 << 12
 
 #: A space between two characters that are no white space: tokens of both kinds end before it.
 _CUT = re.compile("(?<=[^\\s᠎​])\x20(?=[^\\s᠎​])")
@@ -62,13 +64,15 @@ class Aligner:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECE_BPE}")
-        self.b_bytes = []
-        for i in range(self.b.vocab_size()):
-            piece = self.b.id_to_piece(i)
-            one = _BYTE_PIECE.fullmatch(piece)
-            self.b_bytes.append(bytes([int(one[1], 16)]) if one else piece.replace("▁", " ").encode())
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        one = [_BYTE_PIECE.fullmatch(piece) for piece in pieces]
+        self.b_bytes = [bytes([int(m[1], 16)]) if m else piece.replace("▁", " ").encode() for m, piece in zip(one, pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        #: Ids as text with what follows: the next id of the same side, the other side, the next group.
+        self.a_text = [[f"{i},", f"{i}|"] for i in range(self.size)]
+        self.b_text = [[f"{i},", f"{i};"] for i in range(len(pieces))]
         # a piece that goes on after a letter with a space would cross the cuts
-        self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.vocab_size()))
+        self.cuts = not any("▁" in piece.lstrip("▁") for piece in pieces)
         self.forget()
 
     def forget(self) -> None:
@@ -76,69 +80,107 @@ class Aligner:
         self.groups: list[str] = []
         self.sizes, self.ends, self.codes = array("q"), array("q", [0]), array("q")
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids of both, and whether both give the bytes of space + text."""
-        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, x, b in zip(texts, first, self.b.encode(texts, num_threads=1)):
-            a, whole = x.ids, (" " + text).encode()
-            yield a, b, b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
-        """Groups as strings, and the code ``b * size + a`` of every link."""
-        groups, codes, i, j, left, right = [], [], 0, 0, 0, 0
-        a_end, b_end = 0, 0
-        while i < len(a) and j < len(b):
-            codes.append(b[j] * self.size + a[i])
-            a_stop, b_stop = a_end + len(self.a_bytes[a[i]]), b_end + len(self.b_bytes[b[j]])
-            if a_stop <= b_stop:
-                a_end, i = a_stop, i + 1
-            if b_stop <= a_stop:
-                b_end, j = b_stop, j + 1
-            if a_stop == b_stop:
-                groups.append(",".join(map(str, a[left:i])) + "|" + ",".join(map(str, b[right:j])))
-                left, right = i, j
-        return groups, codes
+        a, b, whole = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1), (" " + text).encode()
+        same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+        return np.array(a, np.int64), np.array(b, np.int64), same
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens as text in the order of groups, then as arrays: ends of that text's tokens, links' codes and ends, groups' ends; ends are bytes.
+
+        A link is a stretch between two neighbouring ends of either side: it lies in one token of each, and no other
+        stretch lies in the same two.  A group ends where both sides do.
+        """
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        stops = np.union1d(a_ends, b_ends)
+        codes = b[np.searchsorted(b_ends, stops)] * self.size + a[np.searchsorted(a_ends, stops)]
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        last_a, last_b = np.isin(a_ends, cuts, assume_unique=True).astype(int), np.isin(b_ends, cuts, assume_unique=True).astype(int)
+        text = [self.a_text[i][last] for i, last in zip(a.tolist(), last_a.tolist())] + [self.b_text[i][last] for i, last in zip(b.tolist(), last_b.tolist())]
+        group = np.concatenate([np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)])
+        side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
+        order = np.lexsort((np.arange(len(group)), side, group))
+        return [text[i] for i in order.tolist()], cuts[group[order]], codes, stops, cuts, a_ends
 
     def learn(self, segments: Iterable[str]) -> None:
-        """Aligns segments that aren't known: sizes are tokens of A and B, groups, links; -1 where bytes differ."""
+        """Aligns segments that aren't known: sizes are tokens of A and B, groups, links; -1 where bytes differ.
+
+        Segments without outer white space are encoded in runs with single spaces between them, where they were cut.
+        """
         new = list(dict.fromkeys(s for s in segments if s not in self.known))
-        for segment, (a, b, same) in zip(new, self.encoded(new)):
-            groups, codes = self.align(a, b) if same else ([], [])
-            self.known[segment] = len(self.groups)
-            self.groups.append(";".join(groups))
-            self.sizes.extend((len(a), len(b), len(groups), len(codes)) if same else (-1, 0, 0, 0))
-            self.codes.extend(codes)
-            self.ends.append(len(self.codes))
+        run, size = [], 0
+        for segment in new:
+            if not segment or segment[0].isspace() or segment[-1].isspace() or len(segment) > RUN_CHARS:
+                self._add([segment])
+                continue
+            run.append(segment)
+            size += len(segment)
+            if size > RUN_CHARS:
+                self._add(run)
+                run, size = [], 0
+        if run:
+            self._add(run)
+
+    def _add(self, run: list[str]) -> None:
+        a, b, same = self.encoded(" ".join(run))
+        if not same:
+            if len(run) > 1:
+                for segment in run:
+                    self._add([segment])
+            else:
+                self._keep(run[0], "", (-1, 0, 0, 0), [])
+            return
+        text, text_ends, codes, stops, cuts, a_ends = self.align(a, b)
+        b_ends = np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(s.encode()) + 1 for s in run])
+        at = [np.searchsorted(x, ends, side="right").tolist() for x in (text_ends, a_ends, b_ends, cuts, stops)]
+        was = [0] * 5
+        codes = codes.tolist()
+        for segment, *now in zip(run, *at):
+            self._keep(segment, "".join(text[was[0] : now[0]])[:-1], [n - w for n, w in zip(now[1:], was[1:])], codes[was[4] : now[4]])
+            was = now
+
+    def _keep(self, segment: str, groups: str, sizes, codes: list[int]) -> None:
+        self.known[segment] = len(self.groups)
+        self.groups.append(groups)
+        self.sizes.extend(sizes)
+        self.codes.extend(codes)
+        self.ends.append(len(self.codes))
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]]:
         """Sizes, digest of the groups, codes and their numbers for each text; no tokens where bytes differ."""
         for text in texts:
             done = self._document(text) if text and self.cuts else None
             if done is None:
-                done = self._whole(text) if text else ((0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+                done = self._whole(text) if text else NOTHING
             yield done
 
     def _whole(self, text: str):
-        a, b, same = next(self.encoded([text]))
+        a, b, same = self.encoded(text)
         if not same:
-            return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        groups, codes = self.align(a, b)
-        seen, times = np.unique(np.array(codes, np.int64), return_counts=True)
-        return (len(a), len(b), len(groups), len(codes)), hashlib.sha256(";".join(groups).encode()).hexdigest(), seen, times
+            return NOTHING
+        words, _, codes, _, cuts, _ = self.align(a, b)
+        return (len(a), len(b), len(cuts), len(codes)), hashlib.sha256("".join(words)[:-1].encode()).hexdigest(), *np.unique(codes, return_counts=True)
 
     def _document(self, text: str):
         total, digest, parts = np.zeros(4, np.int64), hashlib.sha256(), []
         for n, segments in enumerate(segmented(text)):
-            if len(self.known) > KEPT:
-                self.forget()
-            self.learn(segments)
-            at = np.array([self.known[s] for s in segments])
-            ids, times = np.unique(at, return_counts=True)
+            at = list(map(self.known.get, segments))
+            if None in at:
+                if len(self.known) > KEPT:
+                    self.forget()
+                self.learn(segments)
+                at = [self.known[s] for s in segments]
+            digest.update((";" if n else "").encode() + ";".join([self.groups[i] for i in at]).encode())
+            at = np.array(at)
+            at.sort()
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            ids, times = at[first], np.diff(np.append(first, len(at)))
             sizes = np.frombuffer(self.sizes, np.int64).reshape(-1, 4)[ids]
             if (sizes[:, 0] < 0).any():
                 return None  # looked at as a whole
-            total += (sizes * times[:, None]).sum(axis=0)
-            digest.update((";" if n else "").encode() + ";".join([self.groups[i] for i in at]).encode())
+            total += times @ sizes
             starts, links = np.frombuffer(self.ends, np.int64)[ids], sizes[:, 3]
             flat = np.repeat(starts - np.cumsum(links) + links, links) + np.arange(links.sum())
             parts.append((np.frombuffer(self.codes, np.int64)[flat], np.repeat(times, links)))
@@ -146,6 +188,9 @@ class Aligner:
         return tuple(int(x) for x in total), digest.hexdigest(), *summed(codes, times)
 
 
+NOTHING = ((0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def segmented(text: str) -> Iterator[list[str]]:
     """Segments of a text: cut at spaces that begin a token of either kind, which are left out."""
     at = 0
