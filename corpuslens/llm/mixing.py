@@ -21,6 +21,8 @@ BLOCKS, PARTS = 256, 4096
 SEED = 20240229
 #: Depth of the splitting tree: 2 ** DEPTH output shards.
 DEPTH = 3
+#: A shard's rows are shuffled in parts: least number, and bytes of a part at so many bytes a word.
+LEAF_PARTS, PART_BYTES, WORD_BYTES = 64, 128 << 20, 8
 
 
 def n_words(text: Column) -> Column:
@@ -221,12 +223,15 @@ def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text",
     """The mixture itself: the columns of ``docs``, a row for each pass, dealt by output shard and shuffled inside.
 
     The last pass of a row in which a source's quota ends is cut to its first words, so that the source meets its target.
-    What the mix takes of a row depends on the row alone, so texts are shuffled once, to their output shard.
+    What the mix takes of a row depends on the row alone, so texts are shuffled once, to their output shard, in parts that
+    grow in number with the words of the mixture.  Nulls, repeats and empty tables are treated as in ``plan_mixture``.
     """
     plan = source_plan(_drawn_rows(docs, source, text, key))
     rows = _with_plan(docs, plan, source, text, key)
     rows = rows.select("d", "size", "draw", F.posexplode("taken_places").alias("pass", "x"))
-    rows = rows.repartition(F.col("x.leaf"), F.pmod(F.col("draw"), F.lit(64)))
+    words = plan.agg(F.sum("target")).first()[0] or 0
+    parts = max(LEAF_PARTS, int(words * WORD_BYTES / (2**DEPTH * PART_BYTES)))
+    rows = rows.repartition(F.col("x.leaf"), F.pmod(F.col("draw"), F.lit(parts)))
     rows = rows.sortWithinPartitions("x.leaf", drawn("draw", "pass", stream=4), "draw", "pass")
     at = docs.columns.index(text)
     body = F.col(f"d.c{at}")

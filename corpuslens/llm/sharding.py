@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import shared_folder, written
+from corpuslens.llm.common import shared_folder, small, written
 
 SLOTS = 4096
 #: Lanes that a slot is dealt over once it holds more than 1/(HOT_SHARE * shards) of all bytes.
 LANES, HOT_SHARE = 64, 8
+#: Bytes of a run of one shard's rows, about.
+PART_BYTES = 128 << 20
 #: Shards are near equal once the fullest has this share of the mean more than the emptiest.
 TOLERANCE = 0.001
 
@@ -136,6 +138,28 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return sorted(tuple(r) for r in table.where(F.col("version") == F.lit(wanted)).select(*MAP_SCHEMA.names).collect())
 
 
+def _edited_map(records: DataFrame, shards: int, map_path: str | None) -> DataFrame:
+    """The latest slot map with the new bytes, edited until shards are near equal and stored if that moved a slot."""
+    spark = records.sparkSession
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    sizes, stored = slot_bytes(records, shards), load_map(spark, path)
+    known = updated(stored, sizes, shards) if stored else even_map(sizes, shards)
+    edited = rebalanced(known, shards, TOLERANCE)
+    if not stored and known:
+        store_map(spark, known, path)
+    moved = [r[1:3] + r[4:] for r in known] != [r[1:3] + r[4:] for r in edited]
+    rows = edited if moved else known
+    if moved:
+        store_map(spark, rows, path)
+    return F.broadcast(  # SLOTS + HOT_SHARE * shards * LANES rows at most
+        spark.createDataFrame(rows, MAP_SCHEMA).select("vslot", F.col("lane").alias("in_lane"), "shard", F.col("version").alias("map_version"))
+    )
+
+
+def _on_map(records: DataFrame, table: DataFrame) -> DataFrame:
+    return records.join(table, (records.vslot == table.vslot) & (table.in_lane.isin(-1) | (table.in_lane == records.lane))).drop(table.vslot)
+
+
 def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", map_path: str | None = None) -> DataFrame:
     """Puts every row into one of ``shards`` shards of near equal bytes.
 
@@ -163,22 +187,7 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
         ).withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(LANES)).cast("int")),
         "shard-records",
     )
-    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
-    sizes, stored = slot_bytes(records, shards), load_map(spark, path)
-    known = updated(stored, sizes, shards) if stored else even_map(sizes, shards)
-    edited = rebalanced(known, shards, TOLERANCE)
-    if not stored and known:
-        store_map(spark, known, path)
-    moved = [r[1:3] + r[4:] for r in known] != [r[1:3] + r[4:] for r in edited]
-    rows = edited if moved else known
-    if moved:
-        store_map(spark, rows, path)
-    table = F.broadcast(  # SLOTS + HOT_SHARE * shards * LANES rows at most
-        spark.createDataFrame(rows, MAP_SCHEMA).select("vslot", F.col("lane").alias("in_lane"), "shard", F.col("version").alias("map_version"))
-    )
-    placed = records.join(
-        table, (records.vslot == table.vslot) & (table.in_lane.isin(-1) | (table.in_lane == records.lane))
-    ).drop(table.vslot)
+    placed = _on_map(records, _edited_map(records, shards, map_path))
     counts = placed.groupBy("shard", "part").count()
     before = counts.select(
         "shard",
@@ -201,3 +210,36 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
             "map_version",
         )
     )
+
+
+def sharded_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", map_path: str | None = None) -> DataFrame:
+    """The rows themselves with their place: all columns of ``docs`` and ``size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version``.
+
+    Rows come out in runs of one shard in the order of their slots, PART_BYTES each, as they are to be written.  A row is
+    known by its file and its place there, so that equal rows and the rows of one hot key are dealt like any others; a
+    table that isn't read from files is written first.  Texts are shuffled once, to their run.  A column of ``docs`` whose
+    name is among the new ones is kept with ``doc_`` before it.  Nulls, repeats, empty tables and the slot map are treated
+    as in ``shard_records``.
+    """
+    try:
+        docs.select("_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        docs = written(docs, "shard-docs")
+    identity = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    own = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(
+        F.struct(*own).alias("d"), record_size(docs[text]).alias("size"), F.crc32(docs[text].cast("binary")).alias("text_crc32"), virtual_slot(docs[key]).alias("vslot"), identity.alias("row")
+    ).withColumn("lane", F.pmod("row", F.lit(LANES)).cast("int"))
+    records = written(rows.select("size", "vslot", "row", "lane"), "shard-records")
+    total = records.agg(F.sum("size")).first()[0] or 0
+    part = F.pmod(F.shiftright("row", 8), F.lit(1 + total // (shards * PART_BYTES))).alias("part")
+    table = _edited_map(records, shards, map_path)
+    counts = _on_map(records, table).groupBy("shard", part).count()
+    before = written(counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before")), "shard-runs")
+    runs = _on_map(rows, table).withColumn("part", part).repartition("shard", "part")
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version"]
+    placed = runs.withColumn("place", place).join(small(before), ["shard", "part"])
+    placed = placed.withColumn("slot", (F.col("before") + F.col("place")).cast("long")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    kept = [F.col(f"d.c{i}").alias(f"doc_{c}" if c in new else c) for i, c in enumerate(docs.columns)]
+    return placed.withColumnRenamed("vslot", "virtual_slot").select(*kept, *new)
