@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and place of every row of the mixture."""
-    return sharding.shard_records(docs, SHARDS)
+    """Every row of the mixture, text included, with its shard and place, in runs by shard and slot."""
+    return sharding.sharded_documents(docs, SHARDS)
 
 
 STAGES = [
