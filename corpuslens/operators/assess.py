@@ -167,10 +167,15 @@ def _frontier(points: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Tasks that merge the frontiers of all others before the last merge.
+FRONTIER_PARTS = 64
+
+
 def pareto_frontier(points: DataFrame, best_high: Sequence[str], best_low: Sequence[str]) -> DataFrame:
     """Rows that no other row dominates.
 
-    Each task keeps the frontier of its rows, which holds every row of the whole one, and the few left meet in one task.
+    Each task keeps the frontier of its rows, which holds every row of the whole one.  What is left is shuffled to
+    FRONTIER_PARTS tasks that do the same, and only their frontiers meet in one task.
     """
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +186,8 @@ def pareto_frontier(points: DataFrame, best_high: Sequence[str], best_low: Seque
         if held is not None:
             yield held
 
-    return points.mapInPandas(local, points.schema).coalesce(1).mapInPandas(local, points.schema)
+    first = points.mapInPandas(local, points.schema).repartition(FRONTIER_PARTS, *best_high, *best_low).mapInPandas(local, points.schema)
+    return first.repartition(1).mapInPandas(local, points.schema)
 
 
 @F.pandas_udf(DoubleType())
@@ -268,3 +274,29 @@ def drift_by_profile(reference: DataFrame, live: DataFrame, edges: list[float],
 def series_summary(rows: DataFrame, group: Sequence[str], scenario: str, kind: str) -> DataFrame:
     """``n, scenarios, kinds``: rows, distinct scenarios and the sorted distinct kinds of each group."""
     return rows.groupBy(*group).agg(F.count("*").alias("n"), F.countDistinct(scenario).alias("scenarios"), F.sort_array(F.collect_set(kind)).alias("kinds"))
+
+
+def position_report(means: DataFrame, position: str = "position", score: str = "score") -> DataFrame:
+    """One row: ``n_positions, score_range, edge_to_middle_gap, slope`` of a mean score for each position.
+
+    Edges are the first and last position, the middle is the one at half of their number; with one position the slope is 0.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(score).alias("s")))), lambda x: x.s)  # as many as positions
+    g = means.agg(ordered.alias("s"), F.regr_slope(score, position).alias("slope"), F.max(score).alias("top"), F.min(score).alias("low"), F.count("*").alias("n_positions"))
+    middle = F.get("s", F.floor(F.col("n_positions") / 2).cast("int"))
+    edges = (F.element_at("s", 1) + F.element_at("s", -1)) / 2
+    return g.where("n_positions > 0").select("n_positions", (F.col("top") - F.col("low")).alias("score_range"), (edges - middle).alias("edge_to_middle_gap"), F.coalesce("slope", F.lit(0.0)).alias("slope"))
+
+
+def index_adaptation(
+    snapshots: DataFrame, shadow_psi: float = 0.2, urgent_psi: float = 0.4, score_drop: float = 0.1, stale: float = 0.15, failed: float = 0.05,
+) -> DataFrame:
+    """Adds ``action`` (stable, shadow_rebuild, urgent_rebuild) and ``reasons`` to ``snapshots(query_psi, language_psi, score_drop, stale_share, failed_share)``."""
+    psi = F.greatest("query_psi", "language_psi")
+    critical, broken = psi >= urgent_psi, F.col("failed_share") >= failed
+    reasons = F.array_compact(F.array(
+        F.when(critical, "distribution_shift_critical").when(psi >= shadow_psi, "distribution_shift_detected"), F.when(F.col("score_drop") >= score_drop, "retrieval_quality_dropped"),
+        F.when(F.col("stale_share") >= stale, "stale_document_fraction_high"), F.when(broken, "index_update_failures_high"),
+    ))
+    action = F.when(F.size("reasons") == 0, "stable").when(F.coalesce(critical | broken, F.lit(False)), "urgent_rebuild").otherwise("shadow_rebuild")
+    return snapshots.withColumn("reasons", reasons).withColumn("action", action)

@@ -206,3 +206,25 @@ def reranked_paths(paths: DataFrame, scores: DataFrame, group: str, path: str, t
     j = paths.join(scores.select(path, F.col("given")), path, "left").withColumn("score", F.coalesce("given", "path_score")).drop("given")
     order = Window.partitionBy(group).orderBy(F.desc("score"), path)
     return j.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
+
+
+def revised_beliefs(events: DataFrame, as_of: Column, half_life: float | None = None, margin: float = 0.15) -> DataFrame:
+    """``claim, status, support, contradiction, confidence, n_active`` of each claim of ``events(claim, evidence, source, stance, retracts, confidence, at)``.
+
+    Events up to ``as_of`` count (seconds).  A ``retract`` event takes away the evidence that it names; the others weigh
+    their confidence, halved every ``half_life`` seconds.  A source counts with its strongest support and its strongest
+    contradiction, sources combine as independent chances.  A claim without active events is unknown.
+    """
+    seen = events.where(F.col("at") <= as_of)
+    gone = seen.where("stance = 'retract' and retracts is not null").select("claim", F.col("retracts").alias("evidence")).distinct()
+    active = seen.where("stance <> 'retract'").join(gone, ["claim", "evidence"], "left_anti")
+    weight = F.col("confidence") if half_life is None else F.col("confidence") * F.pow(F.lit(0.5), F.greatest(as_of - F.col("at"), F.lit(0.0)) / half_life)
+    best = active.groupBy("claim", "source", "stance").agg(F.max(weight).alias("w"), F.count("*").alias("n"))
+    sure = lambda s: F.max(F.when((F.col("stance") == s) & (F.col("w") >= 1), 1).otherwise(0)) == 1
+    rest = lambda s: F.sum(F.when((F.col("stance") == s) & (F.col("w") < 1), F.log1p(-F.col("w"))).otherwise(0.0))
+    chance = lambda s: F.when(sure(s), 1.0).otherwise(1 - F.exp(rest(s)))
+    g = best.groupBy("claim").agg(chance("support").alias("support"), chance("contradict").alias("contradiction"), F.sum("n").alias("n_active"))
+    g = seen.select("claim").distinct().join(g, "claim", "left").na.fill(0)
+    gap, total = F.col("support") - F.col("contradiction"), F.col("support") + F.col("contradiction")
+    status = F.when(total == 0, "unknown").when((F.col("support") > 0) & (F.col("contradiction") > 0) & (F.abs(gap) <= margin), "conflicted").when(gap >= 0, "supported").otherwise("contradicted")
+    return g.select("claim", status.alias("status"), "support", "contradiction", F.when(total > 0, F.abs(gap) / total).otherwise(0.0).alias("confidence"), "n_active")

@@ -23,3 +23,15 @@ def neighbours_ordered(points: DataFrame, keys: list[str], place: str, value: st
     """Rows whose value does not fall from the row before: an issue for each."""
     w = Window.partitionBy(*keys).orderBy(place)
     return points.withColumn("before", F.lag(value).over(w)).where(F.col("before").isNotNull() & (F.col(value) >= F.col("before")))
+
+
+def compared_hydrographs(baseline: DataFrame, candidate: DataFrame, key: list[str], t: str, v: str) -> DataFrame:
+    """``key, peak_delta, peak_time_delta, volume_delta`` of series that both sides have; volumes by the trapezium rule."""
+
+    def summary(points: DataFrame, p: str) -> DataFrame:
+        one = points.withColumn("_k", F.struct(*key))
+        both = peaks(one, "_k", t, v).join(integral(one, "_k", t, v), "_k")
+        return both.select("_k", *[F.col(c).alias(p + c) for c in ("peak", "peak_time", "volume")])
+
+    j = summary(baseline, "a_").join(summary(candidate, "b_"), "_k")
+    return j.select("_k.*", *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"{c}_delta") for c in ("peak", "peak_time", "volume")])

@@ -191,8 +191,11 @@ def _owners(spark, d):
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("doc", F.col("node") % 7)
 
 
-@query("f12_paths_across", f"""with {_GE}, x as (select * from e where src % 7 <> dst % 7), s as (select s_suppkey as node from supplier where s_suppkey % 100 = 0)
-  select [node, a.dst, b.dst] as path, 2 as length from s join x a on a.src = node join x b on b.src = a.dst where b.dst <> node and b.dst >= 9000000""")
+@query("f12_paths_across", """with s as (select s_suppkey as node from supplier where s_suppkey % 100 = 0),
+  a as materialized (select distinct node, l_partkey + 1000000 as part from s join lineitem on l_suppkey = node where node % 7 <> (l_partkey + 1000000) % 7),
+  m as materialized (select distinct part from a), l as materialized (select part, l_orderkey from m join lineitem on l_partkey + 1000000 = part),
+  b as materialized (select distinct part, o_custkey + 9000000 as cust from l join orders on l_orderkey = o_orderkey where part % 7 <> (o_custkey + 9000000) % 7)
+  select [node, part, cust] as path, 2 as length from a join b using (part)""")
 def f12_paths_across(spark, d):
     x = G.neighbours_across(_typed(spark, d), _owners(spark, d))
     sources = table(spark, d, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").cast("long").alias("node"))

@@ -74,13 +74,13 @@ def i15_structure_rates(spark, d):
     return o.select("l_orderkey", "n_regions", *[F.round(c, 6).alias(c) for c in ("mean_confidence", "low_share", "table_share", "missing_share")])
 
 
-@query("i16_structure_decision", f"""with {_STRUCT} select l_orderkey, case when n_bad = 0 then 'accept' when n_bad = 1 then 'review' else 'reject' end as decision from (
-  select l_orderkey, (n_regions < 2)::int + (coalesce(mean_confidence, -1) < 0.42)::int + (low_share > 0.61)::int + (missing_share > 0.21)::int as n_bad from o)""")
+@query("i16_structure_decision", f"""with {_STRUCT} select l_orderkey, case when n_bad = 0 then 'accept' when n_bad = 1 then 'review' else 'reject' end as decision, reasons from (
+  select l_orderkey, concat_ws(',', case when low_share > 0.61 then 'low_share' end, case when coalesce(mean_confidence, -1) < 0.42 then 'mean_confidence' end, case when missing_share > 0.21 then 'missing_share' end, case when n_regions < 2 then 'n_regions' end) as reasons, (n_regions < 2)::int + (coalesce(mean_confidence, -1) < 0.42)::int + (low_share > 0.61)::int + (missing_share > 0.21)::int as n_bad from o)""")
 def i16_structure_decision(spark, d):
     o = A.structure_quality(_regions(spark, d), "l_orderkey", "kind", "c")
     g = A.threshold_gates(o, {"n_regions": 2, "mean_confidence": 0.42}, {"low_share": 0.61, "missing_share": 0.21})
     n = F.size("failures")
-    return g.select("l_orderkey", F.when(n == 0, "accept").when(n == 1, "review").otherwise("reject").alias("decision"))
+    return g.select("l_orderkey", F.when(n == 0, "accept").when(n == 1, "review").otherwise("reject").alias("decision"), F.array_join("failures", ",").alias("reasons"))
 
 
 @query("i17_cell_authority", f"with {_REGION} select action, count(*) as n from (select case when f >= 0.55 then 'allow' when f >= 0.25 then 'review' else 'block' end as action from (select least(coalesce(c, -1), c2) as f from r)) group by 1")
