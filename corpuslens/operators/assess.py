@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -300,3 +301,32 @@ def index_adaptation(
     ))
     action = F.when(F.size("reasons") == 0, "stable").when(F.coalesce(critical | broken, F.lit(False)), "urgent_rebuild").otherwise("shadow_rebuild")
     return snapshots.withColumn("reasons", reasons).withColumn("action", action)
+
+
+#: Features of a source with their weights, and the states that block it.
+TRUST = {"provenance": 0.3, "methodology": 0.25, "applicability": 0.2, "freshness": 0.1, "replication": 0.15}
+BLOCKED = ("retracted", "withdrawn")
+
+
+def source_trust(
+    sources: DataFrame, weights: dict[str, float] | None = None, least: float = 0.5, blocked: Sequence[str] = BLOCKED, causal: bool = False, review_causal: bool = True,
+) -> DataFrame:
+    """Adds ``score, eligible, reasons`` to ``sources(source, <features>, status, reviewed, conflicts_known)``.
+
+    The score is the weighted mean of the features.  A blocked status, a provenance below 0.5, a causal claim on a source
+    that nobody reviewed, and a score below ``least`` each make a source ineligible; unknown conflicts of interest are only
+    noted.  Eligible sources come first, then by score, then by name.
+    """
+    weights = TRUST if weights is None else weights
+    score = sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    rows = sources.withColumn("score", score)
+    bad = {
+        "blocked_status": F.col("status").isin(*blocked), "weak_provenance_integrity": F.col("provenance") < 0.5,
+        "causal_claim_requires_reviewed_source": F.lit(causal and review_causal) & ~F.col("reviewed"), "below_policy_score": F.col("score") < least,
+    }
+    no = F.lit(False)
+    named = [F.when(F.coalesce(c, no), F.concat(F.lit("blocked_status:"), "status") if k == "blocked_status" else F.lit(k)) for k, c in bad.items()]
+    found = F.array_compact(F.array(*named, F.when(~F.coalesce(F.col("conflicts_known"), no), F.lit("conflict_of_interest_status_unknown"))))
+    eligible = reduce(lambda a, b: a & ~F.coalesce(b, no), bad.values(), F.lit(True))
+    rows = rows.withColumn("eligible", eligible).withColumn("reasons", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("policy_eligible"))))
+    return rows.orderBy(F.desc("eligible"), F.desc("score"), "source")

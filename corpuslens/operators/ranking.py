@@ -118,3 +118,28 @@ def weighted_scores(lists: DataFrame, weights: dict[str, float], calibrations: d
     w = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("list")], F.lit(0.0))
     g = best.groupBy("query_id", "doc_id").agg((F.sum(w * value) / F.sum(w)).alias("score"))
     return g.withColumn("score", 1 / (1 + F.exp(-F.col("score")))) if logit else g
+
+
+def federated_merge(
+    hits: DataFrame, expected: DataFrame, weights: DataFrame, modalities: tuple[str, ...] = (), k: float = 60.0, most_per_provider: int = 50, limit: int = 100,
+) -> tuple[DataFrame, DataFrame]:
+    """The merged list of a request, ``request, item, provider, collection, score, position``, and the collections that are missing.
+
+    ``hits(request, provider, collection, item, modality, rank)`` come from collections that ``expected(request, provider,
+    collection)`` allows; one that it doesn't is refused.  Of each collection the ``most_per_provider`` first hits of the
+    ``modalities`` count (of any where none is named), as weight / (k + rank) with ``weights(provider, weight)`` or 1.  An
+    item's best place stays (ties by provider, collection and rank).  Missing is what was expected and gave no hit.
+    """
+    n = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    keys = ["request", "provider", "collection"]
+    allowed = hits.join(expected.select(*keys, F.lit(True).alias("_known")), keys, "left")
+    known = F.when(F.col("_known"), F.col("rank")).otherwise(F.raise_error(F.lit("a collection that was not asked")).cast("int"))
+    wanted = allowed.withColumn("rank", known)
+    wanted = wanted.where(F.col("modality").isin(*modalities)) if modalities else wanted
+    wanted = wanted.withColumn("_n", n(keys, "rank", "item")).where(F.col("_n") <= most_per_provider)
+    scored = wanted.join(weights, "provider", "left").withColumn("score", F.coalesce("weight", F.lit(1.0)) / (k + F.col("rank")))
+    order = [F.desc("score"), "provider", "collection", "rank", "item"]
+    best = scored.withColumn("_n", n(["request", "item"], *order)).where("_n = 1")
+    placed = best.withColumn("position", n(["request"], *order)).where(F.col("position") <= limit)
+    missing = expected.select(*keys).join(hits.select(*keys).distinct(), keys, "left_anti")
+    return placed.select("request", "item", "provider", "collection", "score", "position"), missing

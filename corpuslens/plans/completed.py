@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import assess as A
 from corpuslens.operators import graph as G
+from corpuslens.operators import multihop as M
+from corpuslens.operators import ranking as K
 from corpuslens.operators import series as T
 from corpuslens.operators import statistics as S
 from corpuslens.plans.catalog import query, table
@@ -83,3 +86,103 @@ def h23_adaptation_reasons(spark, d):
     snapshots = rest.join(psi("event_type", "query_psi"), "profile").join(psi("bin", "language_psi"), "profile")
     got = A.index_adaptation(snapshots, 0.05, 0.2, 0.01, 0.17, 0.22)
     return got.select("profile", "action", F.array_join("reasons", ",").alias("reasons"), *[F.round(c, 6).alias(c) for c in ("query_psi", "language_psi", "score_drop", "stale_share")])
+
+
+# answers that need several documents: an order's lines are facts, or evidence for its priority
+
+_MULTIHOP = r"""f as (select o_orderkey as ex, l_linenumber as fact, l_suppkey::varchar as doc, case when l_linenumber % 2 = 0 then l_linenumber::varchar end as loc from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R'),
+  v as (select l_orderkey as ex, l_suppkey::varchar as doc, [l_linenumber::varchar, (l_linenumber + 1)::varchar] as locs, nullif(l_linenumber % 3, 0) as hop, case when l_discount > 0.02 then 1 end as source from lineitem where l_quantity > 15),
+  u as (select distinct ex, doc, list_sort(locs) as locs from v), m as (select f.ex, fact, f.doc, locs from f join u on f.ex = u.ex and f.doc = u.doc where loc is null or list_contains(locs, loc)),
+  nf as (select ex, count(distinct fact) as n, count(distinct doc) as nd from f group by 1), ng as (select ex, count(*) as n, count(distinct doc) as nd, count(distinct hop) as hops, count(*) filter (hop is not null and source is not null) as lin from v group by 1),
+  nu as (select ex, count(*) as n from u group by 1), nm as (select ex, count(distinct fact) as matched, count(distinct (doc, locs)) as matching from m group by 1), sh as (select ex, count(distinct f.doc) as n from f join v using (ex, doc) group by 1),
+  t as (select o_orderkey as ex, regexp_extract_all(lower(o_orderpriority), '[\p{L}\p{N}_]+') as a, regexp_extract_all(lower(case when o_custkey % 3 = 0 then o_orderpriority when o_custkey % 3 = 1 then o_orderstatus || ' ' || o_orderpriority else '' end), '[\p{L}\p{N}_]+') as b from orders),
+  x as (select t.ex, (array_to_string(a, ' ') = array_to_string(b, ' '))::int::double as answer_exact, case when len(a) + len(b) = 0 then 1 else 2 * list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda y: y = w)), len(list_filter(b, lambda y: y = w))))) / (len(a) + len(b)) end as answer_f1,
+    case when coalesce(ng.nd, 0) > 0 then coalesce(sh.n, 0) / ng.nd when coalesce(nf.nd, 0) = 0 then 1 else 0 end as dp, case when coalesce(nf.nd, 0) > 0 then coalesce(sh.n, 0) / nf.nd else 1 end as dr,
+    case when coalesce(nu.n, 0) > 0 then coalesce(matching, 0) / nu.n when coalesce(nf.n, 0) = 0 then 1 else 0 end as sp, case when coalesce(nf.n, 0) > 0 then coalesce(matched, 0) / nf.n else 1 end as sr,
+    (coalesce(matched, 0) = coalesce(nf.n, 0))::int::double as path_complete, least(coalesce(hops, 0) / 2, 1) as hop_coverage, case when coalesce(ng.n, 0) > 0 then lin / ng.n else 1 end as lineage_validity, coalesce(ng.n, 0)::double as n_evidence, (len(b) = 0)::int::double as abstained
+    from t left join nf using (ex) left join ng using (ex) left join nu using (ex) left join nm using (ex) left join sh using (ex)),
+  y as (select *, case when dp + dr > 0 then 2 * dp * dr / (dp + dr) else 0 end as df, case when sp + sr > 0 then 2 * sp * sr / (sp + sr) else 0 end as sf from x)"""
+
+
+def _multihop(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    text = lambda c: F.col(c).cast("string")
+    examples = o.select(F.col("o_orderkey").alias("example"), F.array("o_orderpriority").alias("answers"), F.lit(2).alias("required_hops"))
+    facts = li.where("l_returnflag = 'R'").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(
+        F.col("l_orderkey").alias("example"), F.col("l_linenumber").alias("fact"), text("l_suppkey").alias("doc"), F.when(F.col("l_linenumber") % 2 == 0, text("l_linenumber")).alias("locator"))
+    said = F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).when(F.col("o_custkey") % 3 == 1, F.concat_ws(" ", "o_orderstatus", "o_orderpriority")).otherwise("")
+    predictions = o.select(F.col("o_orderkey").alias("example"), said.alias("answer"), F.lit(False).alias("abstained"))
+    evidence = li.where("l_quantity > 15").select(
+        F.col("l_orderkey").alias("example"), F.lit("e").alias("evidence"), text("l_suppkey").alias("doc"), F.array(text("l_linenumber"), (F.col("l_linenumber") + 1).cast("string")).alias("locators"),
+        F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("hop"), F.when(F.col("l_discount") > 0.02, "s").alias("source"))
+    return M.multihop_metrics(examples, facts, predictions, evidence)
+
+
+_SIX = {"document_precision": "dp", "document_recall": "dr", "document_f1": "df", "support_precision": "sp", "support_recall": "sr", "support_f1": "sf", "answer_support": "answer_f1 * sr"}
+
+
+@query("g10_multihop_metrics", f"with {_MULTIHOP} select ex as example, {', '.join(f'round({_SIX.get(m, m)} + 1e-9, 6) as {m}' for m in M.METRICS)} from y")
+def g10_multihop_metrics(spark, d):
+    return _multihop(spark, d).select("example", *[F.round(F.col(m) + 1e-9, 6).alias(m) for m in M.METRICS])
+
+
+@query("g11_mean_multihop", f"with {_MULTIHOP} select count(*) as n_examples, {', '.join(f'round(avg({_SIX.get(m, m)}) + 1e-9, 6) as {m}' for m in M.METRICS)} from y")
+def g11_mean_multihop(spark, d):
+    return M.mean_multihop(_multihop(spark, d)).select("n_examples", *[F.round(F.col(m) + 1e-9, 6).alias(m) for m in M.METRICS])
+
+
+# federated search: a region's suppliers are providers, their nations collections, parts by quantity the hits
+
+_FEDERATED = """s as (select s_suppkey, n_regionkey as provider, n_nationkey as collection from supplier join nation on s_nationkey = n_nationkey), h as (select l_returnflag as request, provider, collection, l_partkey as item, min(l_linestatus) as modality, sum(l_quantity) as q from lineitem join s on l_suppkey = s_suppkey where collection % 7 <> 0 group by 1, 2, 3, 4),
+  r as (select *, row_number() over (partition by request, provider, collection order by q desc, item) as rank from h)"""
+
+
+def _federated(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("provider"), F.col("n_nationkey").alias("collection"))
+    keys = ["request", "provider", "collection"]
+    h = table(spark, d, "lineitem").join(s.where("collection % 7 <> 0"), "l_suppkey").groupBy(F.col("l_returnflag").alias("request"), "provider", "collection", F.col("l_partkey").alias("item")).agg(F.min("l_linestatus").alias("modality"), F.sum("l_quantity").alias("q"))
+    hits = h.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "item"))).drop("q")
+    places = s.select("provider", "collection").distinct()
+    expected = places.join(F.broadcast(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("request")).distinct()), F.lit(True)).select(*keys)  # three flags
+    weights = places.select("provider").distinct().where("provider % 2 = 0").withColumn("weight", 1 + F.col("provider") / 2)
+    return K.federated_merge(hits, expected, weights, ("O",), most_per_provider=10, limit=40)
+
+
+@query("c24_merged_lists", f"""with {_FEDERATED}, w as (select *, row_number() over (partition by request, provider, collection order by rank, item) as n from r where modality = 'O'), x as (select *, (case when provider % 2 = 0 then 1 + provider / 2 else 1 end) / (60 + rank) as score from w where n <= 10),
+  b as (select *, row_number() over (partition by request, item order by score desc, provider, collection, rank, item) as m from x), p as (select *, row_number() over (partition by request order by score desc, provider, collection, rank, item) as position from b where m = 1)
+  select request, item, provider, collection, round(score, 6) as score, position from p where position <= 40""")
+def c24_merged_lists(spark, d):
+    return _federated(spark, d)[0].withColumn("score", F.round("score", 6))
+
+
+@query("c24_missing_collections", f"with {_FEDERATED} select q.request, e.provider, e.collection from (select distinct provider, collection from s) e cross join (select distinct l_returnflag as request from lineitem) q anti join r on r.request = q.request and r.provider = e.provider and r.collection = e.collection")
+def c24_missing_collections(spark, d):
+    return _federated(spark, d)[1]
+
+
+@query("e18_source_trust_reasons", """with f as (select s_suppkey as source, least(greatest(s_acctbal / 10000.0, 0), 1) as p, avg(l_tax * 12) as m, avg((l_returnflag <> 'R')::int) as a, avg((l_shipdate >= timestamp '1996-01-01')::int) as fr, least(count(distinct l_partkey) / 700.0, 1) as r,
+    case when s_suppkey % 17 = 0 then 'retracted' else 'active' end as status, s_nationkey % 2 = 0 as reviewed, s_nationkey % 3 > 0 as known from supplier join lineitem on s_suppkey = l_suppkey group by all),
+  g as (select *, (0.3 * p + 0.25 * m + 0.2 * a + 0.1 * fr + 0.15 * r) as score from f)
+  select source, round(score + 1e-9, 6) as score, status = 'active' and p >= 0.5 and reviewed and round(score, 9) >= 0.5 as eligible, coalesce(nullif(concat_ws(',', case when status = 'retracted' then 'blocked_status:retracted' end, case when p < 0.5 then 'weak_provenance_integrity' end,
+    case when not reviewed then 'causal_claim_requires_reviewed_source' end, case when round(score, 9) < 0.5 then 'below_policy_score' end, case when not known then 'conflict_of_interest_status_unknown' end), ''), 'policy_eligible') as reasons from g""")
+def e18_source_trust_reasons(spark, d):
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    share = lambda c: F.avg(c.cast("int"))
+    g = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.avg(F.col("l_tax") * 12).alias("methodology"), share(F.col("l_returnflag") != "R").alias("applicability"), share(F.col("l_shipdate") >= F.expr("timestamp '1996-01-01'")).alias("freshness"),
+        F.least(F.count_distinct("l_partkey") / 700.0, F.lit(1.0)).alias("replication"),
+    )
+    rows = s.join(g, "s_suppkey").select(
+        F.col("s_suppkey").alias("source"), F.least(F.greatest(F.col("s_acctbal") / 10000.0, F.lit(0.0)), F.lit(1.0)).alias("provenance"), "methodology", "applicability", "freshness", "replication",
+        F.when(F.col("s_suppkey") % 17 == 0, "retracted").otherwise("active").alias("status"), (F.col("s_nationkey") % 2 == 0).alias("reviewed"), (F.col("s_nationkey") % 3 > 0).alias("conflicts_known"),
+    )
+    return A.source_trust(rows, causal=True).select("source", F.round(F.col("score") + 1e-9, 6).alias("score"), "eligible", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("h31_promotion")
+def h31_promotion(spark, d):
+    li = table(spark, d, "lineitem")
+    pair = lambda name, a, b: li.groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(a).alias("baseline"), F.avg(b).alias("candidate")).select(F.lit(name).alias("metric"), "id", "baseline", "candidate")
+    pairs = pair("discount", F.col("l_discount"), F.col("l_tax")).unionByName(pair("speed", F.col("l_quantity"), F.col("l_extendedprice") / 1000))
+    rules = spark.createDataFrame([("discount", True, 0.02, False), ("speed", False, 1.0, True)], "metric string, higher_is_better boolean, margin double, require_significance boolean")
+    return M.promotion(pairs, rules, 100, 100)
