@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import field_tokens, index_tokens
+from corpuslens.functions.text import FIELD_TOKEN, field_tokens, index_tokens
 from corpuslens.operators.lineage import cut, small
 
 
@@ -76,14 +76,28 @@ def search(queries: DataFrame, docs: DataFrame, ranks: DataFrame | None = None,
     return hits.select("query_id", "doc_id", "position", "cosine", "score")
 
 
+def token_count(text: Column) -> Column:
+    """Number of ``field_tokens``, without the tokens."""
+    return F.regexp_count(F.lower(text), F.lit(FIELD_TOKEN))
+
+
+def held_terms(rows: DataFrame, text: str, keys: list[str], terms: DataFrame, on: list[str]) -> DataFrame:
+    """``keys, len, term, tf`` of the tokens in ``rows`` that ``terms`` holds too, by an equi-join before they are counted."""
+    tokens = rows.select(*keys, field_tokens(F.col(text)).alias("_t")).select(*keys, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    return tokens.join(small(terms), on, "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``query_id, doc_id, raw, score``: BM25 with query term counts, divided by the query's best."""
-    tf = term_counts(docs, key, field_tokens(F.col(text))).withColumnRenamed(key, "doc_id")
-    lengths = docs.select(F.col(key).alias("doc_id"), F.size(field_tokens(F.col(text))).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    hits = cut(tf.join(small(cut(queries)), "term"))  # all postings of query terms, so document frequencies are whole
+    """``query_id, doc_id, raw, score``: BM25 with query term counts, divided by the query's best.
+
+    Texts are tokenised once, with their length; only tokens that a query holds leave the scan.
+    """
+    queries = cut(queries)
+    stats = docs.agg(F.count("*").alias("n"), F.greatest(F.avg(token_count(F.col(text))), F.lit(1.0)).alias("avg_len"))
+    tf = held_terms(docs.select(F.col(key).alias("doc_id"), text), text, ["doc_id"], queries.select("term").distinct(), ["term"])
+    hits = cut(tf.join(small(queries), "term"))  # all postings of query terms, so document frequencies are whole
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    hits = hits.join(df, ["query_id", "term"]).join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    hits = hits.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     bottom = F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.col("avg_len"))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / bottom
@@ -118,15 +132,15 @@ def positions(fields: DataFrame) -> DataFrame:
 
 
 def fielded_search(queries: DataFrame, fields: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, limit: int = 10) -> DataFrame:
-    """Fielded BM25 inside one owner: ``queries(query_id, owner_id, term)`` joined to postings and field lengths."""
-    post = positions(fields)
-    lengths = fields.select("owner_id", "field_id", "field_type", F.size(field_tokens(F.col("field_text"))).alias("len"))
-    averages = lengths.groupBy("owner_id", "field_type").agg(F.avg("len").alias("avg_len"))
+    """Fielded BM25 inside one owner: ``queries(query_id, owner_id, term)`` joined to the postings of their terms alone."""
+    keys = ["owner_id", "doc_id", "field_id", "field_type"]
+    queries = cut(queries)
+    post = held_terms(fields, "field_text", keys, queries.select("owner_id", "term").distinct(), ["owner_id", "term"])
+    averages = fields.groupBy("owner_id", "field_type").agg(F.avg(token_count(F.col("field_text"))).alias("avg_len"))
     n_docs = fields.groupBy("owner_id").agg(F.countDistinct("doc_id").alias("n"))
-    hits = post.join(queries, ["owner_id", "term"])
+    hits = cut(post.join(small(queries), ["owner_id", "term"]))
     df = hits.groupBy("query_id", "owner_id", "term").agg(F.countDistinct("doc_id").alias("df"))
-    hits = hits.join(df, ["query_id", "owner_id", "term"]).join(lengths.select("owner_id", "field_id", "len"), ["owner_id", "field_id"])
-    hits = hits.join(averages, ["owner_id", "field_type"]).join(n_docs, "owner_id")
+    hits = hits.join(df, ["query_id", "owner_id", "term"]).join(averages, ["owner_id", "field_type"]).join(n_docs, "owner_id")
     weight = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])[F.col("field_type")], F.lit(1.0))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
