@@ -330,3 +330,39 @@ def source_trust(
     eligible = reduce(lambda a, b: a & ~F.coalesce(b, no), bad.values(), F.lit(True))
     rows = rows.withColumn("eligible", eligible).withColumn("reasons", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("policy_eligible"))))
     return rows.orderBy(F.desc("eligible"), F.desc("score"), "source")
+
+
+def plan_features(attempts: DataFrame) -> DataFrame:
+    """``attempts(complexity, exact_identifier, methodological, mode, multi_query, hyde, reranker, cost)`` with the features of each plan."""
+    is_ = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    mode, reranks = F.col("mode"), F.col("reranker") != "none"
+    features = {
+        "f_bias": F.lit(1.0), "f_complexity": F.col("complexity"), "f_cost": F.least(F.col("cost") / 100.0, F.lit(1.0)), "f_dense": is_(mode == "dense"), "f_sparse": is_(mode == "corpus-sparse"),
+        "f_hybrid": is_(mode == "corpus-hybrid"), "f_multi_query": is_(F.col("multi_query")), "f_hyde": is_(F.col("hyde")), "f_reranker": is_(reranks),
+        "f_exact_sparse_match": is_(F.col("exact_identifier") & (mode == "corpus-sparse")), "f_complex_hybrid_match": is_((F.col("complexity") >= 0.45) & (mode == "corpus-hybrid")),
+        "f_method_rerank_match": is_(F.col("methodological") & reranks),
+    }
+    return attempts.select("*", *[c.alias(k) for k, c in features.items()])
+
+
+def freeboard(structures: DataFrame, points: DataFrame, units: dict[str, float], tolerance: float = 0.0) -> DataFrame:
+    """``structure, crest, water, freeboard, overtopping`` of ``structures(structure, river, reach, station, crest, unit, datum)``.
+
+    The water surface is that of the one point of ``points(river, reach, station, water, unit, datum)`` at the structure's
+    station, or, if ``tolerance`` allows, of the nearest within it; names count in any case.  It is converted by
+    ``units`` (metres a unit).  Several points at one station, another datum and a missing crest are refused; a structure
+    without a point has nulls.
+    """
+    scale = lambda c: F.create_map(*[x for k, v in units.items() for x in (F.lit(k), F.lit(v))])[F.col(c)]
+    low = lambda c: F.lower(F.col(c))
+    s = structures.select("structure", low("river").alias("river"), low("reach").alias("reach"), "station", F.when(F.col("crest").isNull(), F.raise_error(F.lit("a structure without a crest")).cast("double")).otherwise(F.col("crest")).alias("crest"), scale("unit").alias("_su"), F.col("datum").alias("_sd"))
+    p = points.where("water is not null").select(low("river").alias("river"), low("reach").alias("reach"), F.col("station").alias("_at"), "water", scale("unit").alias("_pu"), F.col("datum").alias("_pd"))
+    gap = F.abs(F.col("_at") - F.col("station"))
+    met = s.join(p, ["river", "reach"]).withColumn("_gap", gap).where(F.col("_gap") <= tolerance)
+    best = met.groupBy("structure").agg(F.min("_gap").alias("_gap"))
+    found = met.join(best, ["structure", "_gap"]).groupBy("structure").agg(F.count("*").alias("_n"), F.first("water").alias("water"), F.first("_pu").alias("_pu"), F.first("_pd").alias("_pd"))
+    rows = s.join(found, "structure", "left")
+    refused = lambda message: F.raise_error(F.lit(message)).cast("double")
+    water = F.when(F.col("_n") > 1, refused("several points match a structure")).when(F.col("_pd") != F.col("_sd"), refused("another vertical datum")).otherwise(F.col("water") * F.col("_pu") / F.col("_su"))
+    rows = rows.withColumn("water", water).withColumn("freeboard", F.col("crest") - F.col("water"))
+    return rows.select("structure", "crest", "water", "freeboard", (F.col("freeboard") < 0).alias("overtopping"))

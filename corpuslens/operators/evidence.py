@@ -221,3 +221,30 @@ def unresolved_records(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """``record, reason`` of records that name no node, or one that isn't in ``nodes(node)``."""
     lost = records.join(nodes.select("node").distinct(), "node", "left_anti")
     return lost.select("record", F.when(F.col("node").isNull(), "no_node").otherwise("unknown_node").alias("reason"))
+
+
+# counter-evidence
+
+
+def counter_evidence(claims: DataFrame, contradictions: DataFrame, evidence: DataFrame, most: int = 2, limit: int = 10) -> DataFrame:
+    """``claim, kind, item, root, position``: nodes linked to a claim by contradiction, and tagged evidence with its roots.
+
+    Nodes lie within ``most`` edges of ``contradictions(src, dst)``, forwards or backwards along all of them, in the order
+    of their names; evidence of ``evidence(item, root, score, contradicts)`` names the claim, best first (ties: root, item).
+    Both stop at ``limit``.
+    """
+    asked = claims.select(F.col("claim").alias("question"), F.col("claim").alias("node")).distinct()
+    found = None
+    for a, b in (("src", "dst"), ("dst", "src")):
+        edges, front, seen = contradictions.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct(), asked, asked
+        for _ in range(most):
+            step = front.join(edges, front.node == edges._from).select("question", F.col("_to").alias("node")).distinct()
+            front = cut(step.join(seen, ["question", "node"], "left_anti"))
+            seen = seen.unionByName(front)
+        found = seen if found is None else found.unionByName(seen)
+    rank = lambda *order: F.row_number().over(Window.partitionBy("claim").orderBy(*order))
+    nodes = found.where("node <> question").distinct().select(F.col("question").alias("claim"), F.lit("node").alias("kind"), F.col("node").cast("string").alias("item"), F.lit(None).cast("string").alias("root"), "node")
+    nodes = nodes.withColumn("position", rank("node")).where(F.col("position") <= limit).drop("node")
+    tagged = evidence.select("item", "root", "score", F.explode(F.array_distinct("contradicts")).alias("claim")).join(claims.select("claim").distinct(), "claim")
+    tagged = tagged.withColumn("position", rank(F.desc("score"), "root", "item")).where(F.col("position") <= limit)
+    return nodes.unionByName(tagged.select("claim", F.lit("evidence").alias("kind"), F.col("item").cast("string").alias("item"), F.col("root").cast("string").alias("root"), "position"))

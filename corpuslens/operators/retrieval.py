@@ -203,3 +203,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
             break
     total = rank.agg(F.sum("rank").alias("total"))
     return rank.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))  # one row
+
+
+def chunk_search(queries: DataFrame, chunks: DataFrame, top_k: int = 3, key: str = "doc_id") -> DataFrame:
+    """``query_id, key, score, position``: the summed TF-IDF weights of ``queries(query_id, term, qtf)`` in each chunk, not normed; ties by key."""
+    tf, idf = _term_tables(chunks, key, index_tokens(F.col("text")))
+    q = cut(queries.join(idf, "term").withColumn("qw", (1 + F.log("qtf")) * F.col("idf")))
+    hits = tf.join(small(q.select("query_id", "term", "qw", "idf")), "term")
+    scores = hits.groupBy("query_id", key).agg(F.sum(F.col("qw") * (1 + F.log("tf")) * F.col("idf")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
+    return scores.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_k)
+
+
+#: What is asked for the other side of a claim; fixed value.
+COUNTER = "Find credible evidence that contradicts, falsifies, or limits this claim: "
+
+
+def claim_evidence(claims: DataFrame, docs: DataFrame, per_claim: int = 5, counter: bool = True) -> DataFrame:
+    """``claim_id, side, doc_id, position, score`` of ``claims(claim_id, text)``: what a search finds for a claim and for its counter-question.
+
+    Both questions of all claims are one batch, so the corpus is read once.
+    """
+    sides = [F.struct(F.lit("support").alias("side"), F.col("text").alias("asked"))]
+    sides += [F.struct(F.lit("counter").alias("side"), F.concat(F.lit(COUNTER), F.col("text")).alias("asked"))] if counter else []
+    asked = claims.select("claim_id", F.explode(F.array(*sides)).alias("s")).select(F.struct("claim_id", "s.side").alias("id"), F.col("s.asked").alias("text"))
+    found = search(query_terms(asked, key="id"), docs, top_k=per_claim)
+    return found.select("query_id.claim_id", "query_id.side", "doc_id", "position", "score")

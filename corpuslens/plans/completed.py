@@ -6,13 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import assess as A
+from corpuslens.operators import calibration as B
+from corpuslens.operators import evidence as V
 from corpuslens.operators import graph as G
 from corpuslens.operators import multihop as M
 from corpuslens.operators import ranking as K
+from corpuslens.operators import retrieval as R
 from corpuslens.operators import series as T
 from corpuslens.operators import statistics as S
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.evaluation import _RANKED, qrels, ranked
+from corpuslens.plans.retrieval import _INDEX, _QUERIES, _SEARCH, _queries
+from corpuslens.plans.statistics import scored
 from corpuslens.plans.tables import points
 
 AS_OF = "timestamp '1997-01-01'"
@@ -186,3 +191,99 @@ def h31_promotion(spark, d):
     pairs = pair("discount", F.col("l_discount"), F.col("l_tax")).unionByName(pair("speed", F.col("l_quantity"), F.col("l_extendedprice") / 1000))
     rules = spark.createDataFrame([("discount", True, 0.02, False), ("speed", False, 1.0, True)], "metric string, higher_is_better boolean, margin double, require_significance boolean")
     return M.promotion(pairs, rules, 100, 100)
+
+
+# calibrated profiles: types of events are profiles, of which errors score lower for better
+
+
+@query("h11_isotonic_bins")
+def h11_isotonic_bins(spark, d):
+    got = B.isotonic_bins(_profile_examples(spark, d))
+    return got.select("profile", "bin", F.round("upper", 6).alias("upper"), F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), F.round("positive", 6).alias("positive"))
+
+
+def _profile_examples(spark, d):
+    return scored(spark, d).select(F.col("event_type").alias("profile"), F.col("value").alias("score"), (F.col("event_type") != "error").alias("higher_is_better"), (F.col("y") == 1).alias("relevant"), (1.0 + F.col("event_id") % 3).alias("weight"))
+
+
+def _profile_lists(spark, d):
+    e = table(spark, d, "events").where("value is not null")
+    better = F.when(F.col("event_type") == "error", F.col("value")).otherwise(-F.col("value"))
+    position = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(better, "event_id"))
+    return e.select(F.col("user_id").alias("query"), F.col("event_type").alias("profile"), (F.col("event_id") % 40).alias("item"), F.col("value").alias("score"), (F.col("event_type") != "error").alias("higher_is_better"), position.alias("position"))
+
+
+@query("e6_calibrated_profiles")
+def e6_calibrated_profiles(spark, d):
+    got = B.fused_profiles(_profile_lists(spark, d), B.isotonic_bins(_profile_examples(spark, d)), top=10)
+    return got.withColumn("score", F.round("score", 6))
+
+
+@query("e6_ranked_profiles", """with l as (select user_id as query, event_type as profile, event_id % 40 as item, row_number() over (partition by user_id, event_type order by case when event_type = 'error' then value else -value end, event_id) as position from events where value is not null),
+  b as (select query, profile, item, min(position) as position from l group by all), g as (select query, item, sum(1.0 / (60 + position)) as score, count(*) as n_profiles from b group by 1, 2)
+  select * from (select query, item, round(score, 6) as score, n_profiles, row_number() over (partition by query order by round(score, 9) desc, item) as position from g) where position <= 10""")
+def e6_ranked_profiles(spark, d):
+    return B.fused_profiles(_profile_lists(spark, d), top=10).withColumn("score", F.round("score", 6))
+
+
+# searches for chunks and for both sides of a claim
+
+
+@query("d18_chunk_search", f"with {_INDEX}, {_QUERIES}, qw as (select query_id, term, (1 + ln(qtf)) * idf as qw from q join idf using (term)), s as (select query_id, doc_id, sum(qw * weight) as score from qw join post using (term) group by 1, 2) select query_id, doc_id, round(score, 6) as score, position from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as position from s) where position <= 3")
+def d18_chunk_search(spark, d):
+    return R.chunk_search(_queries(spark, d), table(spark, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+_BOTH = _SEARCH.replace("from benchmark", f"from (select item_id * 2 as item_id, text from benchmark union all select item_id * 2 + 1, '{R.COUNTER}' || text from benchmark)")
+
+
+@query("c13_claim_evidence", f"with {_BOTH.rstrip().rstrip(',')} select query_id // 2 as claim_id, case query_id % 2 when 0 then 'support' else 'counter' end as side, doc_id, position, round(score, 6) as score from (select *, round(0.85 * cosine, 9) as score, row_number() over (partition by query_id order by round(0.85 * cosine, 9) desc, cosine desc, doc_id desc) as position from hits) where position <= 5")
+def c13_claim_evidence(spark, d):
+    claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+    return R.claim_evidence(claims, table(spark, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query("b38_plan_features", """with a as (select o_orderkey, least(o_totalprice / 300000, 1) as complexity, o_custkey % 2 = 0 as exact, o_custkey % 3 = 0 as method, case o_orderkey % 3 when 0 then 'dense' when 1 then 'corpus-sparse' else 'corpus-hybrid' end as mode, o_orderstatus = 'O' as mq, o_orderstatus = 'F' as hyde,
+    case when o_orderpriority like '1%' then 'cross' else 'none' end as rr, o_totalprice / 2000 as cost from orders)
+  select o_orderkey, 1.0::double as f_bias, round(complexity + 1e-9, 6) as f_complexity, round(least(cost / 100, 1) + 1e-9, 6) as f_cost, (mode = 'dense')::int::double as f_dense, (mode = 'corpus-sparse')::int::double as f_sparse, (mode = 'corpus-hybrid')::int::double as f_hybrid, mq::int::double as f_multi_query, hyde::int::double as f_hyde,
+    (rr <> 'none')::int::double as f_reranker, (exact and mode = 'corpus-sparse')::int::double as f_exact_sparse_match, (complexity >= 0.45 and mode = 'corpus-hybrid')::int::double as f_complex_hybrid_match, (method and rr <> 'none')::int::double as f_method_rerank_match from a""")
+def b38_plan_features(spark, d):
+    k = F.col("o_orderkey") % 3
+    a = table(spark, d, "orders").select(
+        "o_orderkey", F.least(F.col("o_totalprice") / 300000, F.lit(1.0)).alias("complexity"), (F.col("o_custkey") % 2 == 0).alias("exact_identifier"), (F.col("o_custkey") % 3 == 0).alias("methodological"),
+        F.when(k == 0, "dense").when(k == 1, "corpus-sparse").otherwise("corpus-hybrid").alias("mode"), (F.col("o_orderstatus") == "O").alias("multi_query"), (F.col("o_orderstatus") == "F").alias("hyde"),
+        F.when(F.col("o_orderpriority").startswith("1"), "cross").otherwise("none").alias("reranker"), (F.col("o_totalprice") / 2000).alias("cost"),
+    )
+    got = A.plan_features(a)
+    return got.select("o_orderkey", *[F.round(F.col(c) + 1e-9, 6).alias(c) if c in ("f_complexity", "f_cost") else F.col(c) for c in got.columns if c.startswith("f_")])
+
+
+@query("c19_freeboard", """with p as (select n_name as river, l_returnflag as reach, l_partkey % 50 as station, avg(l_quantity) as water from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2, 3),
+  s as (select c_custkey as structure, n_name as river, case c_custkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as reach, c_custkey % 60 as station, c_acctbal / 200 as crest from customer join nation on c_nationkey = n_nationkey)
+  select structure, round(crest, 6) as crest, round(water / 0.3048, 6) as water, round(crest - water / 0.3048, 6) as freeboard, crest - water / 0.3048 < 0 as overtopping from s left join p using (river, reach, station)""")
+def c19_freeboard(spark, d):
+    li, s, n, c = (table(spark, d, t) for t in ("lineitem", "supplier", "nation", "customer"))
+    p = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    p = p.groupBy(F.upper("n_name").alias("river"), F.col("l_returnflag").alias("reach"), (F.col("l_partkey") % 50).alias("station")).agg(F.avg("l_quantity").alias("water"))
+    k = F.col("c_custkey")
+    reach = F.when(k % 3 == 0, "a").when(k % 3 == 1, "n").otherwise("r")
+    st = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("structure"), F.col("n_name").alias("river"), reach.alias("reach"), (k % 60).alias("station"), (F.col("c_acctbal") / 200).alias("crest"), F.lit("ft").alias("unit"), F.lit("d").alias("datum"))
+    got = A.freeboard(st, p.withColumn("unit", F.lit("m")).withColumn("datum", F.lit("d")), {"m": 1.0, "ft": 0.3048})
+    return got.select("structure", *[F.round(x, 6).alias(x) for x in ("crest", "water", "freeboard")], "overtopping")
+
+
+_COUNTER = "c as (select s_suppkey as claim from supplier ), e as (select distinct l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_returnflag = 'R' and l_quantity > 40 union select distinct l_partkey + 1000000, l_suppkey from lineitem where l_returnflag = 'A' and l_quantity > 45)"
+
+
+@query("f15_counter_evidence", f"""with {_COUNTER}, f1 as (select distinct claim, dst as node from c join e on claim = src), f2 as (select distinct claim, dst as node from f1 join e on node = src), b1 as (select distinct claim, src as node from c join e on claim = dst), b2 as (select distinct claim, src as node from b1 join e on node = dst),
+  n as (select claim, 'node' as kind, node from (select * from f1 union select * from f2 union select * from b1 union select * from b2) where node <> claim), nr as (select claim, kind, node::varchar as item, null::varchar as root, row_number() over (partition by claim order by node) as position from n),
+  v as (select l_suppkey as claim, 'evidence' as kind, l_orderkey || ':' || l_linenumber as item, l_partkey::varchar as root, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_partkey::varchar, l_orderkey || ':' || l_linenumber) as position from lineitem join c on l_suppkey = claim where l_discount > 0.08)
+  select * from nr where position <= 10 union all select * from v where position <= 10""")
+def f15_counter_evidence(spark, d):
+    li = table(spark, d, "lineitem")
+    part = F.col("l_partkey") + 1000000
+    edge = lambda rows, a, b: rows.select(a.alias("src"), b.alias("dst"))
+    e = edge(li.where("l_returnflag = 'R' and l_quantity > 40"), F.col("l_suppkey"), part).unionByName(edge(li.where("l_returnflag = 'A' and l_quantity > 45"), part, F.col("l_suppkey")))
+    claims = table(spark, d, "supplier").select(F.col("s_suppkey").alias("claim"))
+    evidence = li.where("l_discount > 0.08").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), F.col("l_partkey").cast("string").alias("root"), F.col("l_extendedprice").alias("score"), F.array("l_suppkey").alias("contradicts"))
+    return V.counter_evidence(claims, e, evidence)
