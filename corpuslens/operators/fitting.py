@@ -81,8 +81,9 @@ def descend(rows: DataFrame, objective: Callable[[DataFrame, np.ndarray], tuple[
 
 
 def logit(p: Column) -> Column:
-    p = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
-    return F.log(p / (1 - p))
+    """Log-odds of a probability; a missing one is refused."""
+    q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    return F.when(p.isNull(), F.raise_error(F.lit("a probability is missing")).cast("double")).otherwise(F.log(q / (1 - q)))
 
 
 def _dot(weights: np.ndarray, features: Column) -> Column:

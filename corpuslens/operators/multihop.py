@@ -100,3 +100,18 @@ def promotion(pairs: DataFrame, rules: DataFrame, resamples: int = 400, flips: i
     rows = rows.withColumn("noninferior", F.col("low") >= -F.col("margin")).withColumn("significant", F.col("adjusted_p") <= alpha)
     rows = rows.withColumn("passed", F.col("noninferior") & (~F.col("require_significance") | F.col("significant"))).withColumn("promoted", F.min("passed").over(all_))
     return rows.select("metric", "mean_difference", "low", "high", "p_value", "adjusted_p", "noninferior", "significant", "passed", "promoted")
+
+
+def compare_metrics(pairs: DataFrame, directions: DataFrame, resamples: int = 400, flips: int = 400, seed: int = 0) -> DataFrame:
+    """``metric, n, baseline_mean, candidate_mean, raw_delta, improvement, effect, p_value, low, high`` of each metric.
+
+    ``directions(metric, higher_is_better)`` put all on one scale on which more is better: improvement, effect (mean over
+    standard deviation of the differences, null where they don't vary) and interval are turned round for the others.
+    """
+    rules = directions.select("metric", "higher_is_better", F.lit(0.0).alias("margin"), F.lit(False).alias("require_significance"))
+    drawn = promotion(pairs, rules, resamples, flips, seed=seed).select("metric", "mean_difference", "p_value", "low", "high")
+    d = F.col("candidate") - F.col("baseline")
+    own = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("baseline").alias("baseline_mean"), F.avg("candidate").alias("candidate_mean"), F.avg(d).alias("raw_delta"), F.stddev_samp(d).alias("_s"))
+    rows = own.join(drawn, "metric")
+    effect = F.when(F.col("_s") > 1e-15, F.col("mean_difference") / F.col("_s"))
+    return rows.select("metric", "n", "baseline_mean", "candidate_mean", "raw_delta", F.col("mean_difference").alias("improvement"), effect.alias("effect"), "p_value", "low", "high")

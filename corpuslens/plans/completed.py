@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import assess as A
 from corpuslens.operators import calibration as B
 from corpuslens.operators import evidence as V
+from corpuslens.operators import gates as Q
 from corpuslens.operators import graph as G
 from corpuslens.operators import multihop as M
 from corpuslens.operators import ranking as K
@@ -184,13 +185,17 @@ def e18_source_trust_reasons(spark, d):
     return A.source_trust(rows, causal=True).select("source", F.round(F.col("score") + 1e-9, 6).alias("score"), "eligible", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("h31_promotion")
-def h31_promotion(spark, d):
+def _metric_pairs(spark, d):
     li = table(spark, d, "lineitem")
     pair = lambda name, a, b: li.groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(a).alias("baseline"), F.avg(b).alias("candidate")).select(F.lit(name).alias("metric"), "id", "baseline", "candidate")
     pairs = pair("discount", F.col("l_discount"), F.col("l_tax")).unionByName(pair("speed", F.col("l_quantity"), F.col("l_extendedprice") / 1000))
     rules = spark.createDataFrame([("discount", True, 0.02, False), ("speed", False, 1.0, True)], "metric string, higher_is_better boolean, margin double, require_significance boolean")
-    return M.promotion(pairs, rules, 100, 100)
+    return pairs, rules
+
+
+@query("h31_promotion")
+def h31_promotion(spark, d):
+    return M.promotion(*_metric_pairs(spark, d), 100, 100)
 
 
 # calibrated profiles: types of events are profiles, of which errors score lower for better
@@ -287,3 +292,67 @@ def f15_counter_evidence(spark, d):
     claims = table(spark, d, "supplier").select(F.col("s_suppkey").alias("claim"))
     evidence = li.where("l_discount > 0.08").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), F.col("l_partkey").cast("string").alias("root"), F.col("l_extendedprice").alias("score"), F.array("l_suppkey").alias("contradicts"))
     return V.counter_evidence(claims, e, evidence)
+
+
+# gates on fusion weights and paired runs
+
+_LOGIT = "ln(least(greatest({0}, 1e-12), 1 - 1e-12) / (1 - least(greatest({0}, 1e-12), 1 - 1e-12)))"
+_FUSED = f"1 / (1 + exp(-({{0}} * {_LOGIT.format('a')} + {{1}} * {_LOGIT.format('b')})))"
+_LOSS = "-avg(y * ln(least(greatest({0}, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest({0}, 1e-12), 1 - 1e-12)))"
+
+
+@query("c29_fusion_gate", f"""with r as (select 0.05 + 0.9 * (event_id % 97) / 96.0 as a, least(value / 100, 0.98) + 0.01 as b, (value > 20)::int::double as y from events where value is not null), p as (select y, {_FUSED.format(0.2, 0.8)} as l, {_FUSED.format(0.5, 0.5)} as u from r),
+  g as (select count(*) as n, count(*) filter (y = 1) as n_positive, {_LOSS.format('l')} as learned_loss, {_LOSS.format('u')} as uniform_loss, avg(pow(l - y, 2)) as learned_brier, avg(pow(u - y, 2)) as uniform_brier from p)
+  select n, n_positive, round(learned_loss, 6) as learned_loss, round(uniform_loss, 6) as uniform_loss, round(learned_brier, 6) as learned_brier, round(uniform_brier, 6) as uniform_brier,
+    concat_ws(',', case when learned_brier > 0.25 then 'brier_threshold_exceeded' end, case when uniform_brier - learned_brier < 0 then 'insufficient_brier_improvement' end, case when n < 100 then 'insufficient_evaluation_examples' end, case when uniform_loss - learned_loss < 0 then 'insufficient_log_loss_improvement' end,
+      case when n - n_positive < 10 then 'insufficient_negative_examples' end, case when n_positive < 10 then 'insufficient_positive_examples' end, case when learned_loss > 0.7 then 'log_loss_threshold_exceeded' end) as reasons from g""")
+def c29_fusion_gate(spark, d):
+    e = table(spark, d, "events").where("value is not null")
+    rows = e.select((0.05 + 0.9 * (F.col("event_id") % 97) / 96.0).alias("a"), (F.least(F.col("value") / 100, F.lit(0.98)) + 0.01).alias("b"), (F.col("value") > 20).alias("y"))
+    got = Q.qualify_fusion(rows, {"a": 0.2, "b": 0.8}, "y")
+    return got.select("n", "n_positive", *[F.round(c, 6).alias(c) for c in ("learned_loss", "uniform_loss", "learned_brier", "uniform_brier")], F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("h48_listwise_gate", f"""with r as (select l_orderkey as q, l_linenumber * 1000000 + l_partkey as item, 0.05 + l_discount * 8 as a, 0.05 + l_tax * 10 as b, floor(l_quantity / 13) as g from lineitem),
+  s as (select *, 0.75 * {_LOGIT.format('a')} + 0.25 * {_LOGIT.format('b')} as l, 0.5 * {_LOGIT.format('a')} + 0.5 * {_LOGIT.format('b')} as u from r),
+  p as (select q, g, row_number() over (partition by q order by round(l, 9) desc, item) as nl, row_number() over (partition by q order by round(u, 9) desc, item) as nu, row_number() over (partition by q order by g desc, item) as ni from s),
+  d as (select q, sum((pow(2, g) - 1) / log2(nl + 1)) filter (nl <= 5) as dl, sum((pow(2, g) - 1) / log2(nu + 1)) filter (nu <= 5) as du, sum((pow(2, g) - 1) / log2(ni + 1)) filter (ni <= 5) as di from p group by 1),
+  m as (select count(*) as n_queries, avg(case when di > 0 then dl / di else 0 end) as x, avg(case when di > 0 then du / di else 0 end) as y, avg((di > 0 and dl / di < du / di - 1e-9)::int) as r from d)
+  select n_queries, round(x, 6) as learned_ndcg, round(y, 6) as uniform_ndcg, round(r, 6) as regressed, concat_ws(',', case when x - y < 0 then 'insufficient_ndcg_gain' end, case when n_queries < 20 then 'insufficient_queries' end, case when r > 0.2 then 'too_many_regressed_queries' end) as reasons from m""")
+def h48_listwise_gate(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("query"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("item"), (0.05 + F.col("l_discount") * 8).alias("a"), (0.05 + F.col("l_tax") * 10).alias("b"), F.floor(F.col("l_quantity") / 13).alias("g"))
+    got = Q.qualify_listwise(rows, {"a": 0.75, "b": 0.25}, "g", k=5)
+    return got.select("n_queries", *[F.round(c, 6).alias(c) for c in ("learned_ndcg", "uniform_ndcg", "regressed")], F.array_join("reasons", ",").alias("reasons"))
+
+
+_RUNS = """r as (select l_linenumber as seed, l_returnflag <> 'R' as shadow, l_discount * 10 as recall, (l_quantity > 20)::int as support, (l_tax > 0.04)::int as abstention from lineitem),
+  e as (select seed, shadow, unnest([{'metric': 'recall', 'v': recall}, {'metric': 'support', 'v': support}, {'metric': 'abstention', 'v': abstention}], recursive := true) from r),
+  k as (select seed, metric, avg(v) filter (not shadow) as current, avg(v) filter (shadow) as shadow from e group by 1, 2),
+  b as (select metric, avg(current) as current, avg(shadow) as shadow, avg(shadow - current) as delta, coalesce(stddev_samp(shadow - current), 0) as s, count(*) as n from k where current is not null and shadow is not null group by 1)"""
+
+
+def _runs(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("seed"), F.when(F.col("l_returnflag") != "R", "shadow").otherwise("current").alias("side"), (F.col("l_discount") * 10).alias("recall"), (F.col("l_quantity") > 20).cast("int").alias("support"),
+        (F.col("l_tax") > 0.04).cast("int").alias("abstention"))
+    return Q.paired_benchmark(rows, ["recall", "support", "abstention"])
+
+
+@query("h49_paired_benchmark", f"with {_RUNS} select metric, round(current, 6) as current, round(shadow, 6) as shadow, round(delta, 6) as delta, round(delta - 1.96 * s / sqrt(n), 6) as low, round(delta + 1.96 * s / sqrt(n), 6) as high, n as n_seeds from b")
+def h49_paired_benchmark(spark, d):
+    return _runs(spark, d).select("metric", *[F.round(c, 6).alias(c) for c in ("current", "shadow", "delta", "low", "high")], "n_seeds")
+
+
+@query("h58_statistical_gate", f"""with {_RUNS}, l as (select metric, delta - 1.96 * s / sqrt(n) as low, n, case metric when 'recall' then 0.03 when 'support' then 0.002 else 0.02 end as margin, case metric when 'recall' then 0.01 end as gain from b),
+  m as (select *, low >= -margin as ok, low >= gain as gained from l), q as (select string_agg(distinct x, ',' order by x) as reasons from (select unnest([case when not ok then 'paired_' || metric || '_noninferiority_failed' end, case when gained = false then 'paired_' || metric || '_practical_gain_failed' end, case when n < 3 then 'paired_seed_count_below_minimum' end]) as x from m) where x is not null)
+  select metric, ok as noninferior, gained as practical, case when coalesce(reasons, '') <> '' then 'blocked' else 'passed' end as decision, coalesce(reasons, '') as reasons from m, q""")
+def h58_statistical_gate(spark, d):
+    got = Q.statistical_gate(_runs(spark, d), {"recall": 0.03, "support": 0.002, "abstention": 0.02}, {"recall": 0.01})
+    return got.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("h62_metric_comparison")
+def h62_metric_comparison(spark, d):
+    pairs, _ = _metric_pairs(spark, d)
+    return M.compare_metrics(pairs, spark.createDataFrame([("discount", True), ("speed", False)], "metric string, higher_is_better boolean"), 100, 100)

@@ -145,13 +145,13 @@ def _weights(spark, fit, names):
 @query("h45_fusion_weights")
 def h45_fusion_weights(spark, d):
     rows = fused_rows(spark, d).withColumn("relevant", F.col("grade") > 0)
-    return _weights(spark, T.fusion_fit(rows, ["dense", "lexical"], "relevant", T.Settings(40, centred=True)), ["dense", "lexical"])
+    return _weights(spark, T.fusion_fit(rows, ["dense", "lexical"], "relevant", T.Settings(15, centred=True)), ["dense", "lexical"])
 
 
 @query("h46_listwise_fusion")
 def h46_listwise_fusion(spark, d):
     lists = cut(T.ranking_lists(fused_rows(spark, d), ["dense", "lexical"], "grade"))
-    return _weights(spark, T.listwise_fit(lists, 2, T.Settings(40, centred=True)), ["dense", "lexical"])
+    return _weights(spark, T.listwise_fit(lists, 2, T.Settings(15, centred=True)), ["dense", "lexical"])
 
 
 LETTERS = list("aeionrstdlh")
@@ -170,7 +170,7 @@ def h47_domain_classifier(spark, d):
     rows = letter_rows(spark, d)
     labels = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]  # as many as languages
     features = [f"l_{c}" for c in LETTERS]
-    fit = T.classifier_fit(rows, features, "lang", labels, T.Settings(40, 0.5, clip=None))
+    fit = T.classifier_fit(rows, features, "lang", labels, T.Settings(15, 0.5, clip=None))
     judged = T.classified(rows, fit.theta, features, labels, "und", 0.3)
     right = F.avg((F.col("predicted") == F.col("lang")).cast("double"))
     return judged.groupBy("held", "lang").agg(F.count("*").alias("n"), right.alias("accuracy"), F.avg("confidence").alias("mean_confidence")).withColumn("best_epoch", F.lit(fit.best_epoch))
@@ -190,7 +190,7 @@ def plan_pairs(spark, d):
 
 @query("h65_plan_ranker")
 def h65_plan_ranker(spark, d):
-    fit = T.plan_ranker_fit(plan_pairs(spark, d), PLAN_FEATURES, T.Settings(40, 0.5, clip=None))
+    fit = T.plan_ranker_fit(plan_pairs(spark, d), PLAN_FEATURES, T.Settings(15, 0.5, clip=None))
     rows = [(f, float(t), fit.best_epoch, float(fit.best_loss)) for f, t in zip(PLAN_FEATURES, fit.theta)]
     return spark.createDataFrame(rows, "feature string, weight double, best_epoch int, held_loss double")
 

@@ -50,3 +50,31 @@ def test_promotion_needs_every_metric(spark):
     assert abs(again["mixed"].low - got["mixed"].low) < 1e-9 and again["mixed"].p_value == got["mixed"].p_value
     with pytest.raises(Exception, match="missing"):
         multihop.promotion(df, rules(("none", True, 0.0, False))).collect()
+
+
+def test_comparison_turns_metrics_round(spark):
+    pairs = [(m, i, 1.0 + i % 3, 1.0 + i % 3 + (0.5 if i % 2 else 0.3)) for m in ("score", "latency") for i in range(40)]
+    df = spark.createDataFrame(pairs, "metric string, id int, baseline double, candidate double")
+    got = {r.metric: r for r in multihop.compare_metrics(df, spark.createDataFrame([("score", True), ("latency", False)], "metric string, higher_is_better boolean")).collect()}
+    a, b = got["score"], got["latency"]
+    assert abs(a.raw_delta - 0.4) < 1e-9 and abs(a.improvement - 0.4) < 1e-9 and abs(b.raw_delta - 0.4) < 1e-9 and abs(b.improvement + 0.4) < 1e-9
+    assert abs(a.effect + b.effect) < 1e-9 and abs(a.effect - 0.4 / (0.1 * (40 / 39) ** 0.5)) < 1e-9
+    assert 0.3 < a.low <= 0.4 <= a.high < 0.5 and -0.5 < b.low < b.high < -0.3 and a.n == 40
+
+
+def test_gates_name_what_fails(spark):
+    from corpuslens.operators import gates
+
+    rows = spark.createDataFrame([(0.9, 0.5, True), (0.1, 0.5, False)] * 60, "a double, b double, y boolean")
+    good = gates.qualify_fusion(rows, {"a": 0.9, "b": 0.1}, "y").first()
+    assert good.eligible and good.learned_loss < good.uniform_loss
+    assert gates.qualify_fusion(rows, {"a": 0.0, "b": 1.0}, "y").first().reasons == ["insufficient_brier_improvement", "insufficient_log_loss_improvement", "profile_weight_collapse"]
+    assert not gates.qualify_fusion(rows.withColumn("b", rows.b + __import__("pyspark").sql.functions.lit(None).cast("double")), {"a": 0.9, "b": 0.1}, "y").first().eligible
+    assert "insufficient_evaluation_examples" in gates.qualify_fusion(rows.limit(0), {"a": 0.9, "b": 0.1}, "y").first().reasons
+    runs = spark.createDataFrame([(s, side, 0.5 + (0.1 if side == "shadow" else 0) + s / 100) for s in range(4) for side in ("current", "shadow")] + [(9, "shadow", 9.0)], "seed int, side string, m double")
+    bench = gates.paired_benchmark(runs, ["m"])
+    one = bench.first()
+    assert one.n_seeds == 4 and abs(one.delta - 0.1) < 1e-12 and abs(one.high - one.low) < 1e-9
+    assert gates.statistical_gate(bench, {"m": 0.0}, {"m": 0.05}).first().decision == "passed"
+    blocked = gates.statistical_gate(bench, {"m": 0.0}, {"m": 0.2}, 5).first()
+    assert blocked.reasons == ["paired_m_practical_gain_failed", "paired_seed_count_below_minimum"]
