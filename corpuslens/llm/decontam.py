@@ -17,9 +17,9 @@ from corpuslens.llm import bloom
 from corpuslens.llm.common import Words, arrow_map, chunks, key_type, mix, ragged, signed, without, written
 
 WINDOW = 5
-#: Share of an item's tokens that matched windows must cover in a document, and, where values differ, of these that aren't
-#: placeholders.
-MIN_COVERED, MIN_PLAIN = 0.5, 0.5
+#: Share of an item's tokens that matched windows must cover in a document, and places of the item that must hold plain words
+#: on an alignment whose values differ: with fewer, one-to-one slots alone would make any list of amounts a copy.
+MIN_COVERED, MIN_WORDS = 0.5, 3
 
 #: Fixed values.
 UNITS = (
@@ -85,7 +85,7 @@ def templates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _windows_of(size: int, known: np.ndarray | None):
-    """Windows of each size up to ``size`` that the filter ``known`` lets through: (row, id, n, pos, hash, slots in order)."""
+    """Windows of each size up to ``size`` that the filter ``known`` lets through: (row, id, n, pos, hash, slots in order, places of plain words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +101,10 @@ def _windows_of(size: int, known: np.ndarray | None):
                         continue
                     with np.errstate(over="ignore"):
                         h = np.full(m, np.uint64(w))
+                        plain = np.zeros(m, np.int64)
                         for j in range(w):
                             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + token[j : m + j])
+                            plain |= (~slot[j : m + j]).astype(np.int64) << j
                     at = np.flatnonzero(doc[:m] == doc[w - 1 :])
                     if known is None and w < size:  # the benchmark: a short item is one window
                         at = at[length[doc[at]] == w]
@@ -122,15 +124,16 @@ def _windows_of(size: int, known: np.ndarray | None):
                             pa.array(np.full(len(at), w), pa.int32()),
                             pa.array(signed(h[at]), pa.int64()),
                             ragged(signed(slot_value[flat]), sizes, pa.int64()),
+                            pa.array(plain[at], pa.int64()),
                         ],
-                        ["row", "id", "n", "pos", "width", "hash", "slots"],
+                        ["row", "id", "n", "pos", "width", "hash", "slots", "plain"],
                     )
 
     return run
 
 
 def _schema(kind: str) -> str:
-    return f"row long, id {kind}, n long, pos long, width int, hash long, slots array<long>"
+    return f"row long, id {kind}, n long, pos long, width int, hash long, slots array<long>, plain long"
 
 
 def _covered(positions: Column, width: Column) -> Column:
@@ -138,6 +141,12 @@ def _covered(positions: Column, width: Column) -> Column:
     return F.aggregate(F.zip_with(positions, following, lambda a, b: F.least(b - a, width)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _words(pos: str, width: str, plain: str) -> Column:
+    """Places of the item that hold plain words in a window."""
+    bits = F.filter(F.sequence(F.lit(0), F.col(width) - 1), lambda j: F.getbit(F.col(plain), j) == 1)
+    return F.transform(bits, lambda j: F.col(pos) + j)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -147,10 +156,12 @@ def contaminated(
     item_text: str = "text",
     window: int = WINDOW,
     min_covered: float = MIN_COVERED,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """(document, benchmark item) pairs: ``row, doc_id, item_id, covered, item_tokens, verbatim``.
 
-    A pair is listed if windows on alignments with consistent slots cover ``min_covered`` of the item's tokens;
+    A pair is listed if windows on alignments with consistent slots cover ``min_covered`` of the item's tokens; an alignment
+    on which a slot value differs also needs plain words at ``min_words`` places of the item, however many slots it holds.
     ``verbatim`` says that no slot value differs.  Null and empty texts on either side match nothing; an item shorter
     than a window matches as a whole; repeated rows are listed each; an empty table gives no rows; other columns are
     ignored.
@@ -165,10 +176,10 @@ def contaminated(
     hits = rows.transform(arrow_map, _windows_of(window, known), _schema(key_type(docs, key)))
     b = items.select(
         F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("n").alias("item_tokens"),
-        F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "hash", F.col("slots").alias("item_slots"),
+        F.col("pos").alias("item_pos"), F.col("width").alias("item_width"), "hash", F.col("slots").alias("item_slots"), "plain",
     )
-    pairs = hits.join(b, "hash").where("width = item_width").select(
-        "row", F.col("id").alias("doc_id"), "item_row", "item_id", "item_tokens", "item_pos", "width",
+    pairs = hits.drop("plain").join(b, "hash").where("width = item_width").select(
+        "row", F.col("id").alias("doc_id"), "item_row", "item_id", "item_tokens", "item_pos", "width", "plain",
         (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots"),
     )
@@ -176,12 +187,12 @@ def contaminated(
     lines = pairs.groupBy("row", "doc_id", "item_row", "item_id", "item_tokens", "width", "shift").agg(
         F.collect_set("item_pos").alias("at"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
-        F.sum(F.size("slots")).alias("n_slots"),
+        F.array_distinct(F.flatten(F.collect_set(_words("item_pos", "width", "plain")))).alias("words"),
     )
     values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
     agrees = (values("i") == F.size("slots")) & (values("d") == F.size("slots"))
-    plain = F.col("n_slots") <= (1 - MIN_PLAIN) * F.col("width") * F.size("at")
-    lines = lines.withColumn("same", F.forall("slots", lambda x: x["i"] == x["d"])).where(F.col("same") | (agrees & plain))
+    told = F.size("words") >= min_words
+    lines = lines.withColumn("same", F.forall("slots", lambda x: x["i"] == x["d"])).where(F.col("same") | (agrees & told))
     whole = lines.groupBy("row", "doc_id", "item_row", "item_id", "item_tokens", "width").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("same").alias("verbatim")
     )

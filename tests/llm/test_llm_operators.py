@@ -322,7 +322,50 @@ def test_copies_of_items_dense_with_placeholders_are_caught(spark):
     bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     rows = [(i, f"some words before {t}", "en", "a") for i, t in enumerate(texts)] + [(9, "we convert 8 km and 9 metres in 4 days", "en", "a")]
     got = decontam.contaminated(docs_of(spark, rows), bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(0, 0, True), (1, 1, True)]
+    # "convert", "and" and "in" are three plain words: with other amounts and units the item is still the same question
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in got) == [(0, 0, True), (1, 1, True), (9, 0, False)]
+
+
+def planted_questions():
+    """(items, copies with other values, near misses): word problems, sparse and dense in numbers, names and units."""
+    draw = np.random.default_rng(3)
+    words = ["carries", "takes", "walks", "lends", "sells", "bakes", "counts", "after", "before", "toward", "during", "beside", "apples", "crates", "tickets", "ribbons"]
+    names, units = ["Anna", "Boris", "Clara", "David", "Elena", "Felix", "Greta", "Hugo"], ["km", "miles", "kg", "litres", "hours", "days"]
+    items, copies, misses = [], [], []
+    for i in range(120):
+        dense = i % 2
+        shape = ["w"]
+        for _ in range(6):
+            shape += ["w"] * int(draw.integers(1, 2 if dense else 5)) + [["#", "#u", "N"][int(draw.integers(3))]]
+        text, spare = [], list(draw.permutation(np.arange(2, 99)))
+        plain = [words[int(draw.integers(len(words)))] if s == "w" else None for s in shape]
+        # one name and one number stand twice: a copy must change both alike
+        slots = [(int(draw.integers(3)), int(draw.integers(3)), int(draw.integers(3))) for _ in shape]
+
+        def text_of(number, name, unit, slots=slots, shape=shape, plain=plain):
+            out = []
+            for s, w, (a, b, c) in zip(shape, plain, slots, strict=True):
+                out += [w] if s == "w" else [names[name[b]]] if s == "N" else [str(number[a])] + ([units[unit[c]]] if s == "#u" else [])
+            return f"the {' '.join(out)} in all"
+
+        one = text_of(spare[:3], draw.permutation(8), draw.permutation(6))
+        other = text_of(spare[3:6], draw.permutation(8), draw.permutation(6))
+        items.append(one)
+        copies.append(other)
+        # a near miss has the values of a copy and other words at three places out of four
+        misses.append(" ".join(f"x{t}" if t.islower() and t.isalpha() and t not in units and k % 4 else t for k, t in enumerate(other.split())))
+    return items, copies, misses
+
+
+def test_reparameterised_questions_are_recalled(spark):
+    items, copies, misses = planted_questions()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"They said that {t}, and so on", "en", "a") for i, t in enumerate(copies)] + [(1000 + i, f"They said that {t}, and so on", "en", "a") for i, t in enumerate(misses)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    found = sum((i, i) in got for i in range(len(items)))
+    wrong = len({i for i, _ in got if i >= 1000})
+    print("re-parameterised copies found", found, "of", len(items), "near misses taken", wrong, "other items", sum(i < 1000 and i != j for i, j in got))
+    assert found >= 0.9 * len(items) and wrong <= 0.02 * len(items)
 
 
 def test_verbatim_passages_match_substring_search(spark, documents, local):
@@ -448,6 +491,17 @@ def test_hosts_without_rules_get_verdicts_from_their_domain(spark):
     assert {("w0.bad.org", "w0.bad.org"), ("w0.bad.org", "bad.org"), ("bad.org", "w0.bad.org")} <= edges and ("bad.org", "org") not in edges
 
 
+def test_names_under_a_registry_share_no_reputation(spark):
+    rules = (("block", "a0.co.uk", "/"), ("block", "a1.co.uk", "/"))
+    rows = [(i, f"http://{w}a{i}.co.uk/p", '<a href="/x">y</a>') for i in range(20) for w in ("", "blog.")]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)] + [(100, "http://shop.a0.co.uk/", None), (101, "http://x.b.de/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.src, r.dst) for r in urlgraph.host_edges(pages).collect()}
+    assert ("blog.a3.co.uk", "a3.co.uk") in edges and ("x.b.de", "b.de") in edges and not any("co.uk" in e for e in edges)
+    got = {r.host: r.verdict for r in urlgraph.judge_urls(pages, rules=rules).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"a0.co.uk", "a1.co.uk", "blog.a0.co.uk", "blog.a1.co.uk", "shop.a0.co.uk"}
+
+
 # 7 mixing
 
 
@@ -532,6 +586,17 @@ def test_held_out_quality(spark, documents, odd, empty):
     assert len(quality_crf.score_documents(odd, blank).collect()) == 10
 
 
+def test_long_texts_are_learned_from(spark):
+    good = "The river rises in the hills, and the town below it keeps a careful record of every flood.\n"
+    bad = "$$$ CLICK!!! #win# @@@ 99 99 99\n"
+    rows = [(i, (good if i % 2 else bad) * (1100 if i % 2 else 3100), "en", "a") for i in range(40)]  # 96 KB each, over LINES lines
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = docs_of(spark, rows)
+    model = quality_crf.train(docs, labels)
+    assert np.abs(model.weights).max() > 0
+    assert all(r.predicted == r.doc_id % 2 for r in quality_crf.score_documents(docs, model).collect())
+
+
 # 9 near-duplicates
 
 
