@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, arrow_map, chunks, key_type
+from corpuslens.llm.common import Words, arrow_map, chunks, key_type, ragged
 from corpuslens.llm.langid import remainder
 
 #: Labelled documents learned from, those with the smallest hash of doc_id, half of each label; a documented bound.
 SAMPLE = 3000
-#: Longest text learned from, in bytes: the sample holds SAMPLE * SAMPLE_BYTES at most.
-SAMPLE_BYTES = 1 << 16
-#: Longer texts are learned from in runs of so many lines; scoring always takes whole texts.
+#: Texts are learned from in runs of so many lines; scoring always takes whole texts.
 RUN = 32
+#: Lines learned from of a text at most: of a longer one, whole runs at even distances.  Their features come from the whole text.
+LINES = 1024
 EPOCHS, RATE, DECAY = 100, 0.1, 1e-3
 #: Rounds in which line labels are latent, epochs of each, and the share of a text's length that its label claims.
 TURNS, TURN_EPOCHS, CLAIM = 2, 30, 0.8
@@ -178,25 +178,39 @@ def _logit(q: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Maximum likelihood of the chains by Adam.
+def _run_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``k, y, place, bytes, columns`` of the lines learned from, LINES of a text at most."""
+    for batch in batches:
+        for lo, _, raw, off in chunks(batch.column("text")):
+            columns, doc, length = line_features(raw, off)
+            head = np.flatnonzero(np.diff(doc, prepend=-1))
+            count = np.diff(np.append(head, len(doc)))
+            place = np.arange(len(doc)) - np.repeat(head, count)
+            # run r of n is kept where the wanted number of runs steps on at it
+            runs, run, most = np.repeat(-(-count // RUN), count), place // RUN, LINES // RUN
+            kept = np.flatnonzero((runs <= most) | ((run + 1) * most // np.maximum(runs, 1) > run * most // np.maximum(runs, 1)))
+            owner = pa.array(doc[kept] + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k").take(owner), batch.column("y").take(owner), pa.array(place[kept], pa.int64()), pa.array(length[kept], pa.int64()),
+                 ragged(columns[kept].ravel(), np.full(len(kept), len(_BINS)), pa.int16())],
+                ["k", "y", "place", "bytes", "columns"],
+            )
+
+
+def fit(columns: np.ndarray, doc: np.ndarray, place: np.ndarray, length: np.ndarray, labels: np.ndarray) -> Model:
+    """Maximum likelihood of the chains by Adam, from lines in order of text (0 to n - 1) and place, and the texts' labels.
 
     At first every line has its document's label.  Then lines are latent: in each turn a text's chain is shifted by one
     offset until the length-weighted share of good lines is at least CLAIM in good texts and at most 1 - CLAIM in bad ones,
     and its marginals and expected moves are the next targets.  So a text may hold lines of both kinds, and the moves learn
     how often the kind changes from line to line.
     """
-    parts = [(line_features(raw, off), lo) for lo, _, raw, off in chunks(pa.array(texts, pa.large_string()))]
-    columns = np.concatenate([p[0] for p, _ in parts]) if parts else np.zeros((0, len(_BINS)), np.int64)
-    doc = np.concatenate([p[1] + lo for p, lo in parts]) if parts else np.zeros(0, np.int64)
-    length = np.concatenate([p[2] for p, _ in parts]) if parts else np.zeros(0, np.int64)
     model = Model(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), np.array([1.0, 0.0]))
     if not len(doc) or len(set(labels.tolist())) < 2:
         model.scale = np.array([0.0, _logit(np.array([(labels.sum() + 1) / (len(labels) + 2)]))[0]])
         return model
-    head = np.flatnonzero(np.diff(doc, prepend=-1))
-    at = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
-    chain = np.cumsum((np.diff(doc, prepend=-1) != 0) | (at % RUN == 0)) - 1
+    broken = (np.diff(doc, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 1)  # lines left out break a chain
+    chain = np.cumsum(broken | (place % RUN == 0)) - 1
     y = labels[doc].astype(float)
     y_moves = np.zeros((2, 2))
     inner = chain[1:] == chain[:-1]
@@ -211,8 +225,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.weights, model.moves = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
-    n = len(texts)
-    whole = np.cumsum(np.diff(doc, prepend=-1) != 0) - 1
+    n = len(labels)
+    whole = np.cumsum(broken) - 1
     good, _, _ = _forward_backward(_emissions(model, columns, whole), whole, model.moves)
     x, t = _logit(_quality(good, doc, length, n)), labels.astype(float)
     some = np.bincount(doc, minlength=n) > 0
@@ -244,18 +258,22 @@ def _latent(score: np.ndarray, chain: np.ndarray, moves: np.ndarray, doc: np.nda
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """A model from labelled rows whose fold is not 0.
 
-    SAMPLE rows at most come to the driver, half of them of each label if there are so many; a doc_id with several
-    labels takes the smallest, one with several texts the smallest text.  Rows without label, text or doc_id are left out,
-    as are texts over SAMPLE_BYTES.
+    Features of SAMPLE texts and of LINES lines each at most come to the driver, half of the texts of each label if there are
+    so many; a doc_id with several labels takes the smallest, one with several texts the smallest text.  Rows without label,
+    text or doc_id are left out, and texts without a word; none is left out for its length.
     """
     given = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     given = given.where(F.col("k").isNotNull() & (remainder(F.col("k")) != 0))
     nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
     picked = given.withColumn("nth", nth).where(F.col("nth") <= SAMPLE // 2).select("k", "y")
-    rows = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = docs.select(F.col(key).alias("doc_key"), F.col(text).cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(picked), rows.doc_key == picked.k).groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    found = rows.orderBy("k").toArrow()  # SAMPLE rows
-    return fit(found["text"].to_pylist(), found["y"].to_numpy().astype(np.int64))
+    lines = rows.transform(arrow_map, _run_lines, f"k {key_type(docs, key)}, y int, place long, bytes long, columns array<short>")
+    found = lines.orderBy("k", "place").toArrow()  # SAMPLE * LINES rows of small numbers
+    columns = found["columns"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(_BINS))
+    k = found["k"].to_numpy()
+    heads = np.append(np.ones(min(len(k), 1), bool), k[1:] != k[:-1])
+    return fit(columns, np.cumsum(heads) - 1, found["place"].to_numpy(), found["bytes"].to_numpy(), found["y"].to_numpy()[heads].astype(np.int64))
 
 
 def _score(model: Model):
