@@ -24,6 +24,8 @@ DAMPING, ROUNDS = 0.85, 10
 MARGIN, FLOOR = 2.0, 0.1
 #: Weight of the links between a host and its parent domain, a page of the host.
 KIN = 0.5
+#: Labels under which registries of two-letter domains sell names (``co.uk``), so that these are no one's parent.
+REGISTRY = ("ac", "co", "com", "ed", "edu", "go", "gob", "gov", "gouv", "govt", "gv", "id", "info", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -50,8 +52,9 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """Weighted links between hosts: ``src, dst, weight``.
 
     Absolute and protocol-relative links of pages count once a page.  A page with a relative link links to its own host.
-    A host and its parent domain (``blog.a.org`` and ``a.org``, up to two labels) are linked both ways with KIN times the
-    host's pages, so that hosts of one domain share reputation where pages hold relative links only.
+    A host and its parent domain (``blog.a.org`` and ``a.org``, up to the registered name: two labels, three under a
+    REGISTRY label of a two-letter domain) are linked both ways with KIN times the host's pages, so that hosts of one domain
+    share reputation where pages hold relative links only.
     """
     refs = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), 1)
     own = host_of(F.col(url))
@@ -63,7 +66,8 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     labels = F.split("src", r"\.")
     level = F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1)))
     suffix = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    kin = hosts.where(F.size(labels) > 2).select(F.explode(F.transform(F.filter(level, lambda i: i < F.size(labels) - 1), lambda i: F.struct(suffix(i).alias("a"), suffix(i + 1).alias("b")))).alias("x"), "weight")
+    registered = F.when((F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*REGISTRY), 3).otherwise(2)
+    kin = hosts.where(F.size(labels) > 2).select(F.explode(F.transform(F.filter(level, lambda i: i <= F.size(labels) - registered), lambda i: F.struct(suffix(i).alias("a"), suffix(i + 1).alias("b")))).alias("x"), "weight")
     kin = kin.groupBy("x.a", "x.b").agg(F.sum("weight").alias("weight"))
     both = kin.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(kin.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
