@@ -148,3 +148,52 @@ def search_nodes(queries: DataFrame, nodes: DataFrame, top: int = 20, favoured:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "low", "node")
     g = g.select("query_id", "node", "type", "low", F.round(score, 9).alias("score"))
     return g.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).select("query_id", "node", "score", "position")
+
+
+#: A word that prose defines, and its definition; a panel's letter in a caption, and what follows.  Fixed values.
+DEFINES = r"(?i)(?:\bwhere\b|\bwith\b|\blet\b|\bdenote(?:s|d)?\b)?\s*([A-Za-z][A-Za-z0-9_]{0,31}|[α-ωΑ-Ω])\s+(?:is|denotes|represents|means|=)\s+([^.;]{2,300})"
+PANEL = r"(?:^|[\s,;])\(?([A-Za-z])\)\s*([^;]{0,300})"
+
+
+def _matches(text: str, pattern: str, first: str, second: str) -> Column:
+    """Both groups of each match, with the match's number."""
+    groups = [F.regexp_extract_all(text, F.lit(pattern), i) for i in (1, 2)]
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", "")
+    return F.transform(F.arrays_zip(groups[0].alias("a"), groups[1].alias("b")), lambda x, i: F.struct(i.alias("nth"), x["a"].alias(first), tidy(x["b"]).alias(second)))
+
+
+def formula_symbols(prose: DataFrame, formulas: DataFrame, window: int = 4) -> DataFrame:
+    """``doc, formula, symbol, definition, source, confidence`` of the symbols that formulas or prose near them define.
+
+    ``prose(doc, position, block, text)`` and ``formulas(doc, position, block, text, symbols)`` share the reading order; a
+    definition reaches formulas up to ``window`` places away that hold its symbol in any case.  ``symbols`` maps what the
+    formula itself defines.  The first definition of a block counts.  Definitions are dealt to the places they reach and meet
+    formulas by equality, so no document is paired with itself.
+    """
+    own = formulas.select("doc", F.col("block").alias("formula"), F.explode("symbols").alias("symbol", "definition"), F.col("block").alias("source"), F.lit(1.0).alias("confidence"))
+    said = prose.select("doc", "position", F.col("block").alias("source"), F.explode(_matches("text", DEFINES, "symbol", "definition")).alias("m"))
+    said = said.groupBy("doc", "position", "source", "m.symbol").agg(F.min_by("m.definition", "m.nth").alias("definition"))
+    reached = said.withColumn("position", F.explode(F.sequence(F.col("position") - window, F.col("position") + window)))
+    f = formulas.select("doc", "position", F.col("block").alias("formula"), F.lower("text").alias("_text"))
+    near = reached.join(f, ["doc", "position"]).where("contains(_text, lower(symbol)) and formula <> source")
+    return own.unionByName(near.select("doc", "formula", "symbol", "definition", "source", F.lit(0.82).alias("confidence")))
+
+
+def figure_panels(panels: DataFrame, captions: DataFrame) -> DataFrame:
+    """``doc, figure, panel, label, description, evidence, confidence``: what captions say of each panel of a figure.
+
+    ``panels(doc, page, figure, panel, label, caption)`` carry their figure's own caption, which is read first, then
+    ``captions(doc, page, position, block, text)`` of the page in order.  A panel without a letter is left out; one that no
+    caption names has an empty description, and its figure is the evidence, as it is for an own caption that no block holds.
+    """
+    p = panels.withColumn("_label", F.regexp_replace(F.lower("label"), r"^[() ]+|[() ]+$", "")).where("_label <> ''")
+    blocks = captions.groupBy("doc", "page", "text").agg(F.min_by("block", "position").alias("block"), F.min("position").alias("position"))
+    said = blocks.select("doc", "page", "block", "position", F.explode(_matches("text", PANEL, "letter", "description")).alias("m"))
+    said = said.select("doc", "page", F.lower("m.letter").alias("_label"), F.struct("position", "m.nth", "m.description", "block").alias("m"))
+    on_page = said.groupBy("doc", "page", "_label").agg(F.min("m").alias("page_m"))
+    held = p.join(blocks.select("doc", "page", F.col("text").alias("caption"), F.col("block").alias("own_block")), ["doc", "page", "caption"], "left").join(on_page, ["doc", "page", "_label"], "left")
+    first = F.filter(_matches("caption", PANEL, "letter", "description"), lambda m: F.lower(m["letter"]) == F.col("_label"))
+    held = held.withColumn("own", F.get(F.coalesce(first, F.array().cast("array<struct<nth:int,letter:string,description:string>>")), F.lit(0)))
+    description = F.when(F.col("own").isNotNull(), F.col("own.description")).otherwise(F.coalesce("page_m.description", F.lit("")))
+    evidence = F.when(F.col("own").isNotNull(), F.coalesce("own_block", "figure")).otherwise(F.coalesce("page_m.block", "figure"))
+    return held.select("doc", "figure", "panel", "label", description.alias("description"), evidence.alias("evidence"), F.when(description != "", 0.92).otherwise(0.70).alias("confidence"))

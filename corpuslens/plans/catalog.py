@@ -37,7 +37,7 @@ def _load() -> None:
         import_module(f"corpuslens.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("scalars", "retrieval", "evaluation", "statistics", "tables", "more", "wider", "further", "mechanisms", "completed")
+MODULES: tuple[str, ...] = ("scalars", "retrieval", "evaluation", "statistics", "tables", "more", "wider", "further", "mechanisms", "completed", "populations")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
