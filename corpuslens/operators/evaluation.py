@@ -94,3 +94,23 @@ def selection_report(selected: DataFrame, gold: DataFrame, group: str, item: str
     g = g.withColumn("precision", share("_n", "_m")).withColumn("recall", share("_m", "_n"))
     both = F.col("precision") + F.col("recall")
     return g.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)).drop("_h", "_n", "_m")
+
+
+def visual_support(scores: DataFrame, entailed: float = 0.5, contradicted: float = 0.7) -> DataFrame:
+    """One row over claims and their visual evidence, ``scores(claim_id, entail, contra, abstained)``.
+
+    A claim is covered if some evidence doesn't abstain; contradicted if its best contradiction reaches the threshold and is
+    above its best entailment; else supported at the other threshold; else unsupported.  Rates are over covered claims, null
+    without one.
+    """
+    active = lambda c: F.max(F.when(~F.col("abstained"), F.col(c)))
+    claims = scores.groupBy("claim_id").agg(active("entail").alias("e"), active("contra").alias("c"), F.count("*").alias("n"), F.count_if("abstained").alias("out"))
+    against = (F.col("c") >= contradicted) & (F.col("c") > F.col("e"))
+    share = lambda c: F.avg(F.when(F.col("e").isNotNull(), c.cast("int")))
+    backed = ~against & (F.col("e") >= entailed)
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return claims.agg(
+        F.count("*").alias("claims"), n.alias("evidence"), F.when(n > 0, F.count("e") / F.count("*")).otherwise(0.0).alias("coverage"), F.avg("e").alias("mean_entailment"),
+        share(backed).alias("supported"), share(against).alias("contradicted"), share(~against & ~backed).alias("unsupported"),
+        F.when(n > 0, F.sum("out") / n).otherwise(0.0).alias("abstained"),
+    )

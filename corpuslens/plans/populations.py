@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators import evaluation as E
+from corpuslens.operators import graphsets as S
 from corpuslens.operators import linking as L
 from corpuslens.operators import populations as P
 from corpuslens.plans.catalog import query, table
@@ -173,3 +175,40 @@ def c38_figure_panels(spark, d):
     panels = l.where("l_linestatus = 'O'").select("doc", "page", F.col("l_linenumber").alias("figure"), own.alias("caption"), F.posexplode(labels).alias("panel", "label"))
     text = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("("), F.lower("l_returnflag"), F.lit(") quantity "), whole("l_quantity"), F.lit("; (B) supplier "), "l_suppkey")).otherwise("as before")
     return L.figure_panels(panels, l.where("l_linestatus = 'F'").select("doc", "page", F.col("l_linenumber").alias("position"), F.col("l_linenumber").alias("block"), text.alias("text")))
+
+
+# each document is a member, its lines are nodes; the first lines of neighbouring documents are related
+
+
+def _joined(*parts):
+    return "sha256(" + " || ".join(f"length(coalesce(({p})::varchar, '')) || ':' || coalesce(({p})::varchar, '')" for p in parts) + ")"
+
+
+@query("f28_graph_set", f"""with m as (select doc_id as doc, 1 as generation, sha256(text) as content, source as profile, md5(text) as graph from documents),
+  d as (select {_joined("doc", "generation", "content", "profile", "graph")} as d from m), t as (select count(*) as n, sum(('0x' || substr(sha256(d), 1, 15))::hugeint)::varchar as digest from d),
+  k as (select {_joined("'corpus'", "n", "digest")} as set_id from t),
+  n as (select doc, generation, graph, 1 as node, 'LINE' as type, sha256(split_part(text, chr(10), 1)) as provenance from m join documents on doc = doc_id), h as (select doc, {_joined("doc", "generation", "graph", "node", "type", "provenance")} as reference from n),
+  r as (select a.doc_id || '>' || b.doc_id as relation, a.doc_id as source_doc, b.doc_id as target_doc, case when a.lang = b.lang then 'SUPPORTS' else 'CITES' end as type from documents a join documents b on b.doc_id = a.doc_id + 1)
+  select {_joined("set_id", "s.reference", "t.reference", "type", "relation")} as edge_id, set_id, relation, source_doc, target_doc, type from r join h s on source_doc = s.doc join h t on target_doc = t.doc, k""")
+def f28_graph_set(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("node", "line"))
+    nodes = lines.select("doc", (F.col("node") + 1).alias("node"), F.lit("LINE").alias("type"), F.sha2("line", 256).alias("provenance"))
+    members = docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("generation"), F.sha2("text", 256).alias("content"), F.col("source").alias("profile"), F.md5("text").alias("graph"), F.lit(True).alias("current"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"))
+    relations = docs.join(after, "doc_id").select(
+        F.concat("doc_id", F.lit(">"), F.col("doc_id") + 1).alias("relation"), F.col("doc_id").alias("source_doc"), F.lit(1).alias("source"), (F.col("doc_id") + 1).alias("target_doc"), F.lit(1).alias("target"),
+        F.when(F.col("lang") == F.col("next_lang"), "SUPPORTS").otherwise("CITES").alias("type"), F.lit(1.0).alias("weight"),
+    )
+    return S.graph_set_edges(members, nodes, relations, "corpus").select("edge_id", "set_id", "relation", "source_doc", "target_doc", "type")
+
+
+@query("g24_visual_support", """with s as (select l_orderkey as claim, l_discount * 10 as e, l_tax * 10 as c, l_returnflag = 'R' as out from lineitem),
+  b as (select claim, max(e) filter (not out) as e, max(c) filter (not out) as c, count(*) as n, count(*) filter (out) as o from s group by 1),
+  v as (select *, c >= 0.7 and c > e as against from b)
+  select count(*) as claims, sum(n)::bigint as evidence, round(count(e) / count(*), 9) as coverage, round(avg(e), 9) as mean_entailment, round(avg((not against and e >= 0.5)::int), 9) as supported, round(avg(against::int), 9) as contradicted,
+    round(avg((not against and e < 0.5)::int), 9) as unsupported, round(sum(o) / sum(n), 9) as abstained from v""")
+def g24_visual_support(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_discount") * 10).alias("entail"), (F.col("l_tax") * 10).alias("contra"), (F.col("l_returnflag") == "R").alias("abstained"))
+    got = E.visual_support(s)
+    return got.select("claims", "evidence", *[F.round(c, 9).alias(c) for c in got.columns[2:]])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators import linking, populations
+from corpuslens.operators import evaluation, graphsets, linking, populations
 
 PHYSICAL = "kind string, name string, physical_id string, state string, generation int, profile string, schema string, source string, n int, population string, created_at double, protected boolean, in_flight boolean"
 DESIRED = "kind string, name string, generation int, profile string, schema string, source string, n int, population string"
@@ -125,3 +125,47 @@ def test_panels_of_figures(spark):
     # up to the next semicolon all is the description of a panel, other letters in it included
     assert rows[("f", 2)] == ("C", "later", "c2", 0.92) and rows[("f", 3)] == ("(d)", "wind", "c2", 0.92)
     assert rows[("g", 0)] == ("a", "", "g", 0.70) and rows[("h", 0)] == ("a", "held", "c3", 0.92) and len(rows) == 6
+
+
+MEMBERS = [("a", 1, "ca", "p", "ga", True), ("b", 3, "cb", "p", "gb", True), ("c", 1, "cc", None, "gc", True)]
+NODES = [("a", "1", "CLAIM", "x"), ("b", "1", "LINE", "y"), ("b", "2", "LINE", None), ("z", "1", "LINE", "no member")]
+RELATIONS = [("r1", "a", "1", "b", "2", "SUPPORTS", 1.0), ("r2", "b", "1", "a", "1", "CITES", 0.5)]
+
+
+def edges_of(spark, members=MEMBERS, nodes=NODES, relations=RELATIONS, key="k"):
+    got = graphsets.graph_set_edges(
+        spark.createDataFrame(members, "doc string, generation int, content string, profile string, graph string, current boolean"), spark.createDataFrame(nodes, "doc string, node string, type string, provenance string"),
+        spark.createDataFrame(relations, "relation string, source_doc string, source string, target_doc string, target string, type string, weight double"), key,
+    )
+    return {r.relation: r for r in got.collect()}
+
+
+def test_ids_of_graph_sets_follow_contents(spark):
+    one, again = edges_of(spark), edges_of(spark, MEMBERS[::-1], NODES[::-1], RELATIONS[::-1])
+    assert one == again and len(one) == 2 and one["r1"].edge_id != one["r2"].edge_id and one["r1"].set_id == one["r2"].set_id
+    other = edges_of(spark, [*MEMBERS[:2], ("c", 2, "cc", None, "gc", True)])
+    assert other["r1"].set_id != one["r1"].set_id and edges_of(spark, key="l")["r1"].set_id != one["r1"].set_id
+    assert edges_of(spark, relations=[]) == {}
+
+
+@pytest.mark.parametrize(
+    ("odd", "what"),
+    [
+        ({"members": [*MEMBERS, MEMBERS[0]]}, "documents must be unique"), ({"members": [*MEMBERS[:2], (*MEMBERS[2][:5], False)]}, "current"), ({"members": MEMBERS[:1], "relations": RELATIONS[:1]}, "two members|no member"),
+        ({"nodes": [*NODES, NODES[0]]}, "nodes must be unique"), ({"relations": [RELATIONS[0], RELATIONS[0]]}, "relations must be unique"), ({"relations": [("r", "a", "9", "b", "1", "t", 1.0)]}, "no member holds"),
+        ({"relations": [("r", "a", "1", "z", "1", "t", 1.0)]}, "no member holds"), ({"relations": [("r", "b", "1", "b", "2", "t", 1.0)]}, "inside one document"),
+    ],
+)
+def test_odd_graph_sets_are_refused(spark, odd, what):
+    with pytest.raises(Exception, match=what):
+        edges_of(spark, **odd)
+
+
+def test_visual_support(spark):
+    scores = [("s", 0.6, 0.1, False), ("s", 0.2, 0.65, False), ("c", 0.6, 0.8, False), ("c", 0.9, 0.9, True), ("t", 0.8, 0.8, False), ("u", 0.4, 0.3, False), ("o", 0.9, 0.0, True)]
+    schema = "claim_id string, entail double, contra double, abstained boolean"
+    r = evaluation.visual_support(spark.createDataFrame(scores, schema)).first()
+    assert (r.claims, r.evidence) == (5, 7) and (r.coverage, r.supported, r.contradicted, r.unsupported) == (0.8, 0.5, 0.25, 0.25)
+    assert r.mean_entailment == pytest.approx(0.6) and r.abstained == pytest.approx(2 / 7)
+    none = evaluation.visual_support(spark.createDataFrame([], schema)).first()
+    assert (none.claims, none.coverage, none.supported, none.abstained) == (0, 0.0, None, 0.0)
