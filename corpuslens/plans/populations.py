@@ -9,7 +9,9 @@ from corpuslens.operators import evaluation as E
 from corpuslens.operators import graphsets as S
 from corpuslens.operators import linking as L
 from corpuslens.operators import populations as P
+from corpuslens.operators.lineage import shared_path
 from corpuslens.plans.catalog import query, table
+from corpuslens.sources import importing as I
 
 NOW = "1999-06-01"
 
@@ -212,3 +214,21 @@ def g24_visual_support(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_discount") * 10).alias("entail"), (F.col("l_tax") * 10).alias("contra"), (F.col("l_returnflag") == "R").alias("abstained"))
     got = E.visual_support(s)
     return got.select("claims", "evidence", *[F.round(c, 9).alias(c) for c in got.columns[2:]])
+
+
+# a part is an item, its lines are cases, rounds the years in which they were shipped
+
+
+@query("i27_gold_labels", """with c as (select l_partkey as item, l_orderkey * 10 + l_linenumber as id, year(l_shipdate)::int as round, case when l_suppkey % 3 = 0 then 'relevance' else 'support' end as task, case when l_linestatus = 'F' then 'resolved' else 'open' end as state, l_returnflag as label, sha256(l_suppkey::varchar) as evidence from lineitem),
+  g as (select * from c qualify row_number() over (partition by item order by round desc, id desc, task desc, state desc, label desc, evidence desc) = 1), k as (select * from g where state = 'resolved' and task = 'support'),
+  r as (select count(*) as n, sum(('0x' || substr(sha256(item || '|' || id || '|' || evidence || '|' || label || '|v1|' || round), 1, 15))::hugeint)::varchar as digest from k)
+  select item, id as "case", label, round, n, digest from k, r""")
+def i27_gold_labels(spark, d):
+    l = table(spark, d, "lineitem")
+    cases = l.select(
+        F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case"), F.year("l_shipdate").alias("round"), F.when(F.col("l_suppkey") % 3 == 0, "relevance").otherwise("support").alias("task"),
+        F.when(F.col("l_linestatus") == "F", "resolved").otherwise("open").alias("state"), F.col("l_returnflag").alias("label"), F.lit("v1").alias("schema"), F.sha2(F.col("l_suppkey").cast("string"), 256).alias("evidence"),
+    )
+    labels, path = I.gold_labels(cases, "support"), shared_path(spark, "gold")
+    receipt = I.write_gold(labels, path)
+    return spark.read.schema(labels.schema).json(path).select("item", "case", "label", "round").join(F.broadcast(receipt), F.lit(True))  # one row

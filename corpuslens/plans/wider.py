@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from corpuslens.functions.text import content_id, index_tokens
 from corpuslens.operators import assess as A
 from corpuslens.operators import graph as G
 from corpuslens.operators import retrieval as R
+from corpuslens.operators.lineage import shared_path
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.evaluation import _PAIRS, _RANKED, answer_pairs, qrels, ranked
 from corpuslens.plans.retrieval import _SEARCH, _queries
@@ -338,14 +337,10 @@ def i11_resumable_order(spark, d):
     return seeded_order(docs, "doc_id", 7, 1).where(F.col("nth") > docs.count() // 3)
 
 
-def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 @query("a1_retrieval_set", "select (select count(*) from documents) as n_docs, (select count(*) from benchmark) as n_queries, (select count(*) from documents where doc_id % 3 > 0) as n_qrels, (select sum(length(source || chr(10) || chr(10) || text)) from documents)::bigint as n_chars")
 def a1_retrieval_set(spark, d):
     """The given tables as JSON lines and a tab-separated file, read back as a retrieval set."""
-    root, docs = _folder(spark), table(spark, d, "documents")
+    root, docs = shared_path(spark, "files"), table(spark, d, "documents")
     docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text").write.json(f"{root}/corpus.jsonl")
     table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{root}/queries.jsonl")
     docs.select((F.col("doc_id") % 40).alias("query_id"), "doc_id", (F.col("doc_id") % 3).alias("score")).write.csv(f"{root}/qrels/test.tsv", sep="\t", header=True)
@@ -357,7 +352,7 @@ def a1_retrieval_set(spark, d):
 
 @query("a2_judgements", "select (doc_id % 40)::varchar as query_id, count(*) as n, count(distinct doc_id) as n_docs from documents where doc_id % 3 >= 1 group by 1")
 def a2_judgements(spark, d):
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     line = F.concat_ws(" ", (F.col("doc_id") % 40).cast("string"), F.lit("0"), F.col("doc_id").cast("string"), (F.col("doc_id") % 3).cast("string"))
     table(spark, d, "documents").select(line.alias("value")).write.text(path)
     return readers.judgements(spark, path).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
@@ -366,7 +361,7 @@ def a2_judgements(spark, d):
 @query("a9_report_csv", "select l_orderkey, l_linenumber, l_linestatus, l_quantity from lineitem where l_returnflag = 'R'")
 def a9_report_csv(spark, d):
     """A flat report written as CSV, read back with its declared schema."""
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_linestatus", "l_quantity")
     rows.write.csv(path, header=True)
     return spark.read.schema(rows.schema).csv(path, header=True)
@@ -375,7 +370,7 @@ def a9_report_csv(spark, d):
 @query("a12_manifest", "select 'missing' as problem, 1::bigint as n union all select 'differs', 1")
 def a12_manifest(spark, d):
     """A manifest of written files that states one file too many and one wrong digest."""
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     table(spark, d, "benchmark").repartition(4).write.parquet(path)
     found = readers.file_manifest(spark, path).where(F.col("path").endswith(".parquet")).select("path", "bytes", "sha256")
     first = found.agg(F.min("path").alias("first"))

@@ -178,3 +178,36 @@ def adapted(raw: DataFrame, dataset: str, json: str = "json") -> DataFrame:
     rows = raw.select(*ADAPTERS[dataset.lower()](F.col(json)))
     asked = F.when(F.col("query") != "", F.col("query")).otherwise(F.raise_error(F.lit("benchmark rows must have a query")))
     return rows.withColumn("query", asked)
+
+
+# gold labels
+
+GOLD = ("item", "case", "evidence", "label", "schema", "round")
+
+
+def gold_labels(cases: DataFrame, task: str) -> DataFrame:
+    """The records of ``GOLD`` of items whose latest case of any task is resolved and of ``task``.
+
+    ``cases(item, case, round, task, state, label, schema, evidence)``; of several cases of a round the largest id counts.
+    A resolved case without a label is refused.
+    """
+    last = cases.groupBy("item").agg(F.max(F.struct("round", "case", "task", "state", "label", "schema", "evidence")).alias("c"))
+    done = last.select("item", "c.*").where((F.col("state") == "resolved") & (F.col("task") == task))
+    label = F.coalesce(F.col("label").cast("string"), F.raise_error(F.lit("a resolved case has no label")).cast("string"))
+    return done.withColumn("label", label).select(*GOLD)
+
+
+def write_gold(labels: DataFrame, path: str) -> DataFrame:
+    """Writes gold labels as JSON lines in order of their items, part by part, and returns their receipt: ``n, digest``.
+
+    The digest doesn't depend on how the rows are dealt over files, so a reader can compute it again.  A path that exists
+    isn't written again, and a manifest without labels is refused.
+    """
+    labels.orderBy("item").write.mode("errorifexists").json(path)
+    return gold_receipt(labels.sparkSession.read.schema(labels.schema).json(path))
+
+
+def gold_receipt(labels: DataFrame) -> DataFrame:
+    record = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in GOLD])
+    n = F.when(F.count("*") == 0, F.raise_error(F.lit("there are no gold labels")).cast("long")).otherwise(F.count("*"))
+    return labels.agg(n.alias("n"), set_digest(record).alias("digest"))

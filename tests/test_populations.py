@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import evaluation, graphsets, linking, populations
+from corpuslens.sources import importing
 
 PHYSICAL = "kind string, name string, physical_id string, state string, generation int, profile string, schema string, source string, n int, population string, created_at double, protected boolean, in_flight boolean"
 DESIRED = "kind string, name string, generation int, profile string, schema string, source string, n int, population string"
@@ -169,3 +170,22 @@ def test_visual_support(spark):
     assert r.mean_entailment == pytest.approx(0.6) and r.abstained == pytest.approx(2 / 7)
     none = evaluation.visual_support(spark.createDataFrame([], schema)).first()
     assert (none.claims, none.coverage, none.supported, none.abstained) == (0, 0.0, None, 0.0)
+
+
+def test_gold_labels_are_written_in_order(spark, tmp_path):
+    schema = "item string, case string, round int, task string, state string, label string, schema string, evidence string"
+    rows = [("b", "c1", 1, "t", "resolved", "yes", "s", "e"), ("b", "c2", 2, "t", "resolved", "no", "s", "e"), ("a", "c3", 1, "t", "resolved", "yes", "s", None), ("c", "c4", 1, "t", "resolved", "yes", "s", "e"),
+            ("c", "c5", 2, "t", "open", None, "s", "e"), ("d", "c6", 1, "other", "resolved", "yes", "s", "e")]
+    labels = importing.gold_labels(spark.createDataFrame(rows, schema), "t")
+    assert {(r.item, r.case, r.label, r.round) for r in labels.collect()} == {("b", "c2", "no", 2), ("a", "c3", "yes", 1)}
+    path = str(tmp_path / "gold")
+    receipt = importing.write_gold(labels, path).first()
+    text = [line for f in sorted(tmp_path.joinpath("gold").glob("part-*")) for line in f.read_text().splitlines()]
+    assert receipt.n == 2 and ['"a"' in text[0], '"b"' in text[1]] == [True, True]
+    assert importing.gold_receipt(spark.createDataFrame(labels.collect()[::-1], labels.schema)).first() == receipt
+    changed = importing.gold_receipt(labels.withColumn("label", F.lit("yes"))).first()
+    assert changed.n == 2 and changed.digest != receipt.digest
+    with pytest.raises(Exception, match="no gold labels"):
+        importing.gold_receipt(labels.limit(0)).collect()
+    with pytest.raises(Exception, match="no label"):
+        importing.gold_labels(spark.createDataFrame([("a", "c", 1, "t", "resolved", None, "s", "e")], schema), "t").collect()
