@@ -16,7 +16,7 @@ from corpuslens.operators import retrieval as R
 from corpuslens.operators import series as T
 from corpuslens.operators import statistics as S
 from corpuslens.plans.catalog import query, table
-from corpuslens.plans.evaluation import _RANKED, qrels, ranked
+from corpuslens.plans.evaluation import _RANKED, judged
 from corpuslens.plans.retrieval import _INDEX, _QUERIES, _SEARCH, _queries
 from corpuslens.plans.statistics import scored
 from corpuslens.plans.tables import points
@@ -57,7 +57,7 @@ def k4_hydrograph_deltas(spark, d):
 @query("g18_position_bias", f"""with {_RANKED}, m as (select position, avg(case when gain > 0 then 1.0 else 0.0 end) as score from ranked left join qrels using (query_id, doc_id) group by 1), l as (select list(score order by position) as s from m)
   select (select count(*) from m) as n_positions, round((select max(score) - min(score) from m), 6) as score_range, round((select (s[1] + s[-1]) / 2 - s[len(s) // 2 + 1] from l), 6) as edge_to_middle_gap, round((select regr_slope(score, position) from m), 6) as slope""")
 def g18_position_bias(spark, d):
-    j = ranked(spark, d).join(qrels(spark, d), ["query_id", "doc_id"], "left")
+    j = judged(spark, d)
     means = j.groupBy("position").agg(F.avg(F.coalesce(F.col("gain") > 0, F.lit(False)).cast("double")).alias("score"))
     return A.position_report(means).select("n_positions", *[F.round(c, 6).alias(c) for c in ("score_range", "edge_to_middle_gap", "slope")])
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as X
 from corpuslens.functions.numbers import UNITS
 from corpuslens.functions.text import pseudonym
+from corpuslens.operators import evaluation as E
 from corpuslens.operators import governance as V
 from corpuslens.operators import series as T
 from corpuslens.operators import statistics as S
 from corpuslens.plans.catalog import query, table
-from corpuslens.plans.evaluation import _CLAIMS, _RANKED, claim_scores, qrels, ranked
+from corpuslens.plans.evaluation import _CLAIMS, _RANKED, claim_scores, judgements, ranked
 from corpuslens.plans.scalars import FIELD_TOKENS_SQL
 from corpuslens.plans.statistics import _V, scored
 from corpuslens.plans.tables import _GE, _TS, edges, points
@@ -158,9 +159,11 @@ def g48_counter_coverage(spark, d):
 
 @query("g49_path_completeness", f"with {_RANKED} select query_id, round(count(r.doc_id) / count(*), 6) as completeness from (select * from qrels where gain = 3) q left join ranked r using (query_id, doc_id) group by 1")
 def g49_path_completeness(spark, d):
-    want = qrels(spark, d).where("gain = 3")
-    j = want.join(ranked(spark, d), ["query_id", "doc_id"], "left")
-    return j.groupBy("query_id").agg(F.round(F.count("position") / F.count("*"), 6).alias("completeness"))
+    topics, pool = judgements(spark, d)
+    pool = pool.where("gain = 3")
+    found = E.judged(ranked(spark, d), topics, pool).groupBy("query_id").agg(F.count("gain").alias("n_found"))
+    want = E.relevant_counts(topics, pool).join(found, "query_id", "left")
+    return want.select("query_id", F.round(F.coalesce("n_found", F.lit(0)) / F.col("n_relevant"), 6).alias("completeness"))
 
 
 @query("h8_threshold_costs", f"with {_V}, s as (select round(conf, 3) as threshold, count(*) as n, sum(y) as pos from v group by 1), r as (select threshold, sum(n - pos) over (order by threshold desc) as fp, sum(pos) over () - sum(pos) over (order by threshold desc) as fn, sum(n) over () as total from s) select threshold, round((2.0 * fp + 1.0 * fn) / total, 6) as cost from r")
