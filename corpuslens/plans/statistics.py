@@ -250,7 +250,7 @@ def h38_clipped_aggregate(spark, d):
     from corpuslens.operators.retrieval import dot
 
     v = table(spark, d, "embeddings").select("label", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"), F.col("embedding")[0].cast("double").alias("x"))
-    g = v.groupBy("label").agg(F.count("*").alias("cohort"), F.sum((F.round("norm", 12) > 1).cast("int")).alias("clipped"), F.round(F.avg(F.col("x") * F.least(F.lit(1.0), 1.0 / F.col("norm"))), 6).alias("mean_x"))
+    g = v.groupBy("label").agg(F.count("*").alias("cohort"), F.sum((F.col("norm") > 1).cast("int")).alias("clipped"), F.round(F.avg(F.col("x") * F.least(F.lit(1.0), 1.0 / F.col("norm"))), 6).alias("mean_x"))
     return g.where("cohort >= 5")
 
 
