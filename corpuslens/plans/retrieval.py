@@ -135,14 +135,14 @@ _BM25 = f"""tf as (select doc_id, term, count(*) as tf from (select doc_id, unne
   bm as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id desc) as position from scored)"""
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, k):
     q = _queries(spark, d, tokens=field_tokens)
-    return R.bm25(q, table(spark, d, "documents"))
+    return R.bm25(q, table(spark, d, "documents"), top=k)
 
 
 @query("d9_bm25", f"with {_BM25} select query_id, doc_id, position, round(raw, 6) as raw, round(score, 6) as score from bm where position <= 10")
 def d9_bm25(spark, d):
-    return R.top_k(_bm25(spark, d), 10).select("query_id", "doc_id", "position", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
+    return R.top_k(_bm25(spark, d, 10), 10).select("query_id", "doc_id", "position", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
 
 
 _WEIGHTS = {"title": 2.5, "content": 1.0}
@@ -253,7 +253,7 @@ _TWO = f"""{_SEARCH.replace('tf as (', 'tf0 as (', 1).replace('from tf group', '
 def two_lists(spark, d, k=20):
     docs = table(spark, d, "documents")
     first = R.search(_queries(spark, d), docs, top_k=k).select(F.lit("dense").alias("list"), "query_id", "doc_id", "position")
-    second = R.top_k(_bm25(spark, d), k).select(F.lit("lexical").alias("list"), "query_id", "doc_id", "position")
+    second = R.top_k(_bm25(spark, d, k), k).select(F.lit("lexical").alias("list"), "query_id", "doc_id", "position")
     return first.unionByName(second)
 
 
