@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -53,12 +53,21 @@ def isotonic_bins(examples: DataFrame) -> DataFrame:
 def calibrated(scores: DataFrame, bins: DataFrame) -> DataFrame:
     """``scores(profile, higher_is_better, score, ..)`` with the ``probability`` of the bin that a score falls in; bounds belong to the lower bin.
 
-    A profile's bins, as many as its steps, meet its scores as one sorted array.  A profile without bins is refused.
+    A profile's bins, as many as its steps, meet its scores as one sorted array, which is halved until one bin is left.  A
+    profile without bins is refused.
     """
     steps = bins.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("bin", "upper", "probability"))).alias("_bins"))
     oriented = F.when(F.col("higher_is_better"), F.col("score")).otherwise(-F.col("score"))
-    fits = F.filter("_bins", lambda b: b.upper.isNull() | (F.col("_x") <= b.upper))
-    found = F.when(F.col("_bins").isNotNull(), F.element_at(fits, 1).probability).otherwise(F.raise_error(F.lit("a profile without calibration")).cast("double"))
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_bins") + F.lit(1))).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at.low + at.high) / 2).cast("int")
+        upper = F.get("_bins", middle).upper
+        fits = F.coalesce(upper.isNull() | (F.col("_x") <= upper), F.lit(False))
+        return F.struct(F.when(fits, at.low).otherwise(middle + 1).alias("low"), F.when(fits, middle).otherwise(at.high).alias("high"))
+
+    first = F.aggregate(halvings, F.struct(F.lit(0).alias("low"), (F.size("_bins") - 1).alias("high")), halve, lambda at: at.low)
+    found = F.when(F.col("_bins").isNotNull(), F.get("_bins", first).probability).otherwise(F.raise_error(F.lit("a profile without calibration")).cast("double"))
     return scores.withColumn("_x", oriented).join(steps, "profile", "left").withColumn("probability", found).drop("_bins", "_x")
 
 
