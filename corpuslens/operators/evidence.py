@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from corpuslens.operators.lineage import cut
+from corpuslens.operators.lineage import cut, small
 
 # one-to-one matches of claims
 
@@ -25,24 +29,78 @@ def bag_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
 
 
-def claim_candidates(gold: DataFrame, proposals: DataFrame, least_iou: float, least_f1: float) -> DataFrame:
-    """Pairs of one document that share their evidence, or overlap by ``least_iou`` and agree by ``least_f1``, with their scores."""
-    if not 0 < least_iou <= 1:
-        raise ValueError("spans must overlap: least_iou lies above 0, up to 1")
-    side = lambda df, id_, p: df.select("doc", F.col(id_), *[F.col(c).alias(p + c) for c in ("section", "start", "end", "evidence", "claim", "type", "modality")])
-    g, q = side(gold, "gold_id", "g_"), side(proposals, "proposal_id", "p_")
-    buckets = lambda p: F.explode(F.sequence(F.floor(F.col(p + "start") / BUCKET), F.floor((F.greatest(F.col(p + "end") - 1, F.col(p + "start"))) / BUCKET))).alias("bucket")
-    near = g.select("*", F.col("g_section").alias("s"), buckets("g_")).join(q.select("*", F.col("p_section").alias("s"), buckets("p_")), ["doc", "s", "bucket"]).drop("s", "bucket")
-    pairs = near.unionByName(g.join(q, (g.doc == q.doc) & (F.col("g_evidence") == F.col("p_evidence"))).drop(q.doc)).dropDuplicates(["doc", "gold_id", "proposal_id"])
+@F.pandas_udf(DoubleType())
+def _bag_f1(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``bag_f1`` in one pass over the tokens, for texts of any length."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        both = len(x) + len(y)
+        return 2.0 * (Counter(x) & Counter(y)).total() / both if both else 1.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def _side(df: DataFrame, id_: str, p: str, *columns: str) -> DataFrame:
+    return df.select("doc", id_, *[F.col(c).alias(p + c) for c in columns])
+
+
+def _overlap() -> tuple[Column, Column]:
+    """Characters that two spans share, and the part of their common extent (null where they lie in two sections)."""
     shared = F.greatest(F.least("g_end", "p_end") - F.greatest("g_start", "p_start"), F.lit(0))
     span = F.greatest("g_end", "p_end") - F.least("g_start", "p_start")
-    iou = F.when((F.col("g_section") == F.col("p_section")) & (span > 0), shared / span).otherwise(0.0)
+    return shared, F.when((F.col("g_section") == F.col("p_section")) & (span > 0), shared / span).otherwise(0.0)
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
     same = lambda c: F.coalesce((F.col("g_" + c) == F.col("p_" + c)).cast("int"), F.lit(0))
-    scored = pairs.select(
-        "doc", "gold_id", "proposal_id", same("evidence").alias("exact_evidence"), iou.alias("iou"), bag_f1(claim_tokens(F.col("g_claim")), claim_tokens(F.col("p_claim"))).alias("f1"),
+    return pairs.select(
+        "doc", "gold_id", "proposal_id", same("evidence").alias("exact_evidence"), _overlap()[1].alias("iou"), _bag_f1(claim_tokens(F.col("g_claim")), claim_tokens(F.col("p_claim"))).alias("f1"),
         same("type").alias("same_type"), same("modality").alias("same_modality"), (same("section") * same("start") * same("end")).alias("exact_span"),
     )
-    return scored.where((F.col("exact_evidence") == 1) | ((F.col("iou") >= least_iou) & (F.col("f1") >= least_f1)))
+
+
+WHOLE = ("section", "start", "end", "evidence", "claim", "type", "modality")
+
+
+def near_claims(gold: DataFrame, proposals: DataFrame, least_iou: float, least_f1: float) -> DataFrame:
+    """Pairs of one document whose spans overlap, by ``least_iou`` with words that agree by ``least_f1`` or with one evidence, scored.
+
+    Spans meet without their texts, in buckets of BUCKET characters, in the first bucket that both reach.
+    """
+    if not 0 < least_iou <= 1:
+        raise ValueError("spans must overlap: least_iou lies above 0, up to 1")
+    bucket = lambda c: F.floor(c / BUCKET)
+    spans = lambda df, id_, p: _side(df, id_, p, "section", "start", "end", "evidence").select("*", F.col(p + "section").alias("s"), F.explode(F.sequence(bucket(F.col(p + "start")), bucket(F.greatest(F.col(p + "end") - 1, F.col(p + "start"))))).alias("bucket"))
+    shared, iou = _overlap()
+    first = F.col("bucket") == bucket(F.greatest("g_start", "p_start"))
+    met = spans(gold, "gold_id", "g_").join(spans(proposals, "proposal_id", "p_"), ["doc", "s", "bucket"])
+    met = met.where(first & (shared > 0) & ((iou >= least_iou) | (F.col("g_evidence") == F.col("p_evidence")))).drop("s", "bucket")
+    met = met.join(_side(gold, "gold_id", "g_", "claim", "type", "modality"), ["doc", "gold_id"]).join(_side(proposals, "proposal_id", "p_", "claim", "type", "modality"), ["doc", "proposal_id"])
+    return _scored(met).where((F.col("exact_evidence") == 1) | (F.col("f1") >= least_f1))
+
+
+def apart_claims(gold: DataFrame, proposals: DataFrame, order: list[Column]) -> DataFrame | None:
+    """Matches of claims that share their evidence where no two such claims overlap; None without any.
+
+    Where all claims of an evidence are alike, only ids tell them apart, and the walk takes them in the order of their
+    ids: the n-th meets the n-th, and copies are not expanded into pairs.
+    """
+    keys = ["doc", "evidence"]
+    common = cut(gold.where("evidence is not null").select(keys).distinct().join(proposals.select(keys).distinct(), keys))
+    if common.isEmpty():
+        return None
+    kind = F.struct("claim", "type", "modality")
+    some = lambda df, id_: cut(df.select("doc", id_, *WHOLE).join(small(common), keys))
+    g, p = some(gold, "gold_id"), some(proposals, "proposal_id")
+    alike = lambda df: df.groupBy(keys).agg(F.min(kind).eqNullSafe(F.max(kind)).alias("alike")).where("alike").select(keys)
+    plain = small(cut(alike(g).join(alike(p), keys)))
+    nth = lambda df, id_: df.join(plain, keys, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(keys).orderBy(id_)))
+    side = lambda df, id_, p_, *more: df.select("doc", "evidence", id_, *more, *[F.col(c).alias(p_ + c) for c in WHOLE])
+    zipped = side(nth(g, "gold_id"), "gold_id", "g_", "n").join(side(nth(p, "proposal_id"), "proposal_id", "p_", "n"), [*keys, "n"])
+    mixed = side(g.join(plain, keys, "left_anti"), "gold_id", "g_").join(side(p.join(plain, keys, "left_anti"), "proposal_id", "p_"), keys)
+    return cut(_scored(zipped)).unionByName(one_to_one(_scored(mixed), "gold_id", "proposal_id", ["doc"], order))
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, by: list[str], order: list[Column]) -> DataFrame:
@@ -66,7 +124,14 @@ def match_claims(gold: DataFrame, proposals: DataFrame, least_iou: float = 0.5,
     Best first within a document: shared evidence, overlap, words, type, modality, then ids.
     """
     order = [*[F.desc(c) for c in ("exact_evidence", "iou", "f1", "same_type", "same_modality")], F.col("gold_id"), F.col("proposal_id")]
-    return one_to_one(claim_candidates(gold, proposals, least_iou, least_f1), "gold_id", "proposal_id", ["doc"], order)
+    walk = lambda pairs: one_to_one(pairs, "gold_id", "proposal_id", ["doc"], order)
+    open_ = lambda df, end, taken: df.join(taken.select("doc", end), ["doc", end], "left_anti")
+    near = cut(near_claims(gold, proposals, least_iou, least_f1))
+    # pairs with one evidence come before all others, those that overlap before those that don't
+    taken = walk(near.where("exact_evidence = 1"))
+    apart = apart_claims(open_(gold, "gold_id", taken), open_(proposals, "proposal_id", taken), order)
+    taken = taken if apart is None else taken.unionByName(apart)
+    return taken.unionByName(walk(open_(open_(near.where("exact_evidence = 0"), "gold_id", taken), "proposal_id", taken)))
 
 
 def claim_report(gold: DataFrame, proposals: DataFrame, matches: DataFrame) -> DataFrame:

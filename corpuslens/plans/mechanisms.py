@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from corpuslens.operators import contexts as C
 from corpuslens.operators import evidence as V
@@ -198,12 +201,19 @@ def h65_plan_ranker(spark, d):
 # matches of claims: a document's lines are gold, its sentences are proposed
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _starts(lengths: pd.Series) -> pd.Series:
+    """Where each of a row's parts of these lengths begins."""
+    return lengths.map(lambda n: None if n is None else np.cumsum(n) - n)
+
+
 def pieces(spark, d, separator, name):
     """Parts of each document between separators, with their place in it, as claims of three words or more."""
-    parts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", F.posexplode(F.split("text", separator)).alias("n", "claim"))
-    before = F.sum(F.length("claim") + len(separator.replace("\\", ""))).over(Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    placed = parts.withColumn("start", F.coalesce(before, F.lit(0)))
-    return placed.where(F.size(V.claim_tokens(F.col("claim"))) >= 3).select(
+    parts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", F.split("text", separator).alias("claim"))
+    starts = _starts(F.transform("claim", lambda x: (F.length(x) + len(separator.replace("\\", ""))).cast("long")))
+    placed = parts.select("doc", "lang", F.posexplode(F.arrays_zip("claim", starts.alias("start"))).alias("n", "x")).select("doc", "lang", "n", "x.*")
+    word, gap = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+    return placed.where(F.regexp_like(F.lower("claim"), F.lit(f"{word}{gap}(?s:.*?){word}{gap}(?s:.*?){word}"))).select(
         "doc", F.concat_ws(":", "doc", "n").alias(name), F.lit(0).alias("section"), "start", (F.col("start") + F.length("claim")).alias("end"), F.md5("claim").alias("evidence"), "claim",
         F.col("lang").alias("type"), F.when(F.length("claim") > 80, "long").otherwise("short").alias("modality"),
     )
@@ -211,7 +221,7 @@ def pieces(spark, d, separator, name):
 
 @query("g35_claim_matches")
 def g35_claim_matches(spark, d):
-    gold, proposals = cut(pieces(spark, d, "\n", "gold_id")), cut(pieces(spark, d, "\\. ", "proposal_id"))
+    gold, proposals = pieces(spark, d, "\n", "gold_id"), pieces(spark, d, "\\. ", "proposal_id")
     report = V.claim_report(gold, proposals, V.match_claims(gold, proposals))
     return report.select("doc", "n_gold", "n_proposals", "n_matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "mean_token_f1", "type_accuracy", "modality_accuracy")])
 

@@ -61,6 +61,18 @@ def test_claims_match_as_a_greedy_walk(spark):
         evidence.match_claims(g, p, 0.0)
 
 
+def test_equal_claims_are_not_expanded_into_pairs(spark, monkeypatch):
+    most, cut = [], evidence.cut
+    monkeypatch.setattr(evidence, "cut", lambda df: most.append((out := cut(df)).count()) or out)
+    rows = lambda name, n, at: [(1, f"{name}{i:04d}", 0, at + 30 * i, at + 30 * i + 20, "e", "ab cd ef", "x", "s") for i in range(n)]
+    make = lambda r, name: spark.createDataFrame(r, f"doc int, {name} string, {CLAIM}")
+    g, p = make(rows("g", 300, 0), "gold_id"), make(rows("p", 200, 100_000) + [(1, "p9999", 0, 30, 50, "e", "ab cd ef", "x", "s")], "proposal_id")
+    got = {(r.gold_id, r.proposal_id, r.iou, r.f1) for r in evidence.match_claims(g, p).collect()}
+    left = [f"g{i:04d}" for i in range(300) if i != 1]
+    assert got == {("g0001", "p9999", 1.0, 1.0)} | {(a, f"p{i:04d}", 0.0, 1.0) for i, a in enumerate(left[:200])}
+    assert max(most) <= 500
+
+
 def test_graph_evidence_by_walks(spark):
     draw = random.Random(9)
     doc = {n: n % 5 for n in range(50)}
