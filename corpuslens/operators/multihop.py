@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import normalized_answer
 from corpuslens.operators.evidence import bag_f1
+from corpuslens.operators.lineage import cut, small
 
 METRICS = (
     "answer_exact", "answer_f1", "document_precision", "document_recall", "document_f1", "support_precision", "support_recall", "support_f1", "path_complete", "hop_coverage",
@@ -69,6 +74,55 @@ def mean_multihop(metrics: DataFrame, *by: str) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count("*").alias("n_examples"), *[F.avg(m).alias(m) for m in METRICS])
 
 
+def _hashed(k: int, before: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a further int column after ``before``, that of the columns before it."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (before + (p5 + np.uint64(4))) ^ (np.uint64(k) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _drawn_sums(d: DataFrame, seed: int, resamples: int, flips: int) -> DataFrame:
+    """``metric, kind, k, w, s``: weights and weighted sums of ``d(metric, d, id)`` in each draw, one row of each for a task.
+
+    A pair's draws come from 30 bits of a hash of seed, kind, metric, id and k; kind ``all`` is the plain sum.
+    """
+    mass, least = 2.718281828459045**-1, []
+    for k in range(8):  # a Poisson draw of mean 1 by its distribution function, on the scale of the draws
+        least.append((least[-1] if least else 0.0) + mass)
+        mass /= k + 1
+    steps = [np.uint64(int(np.ceil(x * (1 << 30)))) for x in least]
+
+    def draw(batches):
+        sums: dict[str, dict[tuple[str, int], list[float]]] = {}
+        for batch in batches:
+            for metric, rows in batch.groupby("metric", dropna=False):
+                x, mine = rows["d"].to_numpy(), sums.setdefault(metric, defaultdict(lambda: [0.0, 0.0]))
+                kinds = {c: rows[c].to_numpy().view("uint64") for c in ("bootstrap", "flip")}
+                with np.errstate(over="ignore"):
+                    parts = [("all", 0, np.ones(len(x)))]
+                    for i in range(max(resamples, flips)):
+                        if i < resamples:
+                            h = _hashed(i, kinds["bootstrap"]) & np.uint64((1 << 30) - 1)
+                            parts.append(("bootstrap", i, np.sum([h >= t for t in steps], axis=0, dtype="int64")))
+                        if i < flips:
+                            parts.append(("flip", i, np.where(_hashed(i, kinds["flip"]) & np.uint64(1 << 29), -1, 1)))
+                        for kind, k, w in parts:
+                            total = mine[kind, k]
+                            total[0] += len(x) if kind == "flip" else w.sum()
+                            total[1] += w @ x
+                        parts = []
+        rows = [(metric, kind, k, *total) for metric, mine in sums.items() for (kind, k), total in mine.items()]
+        yield pd.DataFrame(rows, columns=["metric", "kind", "k", "w", "s"])
+
+    hashes = [F.xxhash64(F.lit(seed), F.lit(kind), "metric", "id").alias(kind) for kind in ("bootstrap", "flip")]
+    missing = F.raise_error(F.lit("a governed metric is missing")).cast("double")
+    known = d.select("metric", F.when(F.col("d").isNull(), missing).otherwise(F.col("d")).alias("d"), *hashes)
+    return known.mapInPandas(draw, f"metric {d.schema['metric'].dataType.simpleString()}, kind string, k int, w double, s double")
+
+
 def promotion(pairs: DataFrame, rules: DataFrame, resamples: int = 400, flips: int = 400, confidence: float = 0.95, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """``metric, mean_difference, low, high, p_value, adjusted_p, noninferior, significant, passed, promoted`` for each rule.
 
@@ -76,24 +130,19 @@ def promotion(pairs: DataFrame, rules: DataFrame, resamples: int = 400, flips: i
     the gates.  Intervals come from a bootstrap with Poisson weights, p-values from sign flips, both drawn by hashes of the
     pair, so reruns agree; Holm's correction runs over the rules.  A metric passes if its interval stays above the margin
     and, where asked, its corrected p-value reaches ``alpha``; ``promoted`` says whether all do.  A rule without pairs is
-    refused.  Draws are summed in each task before the shuffle: resamples plus flips rows a metric leave it.
+    refused.  Pairs are read once, where they lie; a task sums their draws, and resamples plus flips rows a metric leave it.
     """
-    d = rules.join(pairs, "metric", "left")
-    d = d.withColumn("d", F.when(F.col("higher_is_better"), F.col("candidate") - F.col("baseline")).otherwise(F.col("baseline") - F.col("candidate")))
-    d = d.withColumn("d", F.when(F.col("d").isNull(), F.raise_error(F.lit("a governed metric is missing")).cast("double")).otherwise(F.col("d"))).select("metric", "id", "d")
-    drawn = lambda n, kind: d.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), "metric", "id", "k"), F.lit(1 << 30)) / float(1 << 30))
-    weight, mass, total = F.lit(0), 2.718281828459045**-1, 0.0
-    for k in range(8):  # a Poisson draw of mean 1 by its distribution function
-        total += mass
-        weight = weight + F.when(F.col("h") >= total, 1).otherwise(0)
-        mass /= k + 1
-    means = drawn(resamples, "bootstrap").withColumn("w", weight).groupBy("metric", "k").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    d = small(rules.select("metric", "higher_is_better"))
+    d = d.join(pairs, "metric").select("metric", F.when(F.col("higher_is_better"), F.col("candidate") - F.col("baseline")).otherwise(F.col("baseline") - F.col("candidate")).alias("d"), "id")
+    sums = cut(_drawn_sums(d, seed, resamples, flips).groupBy("metric", "kind", "k").agg(F.sum("w").alias("w"), F.sum("s").alias("s")))
+    of = lambda kind: sums.where(F.col("kind") == kind).select("metric", "k", (F.col("s") / F.col("w")).alias("m"))
     tail = (1 - confidence) / 2
-    interval = means.groupBy("metric").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-    mean = d.groupBy("metric").agg(F.avg("d").alias("mean_difference"))
-    signed = drawn(flips, "flip").groupBy("metric", "k").agg(F.avg(F.when(F.col("h") < 0.5, F.col("d")).otherwise(-F.col("d"))).alias("m"))
-    hits = signed.join(mean, "metric").groupBy("metric").agg(((F.sum((F.abs("m") >= F.abs("mean_difference") - 1e-12).cast("int")) + 1) / (flips + 1.0)).alias("p_value"))
-    rows = rules.join(mean, "metric").join(interval, "metric").join(hits, "metric")
+    interval = of("bootstrap").groupBy("metric").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+    mean = rules.select("metric").join(of("all").select("metric", F.col("m").alias("mean_difference")), "metric", "left")
+    missing = F.raise_error(F.lit("a governed metric is missing")).cast("double")
+    mean = mean.withColumn("mean_difference", F.when(F.col("mean_difference").isNull(), missing).otherwise(F.col("mean_difference")))
+    hits = of("flip").join(mean, "metric").groupBy("metric").agg(((F.sum((F.abs("m") >= F.abs("mean_difference") - 1e-12).cast("int")) + 1) / (flips + 1.0)).alias("p_value"))
+    rows = rules.join(mean, "metric").join(interval, "metric", "left").join(hits, "metric", "left")
     order, all_ = Window.partitionBy().orderBy("p_value", "metric"), Window.partitionBy()  # as many rows as rules
     step = F.least(F.lit(1.0), F.col("p_value") * (F.count("*").over(all_) - F.row_number().over(order) + 1))
     rows = rows.withColumn("step", step).withColumn("adjusted_p", F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -108,6 +157,7 @@ def compare_metrics(pairs: DataFrame, directions: DataFrame, resamples: int = 40
     ``directions(metric, higher_is_better)`` put all on one scale on which more is better: improvement, effect (mean over
     standard deviation of the differences, null where they don't vary) and interval are turned round for the others.
     """
+    pairs = cut(pairs)
     rules = directions.select("metric", "higher_is_better", F.lit(0.0).alias("margin"), F.lit(False).alias("require_significance"))
     drawn = promotion(pairs, rules, resamples, flips, seed=seed).select("metric", "mean_difference", "p_value", "low", "high")
     d = F.col("candidate") - F.col("baseline")

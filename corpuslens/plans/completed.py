@@ -187,8 +187,9 @@ def e18_source_trust_reasons(spark, d):
 
 def _metric_pairs(spark, d):
     li = table(spark, d, "lineitem")
-    pair = lambda name, a, b: li.groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(a).alias("baseline"), F.avg(b).alias("candidate")).select(F.lit(name).alias("metric"), "id", "baseline", "candidate")
-    pairs = pair("discount", F.col("l_discount"), F.col("l_tax")).unionByName(pair("speed", F.col("l_quantity"), F.col("l_extendedprice") / 1000))
+    pair = lambda name, a, b: F.struct(F.lit(name).alias("metric"), F.avg(a).alias("baseline"), F.avg(b).alias("candidate"))
+    both = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array(pair("discount", "l_discount", "l_tax"), pair("speed", "l_quantity", F.col("l_extendedprice") / 1000)).alias("m"))
+    pairs = both.select("id", F.explode("m").alias("m")).select("m.metric", "id", "m.baseline", "m.candidate")
     rules = spark.createDataFrame([("discount", True, 0.02, False), ("speed", False, 1.0, True)], "metric string, higher_is_better boolean, margin double, require_significance boolean")
     return pairs, rules
 

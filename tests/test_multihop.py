@@ -78,3 +78,28 @@ def test_gates_name_what_fails(spark):
     assert gates.statistical_gate(bench, {"m": 0.0}, {"m": 0.05}).first().decision == "passed"
     blocked = gates.statistical_gate(bench, {"m": 0.0}, {"m": 0.2}, 5).first()
     assert blocked.reasons == ["paired_m_practical_gain_failed", "paired_seed_count_below_minimum"]
+
+
+def test_draws_are_those_of_hashes_and_pairs_are_read_once(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    pairs = spark.createDataFrame([("m", i, 0.0, (i % 7) / 7 - 0.4) for i in range(90)], "metric string, id long, baseline double, candidate double")
+    got = multihop.promotion(pairs.mapInPandas(seen, pairs.schema), spark.createDataFrame([("m", True, 0.0, False)], "metric string, higher_is_better boolean, margin double, require_significance boolean"), 30, 20, seed=3).first()
+    assert read.value == 90
+    h = lambda kind: F.pmod(F.xxhash64(F.lit(3), F.lit(kind), "metric", "id", "k"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = lambda n, kind: pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("h", h(kind)).collect()
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+    weights = [[(sum(r.h >= t for t in steps), r.candidate) for r in drawn(30, "bootstrap") if r.k == k] for k in range(30)]
+    means = sorted(sum(w * x for w, x in ws) / sum(w for w, _ in ws) for ws in weights)
+    assert got.low == pytest.approx(means[0] + 0.725 * (means[1] - means[0])) and got.high == pytest.approx(means[28] + 0.275 * (means[29] - means[28]))
+    flips = [abs(sum(r.candidate if r.h < 0.5 else -r.candidate for r in drawn(20, "flip") if r.k == k)) / 90 for k in range(20)]
+    assert got.p_value == pytest.approx((1 + sum(f >= abs(got.mean_difference) - 1e-12 for f in flips)) / 21)
