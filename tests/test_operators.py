@@ -1,8 +1,10 @@
 """Small hand-made cases of the core operators."""
 
 import json
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
@@ -107,6 +109,45 @@ def test_walks(spark):
     assert [r.path for r in paths] == [[1, 2, 4]]
 
 
+@pytest.mark.parametrize(("paths", "ends"), [(1 << 21, 1_024), (3, 2)])
+@pytest.mark.parametrize("far", [0, 10**17])
+def test_paths_of_two(spark, monkeypatch, paths, ends, far):
+    monkeypatch.setattr(graph, "PATHS", paths)
+    monkeypatch.setattr(graph, "ENDS", ends)
+    draw = random.Random(5)
+    nodes = [0, 1, 9, 10, 12, 99, 100, 120, 121, 129, 1200, 12999, 129999, 999, 9999, 10**14, 2 * 10**14 - 1, 7 + far]
+    edges = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(140)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    found = {}
+    for a, m in set(edges):
+        for c, z in set(edges):
+            if m == c and len({a, m, z}) == 3 and a < 1000 and z > 5:
+                found.setdefault((a, z), []).append(f"{a}>{m}>{z}")
+    got = graph.paths_of_two(df.where("src < 1000"), df.where("dst > 5"))
+    assert {(r.src, r.dst): (r.n_paths, r.first_path) for r in got.collect()} == {k: (len(v), min(v)) for k, v in found.items()}
+
+
+def test_chrf_counts_runs_of_characters_in_the_row(spark, tmp_path):
+    from corpuslens.plans import catalog
+
+    texts = {1: ["the cat  sat", "a cat sat", "", "", "x", "xx yy \U0001f600z"], 2: ["only"], 3: ["ab", None, "ab"]}
+    rows = [(c, t, "user", x) for c, xs in texts.items() for t, x in enumerate(xs)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.queries()["g13_chrf"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # texts are shuffled, runs are not
+    grams = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)]
+    want = {}
+    for c, xs in texts.items():
+        for t, (a, b) in enumerate(zip(xs, xs[1:])):
+            a, b = (a or "").replace(" ", ""), None if b is None else b.replace(" ", "")
+            n = [n for n in range(1, 7) if b is not None and (grams(a, n) or grams(b, n))]
+            if n:
+                shared = [sum(min(grams(a, k).count(g), grams(b, k).count(g)) for g in set(grams(a, k))) for k in n]
+                p, r = (sum(s / max(len(grams(x, k)), 1) for s, k in zip(shared, n)) / len(n) for x in (a, b))
+                want[c, t] = 5 * p * r / (4 * p + r) if p + r else 0.0
+    assert {(r.conv_id, r.turn): r.chrf for r in got.collect()} == pytest.approx(want, abs=1e-6) and len(want) == 5
+
+
 def test_series(spark):
     pts = spark.createDataFrame([("a", 0.0, 1.0), ("a", 10.0, 3.0), ("a", 20.0, 3.0)], "k string, t double, v double")
     assert series.integral(pts, "k", "t", "v").first().volume == 50.0
