@@ -7,7 +7,7 @@ import pytest
 
 from corpuslens.plans import catalog
 
-MEASURES = ("g43_robustness_gates",)
+MEASURES = ("g43_robustness_gates", "g2_recall")
 
 
 def made_rows(plan):
