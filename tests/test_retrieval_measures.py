@@ -7,7 +7,7 @@ import pytest
 
 from corpuslens.plans import catalog
 
-MEASURES = ("g43_robustness_gates", "g2_recall", "g5_average_precision", "g6_ndcg", "g3_hit_rate")
+MEASURES = ("g43_robustness_gates", "g2_recall", "g5_average_precision", "g6_ndcg", "g3_hit_rate", "g7_retrieval_evaluation")
 
 
 def made_rows(plan):
