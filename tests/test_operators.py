@@ -341,6 +341,21 @@ def test_staged_match_and_near_points(spark):
     assert sorted((r.id, r.node, r.distance) for r in linking.near_points(a, b, 10.0).collect()) == [(1, 1, 10.0), (2, 3, 9.1)]
 
 
+def test_staged_match_sums_a_keys_targets_before_the_shuffle(spark):
+    from corpuslens.operators import linking
+
+    right = spark.createDataFrame([(k, t) for k in (1, 2) for t in (7, 8, 9)] * 50 + [(3, 4), (3, 4), (4, None), (5, 6), (5, None), (None, 9)], "at long, target long")
+    left = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (6,), (None,), (3,)], "id long")
+    got = linking.staged_match(left, right, [("near", [("id", "at")])])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and "first(" not in plan  # a distinct count would shuffle each pair
+    want = [(None, None, "unmatched"), (1, None, "ambiguous"), (2, None, "ambiguous"), (3, 4, "near"), (3, 4, "near"), (4, None, "ambiguous"), (5, 6, "near"), (6, None, "unmatched")]
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] or 0, str(r))) == want
+    a = spark.createDataFrame([(1, 0, 0.0, 0.0)], "id long, crs int, x double, y double")
+    b = spark.createDataFrame([(1, 0, 10.0000004, 0.0), (2, 0, 10.0000006, 0.0), (3, 0, 0.0, float("nan")), (4, 0, None, 1.0), (5, 1, 0.0, 0.0)], "node long, crs int, x double, y double")
+    assert [(r.node, r.distance) for r in linking.near_points(a, b, 10.0).collect()] == [(1, 10.0)]
+
+
 def test_masked_metadata_hides_credentials_and_paths(spark):
     texts = {
         "http://me:pw@host/x": "http://[REDACTED_CREDENTIALS]@host/x",
