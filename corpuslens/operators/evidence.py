@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -153,6 +156,57 @@ def claim_report(gold: DataFrame, proposals: DataFrame, matches: DataFrame) -> D
 ORIGINS = ("lexical", "cross_document", "within_document")
 
 
+#: Rows of seeds that a task holds before it drops those that can't start.
+SEEDS = 1 << 18
+
+
+def _first_seeds(seeds: DataFrame, per_document: int, most_seeds: int) -> DataFrame:
+    """``seeds`` without rows that ``most_seeds`` rows of their own task come before, at most ``per_document`` of a document.
+
+    Of all rows a document's i-th best comes no later than its i-th best in one task, so as many come before such a row in
+    the end, and it can't start.  Rows with a null or NaN stay.
+    """
+    documents = [("query", "ascending"), ("doc", "ascending"), ("score", "descending"), ("node", "ascending")]
+    queries = [("query", "ascending"), ("score", "descending"), ("doc", "ascending"), ("node", "ascending")]
+
+    def nth(t: pa.Table, keys: list[str]) -> np.ndarray:
+        """The place of each row in its run of equal keys."""
+        new = np.ones(len(t), bool)
+        new[1:] = np.any([pc.not_equal(t[k][1:], t[k][:-1]).to_numpy() for k in keys], axis=0)
+        at = np.arange(len(t))
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    def pruned(t: pa.Table) -> pa.Table:
+        t = t.sort_by(documents)
+        t = t.filter(pa.array(nth(t, ["query", "doc"]) < per_document)).sort_by(queries)
+        return t.filter(pa.array(nth(t, ["query"]) < most_seeds))
+
+    def run(batches):
+        held, rows, last = [], 0, None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            plain = pc.and_(pc.is_finite(t["score"]), pc.and_(pc.and_(pc.is_valid(t["query"]), pc.is_valid(t["doc"])), pc.is_valid(t["node"])))
+            plain = pc.fill_null(plain, False)
+            yield from t.filter(pc.invert(plain)).to_batches()
+            t = t.filter(plain)
+            if last is not None:  # what is below the last row that a full query holds
+                at = pc.index_in(t["query"], last["query"].combine_chunks())
+                t = t.filter(pc.fill_null(pc.greater_equal(t["score"], pc.take(last["score"], at)), True))
+            held.append(t)
+            rows += len(t)
+            if rows >= SEEDS:
+                t = pruned(pa.concat_tables(held))
+                if len(t) > SEEDS // 2:  # of many queries
+                    yield from t.to_batches(max_chunksize=10_000)
+                    t = t.slice(0, 0)
+                full = t.filter(pa.array(nth(t, ["query"]) == most_seeds - 1))
+                held, rows, last = [t], len(t), full
+        if rows:
+            yield from pruned(pa.concat_tables(held)).to_batches(max_chunksize=10_000)
+
+    return seeds.mapInArrow(run, seeds.schema)
+
+
 def graph_set_evidence(
     seeds: DataFrame, within: DataFrame, across: DataFrame, per_document: int = 10, most_seeds: int = 100, within_per_seed: int = 3, depth: int = 2, across_per_seed: int = 20, top: int = 200,
 ) -> DataFrame:
@@ -168,7 +222,8 @@ def graph_set_evidence(
     """
     rank = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     best = [F.desc("score"), F.col("node")]
-    start = seeds.select("query", "doc", "node", "score").withColumn("_n", rank(["query", "doc"], *best)).where(F.col("_n") <= per_document)
+    start = _first_seeds(seeds.select("query", "doc", "node", "score"), per_document, most_seeds)
+    start = start.withColumn("_n", rank(["query", "doc"], *best)).where(F.col("_n") <= per_document)
     start = start.withColumn("_n", rank(["query"], F.desc("score"), "doc", "node")).where(F.col("_n") <= most_seeds).drop("_n")
     no_edges = F.array().cast("array<string>")
     start = cut(start.select("query", F.col("node").alias("seed"), "doc", "node", "score", F.lit(0).alias("depth"), no_edges.alias("lineage")))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from corpuslens.operators import contexts as C
 from corpuslens.operators import evidence as V
 from corpuslens.operators import fitting as T
 from corpuslens.operators import networks as N
 from corpuslens.operators import release as P
-from corpuslens.operators.lineage import cut
+from corpuslens.operators.lineage import BROADCAST_ROWS, cut
 from corpuslens.plans.catalog import query, table
 from corpuslens.plans.statistics import _Z
 from corpuslens.plans.tables import _GE, edges
@@ -244,12 +246,65 @@ def line_graph(spark, d):
     return lines, cut(within), cut(across)
 
 
+#: Most meetings of a word of a line with a query that are counted at once.
+PAIRS = 1 << 21
+
+
 def line_hits(lines, queries):
-    """``query, doc, node, score``: the share of a query's words that a line holds."""
-    words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(V.claim_tokens(F.col("text")))).alias("w"))
-    q = words(queries, "query", F.size(F.array_distinct(V.claim_tokens(F.col("text")))).alias("n"))
-    hits = q.join(words(lines, "doc", "node"), "w").groupBy("query", "n", "doc", "node").agg(F.count("*").alias("k"))
-    return hits.select("query", "doc", "node", (F.col("k") / F.col("n")).alias("score")).where("score >= 0.1")
+    """``query, doc, node, score``: the share of a query's words that a line holds, of 0.1 or more.
+
+    A line is shuffled with the numbers of its words that a query holds and counted in its row, so no row is made of a line
+    and a query that share few words.
+    """
+    distinct = F.array_distinct(V.claim_tokens(F.col("text")))
+    q = queries.select("query", F.size(distinct).alias("n"), F.explode(distinct).alias("w"))
+    if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # too many to send to every task
+        met = q.join(lines.select("doc", "node", F.explode(distinct).alias("w")), "w").groupBy("query", "n", "doc", "node").agg(F.count("*").alias("k"))
+        return met.select("query", "doc", "node", (F.col("k") / F.col("n")).alias("score")).where("score >= 0.1")
+    asked = q.groupBy("query", "n").agg(F.collect_list("w").alias("words")).collect()
+    kind = queries.schema["query"].dataType
+    number, shares = _shares([r.words for r in asked], [r.n for r in asked], 0.1)
+    ids = lines.select("doc", "node", F.arrow_udf(number, "array<int>")(distinct).alias("ids")).where("size(ids) > 0")
+    bags = ids.groupBy("doc", "node").agg(F.flatten(F.collect_list("ids")).alias("ids"))  # ids may repeat
+    hits = bags.select("doc", "node", F.explode(F.arrow_udf(shares, "array<struct<form:int,score:double>>")("ids")).alias("x"))
+    forms = lines.sparkSession.createDataFrame([(i, r.query) for i, r in enumerate(asked)], StructType([StructField("form", IntegerType()), StructField("query", kind)]))
+    return hits.select("doc", "node", "x.*").join(F.broadcast(forms), "form").select("query", "doc", "node", "score")
+
+
+def _shares(bags: list[list[str]], sizes: list[int], least: float):
+    """Functions of Arrow arrays: lists of words as numbers of those that ``bags`` hold; from these ``form, score`` of the bags of which a list holds ``least``."""
+    words = sorted({w for bag in bags for w in bag})
+    place = {w: i for i, w in enumerate(words)}
+    at = np.array([place[w] for bag in bags for w in bag], dtype=np.int64)
+    form = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])[np.argsort(at, kind="stable")]
+    n = np.bincount(at, minlength=len(words))
+    first, size = np.cumsum(n) - n, np.array(sizes, dtype=np.int64)
+
+    def number(lists: pa.Array) -> pa.Array:
+        got = pc.index_in(lists.flatten(), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(got) if got.dtype.kind == "f" else np.ones(len(got), bool)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(got[known].astype(np.int32)))
+
+    def shares(lists: pa.Array) -> pa.Array:
+        lengths, ids = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        some, met = np.append(0, np.cumsum(n[ids])), []
+        cuts = [0, *(np.flatnonzero(np.diff(some[:-1] // PAIRS)) + 1), len(ids)] if len(ids) else []
+        cuts = sorted({int(np.searchsorted(row, row[c])) if 0 < c < len(ids) else int(c) for c in cuts})  # a row's words stay together
+        for a, b in zip(cuts, cuts[1:]):
+            m = n[ids[a:b]]
+            take = np.repeat(first[ids[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            key, k = np.unique(np.repeat(row[a:b], m) * len(size) + form[take], return_counts=True)
+            score = k / size[key % len(size)]
+            met.append((key[score >= least], score[score >= least]))
+        key, score = (np.concatenate(x) for x in zip(*met)) if met else (np.empty(0, np.int64), np.empty(0))
+        ends = np.searchsorted(key, np.arange(len(lengths) + 1) * len(size))
+        values = pa.StructArray.from_arrays([pa.array((key % max(1, len(size))).astype(np.int32)), pa.array(score)], ["form", "score"])
+        return pa.ListArray.from_arrays(ends.astype(np.int32), values)
+
+    return number, shares
 
 
 @query("f13_graph_evidence")

@@ -114,6 +114,38 @@ def test_graph_evidence_by_walks(spark):
     assert {(r.query, r.position): (r.node, round(r.score, 9), r.origin, r.seed, tuple(r.lineage)) for r in got} == expected
 
 
+@pytest.mark.parametrize("pairs", [1 << 21, 3])
+def test_line_hits_are_counted_in_the_row(spark, monkeypatch, pairs):
+    monkeypatch.setattr(mechanisms, "PAIRS", pairs)
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["é", "42"]
+    text = lambda most: " ".join(draw.choice(words) for _ in range(draw.randint(0, most)))
+    lines = [(draw.choice([1, 2, 3, None]), f"{draw.randint(0, 9)}", text(9)) for _ in range(60)] + [(1, None, "w1 w2"), (2, "x", None)]
+    queries = [(draw.choice([1, 2, None]), text(25)) for _ in range(7)] + [(5, "w1 W1, w2"), (5, "w1 W1, w2"), (6, None), (7, "other")]
+    count = {}
+    for (q, a), (d, n, b) in itertools.product(queries, lines):
+        a, b = (set((x or "").lower().replace(",", "").split()) for x in (a, b))
+        if a & b:
+            count[q, len(a), d, n] = count.get((q, len(a), d, n), 0) + len(a & b)
+    want = sorted((str((q, d, n)), round(k / m, 9)) for (q, m, d, n), k in count.items() if k / m >= 0.1)
+    got = mechanisms.line_hits(spark.createDataFrame(lines, "doc long, node string, text string"), spark.createDataFrame(queries, "query long, text string"))
+    assert sorted((str((r.query, r.doc, r.node)), round(r.score, 9)) for r in got.collect()) == want and want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query" not in plan  # pairs of a line and a query would be shuffled
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40, 1])
+def test_seeds_are_dropped_before_the_shuffle(spark, monkeypatch, held):
+    monkeypatch.setattr(evidence, "SEEDS", held)
+    draw = random.Random(11)
+    rows = [(draw.randint(1, 5), draw.randint(1, 12), f"n{draw.randint(1, 40)}", draw.choice([0.1, 0.2, 0.3, 0.5])) for _ in range(2000)]
+    odd = [(1, None, "n1", 0.9), (None, 1, "n2", 0.9), (2, 3, None, 0.9), (2, 3, "n4", None), (2, 3, "n5", float("nan"))]
+    df = spark.createDataFrame(rows + odd, "query int, doc int, node string, score double").repartition(3)
+    left = [tuple(r) for r in evidence._first_seeds(df, 2, 7).collect()]
+    kept = lambda rows: [r for q in range(1, 6) for r in sorted((x for d in range(1, 13) for x in sorted((r for r in rows if r[0] == q and r[1] == d and None not in r and r[3] == r[3]), key=lambda r: (-r[3], r[2]))[:2]), key=lambda r: (-r[3], r[1], r[2]))[:7]]
+    assert kept(left) == kept(rows) and len(left) < len(rows) and sum(None in r or r[3] != r[3] for r in left) == 5
+
+
 def backdoor(nodes, edges, x, y, z):
     """By all trails of the graph without the exposure's edges."""
     if {x, y, *z} - set(nodes):
